@@ -104,7 +104,7 @@ def as_factor(df: DataFrame, col: str, by=None, out: str = "level_ord") -> DataF
 def with_level_order(df: DataFrame, col: str, levels: Sequence[str], out: str = "level_ord") -> DataFrame:
     """Explicit 1-based category order; unlisted values get NULL."""
     place = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(col))
-    return df.withColumn(out, F.when(place > 0, place))
+    return df.withColumn(out, F.when(place > 0, place).cast("int"))
 
 
 def level_medians(df: DataFrame, col: str, value: str, desc: bool = True) -> DataFrame:

@@ -204,8 +204,8 @@ def baseline_delta(spark, sf):
 
 @query
 def baseline_delta_long(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return rounded(op.baseline_delta_long(lines, "l_orderkey", "l_linenumber", "l_extendedprice"), 4)
+    events = table(spark, sf, "events").select("user_id", "event_id", "value")
+    return rounded(op.baseline_delta_long(events, "user_id", "event_id", "value"))
 
 
 @query

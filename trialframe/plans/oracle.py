@@ -26,8 +26,8 @@ def tail2(z: str) -> str:
     """Two-sided normal tail by the series of the density."""
     x = f"greatest(abs({z}), 1e-300)"
     terms = (
-        f"list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln({x}) - (k + 1) * ln(2.0)"
-        f" - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+        f"list_sum(list_transform(range(0, 200), lambda j: exp((2 * j + 1) * ln({x}) - (j + 1) * ln(2.0)"
+        f" - lgamma(j + 1.5) + 0.5 * ln(pi()))))"
     )
     return (
         f"CASE WHEN {z} IS NULL THEN NULL WHEN abs({z}) > 9 THEN 0.0 "
@@ -42,7 +42,7 @@ def tail1(z: str) -> str:
 def chi2(x: str, df: str) -> str:
     """Upper chi-square tail by the series of the incomplete gamma function."""
     a, h = f"({df} / 2.0)", f"greatest({x} / 2.0, 1e-300)"
-    terms = f"list_sum(list_transform(range(0, 600), lambda n: exp(({a} + n) * ln({h}) - {h} - lgamma({a} + n + 1))))"
+    terms = f"list_sum(list_transform(range(0, 600), lambda j: exp(({a} + j) * ln({h}) - {h} - lgamma({a} + j + 1))))"
     return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 300 THEN 0.0 ELSE greatest(0.0, 1 - {terms}) END"
 
 
@@ -51,8 +51,8 @@ def f_tail(f: str, d1: str, d2: str) -> str:
     a, b = f"({d1} / 2.0)", f"({d2} / 2.0)"
     x = f"({d1} * {f} / ({d1} * {f} + {d2}))"
     terms = (
-        f"list_sum(list_transform(range(0, 1500), lambda n: exp(lgamma({a} + {b} + n) - lgamma({a} + n + 1)"
-        f" - lgamma({b}) + ({a} + n) * ln({x}) + {b} * ln(1 - {x}))))"
+        f"list_sum(list_transform(range(0, 1500), lambda j: exp(lgamma({a} + {b} + j) - lgamma({a} + j + 1)"
+        f" - lgamma({b}) + ({a} + j) * ln({x}) + {b} * ln(1 - {x}))))"
     )
     return (
         f"CASE WHEN {f} IS NULL THEN NULL WHEN {f} <= 0 THEN 1.0 WHEN {d1} * {f} > 400 THEN 0.0 "
@@ -292,14 +292,14 @@ RESID = """rs AS (SELECT *, avg(c_acctbal) OVER (PARTITION BY {keys}) AS fitted,
   noise AS (SELECT sqrt(sum(residual * residual) / (count(*) - count(DISTINCT c_mktsegment))) AS s FROM sd),
   rr AS (SELECT sd.*, residual / (s * sqrt(1 - 1.0 / cell)) AS std_residual FROM sd, noise)"""
 
-CONFRONTATION = """raw AS (
+CONFRONTATION = """plates AS (
   SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CTRL' WHEN '2' THEN 'JB543' WHEN '3' THEN 'JB524'
            WHEN '4' THEN 'JB624' WHEN '5' THEN 'JB767' END AS treatmnt,
          l_linestatus AS pathogen, l_returnflag AS experiment, l_discount AS iz, l_tax AS ydiam_mm,
          ((l_quantity + CAST(0.4 AS DOUBLE) * (CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1) + 5) / 2) * 2 - 5
            AS diam_mm
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-clean AS (SELECT *, max(diam_mm) OVER (PARTITION BY pathogen, experiment) AS max_diam FROM raw),
+clean AS (SELECT *, max(diam_mm) OVER (PARTITION BY pathogen, experiment) AS max_diam FROM plates),
 resp AS (SELECT *, 100 * (max_diam - diam_mm) / max_diam AS perc_in FROM clean)"""
 
 RATINGS = """ratings AS (SELECT p_type AS treatment, p_brand, p_size % 5 + 1 AS rating_scale, count(*) AS total_rating
@@ -375,17 +375,17 @@ def build() -> dict[str, str]:
     )
     sql["factor_levels"] = """
       SELECT o_orderkey, o_orderstatus, o_orderpriority,
-        dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS level_ord FROM orders"""
+        (dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority))::INTEGER AS level_ord FROM orders"""
     sql["level_order"] = """
       SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2
         WHEN '1-URGENT' THEN 3 END AS level_ord FROM orders"""
     sql["reorder_levels"] = """
       WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS md FROM orders GROUP BY 1),
-      p AS (SELECT o_orderpriority, row_number() OVER (ORDER BY md DESC, o_orderpriority) AS level_ord FROM m)
+      p AS (SELECT o_orderpriority, (row_number() OVER (ORDER BY md DESC, o_orderpriority))::INTEGER AS level_ord FROM m)
       SELECT o_orderkey, o_orderpriority, o_totalprice, level_ord FROM orders JOIN p USING (o_orderpriority)"""
     sql["level_medians"] = f"""
       WITH m AS (SELECT c_mktsegment, median(c_acctbal) AS md FROM customer GROUP BY 1)
-      SELECT c_mktsegment, {r('md', 'median')}, row_number() OVER (ORDER BY md DESC, c_mktsegment) AS level_ord FROM m"""
+      SELECT c_mktsegment, {r('md', 'median')}, (row_number() OVER (ORDER BY md DESC, c_mktsegment))::INTEGER AS level_ord FROM m"""
     sql["to_long"] = """
       SELECT l_orderkey, l_linenumber, 'l_discount' AS measure, l_discount AS value FROM lineitem UNION ALL
       SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem UNION ALL
@@ -397,9 +397,8 @@ def build() -> dict[str, str]:
       FROM sup CROSS JOIN days LEFT JOIN m ON m.l_suppkey = sup.l_suppkey AND m.day = days.day
       LEFT JOIN m b ON b.l_suppkey = sup.l_suppkey AND b.day = 1"""
     sql["baseline_delta_long"] = f"""
-      SELECT l_orderkey, l_linenumber, {r('l_extendedprice', 'l_extendedprice', 4)},
-        {r('first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - l_extendedprice',
-           'delta', 4)} FROM lineitem"""
+      SELECT user_id, event_id, {r('value', 'value')},
+        {r('first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) - value', 'delta')} FROM events"""
     sql["filter_slice"] = """
       SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag FROM lineitem
       WHERE l_linestatus = 'F' AND l_returnflag = 'A'"""
@@ -567,12 +566,12 @@ def build() -> dict[str, str]:
       s AS (SELECT pathogen, treatment, avg(diam_shift) AS m, stddev_samp(diam_shift) / sqrt(count(*)) AS se
             FROM assay GROUP BY 1, 2)
       SELECT s.pathogen, treatment, {r('m', 'mean')}, {r('m - se', 'ymin')}, {r('m + se', 'ymax')}, letters AS label,
-        6 - CAST(substr(treatment, 1, 1) AS BIGINT) AS ord
+        6 - CAST(substr(treatment, 1, 1) AS INTEGER) AS ord
       FROM s JOIN letters l ON s.pathogen = l.pathogen AND s.treatment = l.g"""
     only = ranksum_cte("assay", "pathogen", "treatment", "diam_shift", "a.g = '1-URGENT' AND b.g <> '1-URGENT'")
     sql["grouped_bars"] = f"""{a}, {kruskal_cte('assay', 'pathogen', 'treatment', 'diam_shift')}, {only},
       md AS (SELECT treatment, median(diam_shift) AS md FROM assay GROUP BY 1),
-      od AS (SELECT treatment, row_number() OVER (ORDER BY md DESC, treatment) AS ord FROM md),
+      od AS (SELECT treatment, (row_number() OVER (ORDER BY md DESC, treatment))::INTEGER AS ord FROM md),
       s AS (SELECT pathogen, treatment, experiment, avg(diam_shift) AS m, stddev_samp(diam_shift) AS sd, count(*) AS n
             FROM assay GROUP BY ALL)
       SELECT s.pathogen, s.treatment, experiment, {r('m', 'mean')}, {r('sd', 'sd')}, s.n, {r('sd / sqrt(s.n)', 'se')},
