@@ -50,13 +50,17 @@ def sorted_counts(counts: DataFrame) -> DataFrame:
     return stage(chunked(counts))
 
 
-def chunk_ranks(table: DataFrame, grouped: bool = False) -> DataFrame:
-    """Add the rows below each value and the rows tied at it, counted inside the chunk."""
-    run = Window.partitionBy(SLICE, CHUNK).orderBy(VALUE)  # default frame: up to and with ties
-    table = table.withColumn("_upto", F.sum(COUNT).over(run))
-    tie = Window.partitionBy(SLICE, CHUNK, VALUE)
-    table = table.withColumn(TIES, F.sum(COUNT).over(tie) if grouped else F.col(COUNT))
-    return table.withColumn(BELOW, F.col("_upto") - F.col(TIES)).drop("_upto")
+def chunk_ranks(table: DataFrame) -> DataFrame:
+    """Add the rows tied at each value and the rows below it, counted inside the chunk.
+
+    Both frames belong to one window: a range frame takes in all rows of equal value.
+    """
+    order = Window.partitionBy(SLICE, CHUNK).orderBy(VALUE)
+    upto = F.sum(COUNT).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum(COUNT).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return table.select("*", upto.alias("_upto"), ties.alias(TIES)).select(
+        *table.columns, TIES, (F.col("_upto") - F.col(TIES)).alias(BELOW)
+    )
 
 
 def chunk_offsets(table: DataFrame) -> DataFrame:
@@ -71,13 +75,13 @@ def chunk_offsets(table: DataFrame) -> DataFrame:
     )
 
 
-def ranked(table: DataFrame, grouped: bool = False) -> DataFrame:
+def ranked(table: DataFrame) -> DataFrame:
     """Sorted counts with the rows below each value in the whole slice (`_below`), ties and slice size.
 
     The window and the join use the same key, so they share one shuffle.
     """
     return (
-        chunk_ranks(table, grouped)
+        chunk_ranks(table)
         .join(chunk_offsets(table), [SLICE, CHUNK])
         .withColumn(BELOW, F.col(BELOW) + F.col("_offset"))
         .drop("_offset", CHUNK)

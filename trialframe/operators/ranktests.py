@@ -17,16 +17,18 @@ from .slices import SLICE, from_slice, names
 
 def _group_ranks(df: DataFrame, by, group: str, value: str) -> DataFrame:
     """(slice, group): rows, rank sum, tie sum of t^3 - t; one pass, no self-join."""
-    table = chunk_ranks(chunked(value_counts(df, by, value, group)), grouped=True)
+    table = chunk_ranks(chunked(value_counts(df, by, value, group)))
     n, ties = F.col(COUNT).cast("double"), F.col(TIES).cast("double")
     chunks = table.groupBy(SLICE, CHUNK, GROUP).agg(
         F.sum(COUNT).alias("_n"),
         F.sum(n * (F.col(BELOW) + (ties + 1) / 2)).alias("_ranks"),
         F.sum(n * (ties * ties - 1)).alias("_ties"),
     )
-    upto = F.sum("_n").over(Window.partitionBy(SLICE).orderBy(CHUNK))
-    here = F.sum("_n").over(Window.partitionBy(SLICE, CHUNK))
-    chunks = chunks.withColumn("_upto", upto).withColumn("_offset", F.col("_upto") - here)
+    order = Window.partitionBy(SLICE).orderBy(CHUNK)
+    upto = F.sum("_n").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    here = F.sum("_n").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    chunks = chunks.select("*", upto.alias("_upto"), here.alias("_here"))
+    chunks = chunks.withColumn("_offset", F.col("_upto") - F.col("_here"))
     return chunks.groupBy(SLICE, GROUP).agg(
         F.sum("_n").alias("_size"),
         F.sum(F.col("_ranks") + F.col("_n").cast("double") * F.col("_offset")).alias("_ranks"),
@@ -95,13 +97,20 @@ def _pair_sums(table: DataFrame, targets: dict[int, str]) -> DataFrame:
     target. One window pass counts every target at once, so rows are not copied
     per pair.
     """
-    spread = f"PARTITION BY {SLICE}, {CHUNK}"
+    upto = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    here = "RANGE BETWEEN CURRENT ROW AND CURRENT ROW"
+
+    def counts(column: str, name: str, spread: str) -> list[str]:
+        out = []
+        for j in targets:
+            out.append(f"sum({column}{j}) OVER ({spread} {upto}) AS _upto{j}")
+            out.append(f"double(sum({column}{j}) OVER ({spread} {here})) AS {name}{j}")
+        return out
+
     keys = [SLICE, CHUNK, VALUE, GROUP, "_ord", COUNT]
     table = table.selectExpr(*keys, *[f"IF({is_target}, {COUNT}, 0) AS _own{j}" for j, is_target in targets.items()])
-    table = table.selectExpr("*", *[f"sum(_own{j}) OVER ({spread} ORDER BY {VALUE}) AS _upto{j}" for j in targets])
-    table = table.selectExpr(
-        "*", *[f"double(sum(_own{j}) OVER ({spread}, {VALUE})) AS _tie{j}" for j in targets]
-    )
+    spread = f"PARTITION BY {SLICE}, {CHUNK} ORDER BY {VALUE}"
+    table = table.selectExpr("*", *counts("_own", "_tie", spread))
     n = f"double({COUNT})"
     aggs = [f"sum({COUNT}) AS _n"]
     for j in targets:
@@ -111,13 +120,10 @@ def _pair_sums(table: DataFrame, targets: dict[int, str]) -> DataFrame:
             f"sum(_own{j}) AS _c{j}",
         ]
     chunks = table.groupBy(SLICE, CHUNK, GROUP, "_ord").agg(*map(F.expr, aggs))
-    chunks = chunks.selectExpr(
-        "*", *[f"sum(_c{j}) OVER (PARTITION BY {SLICE} ORDER BY {CHUNK}) AS _upto{j}" for j in targets]
-    )
-    chunks = chunks.selectExpr("*", *[f"_upto{j} - sum(_c{j}) OVER ({spread}) AS _before{j}" for j in targets])
+    chunks = chunks.selectExpr("*", *counts("_c", "_here", f"PARTITION BY {SLICE} ORDER BY {CHUNK}"))
     aggs = []
     for j in targets:
-        aggs += [f"sum(_u{j} + double(_n) * _before{j}) AS _u{j}", f"sum(_x{j}) AS _x{j}"]
+        aggs += [f"sum(_u{j} + double(_n) * (_upto{j} - _here{j})) AS _u{j}", f"sum(_x{j}) AS _x{j}"]
     sums = chunks.groupBy(SLICE, GROUP, "_ord").agg(*map(F.expr, aggs))
     entries = [f"named_struct('_other', {j}, '_wins', _u{j}, '_cross', _x{j})" for j in targets]
     return sums.selectExpr(SLICE, GROUP, "_ord", f"inline(array({', '.join(entries)}))")
