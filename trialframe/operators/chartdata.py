@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import add_normal_quantile
 from ..functions.scalar import number, ratio, star_code
-from ..sources.staging import stage
+from ..sources.staging import settle
 from .clean import level_medians, with_level_order
 from .compare import omnibus
 from .linear import fit_band, ols_line, pearson, residuals
@@ -50,7 +50,7 @@ def box_data(df: DataFrame, by, value: str) -> DataFrame:
     """
     by = names(by)
     counts = sorted_counts(value_counts(df, by, value))
-    quartiles = stage(slice_quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+    quartiles = settle(slice_quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col(VALUE) >= F.col("q1") - reach) & (F.col(VALUE) <= F.col("q3") + reach)
     whiskers = (
@@ -76,9 +76,9 @@ def hist_data(df: DataFrame, by, value: str, bins: int = 30, facet=None) -> Data
     slice and get counts of their own. Rows are reduced to value counts first.
     """
     by, facet = names(by), names(facet)
-    counts = stage(value_counts(df, [*by, *facet], value))
+    counts = settle(value_counts(df, [*by, *facet], value))
     inner = F.struct(*[F.col(SLICE)[b].alias(b) for b in by]) if by else F.struct(F.lit(0).alias("all"))
-    span = stage(
+    span = settle(
         counts.groupBy(inner.alias("_outer"))
         .agg(F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi"))
         .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.lit(float(max(bins - 1, 1))))

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import settle
 from .ordering import quantiles
 from .slices import SLICE, add_stats, names, slice_key
 
@@ -97,7 +97,7 @@ def as_factor(df: DataFrame, col: str, by=None, out: str = "level_ord") -> DataF
     levels = df.filter(F.col(col).isNotNull()).select(slice_key(by).alias(SLICE), col).distinct()
     place = F.row_number().over(Window.partitionBy(SLICE).orderBy(col))
     # one row per slice and level: written, so that its size decides the join
-    levels = stage(levels.withColumn(out, place))
+    levels = settle(levels.withColumn(out, place))
     return df.withColumn(SLICE, slice_key(by)).join(levels, [SLICE, col], "left").drop(SLICE)
 
 

@@ -11,7 +11,7 @@ from ..functions.tails import rank_sum_exact
 from ..sources.staging import stage
 from ..sources.tables import union_all
 from .multiple import adjust_p, pair_up
-from .ordering import BELOW, CHUNK, COUNT, GROUP, TIES, VALUE, chunk_ranks, chunked, sorted_counts, value_counts
+from .ordering import BELOW, CHUNK, COUNT, GROUP, TIES, VALUE, chunk_ranks, chunked, value_counts
 from .slices import SLICE, from_slice, names
 
 
@@ -157,7 +157,7 @@ def pairwise_ranksum(
     handled: targets are counted `block` at a time.
     """
     by = names(by)
-    table = sorted_counts(value_counts(df, by, value, group))
+    table = stage(chunked(value_counts(df, by, value, group)))
     n = F.col(COUNT).cast("double")
     levels = table.groupBy(SLICE, GROUP).agg(
         F.sum(COUNT).alias("_size"), F.sum(n * n * n - n).alias("_own")

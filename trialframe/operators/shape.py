@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import add_normal_quantile, normal_sf
 from ..functions.scalar import number, ratio
-from ..sources.staging import stage
+from ..sources.staging import settle
 from .linear import residuals
 from .ordering import (
     BELOW,
@@ -85,7 +85,7 @@ def describe(df: DataFrame, by, value: str, trim: float = 0.1) -> DataFrame:
         F.lit(0),
         F.least(F.col(BELOW) + F.col(COUNT), F.col(TOTAL) - cut) - F.greatest(F.col(BELOW), cut),
     ).cast("double")
-    centre = stage(
+    centre = settle(
         ranked(counts)
         .groupBy(SLICE)
         .agg(*quantile_aggs({"median": 0.5}), ratio(F.sum(kept * F.col(VALUE)), F.sum(kept)).alias("trimmed"))
@@ -145,7 +145,7 @@ def shapiro(df: DataFrame, by, value: str) -> DataFrame:
     """
     by = names(by)
     rows = df.select(slice_key(by).alias(SLICE), number(value).alias(VALUE))
-    sizes = stage(
+    sizes = settle(
         rows.groupBy(SLICE).agg(
             F.count(VALUE).alias("n"), F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi")
         )

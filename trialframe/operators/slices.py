@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import settle
 
 SLICE = "_slice"
 
@@ -38,12 +38,13 @@ def from_slice(by: list[str]) -> list[Column]:
 def add_stats(df: DataFrame, by: list[str], stats: DataFrame) -> DataFrame:
     """Put per-slice values next to each row.
 
-    `stats` has one row per slice (column `_slice`). It is written first, so the
-    join below is a broadcast only when the written size is under Spark's
-    threshold; otherwise it is a shuffle join in which adaptive execution splits
-    a hot slice. A window over the slice would sort a hot slice in one task.
+    `stats` has one row per slice (column `_slice`). Unless the input is small it
+    is written first, so the join below is a broadcast only when the written size
+    is under Spark's threshold; otherwise it is a shuffle join in which adaptive
+    execution splits a hot slice. A window over the slice would sort a hot slice
+    in one task.
     """
-    return with_slice(df, by).join(stage(stats), SLICE, "left").drop(SLICE)
+    return with_slice(df, by).join(settle(stats), SLICE, "left").drop(SLICE)
 
 
 def slice_by(df: DataFrame, **keys) -> DataFrame:

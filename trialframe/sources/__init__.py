@@ -1,5 +1,5 @@
 from .schemas import COLLECTION
-from .staging import shared_dir, stage
+from .staging import is_small, settle, shared_dir, stage
 from .tables import (
     nan_to_null,
     profile_schema,
@@ -12,9 +12,11 @@ from .tables import (
 
 __all__ = [
     "COLLECTION",
+    "is_small",
     "nan_to_null",
     "profile_schema",
     "read_table",
+    "settle",
     "shared_dir",
     "sort_table",
     "stage",
