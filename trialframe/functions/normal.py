@@ -129,4 +129,6 @@ def chi2_sf(x: str, df: str) -> Column:
         f"'sum', acc.sum + IF(i <= {terms}, exp(acc.term - {half}), 0.0D), "
         f"'term', acc.term + ln({half}) - ln(i + IF({odd}, 0.5D, 0.0D))), acc -> acc.sum)"
     )
-    return F.expr(f"CASE WHEN {df} >= 1 AND {x} <= 0 THEN 1.0D WHEN {df} >= 1 THEN least(1.0D, {total}) END")
+    return F.expr(
+        f"CASE WHEN {x} IS NULL OR {df} < 1 THEN NULL WHEN {x} <= 0 THEN 1.0D ELSE least(1.0D, {total}) END"
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import settle
-from .ordering import quantiles
+from .ordering import BELOW, COUNT, VALUE, quantiles, ranked, sorted_counts
 from .slices import SLICE, add_stats, names, slice_key
 
 
@@ -94,11 +94,17 @@ def as_factor(df: DataFrame, col: str, by=None, out: str = "level_ord") -> DataF
     """Text category with its 1-based place among the sorted levels of the slice; NULL has no place."""
     by = names(by)
     df = df.withColumn(col, F.col(col).cast("string"))
-    levels = df.filter(F.col(col).isNotNull()).select(slice_key(by).alias(SLICE), col).distinct()
-    place = F.row_number().over(Window.partitionBy(SLICE).orderBy(col))
-    # one row per slice and level: written, so that its size decides the join
-    levels = settle(levels.withColumn(out, place))
-    return df.withColumn(SLICE, slice_key(by)).join(levels, [SLICE, col], "left").drop(SLICE)
+    levels = (
+        df.filter(F.col(col).isNotNull())
+        .select(slice_key(by).alias(SLICE), F.col(col).alias(VALUE))
+        .distinct()
+        .withColumn(COUNT, F.lit(1).cast("long"))
+    )
+    # numbered like values of a column, so that many levels do not meet in one task
+    places = ranked(sorted_counts(levels)).select(
+        SLICE, F.col(VALUE).alias(col), (F.col(BELOW) + 1).cast("int").alias(out)
+    )
+    return df.withColumn(SLICE, slice_key(by)).join(settle(places), [SLICE, col], "left").drop(SLICE)
 
 
 def with_level_order(df: DataFrame, col: str, levels: Sequence[str], out: str = "level_ord") -> DataFrame:

@@ -283,7 +283,8 @@ def ols_line(df: DataFrame, by, x: str, y: str) -> DataFrame:
         F.min("_x").alias("x_min"),
         F.max("_x").alias("x_max"),
     )
-    left = F.greatest(F.col("_syy") - F.col("slope") * F.col("_sxy"), F.lit(0.0))
+    left = F.col("_syy") - F.col("slope") * F.col("_sxy")
+    left = F.when(left < 0, F.lit(0.0)).otherwise(left)
     spare = F.when(F.col("n") > 2, (F.col("n") - 2).cast("double"))
     return table.withColumn("resid_sd", F.sqrt(ratio(left, spare))).drop("_syy", "_sxy")
 

@@ -174,8 +174,8 @@ def pairwise_ranksum(
         sums = _pair_sums(rows, {0: "_is_ref"}).filter(F.col(GROUP) != F.lit(ref))
         pairs = sums.join(info, SLICE).select(
             SLICE,
-            F.filter("_levels", lambda x: x[GROUP] == F.lit(ref))[0].alias("_a"),
-            F.filter("_levels", lambda x: x[GROUP] == F.col(GROUP))[0].alias("_b"),
+            F.get(F.filter("_levels", lambda x: x[GROUP] == F.lit(ref)), F.lit(0)).alias("_a"),
+            F.get(F.filter("_levels", lambda x: x[GROUP] == F.col(GROUP)), F.lit(0)).alias("_b"),
             "_wins",
             "_cross",
         )

@@ -29,7 +29,7 @@ def identify_outliers(df: DataFrame, by, value: str) -> DataFrame:
     """Rows beyond 1.5 interquartile ranges from the quartiles; `is_extreme` beyond 3."""
     by = names(by)
     fences = slice_quantiles(sorted_counts(value_counts(df, by, value)), {"_q1": 0.25, "_q3": 0.75})
-    v, q1, q3 = F.col(value), F.col("_q1"), F.col("_q3")
+    v, q1, q3 = number(value), F.col("_q1"), F.col("_q3")
     spread = q3 - q1
 
     def beyond(k: float) -> Column:
@@ -195,7 +195,8 @@ def shapiro(df: DataFrame, by, value: str) -> DataFrame:
         + F.when(n > 5, a2 * inner).otherwise(F.lit(0.0))
         + F.when(n > 3, middle / F.sqrt(phi)).otherwise(F.lit(0.0))
     )
-    sums = sums.withColumn("w", F.least(F.lit(1.0), ratio(top * top, F.col("_xx"))))
+    sums = sums.withColumn("w", ratio(top * top, F.col("_xx")))
+    sums = sums.withColumn("w", F.when(F.col("w") > 1, F.lit(1.0)).otherwise(F.col("w")))
     w, log_n = F.col("w"), F.ln(n)
     log_rest = F.ln(F.when(w < 1, 1 - w))
     sums = sums.withColumn("_log_rest", log_rest)

@@ -262,13 +262,16 @@ def shapiro_sql(source: str, keys: str, value: str, head: str = "") -> str:
     wt AS (SELECT *, CASE WHEN n = 3 THEN (i - 2) * sqrt(0.5) WHEN i = n THEN an WHEN i = 1 THEN -an
              WHEN n > 5 AND i = n - 1 THEN ap WHEN n > 5 AND i = 2 THEN -ap
              WHEN phi > 0 THEN m / sqrt(phi) END AS wgt FROM f),
-    ww AS (SELECT {k}max(n) AS n, pow(sum(wgt * x), 2) / sum((x - xbar) * (x - xbar)) AS w FROM wt
+    ww AS (SELECT {k}max(n) AS n, pow(sum(wgt * x), 2) / nullif(sum((x - xbar) * (x - xbar)), 0) AS w FROM wt
            {'GROUP BY ' + keys if keys else ''}),
-    sz AS (SELECT *, CASE WHEN n <= 11 THEN {small} ELSE {large} END AS z FROM ww WHERE n BETWEEN 4 AND 5000),
-    sizes AS (SELECT {k}count(x) AS n FROM base {by})
-    SELECT {k}sizes.n AS n, {r('w', 'w')}, {r(tail1('z'), 'p')},
-           CASE WHEN sizes.n < 3 THEN 'fewer than 3 values' WHEN sizes.n > 5000 THEN 'more than 5000 values' END AS reason
-    FROM sizes LEFT JOIN (SELECT {k}w, z FROM sz) q {f'USING ({keys})' if keys else 'ON true'}"""
+    sz AS (SELECT *, CASE WHEN n <= 11 THEN {small} ELSE {large} END AS z FROM ww WHERE n BETWEEN 4 AND 5000 AND w < 1),
+    sizes AS (SELECT {k}count(x) AS n, CASE WHEN count(x) < 3 THEN 'fewer than 3 values'
+                WHEN count(x) > 5000 THEN 'more than 5000 values' WHEN min(x) = max(x) THEN 'all values equal' END AS reason
+              FROM base {by}),
+    joined AS (SELECT {k}sizes.n AS n, reason, CASE WHEN reason IS NULL THEN w END AS w,
+                 CASE WHEN reason IS NULL THEN z END AS z
+               FROM sizes LEFT JOIN (SELECT {k}w, z FROM sz) q {f'USING ({keys})' if keys else 'ON true'})
+    SELECT {k}n, {r('w', 'w')}, {r(tail1('z'), 'p')}, reason FROM joined"""
 
 
 def qq_sql(source: str, keys: str, value: str, head: str = "", places: int = 6) -> str:

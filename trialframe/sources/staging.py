@@ -34,9 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write `df` as Parquet (to `path`, or to a new table in the shared folder) and read it back."""
+    """Write `df` as Parquet and read it back.
+
+    Without `path` the table goes to the shared folder, under one folder per
+    application, which may be dropped when the application has ended.
+    """
     spark = df.sparkSession
-    target = path or f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    target = path or f"{shared_dir(spark)}/trialframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("overwrite" if path else "error").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
