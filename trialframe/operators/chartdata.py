@@ -150,6 +150,7 @@ def grouped_bar_data(
 ) -> DataFrame:
     """Mean and error bar per (x, fill), x ordered by descending median, omnibus p, and stars of x against `ref`."""
     by = names(by)
+    df = settle(df.select(*dict.fromkeys([*by, x, *names(fill), value])))  # read by four plans
     bars = mean_se(df, by, x, fill, value)
     places = level_medians(df, x, value).select(x, F.col("level_ord").alias("ord"))
     overall = omnibus(df, by, x, value).select(slice_key(by).alias(SLICE), F.col("p").alias("p_omnibus"))

@@ -61,44 +61,52 @@ def shape_stats(df: DataFrame, by, value: str) -> DataFrame:
 def describe(df: DataFrame, by, value: str, trim: float = 0.1) -> DataFrame:
     """n, mean, sd, median, trimmed mean, MAD (x 1.4826), min, max, range, skew, kurtosis, se per slice.
 
-    Moments are one aggregation over the rows. Median and trimmed mean share one
-    ranked table; the MAD ranks the distances from the median, again as counts.
+    The rows are read once, into value counts. Median, trimmed mean and mean come
+    from the ranked counts; the higher moments are sums of powers of the distance
+    from the mean, and the MAD ranks the distances from the median.
     """
     by = names(by)
-    v = number(value)
-    moments = (
-        df.select(slice_key(by).alias(SLICE), v.alias(VALUE))
-        .groupBy(SLICE)
-        .agg(
-            F.count(VALUE).alias("n"),
-            F.avg(VALUE).alias("mean"),
-            F.stddev_samp(VALUE).alias("sd"),
-            F.min(VALUE).alias("min"),
-            F.max(VALUE).alias("max"),
-            F.skewness(VALUE).alias("_g1"),
-            F.kurtosis(VALUE).alias("_g2"),
-        )
-    )
     counts = sorted_counts(value_counts(df, by, value))
     cut = F.floor(F.col(TOTAL) * F.lit(trim))
     kept = F.greatest(
         F.lit(0),
         F.least(F.col(BELOW) + F.col(COUNT), F.col(TOTAL) - cut) - F.greatest(F.col(BELOW), cut),
     ).cast("double")
+    weight = F.col(COUNT).cast("double")
     centre = settle(
         ranked(counts)
         .groupBy(SLICE)
-        .agg(*quantile_aggs({"median": 0.5}), ratio(F.sum(kept * F.col(VALUE)), F.sum(kept)).alias("trimmed"))
+        .agg(
+            *quantile_aggs({"median": 0.5}),
+            ratio(F.sum(kept * F.col(VALUE)), F.sum(kept)).alias("trimmed"),
+            F.sum(COUNT).alias("n"),
+            (F.sum(weight * F.col(VALUE)) / F.sum(weight)).alias("mean"),
+            F.min(VALUE).alias("min"),
+            F.max(VALUE).alias("max"),
+        )
+    )
+    centred = counts.join(centre.select(SLICE, "median", "mean"), SLICE)
+    gap = F.col(VALUE) - F.col("mean")
+    powers = centred.groupBy(SLICE).agg(
+        *[F.sum(weight * F.pow(gap, F.lit(k))).alias(f"_s{k}") for k in (2, 3, 4)]
     )
     distances = (
-        counts.join(centre.select(SLICE, "median"), SLICE)
-        .select(SLICE, F.abs(F.col(VALUE) - F.col("median")).alias(VALUE), COUNT)
+        centred.select(SLICE, F.abs(F.col(VALUE) - F.col("median")).alias(VALUE), COUNT)
         .groupBy(SLICE, VALUE)
         .agg(F.sum(COUNT).alias(COUNT))
     )
     mad = slice_quantiles(sorted_counts(distances), {"_mad": 0.5})
-    table = moments.join(centre, SLICE, "left").join(mad, SLICE, "left")
-    skew, kurt = type2_shape(F.col("n"), F.col("_g1"), F.col("_g2"))
+    table = centre.join(powers, SLICE).join(mad, SLICE)
+    # rounding can leave dust where every value equals the mean
+    spread = F.when(F.col("max") > F.col("min"), F.col("_s2") / F.col("n"))
+    table = table.withColumn("_var", spread).withColumn(
+        "sd",
+        F.when(F.col("n") > 1, F.sqrt(F.coalesce(F.col("_var"), F.lit(0.0)) * F.col("n") / (F.col("n") - 1))),
+    )
+    variance, n = F.col("_var"), F.col("n")
+    skew, kurt = type2_shape(
+        n, F.col("_s3") / n / (variance * F.sqrt(variance)), F.col("_s4") / n / (variance * variance) - 3
+    )
     return table.select(
         *from_slice(by), "n", "mean", "sd", "median", "trimmed",
         (F.col("_mad") * F.lit(1.4826)).alias("mad"),

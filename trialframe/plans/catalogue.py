@@ -7,6 +7,7 @@ Doubles are rounded at the end only, so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from .. import operators as op
 from ..functions import star_code
-from ..sources import profile_schema, stage
+from ..sources import profile_schema, settle, shared_dir, sort_table, stage, write_csv
 from . import reports
 
 BY = ["pathogen", "experiment"]
@@ -261,6 +262,33 @@ def profile(spark, sf):
     return profile_schema(table(spark, sf, "customer")).select("position", "column", "rows", "non_null")
 
 
+@query
+def staged_reread(spark, sf):
+    """The cleaned table is written once and read back before it is sliced."""
+    lines = stage(table(spark, sf, "lineitem").select("l_linestatus", "l_returnflag", "l_quantity"))
+    return op.count_by(op.slice_by(lines, l_linestatus="F"), "l_returnflag")
+
+
+@query
+def csv_round_trip(spark, sf):
+    """A sorted summary written as one headed CSV file and read back."""
+    summary = rounded(op.treatment_summary(table(spark, sf, "customer"), [], "c_mktsegment", "c_acctbal"))
+    path = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    write_csv(summary, path, ["mean"])
+    return spark.read.schema(summary.schema).option("header", True).csv(path)
+
+
+@query
+def sorted_report(spark, sf):
+    orders = op.count_by(table(spark, sf, "orders"), ["o_orderpriority", "o_orderstatus"])
+    return sort_table(orders, ["n", "o_orderpriority"], desc=True)
+
+
+@query
+def order_index(spark, sf):
+    return op.order_index(table(spark, sf, "customer"), "c_mktsegment", "c_acctbal")
+
+
 # ---------------------------------------------------------------- rates, indices, summaries
 
 
@@ -372,7 +400,8 @@ def residuals(spark, sf):
 
 @query
 def resid_data(spark, sf):
-    return rounded(op.resid_data(assay(spark, sf), BY, TREATMENT, "value2"), 4)
+    rows = settle(assay(spark, sf).select(*BY, TREATMENT, "value2"))  # read twice: cells, then rows
+    return rounded(op.resid_data(rows, BY, TREATMENT, "value2"), 4)
 
 
 @query

@@ -250,6 +250,10 @@ def shapiro_sql(source: str, keys: str, value: str, head: str = "") -> str:
         "(ln(1 - w) - (-1.5861 - 0.31082 * ln(n) - 0.083751 * pow(ln(n), 2) + 0.0038915 * pow(ln(n), 3)))"
         " / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * pow(ln(n), 2))"
     )
+    p = (
+        f"CASE WHEN n = 3 THEN 6 / pi() * (asin(sqrt(least(w, 1))) - asin(sqrt(0.75))) WHEN w >= 1 THEN 1 "
+        f"ELSE {tail1('z')} END"
+    )
     return f"""WITH {head}base AS (SELECT {k}{value} AS x FROM {source} WHERE {value} IS NOT NULL),
     o AS (SELECT {k}x, row_number() OVER ({part} ORDER BY x) AS i, count(*) OVER ({part})::DOUBLE AS n,
             avg(x) OVER ({part}) AS xbar FROM base),
@@ -264,14 +268,15 @@ def shapiro_sql(source: str, keys: str, value: str, head: str = "") -> str:
              WHEN phi > 0 THEN m / sqrt(phi) END AS wgt FROM f),
     ww AS (SELECT {k}max(n) AS n, pow(sum(wgt * x), 2) / nullif(sum((x - xbar) * (x - xbar)), 0) AS w FROM wt
            {'GROUP BY ' + keys if keys else ''}),
-    sz AS (SELECT *, CASE WHEN n <= 11 THEN {small} ELSE {large} END AS z FROM ww WHERE n BETWEEN 4 AND 5000 AND w < 1),
+    sz AS (SELECT *, CASE WHEN n < 4 OR w >= 1 THEN NULL WHEN n <= 11 THEN {small} ELSE {large} END AS z
+           FROM ww WHERE n BETWEEN 3 AND 5000),
     sizes AS (SELECT {k}count(x) AS n, CASE WHEN count(x) < 3 THEN 'fewer than 3 values'
                 WHEN count(x) > 5000 THEN 'more than 5000 values' WHEN min(x) = max(x) THEN 'all values equal' END AS reason
               FROM base {by}),
     joined AS (SELECT {k}sizes.n AS n, reason, CASE WHEN reason IS NULL THEN w END AS w,
                  CASE WHEN reason IS NULL THEN z END AS z
                FROM sizes LEFT JOIN (SELECT {k}w, z FROM sz) q {f'USING ({keys})' if keys else 'ON true'})
-    SELECT {k}n, {r('w', 'w')}, {r(tail1('z'), 'p')}, reason FROM joined"""
+    SELECT {k}n, {r('w', 'w')}, {r(p, 'p')}, reason FROM joined"""
 
 
 def qq_sql(source: str, keys: str, value: str, head: str = "", places: int = 6) -> str:
@@ -426,6 +431,17 @@ def build() -> dict[str, str]:
         f"SELECT {i + 1}::INTEGER AS position, '{c}' AS \"column\", count(*) AS \"rows\", count({c}) AS non_null FROM customer"
         for i, c in enumerate(names)
     )
+    sql["staged_reread"] = (
+        "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_returnflag"
+    )
+    sql["csv_round_trip"] = summary("customer", "c_mktsegment", "c_acctbal")
+    sql["sorted_report"] = (
+        "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders "
+        "GROUP BY o_orderpriority, o_orderstatus ORDER BY n DESC, o_orderpriority DESC"
+    )
+    sql["order_index"] = """
+      SELECT c_mktsegment, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) AS i,
+        count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer"""
     sql["germination_rate"] = f"""
       SELECT source, lang, {r('avg(quality)', 'mean')}, {r('stddev_samp(quality)', 'sd')}, count(*) AS n,
         {r('stddev_samp(quality) / sqrt(count(*))', 'se')}, {r('100.0 * sum(quality) / count(*) + 0.5', 'rate')}
