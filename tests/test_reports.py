@@ -106,6 +106,11 @@ def test_severity(table):
     got = compute_all(reports.severity_report(table([*data, ("357", 4, "Botrytis", 1.0, 1.0)], SEVERITY)))
     assert len(got["severity"]) == 6 and all(0 < r.dis_sev < 100 for r in got["severity"])
     assert all(r.f is None for r in got["anova"])
+    assert {r.stars for r in got["bars"] if r.pathogen == "Botrytis" and r.label != "Bc only"} == {"ns"}
+    repeated = reports.severity_report(table(data, SEVERITY), per_row=True)
+    assert repeated["severity"].count() == len(data)
+    assert all(r.f is None for r in repeated["anova"].collect())
+    assert repeated["kruskal_treatment"].first().n == len(data)
 
 
 def test_tables_and_lines(table):

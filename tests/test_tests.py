@@ -140,6 +140,8 @@ def test_omnibus_with_two_groups_is_rank_sum(table):
     r = op.omnibus(table(long(two), SCHEMA), "s", "g", "v").first()
     assert r.method == "rank-sum"
     assert r.p == pytest.approx(brute.normal2(brute.rank_sum(two["a"], two["b"])[1]))
+    small = [("s", "a", 1.0), ("s", "a", 2.0), ("s", "a", 3.0), ("s", "b", 4.0), ("s", "b", 5.0), ("s", "b", 6.0)]
+    assert op.omnibus(table(small, SCHEMA), "s", "g", "v").first().p == pytest.approx(0.1)
 
 
 def test_oneway_splits_total(two_slices):

@@ -73,13 +73,15 @@ def hist_data(df: DataFrame, by, value: str, bins: int = 30, facet=None) -> Data
 
     The first bin is centred on the smallest value and the last on the largest,
     and bins are closed on the right. `facet` columns share the range of their
-    slice and get counts of their own. Rows are reduced to value counts first.
+    slice and get counts of their own. Two scans, each with map-side partials:
+    the range, then the counts.
     """
     by, facet = names(by), names(facet)
-    counts = settle(value_counts(df, [*by, *facet], value))
-    inner = F.struct(*[F.col(SLICE)[b].alias(b) for b in by]) if by else F.struct(F.lit(0).alias("all"))
+    rows = df.select(
+        slice_key(by).alias(SLICE), slice_key([*by, *facet]).alias("_cell"), number(value).alias(VALUE)
+    ).filter(F.col(VALUE).isNotNull())
     span = settle(
-        counts.groupBy(inner.alias("_outer"))
+        rows.groupBy(SLICE)
         .agg(F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi"))
         .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.lit(float(max(bins - 1, 1))))
     )
@@ -87,19 +89,18 @@ def hist_data(df: DataFrame, by, value: str, bins: int = 30, facet=None) -> Data
     spot = F.ceil(ratio(F.col(VALUE) - F.col("_lo"), F.col("_width")) + F.lit(0.5 - 1e-8))
     bin_ = F.coalesce(F.least(F.greatest(spot, F.lit(1)), F.lit(bins)), F.lit(1)).cast("int")
     filled = (
-        counts.withColumn("_outer", inner)
-        .join(span, "_outer")
-        .groupBy(SLICE, bin_.alias("bin"))
-        .agg(F.sum(COUNT).alias("count"), F.first("_lo").alias("_lo"), F.first("_width").alias("_width"))
+        rows.join(span, SLICE)
+        .groupBy("_cell", bin_.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_width").alias("_width"))
     )
-    packed = filled.groupBy(SLICE).agg(
+    packed = filled.groupBy("_cell").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_counts"),
         F.first("_lo").alias("_lo"),
         F.first("_width").alias("_width"),
     )
     table = packed.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     edge = F.col("_lo") + (F.col("bin") - 1.5) * F.col("_width")
-    columns = [F.col(SLICE)[c].alias(c) for c in [*by, *facet]]
+    columns = [F.col("_cell")[c].alias(c) for c in [*by, *facet]]
     return table.select(
         *columns,
         "bin",
@@ -148,13 +149,18 @@ def scatter_fit_data(df: DataFrame, by, x: str, y: str) -> dict[str, DataFrame]:
 def grouped_bar_data(
     df: DataFrame, by, x: str, fill: str | None, value: str, ref: str | None = None
 ) -> DataFrame:
-    """Mean and error bar per (x, fill), x ordered by descending median, omnibus p, and stars of x against `ref`."""
+    """Mean and error bar per (x, fill), with the place of x by descending median, omnibus p and stars against `ref`.
+
+    Places, tests and stars belong to the slice `by`, as each slice is a chart.
+    """
     by = names(by)
     df = settle(df.select(*dict.fromkeys([*by, x, *names(fill), value])))  # read by four plans
     bars = mean_se(df, by, x, fill, value)
-    places = level_medians(df, x, value).select(x, F.col("level_ord").alias("ord"))
+    places = level_medians(df, x, value, by=by).select(
+        slice_key(by).alias(SLICE), x, F.col("level_ord").alias("ord")
+    )
     overall = omnibus(df, by, x, value).select(slice_key(by).alias(SLICE), F.col("p").alias("p_omnibus"))
-    table = bars.join(places, x, "left").withColumn(SLICE, slice_key(by)).join(overall, SLICE, "left")
+    table = bars.withColumn(SLICE, slice_key(by)).join(places, [SLICE, x], "left").join(overall, SLICE, "left")
     if ref is not None:
         pairs = pairwise_ranksum(df, by, x, value, adjust="none", ref=ref)
         stars = pairs.select(

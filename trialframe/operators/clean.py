@@ -113,21 +113,24 @@ def with_level_order(df: DataFrame, col: str, levels: Sequence[str], out: str =
     return df.withColumn(out, F.when(place > 0, place).cast("int"))
 
 
-def level_medians(df: DataFrame, col: str, value: str, desc: bool = True) -> DataFrame:
-    """One row per level with its median and its place by median; ties keep alphabetical order."""
-    medians = quantiles(df.filter(F.col(col).isNotNull()), [col], value, {"median": 0.5})
+def level_medians(df: DataFrame, col: str, value: str, desc: bool = True, by=None) -> DataFrame:
+    """One row per slice and level with its median and its place by median; ties keep alphabetical order."""
+    by = names(by)
+    medians = quantiles(df.filter(F.col(col).isNotNull()), [*by, col], value, {"median": 0.5})
     key = F.col("median").desc_nulls_last() if desc else F.col("median").asc_nulls_last()
-    return medians.withColumn("level_ord", F.row_number().over(Window.orderBy(key, F.col(col))))
+    order = Window.partitionBy(slice_key(by)).orderBy(key, F.col(col))
+    return medians.withColumn("level_ord", F.row_number().over(order))
 
 
 def reorder_levels(
-    df: DataFrame, col: str, by_value: str, desc: bool = True, out: str = "level_ord"
+    df: DataFrame, col: str, by_value: str, desc: bool = True, out: str = "level_ord", by=None
 ) -> DataFrame:
-    """Number the categories by the median of a value and put the number next to each row."""
-    places = level_medians(df, col, by_value, desc).select(
-        slice_key([col]).alias(SLICE), F.col("level_ord").alias(out)
+    """Number the categories of a slice by the median of a value and put the number next to each row."""
+    keys = [*names(by), col]
+    places = level_medians(df, col, by_value, desc, by).select(
+        slice_key(keys).alias(SLICE), F.col("level_ord").alias(out)
     )
-    return add_stats(df, [col], places)
+    return add_stats(df, keys, places)
 
 
 def flag_threshold(df: DataFrame, col: str, cut: float, out: str = "flag") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import chi2_sf, normal_two_sided
 from ..functions.scalar import star_code
+from ..functions.tails import rank_sum_exact
 from ..sources.staging import settle
 from .ordering import GROUP
 from .ranktests import _group_ranks, _kruskal_aggs, _with_slice_totals, pairwise_ranksum, rank_sum_z
@@ -14,7 +15,10 @@ from .slices import SLICE, from_slice, names
 
 
 def omnibus(df: DataFrame, by, group: str, value: str) -> DataFrame:
-    """Kruskal-Wallis p per slice; with two groups the rank-sum p, whose ranks are the same."""
+    """Kruskal-Wallis p per slice; with two groups the rank-sum p, whose ranks are the same.
+
+    Two small groups without ties take the exact distribution.
+    """
     by = names(by)
     groups = _with_slice_totals(_group_ranks(df, by, group, value))
     table = groups.groupBy(SLICE).agg(
@@ -25,8 +29,16 @@ def omnibus(df: DataFrame, by, group: str, value: str) -> DataFrame:
     first, second = F.col("_levels")[0], F.get("_levels", F.lit(1))
     n1 = first["_size"].cast("double")
     w = first["_ranks"] - n1 * (n1 + 1) / 2
-    table = table.withColumn("_z", rank_sum_z(w, first["_size"], second["_size"], F.col("_tie_sum")))
-    p = F.when(F.col("groups") == 2, normal_two_sided("_z")).otherwise(chi2_sf("statistic", "df"))
+    n2 = second["_size"].cast("double")
+    exact = (F.col("groups") == 2) & (F.col("_tie_sum") == 0) & (n1 < 50) & (n2 < 50)
+    table = table.withColumns(
+        {
+            "_z": rank_sum_z(w, n1, n2, F.col("_tie_sum")),
+            "_exact": rank_sum_exact(F.when(exact, w), n1, n2),
+        }
+    )
+    two = F.coalesce(F.col("_exact"), normal_two_sided("_z"))
+    p = F.when(F.col("groups") == 2, two).otherwise(chi2_sf("statistic", "df"))
     method = F.when(F.col("groups") == 2, "rank-sum").otherwise("kruskal")
     return table.select(*from_slice(by), method.alias("method"), "groups", p.alias("p"))
 

@@ -589,14 +589,15 @@ def build() -> dict[str, str]:
       FROM s JOIN letters l ON s.pathogen = l.pathogen AND s.treatment = l.g"""
     only = ranksum_cte("assay", "pathogen", "treatment", "diam_shift", "a.g = '1-URGENT' AND b.g <> '1-URGENT'")
     sql["grouped_bars"] = f"""{a}, {kruskal_cte('assay', 'pathogen', 'treatment', 'diam_shift')}, {only},
-      md AS (SELECT treatment, median(diam_shift) AS md FROM assay GROUP BY 1),
-      od AS (SELECT treatment, (row_number() OVER (ORDER BY md DESC, treatment))::INTEGER AS ord FROM md),
+      md AS (SELECT pathogen, treatment, median(diam_shift) AS md FROM assay GROUP BY 1, 2),
+      od AS (SELECT pathogen, treatment,
+               (row_number() OVER (PARTITION BY pathogen ORDER BY md DESC, treatment))::INTEGER AS ord FROM md),
       s AS (SELECT pathogen, treatment, experiment, avg(diam_shift) AS m, stddev_samp(diam_shift) AS sd, count(*) AS n
             FROM assay GROUP BY ALL)
       SELECT s.pathogen, s.treatment, experiment, {r('m', 'mean')}, {r('sd', 'sd')}, s.n, {r('sd / sqrt(s.n)', 'se')},
         {r('m - sd / sqrt(s.n)', 'ymin')}, {r('m + sd / sqrt(s.n)', 'ymax')}, ord,
         {r(chi2('h', '(k - 1)'), 'p_omnibus')}, {r('raw.p', 'p')}, {stars('raw.p')} AS stars
-      FROM s JOIN od USING (treatment) JOIN kw ON kw.pathogen = s.pathogen
+      FROM s JOIN od ON od.pathogen = s.pathogen AND od.treatment = s.treatment JOIN kw ON kw.pathogen = s.pathogen
       LEFT JOIN raw ON raw.pathogen = s.pathogen AND raw.g2 = s.treatment"""
     sql["lines"] = f"""
       WITH m AS (SELECT o_orderpriority, (extract(year FROM o_orderdate) % 5)::INTEGER + 1 AS day, avg(o_totalprice) AS price

@@ -51,6 +51,7 @@ from ..operators import (
     select_positions,
     series_data,
     severity_index,
+    severity_window,
     shapiro,
     summary_stats,
     to_long,
@@ -59,6 +60,7 @@ from ..operators import (
 )
 from ..operators.slices import names
 from ..sources.staging import settle, stage
+from ..sources.tables import union_all
 
 # Isolate codes and strain labels of the yeast assays.
 STRAINS = {
@@ -81,10 +83,23 @@ FRUIT_LABELS = {
     "Bc": "Bc only",
     "SDI": "SDW",
     "switch": "Switch",
+    "Switch": "Switch",
 }
+# The untreated label each pathogen's charts compare with.
+FRUIT_REFERENCES = {"Botrytis": "Bc only", "Colletotrichum": "Cf only"}
 DISC_MM = 5.0
 
 
+def _bars_per_pathogen(table: DataFrame, fill: str | None, value: str, refs: dict[str, str]) -> DataFrame:
+    """Grouped bars of each pathogen against its own reference label."""
+    return union_all(
+        [
+            grouped_bar_data(table.filter(F.col("pathogen") == p), ["pathogen"], "label", fill, value, ref)
+            for p, ref in refs.items()
+        ]
+    )
+
+
 def clean_confrontation(raw: DataFrame) -> DataFrame:
     """Labels, colony diameter less the disc, percent inhibition against the maximum of each experiment."""
     table = recode(raw, "isolate_id", STRAINS, "treatmnt")
@@ -253,7 +268,9 @@ def prescreen_table(raw: DataFrame, pathogen: str | None = None) -> DataFrame:
     return treatment_summary(table, keys, "pathogen", "diam_mm").orderBy(F.asc_nulls_last("name"))
 
 
-def lesion_report(raw: DataFrame, labels: dict[str, str] = FRUIT_LABELS) -> dict[str, DataFrame]:
+def lesion_report(
+    raw: DataFrame, labels: dict[str, str] = FRUIT_LABELS, refs: dict[str, str] = FRUIT_REFERENCES
+) -> dict[str, DataFrame]:
     """Detached-fruit lesions: factorial analysis, checks, omnibus tests by factor, pairs and chart."""
     table = raw.select("treatment", "av_ld", "pathogen", "dpi").filter(
         F.col("treatment").isin(FRUIT_TREATMENTS)
@@ -271,7 +288,7 @@ def lesion_report(raw: DataFrame, labels: dict[str, str] = FRUIT_LABELS) -> dict
         "shapiro": shapiro(residuals(table, [], factors, "av_ld"), [], "residual"),
         "describe": describe(table, [], "av_ld"),
         "pairs": pairwise_ranksum(table, [], "treatment", "av_ld"),
-        "bars": grouped_bar_data(marked, ["pathogen"], "label", "dpi", "av_ld"),
+        "bars": _bars_per_pathogen(marked, "dpi", "av_ld", refs),
         "kruskal_treatment_within": kruskal(table, ["pathogen"], "treatment", "av_ld"),
         "kruskal_dpi_within": kruskal(table, ["pathogen"], "dpi", "av_ld"),
     }
@@ -279,7 +296,9 @@ def lesion_report(raw: DataFrame, labels: dict[str, str] = FRUIT_LABELS) -> dict
     return report
 
 
-def incidence_report(lesions: DataFrame, dpi: str = "7", cut: float = 1.0) -> dict[str, DataFrame]:
+def incidence_report(
+    lesions: DataFrame, dpi: str = "7", cut: float = 1.0, labels: dict[str, str] = FRUIT_LABELS
+) -> dict[str, DataFrame]:
     """Percent of fruit with a lesion, per treatment and pathogen, and the tests on that table."""
     late = lesions.filter(F.col("dpi").cast("string") == dpi)
     table = stage(incidence_pct(late, ["treatment", "pathogen"], "av_ld", cut))
@@ -293,14 +312,28 @@ def incidence_report(lesions: DataFrame, dpi: str = "7", cut: float = 1.0) -> di
         "kruskal_treatment": kruskal(table, [], "treatment", "incidence"),
         "kruskal_pathogen": kruskal(table, [], "pathogen", "incidence"),
         "pairs": pairwise_ranksum(table, [], "treatment", "incidence"),
-        "bars": grouped_bar_data(table, ["pathogen"], "treatment", None, "incidence"),
+        "bars": grouped_bar_data(
+            recode(table, "treatment", labels, "label"), ["pathogen"], "label", None, "incidence"
+        ),
     }
 
 
-def severity_report(raw: DataFrame, dpi: int = 7) -> dict[str, DataFrame]:
-    """Severity index per treatment and pathogen, and the tests on that table."""
+def severity_report(
+    raw: DataFrame,
+    dpi: int = 7,
+    per_row: bool = False,
+    labels: dict[str, str] = FRUIT_LABELS,
+    refs: dict[str, str] = FRUIT_REFERENCES,
+) -> dict[str, DataFrame]:
+    """Severity index per treatment and pathogen, and the tests on that table.
+
+    With `per_row` the index stands next to every rating row and the tests see
+    each index as often as it has rating rows.
+    """
     rows = raw.filter(F.col("dpi") == dpi)
-    table = stage(severity_index(rows, ["treatment", "dpi", "pathogen"], "rating_scale", "total_rating"))
+    keys, columns = ["treatment", "dpi", "pathogen"], ("rating_scale", "total_rating")
+    index = severity_window if per_row else severity_index
+    table = stage(index(rows, keys, *columns))
     factors = ["treatment", "pathogen"]
     return {
         "severity": table,
@@ -310,7 +343,7 @@ def severity_report(raw: DataFrame, dpi: int = 7) -> dict[str, DataFrame]:
         "kruskal_treatment": kruskal(table, [], "treatment", "dis_sev"),
         "kruskal_pathogen": kruskal(table, [], "pathogen", "dis_sev"),
         "pairs": pairwise_ranksum(table, [], "treatment", "dis_sev"),
-        "bars": grouped_bar_data(table, ["pathogen"], "treatment", None, "dis_sev"),
+        "bars": _bars_per_pathogen(recode(table, "treatment", labels, "label"), None, "dis_sev", refs),
     }
 
 
