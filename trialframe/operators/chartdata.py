@@ -13,7 +13,7 @@ from ..sources.staging import settle
 from .clean import level_medians, with_level_order
 from .compare import omnibus
 from .linear import fit_band, ols_line, pearson, residuals
-from .ordering import COUNT, VALUE, order_index, slice_quantiles, sorted_counts, value_counts
+from .ordering import COUNT, VALUE, join_stats, order_index, slice_quantiles, sorted_counts, value_counts
 from .ranktests import pairwise_ranksum
 from .response import series_change
 from .slices import SLICE, from_slice, names, slice_key
@@ -54,7 +54,7 @@ def box_data(df: DataFrame, by, value: str) -> DataFrame:
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col(VALUE) >= F.col("q1") - reach) & (F.col(VALUE) <= F.col("q3") + reach)
     whiskers = (
-        counts.join(quartiles, SLICE)
+        join_stats(counts, quartiles)
         .groupBy(SLICE)
         .agg(
             F.sum(COUNT).alias("n"),

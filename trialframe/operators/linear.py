@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import number, ratio
 from ..functions.tails import f_sf, f_tail, t_quantile, t_two_sided
-from ..sources.staging import settle
-from .ordering import COUNT, GROUP, VALUE, slice_quantiles, sorted_counts, value_counts
+from .ordering import COUNT, GROUP, VALUE, join_stats, slice_quantiles, sorted_counts, value_counts
 from .slices import SLICE, add_stats, from_slice, names, slice_key
 
 # Residual variation below this share of the total counts as none.
@@ -84,7 +83,7 @@ def levene(df: DataFrame, by, group: str, value: str, center: str = "median") ->
     n = F.col(COUNT).cast("double")
     distance = F.abs(F.col(VALUE) - F.col("_centre"))
     cells = (
-        counts.join(settle(centres), SLICE)
+        join_stats(counts, centres)
         .groupBy(SLICE)
         .agg(
             F.sum(COUNT).alias("_size"),

@@ -102,6 +102,19 @@ def ranked(table: DataFrame) -> DataFrame:
     )
 
 
+def join_stats(table: DataFrame, stats: DataFrame) -> DataFrame:
+    """Put per-slice values next to sorted counts.
+
+    Beyond small inputs the join key is (slice, chunk), whose rows are bounded by
+    the range partitioning, so a hot slice is joined in as many tasks as it has
+    chunks, whether or not the other side is small enough to be broadcast.
+    """
+    if CHUNK not in table.columns:
+        return table.join(stats, SLICE)
+    keyed = table.select(SLICE, CHUNK).distinct().join(stats, SLICE)
+    return table.join(stage(keyed), [SLICE, CHUNK])
+
+
 def at_position(position):
     """Aggregate: the value at a 0-based position of the sorted slice."""
     hit = (F.col(BELOW) <= position) & (position < F.col(BELOW) + F.col(COUNT))

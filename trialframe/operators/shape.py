@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import add_normal_quantile, normal_sf
 from ..functions.scalar import number, ratio
-from ..sources.staging import settle
+from ..sources.staging import is_small, settle, stage
 from .linear import residuals
 from .ordering import (
     BELOW,
     COUNT,
     TOTAL,
     VALUE,
+    join_stats,
     quantile_aggs,
     ranked,
     slice_quantiles,
@@ -85,7 +86,7 @@ def describe(df: DataFrame, by, value: str, trim: float = 0.1) -> DataFrame:
             F.max(VALUE).alias("max"),
         )
     )
-    centred = counts.join(centre.select(SLICE, "median", "mean"), SLICE)
+    centred = join_stats(counts, centre.select(SLICE, "median", "mean"))
     gap = F.col(VALUE) - F.col("mean")
     powers = centred.groupBy(SLICE).agg(
         *[F.sum(weight * F.pow(gap, F.lit(k))).alias(f"_s{k}") for k in (2, 3, 4)]
@@ -128,6 +129,7 @@ SMALL_LOG_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
 LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_LOG_SD = [-0.4803, -0.082676, 0.0030302]
 LOWEST_N, HIGHEST_N = 3, 5000
+SALTS = 32
 
 
 def _poly(coefficients: list[float], x: Column) -> Column:
@@ -143,6 +145,22 @@ def _with_score(df: DataFrame, i: Column, n: Column, out: str) -> DataFrame:
     return add_normal_quantile(df.withColumn("_place", position), "_place", out).drop("_place")
 
 
+def _rows_of(rows: DataFrame, usable: DataFrame) -> DataFrame:
+    """The rows of the usable slices.
+
+    A hot slice is not usable, yet a shuffle join on the slice would first bring
+    all of it together. Large inputs join on (slice, salt) instead, with the
+    usable slices written once per salt, so that their true size decides between
+    broadcast and shuffle. The salt depends on the value and the input partition,
+    so neither a hot slice nor a hot value meets in one task.
+    """
+    if is_small(rows):
+        return rows.join(usable, SLICE)
+    salt = F.pmod(F.xxhash64(VALUE, F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    copies = usable.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(stage(copies), [SLICE, "_salt"]).drop("_salt")
+
+
 def shapiro(df: DataFrame, by, value: str) -> DataFrame:
     """Shapiro-Wilk W and p per slice, for 3 to 5000 present values.
 
@@ -166,11 +184,8 @@ def shapiro(df: DataFrame, by, value: str) -> DataFrame:
     sizes = sizes.withColumn("reason", reason)
     usable = sizes.filter("reason IS NULL").select(SLICE, "n")
     order = Window.partitionBy(SLICE).orderBy(VALUE)
-    scored = (
-        rows.filter(F.col(VALUE).isNotNull())
-        .join(usable, SLICE)
-        .withColumn("_i", F.row_number().over(order))
-    )
+    present = rows.filter(F.col(VALUE).isNotNull())
+    scored = _rows_of(present, usable).withColumn("_i", F.row_number().over(order))
     scored = _with_score(scored, F.col("_i"), F.col("n"), "_m")
 
     def at(place: Column) -> Column:
