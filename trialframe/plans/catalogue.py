@@ -387,6 +387,11 @@ def anova_factorial(spark, sf):
     return rounded(op.anova_factorial(assay(spark, sf), [], [TREATMENT, *BY], "diam_shift"), 4)
 
 
+@query
+def anova_two_factors(spark, sf):
+    return rounded(op.anova_factorial(assay(spark, sf), [], [TREATMENT, "pathogen"], "diam_shift"), 4)
+
+
 @query
 def anova_factorial_ends(spark, sf):
     return rounded(op.anova_first_and_residual(assay(spark, sf), [], [TREATMENT, *BY], "diam_shift"), 4)

@@ -491,6 +491,22 @@ def build() -> dict[str, str]:
       SELECT sum(n)::BIGINT AS n, count(*) AS cells, {r('sum(n * (tm - grand) * (tm - grand))', 'ss_first', 4)},
         {r('sum(n * (m - grand) * (m - grand))', 'ss_cells', 4)}, {r('sum(n * v)', 'ss_resid', 4)},
         (sum(n) - count(*))::BIGINT AS df_resid FROM c JOIN t USING (treatment), g"""
+    # the second factor has two levels, so its sequential sum of squares is one projection
+    sql["anova_two_factors"] = f"""{a},
+      y AS (SELECT treatment, pathogen, diam_shift AS y, avg(diam_shift) OVER () AS g,
+              avg(diam_shift) OVER (PARTITION BY treatment) AS tm,
+              avg(diam_shift) OVER (PARTITION BY treatment, pathogen) AS cm,
+              (pathogen = 'F')::INTEGER - avg((pathogen = 'F')::INTEGER) OVER (PARTITION BY treatment) AS b FROM assay),
+      s AS (SELECT count(*) AS n, count(DISTINCT treatment) AS k, sum((tm - g) * (tm - g)) AS sa,
+              pow(sum(b * (y - g)), 2) / sum(b * b) AS sb, sum((cm - g) * (cm - g)) AS sc,
+              sum((y - cm) * (y - cm)) AS sr FROM y),
+      t AS (SELECT 'treatment' AS term, 1 AS term_ord, k - 1 AS df, sa AS ss, n, k, sr FROM s UNION ALL
+            SELECT 'pathogen', 2, 1, sb, n, k, sr FROM s UNION ALL
+            SELECT 'treatment:pathogen', 3, k - 1, sc - sa - sb, n, k, sr FROM s UNION ALL
+            SELECT 'Residuals', 4, n - 2 * k, sr, n, k, NULL FROM s),
+      f AS (SELECT *, (ss / df) / (sr / (n - 2 * k)) AS f FROM t)
+      SELECT term, term_ord::INTEGER AS term_ord, df::BIGINT AS df, {r('ss', 'ss', 4)}, {r('ss / df', 'ms', 4)},
+        {r('f', 'f', 4)}, {r(f_tail('f', 'df', '(n - 2 * k)'), 'p', 4)} FROM f"""
     resid = RESID.format(keys="c_mktsegment")
     sql["residuals"] = f"""WITH {resid} SELECT c_custkey, c_mktsegment, {r('c_acctbal', 'c_acctbal')},
       {r('fitted', 'fitted')}, {r('residual', 'residual')}, {r('std_residual', 'std_residual')} FROM rr"""
