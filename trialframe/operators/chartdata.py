@@ -16,7 +16,7 @@ from .linear import fit_band, ols_line, pearson, residuals
 from .ordering import COUNT, VALUE, join_stats, order_index, slice_quantiles, sorted_counts, value_counts
 from .ranktests import pairwise_ranksum
 from .response import series_change
-from .slices import SLICE, from_slice, names, slice_key
+from .slices import SLICE, from_slice, joinable, names, slice_key
 from .summarise import mean_se
 
 
@@ -80,7 +80,7 @@ def hist_data(df: DataFrame, by, value: str, bins: int = 30, facet=None) -> Data
     rows = df.select(
         slice_key(by).alias(SLICE), slice_key([*by, *facet]).alias("_cell"), number(value).alias(VALUE)
     ).filter(F.col(VALUE).isNotNull())
-    span = settle(
+    span = (
         rows.groupBy(SLICE)
         .agg(F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi"))
         .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.lit(float(max(bins - 1, 1))))
@@ -89,7 +89,7 @@ def hist_data(df: DataFrame, by, value: str, bins: int = 30, facet=None) -> Data
     spot = F.ceil(ratio(F.col(VALUE) - F.col("_lo"), F.col("_width")) + F.lit(0.5 - 1e-8))
     bin_ = F.coalesce(F.least(F.greatest(spot, F.lit(1)), F.lit(bins)), F.lit(1)).cast("int")
     filled = (
-        rows.join(span, SLICE)
+        rows.join(joinable(span, by), SLICE)
         .groupBy("_cell", bin_.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_width").alias("_width"))
     )

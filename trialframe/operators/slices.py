@@ -35,6 +35,16 @@ def from_slice(by: list[str]) -> list[Column]:
     return [F.col(SLICE)[b].alias(b) for b in by]
 
 
+def joinable(stats: DataFrame, by: list[str]) -> DataFrame:
+    """Per-slice values ready to join to rows.
+
+    Without slice keys there is exactly one row, which may always be broadcast;
+    otherwise the table is written (unless the input is small) and Spark decides
+    by its size.
+    """
+    return settle(stats) if by else F.broadcast(stats)
+
+
 def add_stats(df: DataFrame, by: list[str], stats: DataFrame) -> DataFrame:
     """Put per-slice values next to each row.
 
@@ -44,7 +54,7 @@ def add_stats(df: DataFrame, by: list[str], stats: DataFrame) -> DataFrame:
     execution splits a hot slice. A window over the slice would sort a hot slice
     in one task.
     """
-    return with_slice(df, by).join(settle(stats), SLICE, "left").drop(SLICE)
+    return with_slice(df, by).join(joinable(stats, by), SLICE, "left").drop(SLICE)
 
 
 def slice_by(df: DataFrame, **keys) -> DataFrame:
