@@ -30,7 +30,7 @@ UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 5
 WIDTH = BANDS * ROWS
 SHINGLE = 5
-BLOCK = 256
+BLOCK = 1024
 ROUNDS = (4, 32, BLOCK)
 #: Signatures below this likeness are not verified: five standard errors under a Jaccard of 0.85.
 MARGIN = 0.14

@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .near_duplicates import near_duplicates
+from .piece_encoding import encode
+from .quality_votes import quality
+from .source_mixing import mix
+from .toxicity import toxicity
+
+#: The model file of the pieces; another path may be given by this setting of the session.
+PIECES = "spark.trialframe.pieceModel"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,5 +29,37 @@ def op5_circulant_minhash(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), percent=85)
 
 
+def piece_model(spark: SparkSession) -> str:
+    """Path of the model file, on the driver: the session's setting, or that of the public tokenizers."""
+    path = spark.conf.get(PIECES, None)
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return path
+
+
+@query
+def op4_piece_encoding(spark, sf):
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
+    return encode(table(spark, sf, "documents"), piece_model(spark), outputs=outputs)
+
+
+@query
+def op7_quality_votes(spark, sf):
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
+    return quality(table(spark, sf, "documents")).select("doc_id", *columns)
+
+
+@query
+def op8_toxicity(spark, sf):
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op9_source_mixing(spark, sf):
+    return mix(table(spark, sf, "documents"))
+
+
 #: Equivalent SQL where it can express an operator.
 ORACLE: dict[str, str] = {}
