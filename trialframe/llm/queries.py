@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprints
 from .near_duplicates import near_duplicates
 from .piece_encoding import encode
 from .quality_votes import quality
+from .quotations import as_replies, link_quotations
 from .source_mixing import mix
 from .toxicity import toxicity
+from .url_filter import repeated_urls, url_filter
+from .warc import round_trip
 
 #: The model file of the pieces; another path may be given by this setting of the session.
 PIECES = "spark.trialframe.pieceModel"
@@ -39,12 +43,27 @@ def piece_model(spark: SparkSession) -> str:
     return path
 
 
+@query
+def op1_paragraph_sketches(spark, sf):
+    return fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op3_quotation_linking(spark, sf):
+    return link_quotations(as_replies(table(spark, sf, "conversations")))
+
+
 @query
 def op4_piece_encoding(spark, sf):
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")
     return encode(table(spark, sf, "documents"), piece_model(spark), outputs=outputs)
 
 
+@query
+def op6_warc_round_trip(spark, sf):
+    return round_trip(table(spark, sf, "pages")).drop("payload", "url")
+
+
 @query
 def op7_quality_votes(spark, sf):
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")
@@ -61,5 +80,11 @@ def op9_source_mixing(spark, sf):
     return mix(table(spark, sf, "documents"))
 
 
+@query
+def op10_url_filter(spark, sf):
+    pages = table(spark, sf, "pages")
+    return url_filter(pages, repeated_urls(pages))
+
+
 #: Equivalent SQL where it can express an operator.
 ORACLE: dict[str, str] = {}
