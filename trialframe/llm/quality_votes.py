@@ -154,16 +154,15 @@ def estimate(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -
     return good, bad, share
 
 
-def quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Counts, votes' posterior `quality`, `base_failed` and `kept` for every row.
+def quality(docs: DataFrame, least: float = 0.5, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys, counts, votes' posterior `quality`, `base_failed` and `kept` for every row.
 
     `base_failed`: under 50 words, or more than half of them in repeated 3-word windows. `kept`: not
     base_failed and a posterior of at least `least`. Rows are judged alike whatever their id; a null
     text has no words and fails; repeated rows repeat; an empty table stays empty.
     """
     named = rules()
-    counts = text_counts(docs).select("*", *[v.alias(k) for k, v in named.items()])
-    counts = staged(counts)
+    counts = staged(text_counts(docs, keys).select("*", *[v.alias(k) for k, v in named.items()]))
     good, bad, share = estimate(counts, list(named))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = counts.withColumn("quality", _posterior(list(named), good, bad, share)).withColumn("base_failed", failed)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import fingerprints
+from .katz import katz_scores
 from .near_duplicates import near_duplicates
 from .piece_encoding import encode
 from .quality_votes import quality
@@ -48,6 +49,11 @@ def op1_paragraph_sketches(spark, sf):
     return fingerprints(table(spark, sf, "documents"))
 
 
+@query
+def op2_katz_scores(spark, sf):
+    return katz_scores(table(spark, sf, "documents"))
+
+
 @query
 def op3_quotation_linking(spark, sf):
     return link_quotations(as_replies(table(spark, sf, "conversations")))
@@ -77,7 +83,7 @@ def op8_toxicity(spark, sf):
 
 @query
 def op9_source_mixing(spark, sf):
-    return mix(table(spark, sf, "documents"))
+    return mix(table(spark, sf, "documents")).drop("key")
 
 
 @query

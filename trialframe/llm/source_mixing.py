@@ -132,16 +132,22 @@ def _offer(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
+def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows with `_size` and `_key`: a hash of id, source and size, and a number among rows equal in these."""
+    sized = docs.withColumn("_size", word_count(F.col(text)))
+    twins = Window.partitionBy(id_column, source, "_size").orderBy(F.lit(0))
+    return sized.withColumn("_key", F.xxhash64(id_column, source, "_size", F.row_number().over(twins)))
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies, taken) for every row.
+    """(key, doc_id, size, source_size, target, rate, copies, taken) for every row; `key` as `keyed` gives it.
 
     Size: words of the text, 0 for null. Copies are whole and at most 2. Reruns agree: ranks come from a
     hash of the id, ties of repeated rows from a number among the rows with that id. Rows without an id share one hash
     sequence. Documents of size 0 get a copy of 1 and take nothing. Other columns are not read.
     """
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    twins = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    rows = staged(rows.withColumn("key", F.xxhash64("doc_id", "source", "size", F.row_number().over(twins))))
+    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    rows = staged(keyed(sized).select("doc_id", "source", F.col("_size").alias("size"), F.col("_key").alias("key")))
     targets = staged(source_targets(rows))
     solved = multipliers(rows, targets)
     rated = _with(_with(rows, targets.select("source", "target", "source_size")), solved, "left").withColumn(
@@ -172,5 +178,5 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     copies = F.col("base") + F.col("extra")
     sized = _with(state, targets.select("source", "source_size"))
     return sized.join(rates, "key").select(
-        "doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+        "key", "doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+    )
