@@ -65,34 +65,32 @@ def places(values: np.ndarray, part: int, k: int) -> np.ndarray:
     return ((values >> np.uint64(21 * k)) & np.uint64(part - 1)).astype(np.int64) + k * part
 
 
-def _check(value: int) -> int:
-    value = ((value ^ (value >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-    value = ((value ^ (value >> 27)) * 0x94D049BB133111EB) & _MASK
-    return value ^ (value >> 31)
+def peel(one: Sketch, other: Sketch) -> tuple[np.ndarray, np.ndarray] | None:
+    """Digests only `one` has, and only `other` has; None where the sketches are too small.
 
-
-def peel(one: Sketch, other: Sketch) -> tuple[list[int], list[int]] | None:
-    """Digests only `one` has, and only `other` has; None where the sketches are too small."""
+    Every round takes out all digests that are alone in a cell.
+    """
     part = one.part
-    count = (one.count - other.count).tolist()
-    keys, checks = (one.keys ^ other.keys).tolist(), (one.checks ^ other.checks).tolist()
-    ready = [k for k, n in enumerate(count) if n in (1, -1)]
+    count, keys, checks = one.count - other.count, one.keys ^ other.keys, one.checks ^ other.checks
     left, right = [], []
-    while ready:
-        cell = ready.pop()
-        n, key = count[cell], keys[cell]
-        if n not in (1, -1) or checks[cell] != _check(key):
-            continue
-        (left if n == 1 else right).append(key)
-        check = checks[cell]
+    while True:
+        alone = np.flatnonzero(np.abs(count) == 1)
+        alone = alone[checks[alone] == mix(keys[alone])]
+        if not len(alone):
+            break
+        found, first = np.unique(keys[alone], return_index=True)
+        sign = count[alone[first]]
+        left.append(found[sign > 0])
+        right.append(found[sign < 0])
+        check = checks[alone[first]]
         for k in range(PARTS):
-            at = (key >> (21 * k) & (part - 1)) + k * part
-            count[at] -= n
-            keys[at] ^= key
-            checks[at] ^= check
-            if count[at] in (1, -1):
-                ready.append(at)
-    return None if any(count) or any(keys) else (left, right)
+            at = places(found, part, k)
+            np.subtract.at(count, at, sign)
+            np.bitwise_xor.at(keys, at, found)
+            np.bitwise_xor.at(checks, at, check)
+    if count.any() or keys.any():
+        return None
+    return np.concatenate([*left, keys[:0]]), np.concatenate([*right, keys[:0]])
 
 
 def difference(one: np.ndarray, other: np.ndarray, first: tuple[Sketch, Sketch]) -> tuple[int, int]:
@@ -105,9 +103,10 @@ def difference(one: np.ndarray, other: np.ndarray, first: tuple[Sketch, Sketch])
     while found is None:
         if part >= 1 << 21:
             return len(np.setxor1d(one, other, assume_unique=True)), 0
-        # the squares of the cell counts add up to about three times the difference
-        shown = int(((first[0].count - first[1].count) ** 2).sum()) // PARTS if part == PART else 0
-        part = max(2 * part, 1 << max(0, (shown // 2 - 1)).bit_length())
+        # in each part the squares of the cell counts add up to the difference and what the sizes explain
+        squares = int(((first[0].count - first[1].count) ** 2).sum()) // PARTS
+        shown = max(0, squares - (len(one) - len(other)) ** 2 // PART, abs(len(one) - len(other)))
+        part = max(2 * part, 1 << (6 * shown // 10).bit_length())
         found = peel(Sketch(one, part), Sketch(other, part))
     return len(found[0]) + len(found[1]), PARTS * part
 
