@@ -127,28 +127,28 @@ def estimate(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -
 
     An empty table leaves the starting values. A rule that always abstains keeps its starting accuracy.
     """
-    patterns = staged(votes.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
+    patterns = staged(votes.groupBy(*names).agg(F.count("*").alias("_n")).coalesce(1))
     low, high = BOUNDS
     good, bad, share = dict.fromkeys(names, START[0]), dict.fromkeys(names, START[1]), START[2]
     for _ in range(iterations):
         p = _posterior(names, good, bad, share)
-        rows = patterns.select("*", (F.col("n") * p).alias("g"), (F.col("n") * (1 - p)).alias("b"))
+        rows = patterns.select("*", (F.col("_n") * p).alias("_good"), (F.col("_n") * (1 - p)).alias("_bad"))
         sums = rows.agg(
-            F.sum("n").alias("n"),
-            F.sum("g").alias("g"),
-            *[F.sum(F.when(F.col(x) == 1, F.col("g"))).alias(f"{x}_good") for x in names],
-            *[F.sum(F.when(F.col(x) != 0, F.col("g"))).alias(f"{x}_good_all") for x in names],
-            *[F.sum(F.when(F.col(x) == -1, F.col("b"))).alias(f"{x}_bad") for x in names],
-            *[F.sum(F.when(F.col(x) != 0, F.col("b"))).alias(f"{x}_bad_all") for x in names],
+            F.sum("_n").alias("_n"),
+            F.sum("_good").alias("_good"),
+            *[F.sum(F.when(F.col(x) == 1, F.col("_good"))).alias(f"{x}_good") for x in names],
+            *[F.sum(F.when(F.col(x) != 0, F.col("_good"))).alias(f"{x}_good_all") for x in names],
+            *[F.sum(F.when(F.col(x) == -1, F.col("_bad"))).alias(f"{x}_bad") for x in names],
+            *[F.sum(F.when(F.col(x) != 0, F.col("_bad"))).alias(f"{x}_bad_all") for x in names],
         ).first()
-        if not sums.n:
+        if not sums["_n"]:
             break
         before = [*good.values(), *bad.values(), share]
         for x in names:
             # one document of the starting accuracy is added, so no estimate rests on nothing
             good[x] = min(high, max(low, ((sums[f"{x}_good"] or 0) + START[0]) / ((sums[f"{x}_good_all"] or 0) + 1)))
             bad[x] = min(high, max(1 - good[x] + 1e-3, ((sums[f"{x}_bad"] or 0) + START[1]) / ((sums[f"{x}_bad_all"] or 0) + 1)))
-        share = min(0.99, max(0.01, sums.g / sums.n))
+        share = min(0.99, max(0.01, sums["_good"] / sums["_n"]))
         if max(abs(x - y) for x, y in zip(before, [*good.values(), *bad.values(), share], strict=True)) < 1e-5:
             break
     return good, bad, share
