@@ -91,7 +91,7 @@ def exact_rank_sum(w: float, n1: int, n2: int) -> float:
     share = _rank_sum_counts(int(n1), int(n2))
     at = int(round(w))
     if at > n1 * n2 / 2:
-        tail = 1.0 - (share[at - 1] if at else 0.0)
+        tail = share[n1 * n2 - at]  # by symmetry; one minus the lower share would cancel
     else:
         tail = share[at]
     return min(1.0, 2.0 * tail)

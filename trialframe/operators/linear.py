@@ -255,15 +255,16 @@ def _complete_pairs(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, by, x: str, y: str) -> DataFrame:
-    """Correlation of complete pairs with t, df = n - 2 and two-sided p."""
+    """Correlation of complete pairs with t, df = n - 2 and two-sided p, which is 0 for r = +-1 (t is NULL there)."""
     by = names(by)
     table = _complete_pairs(df, by, x, y).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("r")
     )
     r, df_ = F.col("r"), F.col("n") - 2
     t = F.when(df_ > 0, r * F.sqrt(ratio(df_.cast("double"), F.when(r * r < 1, 1 - r * r))))
+    exact = (r * r >= 1) & (df_ > 0)
     return table.withColumn("t", t).withColumn("df", df_).withColumn(
-        "p", t_two_sided(F.col("t"), F.col("df").cast("double"))
+        "p", F.when(exact, F.lit(0.0)).otherwise(t_two_sided(F.col("t"), F.col("df").cast("double")))
     )
 
 

@@ -88,7 +88,7 @@ def merge_moments(fine: DataFrame, keys: list[str], null_policy: str = "propagat
     )
     gap = F.col("_m") - F.col("_grand")
     squares = F.sum(F.col("_w") * (F.col("_v") + gap * gap))
-    filled = F.sum("_filled")
+    filled = F.sum(F.coalesce("_w", F.lit(0)))
     whole = F.lit(True) if null_policy == "skip" else (F.sum("_n") == F.sum(F.coalesce("_w", F.lit(0))))
     n = F.sum("_n") if null_policy == "propagate" else filled
     table = parts.groupBy(*keys).agg(
@@ -100,12 +100,13 @@ def merge_moments(fine: DataFrame, keys: list[str], null_policy: str = "propagat
 
 
 def severity_window(df: DataFrame, by, scale: str, count: str) -> DataFrame:
-    """The severity index of the slice next to each rating row."""
+    """The severity index of the slice next to each rating row; NULL where a scale or count is missing."""
     by = names(by)
+    whole = (F.count(scale) == F.count(F.lit(1))) & (F.count(count) == F.count(F.lit(1)))
     stats = df.groupBy(slice_key(by).alias(SLICE)).agg(
         F.max(scale).alias("max_rating"),
-        F.sum(F.col(scale) * F.col(count)).alias("_weighted"),
-        F.sum(count).alias("_total"),
+        F.when(whole, F.sum(F.col(scale) * F.col(count))).alias("_weighted"),
+        F.when(whole, F.sum(count)).alias("_total"),
     )
     table = add_stats(df.withColumn("num_ratings", F.col(scale) * F.col(count)), by, stats)
     index = F.lit(100.0) * ratio(F.col("_weighted"), F.col("_total") * F.col("max_rating"))

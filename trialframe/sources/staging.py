@@ -7,13 +7,10 @@ true file size, so Spark itself decides whether a join against it is a broadcast
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
 # Inputs up to this many bytes are not staged and not range-partitioned; a session
 # may set another limit.
 SMALL_INPUT = "spark.trialframe.smallInputBytes"
@@ -21,16 +18,9 @@ SMALL_INPUT_DEFAULT = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for staged tables: `spark.checkpoint.dir`; a temp folder only in local mode."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not (spark.conf.get("spark.master", "") or "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="trialframe-")
-    return _LOCAL_DIRS[app]
+    """Folder for staged tables: `spark.checkpoint.dir`; where it is unset, the session's warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return path.rstrip("/")
 
 
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
