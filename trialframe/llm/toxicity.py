@@ -135,6 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[byt
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
     found = rows.repartition(1).mapInArrow(_fitted, "weights binary, intercept double").first()
+    if found is None:  # no labelled text at all: no task had a row
+        return np.zeros(FEATURES, "<f4").tobytes(), 0.0
     return bytes(found.weights), found.intercept
 
 
