@@ -3,8 +3,8 @@
 Normalisation is done here: at each position the longest prefix found in the model's compiled
 character map (a double array over bytes, followed by the replacement strings) is replaced, and each
 normalised byte remembers the source byte it came from. The normalised text is cut before runs of the
-space mark; no piece of the model reaches over such a cut, so each part is encoded once per task and
-looked up afterwards. Pieces are projected through the alignment to spans of source bytes.
+space mark; no piece of the model reaches over such a cut, so each part is encoded once for a batch of
+texts and looked up afterwards. Pieces are projected through the alignment to spans of source bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,6 @@ from .common import text_batches
 
 MARK = "▁"
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN_PARTS = 200_000  # parts a task remembers; then it starts afresh
-PART_BYTES = 96  # longer parts are not remembered
 
 TYPES = {
     "n_tokens": "long",
@@ -86,7 +85,9 @@ class Encoder:
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.merges = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.begin, self.end = self.merges.bos_id(), self.merges.eos_id()
-        self.parts: dict[str, tuple[bytes, bytes, str]] = {}
+        plain = [p.type == p.NORMAL or p.type == p.USER_DEFINED for p in model.pieces]
+        self.odd = ~np.array(plain)
+        self.widths = np.array([len(p.piece.encode()) for p in model.pieces], np.int64)
 
     def normalise(self, text: bytes) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the source offset."""
@@ -131,64 +132,60 @@ class Encoder:
         marked = text.decode().replace(" ", MARK)
         return (MARK + marked, np.concatenate([np.zeros(3, np.int64), source])) if self.prefix else (marked, source)
 
-    def _encode_parts(self, parts: list[str]) -> list[tuple[bytes, bytes, str]]:
-        """For each part: its ids, the normalised bytes each piece covers, and what its ids decode to."""
-        out = []
-        for part, ids in zip(parts, self.merges.encode(parts, num_threads=1), strict=True):
-            pieces = self.merges.id_to_piece(ids)
-            widths, at = [], 0
-            chars = part.encode()
-            for token, piece in zip(ids, pieces, strict=True):
-                if self.merges.is_byte(token):
-                    # the last byte of a character carries it; those before it cover nothing
-                    lead = at
-                    stop = lead + 1
-                    while stop < len(chars) and chars[stop] & 0xC0 == 0x80:
-                        stop += 1
-                    k = self._byte_place = (self._byte_place + 1) if widths and self._byte_left else 1
-                    self._byte_left = stop - lead - k
-                    width = stop - lead if not self._byte_left else 0
-                elif self.merges.is_unknown(token):
-                    width = len(chars) - at - sum(len(p.encode()) for p in pieces[len(widths) + 1 :])
-                else:
-                    width = len(piece.encode())
-                widths.append(width)
-                at += width
-            out.append((np.array(ids, "<u4").tobytes(), np.array(widths, "<u4").tobytes(), self.merges.decode(ids)))
-        return out
-
-    _byte_place = _byte_left = 0
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+        """Ids of all parts in a row, normalised bytes under each id, where each part starts, odd parts decoded.
+
+        Odd are parts with byte or unknown pieces. A character that is spelt in bytes counts for its last byte.
+        """
+        found = self.merges.encode(parts, num_threads=1)
+        starts = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(parts)), out=starts[1:])
+        ids = np.fromiter(chain.from_iterable(found), "<u4", starts[-1])
+        widths, odd = self.widths[ids], {}
+        for k in np.unique(np.searchsorted(starts, np.flatnonzero(self.odd[ids]), side="right") - 1).tolist():
+            pieces = self.merges.encode(parts[k], return_type="proto").pieces
+            widths[starts[k] : starts[k + 1]] = [len(p.surface.encode()) for p in pieces]
+            odd[k] = self.merges.decode(found[k])
+        return ids, widths, starts, odd
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+        """For each text: ids with begin and end, first source byte of each, byte after the last, decoded text.
+
+        Every different part is encoded once for all texts.
+        """
+        normal = [self.normalise(t) for t in texts]
+        split = [PARTS.findall(n) if self.cuttable else [n] * bool(n) for n, _ in normal]
+        number: dict[str, int] = {}
+        places = np.fromiter((number.setdefault(p, len(number)) for p in chain.from_iterable(split)), np.int64)
+        part_ids, part_widths, starts, odd = self._encode_parts(list(number))
+        odd_ids = self.odd[part_ids].any()
+        first = 0
+        for (marked, source), parts in zip(normal, split, strict=True):
+            own = places[first : first + len(parts)]
+            first += len(parts)
+            counts = starts[own + 1] - starts[own]
+            after = np.cumsum(counts)
+            at = np.arange(after[-1] if len(own) else 0) + np.repeat(starts[own] - after + counts, counts)
+            ids, ends = part_ids[at], np.cumsum(part_widths[at])
+            begins, ends = source[ends - part_widths[at]], source[ends]
+            if odd_ids and self.odd[ids].any():
+                decoded = "".join(odd.get(k) or p.replace(MARK, " ") for k, p in zip(own.tolist(), parts, strict=True))
+            else:
+                decoded = marked.replace(MARK, " ")
+            if self.squeeze:
+                decoded = decoded.lstrip(" ")
+            elif self.prefix:
+                decoded = decoded.removeprefix(" ")
+            low, high = (begins[0], ends[-1]) if len(ids) else (0, 0)
+            yield (
+                np.concatenate([[self.begin], ids, [self.end]]).astype("<u4"),
+                np.concatenate([[low], begins, [high]]),
+                np.concatenate([[low], ends, [high]]),
+                decoded,
+            )
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """(ids with begin and end, first source byte of each, byte after the last, decoded text)."""
-        normal, source = self.normalise(text)
-        parts = PARTS.findall(normal) if self.cuttable else [normal] * bool(normal)
-        known = self.parts
-        missing = list(dict.fromkeys(p for p in parts if p not in known))
-        if len(known) + len(missing) > KNOWN_PARTS:
-            known.clear()
-            missing = list(dict.fromkeys(parts))
-        known.update(zip(missing, self._encode_parts(missing), strict=True))
-        found = [known[p] for p in parts]
-        for p in missing:
-            if len(p) > PART_BYTES:
-                del known[p]
-        ids = np.frombuffer(b"".join(f[0] for f in found), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join(f[1] for f in found), "<u4"), dtype=np.int64)
-        begins = np.concatenate([[0], ends[:-1]])
-        spans = source[begins] if len(ids) else begins[:0], source[ends] if len(ids) else ends
-        decoded = "".join(f[2] for f in found)
-        if self.squeeze:
-            decoded = decoded.lstrip(" ")
-        elif self.prefix:
-            decoded = decoded.removeprefix(" ")
-        first, last = (spans[0][0], spans[1][-1]) if len(ids) else (0, 0)
-        return (
-            np.concatenate([[self.begin], ids, [self.end]]).astype("<u4"),
-            np.concatenate([[first], spans[0], [last]]),
-            np.concatenate([[first], spans[1], [last]]),
-            decoded,
-        )
+        return next(self.encode_all([text]))
 
 
 @cache
@@ -196,8 +193,8 @@ def _encoder(blob: bytes) -> Encoder:
     return Encoder(blob)
 
 
-def _outputs(encoder: Encoder, text: bytes, wanted: tuple[str, ...]) -> list:
-    ids, begins, ends, decoded = encoder.encode(text)
+def _outputs(encoded: tuple[np.ndarray, np.ndarray, np.ndarray, str], wanted: tuple[str, ...]) -> list:
+    ids, begins, ends, decoded = encoded
     values = {"n_tokens": len(ids), "ids": ids.view("<i4"), "begins": begins, "ends": ends, "decoded": decoded}
     if "ids_sha256" in wanted:
         values["ids_sha256"] = hashlib.sha256(ids.tobytes()).hexdigest()
@@ -233,7 +230,7 @@ def encode(
         encoder = _encoder(blob)
         for batch in text_batches(batches, "_text"):
             texts = batch.column("_text").cast(pa.binary()).fill_null(b"").to_pylist()
-            rows = [_outputs(encoder, t, outputs) for t in texts]
+            rows = [_outputs(found, outputs) for found in encoder.encode_all(texts)]
             made = [pa.array([r[k] for r in rows], _ARROW[TYPES[o]]) for k, o in enumerate(outputs)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keys))] + made, [*keys, *outputs])
 
