@@ -3,7 +3,9 @@
 A line that starts with `>` marks is quoted, its level is the number of marks. Consecutive lines of one level are a
 passage. Passages are normalised (marks and white space), hashed, and joined on the hash to the paragraphs of
 earlier messages of the same conversation, so a message is placed under the latest earlier message it quotes
-at level 1. Only DataFrame functions are used; the text itself is never shuffled, only hashes.
+at level 1. Only DataFrame functions are used; passages are shuffled as hashes, never as text. The latest earlier
+origin is found in blocks of turns, so neither a long conversation nor a line that it repeats is paired with
+itself or ordered in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
+#: Turns that are ordered together; a conversation of any length has one row for each block beyond that.
+TURNS = 1024
 LINE = "^((?:[ \\t]*>)*)[ \\t]?(.*)$"
 ATTRIBUTION = "(?i)^(on .{1,200} )?.{0,200}\\bwrote:\\s*$"
 
@@ -46,6 +52,25 @@ def passages(messages: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "level", F.xxhash64("body").alias("hash")).distinct()
 
 
+def _latest_before(asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """(key, turn, origin) for each asked (key, turn): the latest offered turn of that key before it, or null."""
+    offers = offered.select("key", "turn", F.col("turn").alias("own"), F.lit(False).alias("asked"))
+    asks = asked.select("key", "turn", F.lit(None).alias("own"), F.lit(True).alias("asked"))
+    points = offers.union(asks).groupBy("key", "turn").agg(F.max("own").alias("own"), F.max("asked").alias("asked"))
+    points = points.withColumn("block", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-1 << 40)))
+    past = (Window.unboundedPreceding, -1)
+    inside = F.max("own").over(Window.partitionBy("key", "block").orderBy("turn").rowsBetween(*past))
+    tops = points.groupBy("key", "block").agg(F.max("own").alias("top"))
+    earlier = F.max("top").over(Window.partitionBy("key").orderBy("block").rowsBetween(*past))
+    before = tops.select("key", "block", earlier.alias("earlier"))
+    return (
+        points.withColumn("inside", inside)
+        .filter("asked")
+        .join(before, ["key", "block"])
+        .select("key", "turn", F.coalesce("inside", "earlier").alias("origin"))
+    )
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, reply_to, depth_quoted, n_quoted, n_linked, body) of each message, by conversation and turn.
 
@@ -57,22 +82,24 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     rows = messages.select(
         F.struct("conv_id", "turn").alias("m"), "conv_id", "turn", "role", quoted_lines(F.col("text")).alias("lines")
     )  # a struct is never null, so messages with a missing key join like others
-    found = passages(rows, ["m"])
+    conversation = [F.col("m.conv_id"), F.coalesce(F.col("m.conv_id").cast("string"), F.lit("none"))]
     # one hash of conversation and line: a long conversation has many keys
-    key = F.xxhash64("m.conv_id", F.coalesce(F.col("m.conv_id").cast("string"), F.lit("none")), "hash")
-    quotes = found.filter("level > 0").select("m", "level", key.alias("key"))
-    origins = found.filter("level = 0").select(key.alias("key"), F.col("m.turn").alias("origin")).distinct()
-    hits = quotes.join(origins, "key", "left").withColumn("origin", F.when(F.col("origin") < F.col("m.turn"), F.col("origin")))
-    latest = hits.groupBy("m", "level", "key").agg(F.max("origin").alias("origin"))
+    found = passages(rows, ["m"]).select("m", "level", F.xxhash64(*conversation, "hash").alias("key"), F.col("m.turn").alias("turn"))
+    found = staged(found)
+    quotes = found.filter("level > 0")
+    origins = _latest_before(quotes, found.filter("level = 0"))
+    same = (F.col("q.key") == F.col("o.key")) & F.col("q.turn").eqNullSafe(F.col("o.turn"))
+    latest = quotes.alias("q").join(origins.alias("o"), same, "left").select("m", "level", "origin")
     links = latest.groupBy("m").agg(
         F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("quoted_turn"),
         F.max("level").alias("depth_quoted"),
         F.count("*").alias("n_quoted"),
         F.count("origin").alias("n_linked"),
     )
-    before = Window.partitionBy("conv_id").orderBy("turn")
-    turns = rows.select("m", "conv_id", "turn").distinct().withColumn("turn_before", F.lag("turn").over(before))
-    told = turns.select("m", "turn_before").join(links, "m", "left")
+    turns = rows.select("m").distinct().select("m", F.xxhash64(*conversation).alias("key"), F.col("m.turn").alias("turn"))
+    before = _latest_before(turns, turns)
+    same = (F.col("t.key") == F.col("b.key")) & F.col("t.turn").eqNullSafe(F.col("b.turn"))
+    told = turns.alias("t").join(before.alias("b"), same).select("m", F.col("origin").alias("turn_before")).join(links, "m", "left")
     return rows.join(told, "m").select(
         "conv_id", "turn", "role",
         F.coalesce("quoted_turn", "turn_before").alias("reply_to"),
@@ -84,13 +111,16 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
 
 def as_replies(conversations: DataFrame) -> DataFrame:
-    """Conversations as mail: each turn quotes the one before, and that in turn the first line of its predecessor.
+    """Conversations as mail: a turn n quotes the turn n - 1, and that in turn the first line of turn n - 2.
 
-    The texts of the table hold no quotes, so the query derives them from the turns themselves.
+    The texts of the table hold no quotes, so the query derives them from the turns themselves. Of several messages
+    with one number the greatest text is quoted. Rows meet on conversation and number, so a long conversation is spread.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    text = F.coalesce("text", F.lit(""))
-    rows = conversations.select("conv_id", "turn", "role", text.alias("text"), F.lag(text).over(order).alias("b"), F.lag(text, 2).over(order).alias("a"))
+    texts = conversations.groupBy("conv_id", "turn").agg(F.max(F.coalesce("text", F.lit(""))).alias("said"))
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    for back, name in ((1, "b"), (2, "a")):
+        earlier = texts.select(F.col("conv_id").alias("_conv"), (F.col("turn") + back).alias("_turn"), F.col("said").alias(name))
+        rows = rows.join(earlier, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left").drop("_conv", "_turn")
     first = F.concat(F.lit("> > "), F.substring_index("a", "\n", 1), F.lit("\n"))
     quote = F.concat(F.lit("Someone wrote:\n"), F.coalesce(first, F.lit("")), F.lit("> "), F.regexp_replace("b", "\n", "\n> "), F.lit("\n\n"))
     return rows.select("conv_id", "turn", "role", F.concat(F.coalesce(quote, F.lit("")), "text").alias("text"))
