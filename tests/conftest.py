@@ -29,9 +29,8 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def staged_path(spark):
-    """Treat every input as large, and keep several range chunks and shuffle joins."""
+    """Keep several range chunks and shuffle joins."""
     settings = {
-        "spark.trialframe.smallInputBytes": "0",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.shuffle.partitions": "5",

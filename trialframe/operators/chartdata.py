@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import add_normal_quantile
 from ..functions.scalar import number, ratio, star_code
-from ..sources.staging import settle
+from ..sources.staging import stage
 from .clean import level_medians, with_level_order
 from .compare import omnibus
 from .linear import fit_band, ols_line, pearson, residuals
@@ -50,7 +50,7 @@ def box_data(df: DataFrame, by, value: str) -> DataFrame:
     """
     by = names(by)
     counts = sorted_counts(value_counts(df, by, value))
-    quartiles = settle(slice_quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+    quartiles = stage(slice_quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col(VALUE) >= F.col("q1") - reach) & (F.col(VALUE) <= F.col("q3") + reach)
     whiskers = (
@@ -154,7 +154,7 @@ def grouped_bar_data(
     Places, tests and stars belong to the slice `by`, as each slice is a chart.
     """
     by = names(by)
-    df = settle(df.select(*dict.fromkeys([*by, x, *names(fill), value])))  # read by four plans
+    df = df.select(*dict.fromkeys([*by, x, *names(fill), value]))  # read by four plans
     bars = mean_se(df, by, x, fill, value)
     places = level_medians(df, x, value, by=by).select(
         slice_key(by).alias(SLICE), x, F.col("level_ord").alias("ord")

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import settle
+from ..sources.staging import stage
 from .ordering import BELOW, COUNT, VALUE, quantiles, ranked, sorted_counts
 from .slices import SLICE, add_stats, names, slice_key
 
@@ -104,7 +104,7 @@ def as_factor(df: DataFrame, col: str, by=None, out: str = "level_ord") -> DataF
     places = ranked(sorted_counts(levels)).select(
         SLICE, F.col(VALUE).alias(col), (F.col(BELOW) + 1).cast("int").alias(out)
     )
-    return df.withColumn(SLICE, slice_key(by)).join(settle(places), [SLICE, col], "left").drop(SLICE)
+    return df.withColumn(SLICE, slice_key(by)).join(stage(places), [SLICE, col], "left").drop(SLICE)
 
 
 def with_level_order(df: DataFrame, col: str, levels: Sequence[str], out: str = "level_ord") -> DataFrame:

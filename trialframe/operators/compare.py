@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.normal import chi2_sf, normal_two_sided
 from ..functions.scalar import star_code
 from ..functions.tails import rank_sum_exact
-from ..sources.staging import settle
 from .ordering import GROUP
 from .ranktests import _group_ranks, _kruskal_aggs, _with_slice_totals, pairwise_ranksum, rank_sum_z
 from .slices import SLICE, from_slice, names
@@ -47,7 +46,7 @@ def compare_means(df: DataFrame, by, group: str, value: str, ref: str | None = N
     """One omnibus row per slice and, with `ref`, one row per other group; p is not adjusted."""
     by = names(by)
     if ref is not None:
-        df = settle(df.select(*dict.fromkeys([*by, group, value])))  # read by two plans
+        df = df.select(*dict.fromkeys([*by, group, value]))  # read by two plans
     none = F.lit(None).cast("string")
     table = omnibus(df, by, group, value).select(
         *by, "method", none.alias("g1"), none.alias("g2"), "p"

@@ -4,8 +4,8 @@ Rows are first reduced to value counts (map-side), so ties cost nothing further.
 The counts are range-partitioned on (slice, value): a slice with a third of all
 values spreads over many range chunks, and equal values always share a chunk.
 Inside a chunk a window gives local counts; a small table with one row per
-(slice, chunk) turns local counts into positions in the whole slice. An input of a
-few megabytes takes one chunk per slice instead and nothing is staged.
+(slice, chunk) turns local counts into positions in the whole slice. Inputs of every
+size take this way.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import number
-from ..sources.staging import is_small, stage
+from ..sources.staging import stage
 from .slices import SLICE, from_slice, names, slice_key
 
 VALUE, COUNT, GROUP, CHUNK = "_value", "_n", "_group", "_chunk"
@@ -42,16 +42,13 @@ def chunked(counts: DataFrame) -> DataFrame:
 
     The chunk number may be used in one pass over this plan only; stage the table
     before reading it twice, because range bounds are sampled per execution.
-    A small input is left as one chunk per slice.
     """
-    if is_small(counts):
-        return counts.withColumn(CHUNK, F.lit(0))
     return counts.repartitionByRange(SLICE, VALUE).withColumn(CHUNK, F.spark_partition_id())
 
 
 def sorted_counts(counts: DataFrame) -> DataFrame:
-    """Counts that may be read any number of times: chunked and written, or as they are when small."""
-    return counts if is_small(counts) else stage(chunked(counts))
+    """Counts that may be read any number of times: chunked and written."""
+    return stage(chunked(counts))
 
 
 def chunk_ranks(table: DataFrame) -> DataFrame:
@@ -82,18 +79,8 @@ def chunk_offsets(table: DataFrame) -> DataFrame:
 def ranked(table: DataFrame) -> DataFrame:
     """Sorted counts with the rows below each value in the whole slice (`_below`), ties and slice size.
 
-    The window and the join use the same key, so they share one shuffle. A table
-    without chunks is small: one window per slice.
+    The window and the join use the same key, so they share one shuffle.
     """
-    if CHUNK not in table.columns:
-        whole = Window.partitionBy(SLICE)
-        upto = F.sum(COUNT).over(whole.orderBy(VALUE))
-        return table.select(
-            "*",
-            F.col(COUNT).alias(TIES),
-            (upto - F.col(COUNT)).alias(BELOW),
-            F.sum(COUNT).over(whole).alias(TOTAL),
-        )
     return (
         chunk_ranks(table)
         .join(chunk_offsets(table), [SLICE, CHUNK])
@@ -105,12 +92,10 @@ def ranked(table: DataFrame) -> DataFrame:
 def join_stats(table: DataFrame, stats: DataFrame) -> DataFrame:
     """Put per-slice values next to sorted counts.
 
-    Beyond small inputs the join key is (slice, chunk), whose rows are bounded by
-    the range partitioning, so a hot slice is joined in as many tasks as it has
-    chunks, whether or not the other side is small enough to be broadcast.
+    The join key is (slice, chunk), whose rows are bounded by the range
+    partitioning, so a hot slice is joined in as many tasks as it has chunks,
+    whether or not the other side is small enough to be broadcast.
     """
-    if CHUNK not in table.columns:
-        return table.join(stats, SLICE)
     keyed = table.select(SLICE, CHUNK).distinct().join(stats, SLICE)
     return table.join(stage(keyed), [SLICE, CHUNK])
 

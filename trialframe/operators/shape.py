@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import add_normal_quantile, normal_sf
 from ..functions.scalar import number, ratio
-from ..sources.staging import is_small, settle, stage
+from ..sources.staging import stage
 from .linear import residuals
 from .ordering import (
     BELOW,
@@ -74,7 +74,7 @@ def describe(df: DataFrame, by, value: str, trim: float = 0.1) -> DataFrame:
         F.least(F.col(BELOW) + F.col(COUNT), F.col(TOTAL) - cut) - F.greatest(F.col(BELOW), cut),
     ).cast("double")
     weight = F.col(COUNT).cast("double")
-    centre = settle(
+    centre = stage(
         ranked(counts)
         .groupBy(SLICE)
         .agg(
@@ -149,13 +149,11 @@ def _rows_of(rows: DataFrame, usable: DataFrame) -> DataFrame:
     """The rows of the usable slices.
 
     A hot slice is not usable, yet a shuffle join on the slice would first bring
-    all of it together. Large inputs join on (slice, salt) instead, with the
+    all of it together. The join is on (slice, salt) instead, with the
     usable slices written once per salt, so that their true size decides between
     broadcast and shuffle. The salt depends on the value and the input partition,
     so neither a hot slice nor a hot value meets in one task.
     """
-    if is_small(rows):
-        return rows.join(usable, SLICE)
     salt = F.pmod(F.xxhash64(VALUE, F.spark_partition_id()), F.lit(SALTS)).cast("int")
     copies = usable.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", salt).join(stage(copies), [SLICE, "_salt"]).drop("_salt")
@@ -171,7 +169,7 @@ def shapiro(df: DataFrame, by, value: str) -> DataFrame:
     """
     by = names(by)
     rows = df.select(slice_key(by).alias(SLICE), number(value).alias(VALUE))
-    sizes = settle(
+    sizes = stage(
         rows.groupBy(SLICE).agg(
             F.count(VALUE).alias("n"), F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi")
         )

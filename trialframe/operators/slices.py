@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import settle
+from ..sources.staging import stage
 
 SLICE = "_slice"
 
@@ -39,17 +39,15 @@ def joinable(stats: DataFrame, by: list[str]) -> DataFrame:
     """Per-slice values ready to join to rows.
 
     Without slice keys there is exactly one row, which may always be broadcast;
-    otherwise the table is written (unless the input is small) and Spark decides
-    by its size.
+    otherwise the table is written and Spark decides by its size.
     """
-    return settle(stats) if by else F.broadcast(stats)
+    return stage(stats) if by else F.broadcast(stats)
 
 
 def add_stats(df: DataFrame, by: list[str], stats: DataFrame) -> DataFrame:
     """Put per-slice values next to each row.
 
-    `stats` has one row per slice (column `_slice`). Unless the input is small it
-    is written first, so the join below is a broadcast only when the written size
+    `stats` has one row per slice (column `_slice`). It is written first, so the join below is a broadcast only when the written size
     is under Spark's threshold; otherwise it is a shuffle join in which adaptive
     execution splits a hot slice. A window over the slice would sort a hot slice
     in one task.

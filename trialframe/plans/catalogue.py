@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .. import operators as op
 from ..functions import star_code
-from ..sources import profile_schema, settle, shared_dir, sort_table, stage, write_csv
+from ..sources import profile_schema, shared_dir, sort_table, stage, write_csv
 from . import reports
 
 BY = ["pathogen", "experiment"]
@@ -405,7 +405,7 @@ def residuals(spark, sf):
 
 @query
 def resid_data(spark, sf):
-    rows = settle(assay(spark, sf).select(*BY, TREATMENT, "value2"))  # read twice: cells, then rows
+    rows = assay(spark, sf).select(*BY, TREATMENT, "value2")  # read twice: cells, then rows
     return rounded(op.resid_data(rows, BY, TREATMENT, "value2"), 4)
 
 

@@ -59,7 +59,7 @@ from ..operators import (
     window_agg,
 )
 from ..operators.slices import names
-from ..sources.staging import settle, stage
+from ..sources.staging import stage
 from ..sources.tables import union_all
 
 # Isolate codes and strain labels of the yeast assays.
@@ -168,7 +168,7 @@ def lettered_summary(
 ) -> DataFrame:
     """Treatment summary with compact letters of the post-hoc test, best treatment first."""
     by = names(by)
-    table = settle(table.select(*dict.fromkeys([*by, group, value])))  # read by test and summary
+    table = table.select(*dict.fromkeys([*by, group, value]))  # read by test and summary
     letters = compact_letters(post_hoc(table, by, group, value, method), by)
     summary = treatment_summary(table, by, group, value, null_policy)
     return attach_letters(summary, letters, by, group).orderBy(*by, F.desc_nulls_last("mean"))

@@ -11,11 +11,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs up to this many bytes are not staged and not range-partitioned; a session
-# may set another limit.
-SMALL_INPUT = "spark.trialframe.smallInputBytes"
-SMALL_INPUT_DEFAULT = 32 * 1024 * 1024
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for staged tables: `spark.checkpoint.dir`; where it is unset, the session's warehouse."""
@@ -33,20 +28,3 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     target = path or f"{shared_dir(spark)}/trialframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("overwrite" if path else "error").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables `df` is computed from, as Spark's own statistics give them."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the input is so small that one task could hold all of it."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(SMALL_INPUT_DEFAULT)))
-    return input_bytes(df) <= limit
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Stage an intermediate result, unless its input is small; then it stays a lazy plan."""
-    return df if is_small(df) else stage(df)
