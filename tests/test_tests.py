@@ -245,3 +245,17 @@ def test_qq_points(table):
     got = op.qq_data(table([(3.0,), (1.0,), (2.0,), (None,)], "v double"), [], "v").orderBy("i").collect()
     assert [r.sample for r in got] == [1.0, 2.0, 3.0]
     assert got[0].theoretical == pytest.approx(NormalDist().inv_cdf(0.625 / 3.25)) and got[1].theoretical == pytest.approx(0.0)
+
+
+def test_levene_far_from_zero(table):
+    """Two clusters on either side, far from zero: the distances differ only in their last digits."""
+    low, high = [0.0, 3.0, 8.0, 1.0], [2.0, 9.0, 4.0, 20.0]
+    data = [(g, sign * 1e8 + x) for g, xs in (("a", low), ("b", high)) for sign in (-1, 1) for x in xs]
+    got = op.levene(table(data, "g string, v double"), [], "g", "v", center="mean").first()
+    want = []
+    for g in "ab":
+        values = [v for k, v in data if k == g]
+        mean = sum(values) / len(values)
+        want.append([abs(v - mean) - 1e8 for v in values])
+    inside = sum((d - sum(w) / len(w)) ** 2 for w in want for d in w)
+    assert inside > 1 and abs(got.ss_resid - inside) < 1e-6 * inside

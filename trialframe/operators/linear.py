@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import number, ratio
 from ..functions.tails import f_sf, f_tail, t_quantile, t_two_sided
-from .ordering import COUNT, GROUP, VALUE, join_stats, slice_quantiles, sorted_counts, value_counts
+from .ordering import COUNT, GROUP, VALUE, join_stats, quantile_aggs, ranked, sorted_counts, value_counts
 from .slices import SLICE, add_stats, from_slice, names, slice_key
 
 # Residual variation below this share of the total counts as none.
@@ -73,32 +73,39 @@ def levene(df: DataFrame, by, group: str, value: str, center: str = "median") ->
     by = names(by)
     cell = [*by, group]
     counts = sorted_counts(value_counts(df.filter(F.col(group).isNotNull()), cell, value))
+    ends = (F.min(VALUE).alias("_low"), F.max(VALUE).alias("_high"))
     if center == "median":
-        centres = slice_quantiles(counts, {"_centre": 0.5})
+        centres = ranked(counts).groupBy(SLICE).agg(*quantile_aggs({"_centre": 0.5}), *ends)
     elif center == "mean":
         mean = F.sum(F.col(VALUE) * F.col(COUNT)) / F.sum(COUNT)
-        centres = counts.groupBy(SLICE).agg(mean.alias("_centre"))
+        centres = counts.groupBy(SLICE).agg(mean.alias("_centre"), *ends)
     else:
         raise ValueError(f"unknown center {center!r}")
     n = F.col(COUNT).cast("double")
     distance = F.abs(F.col(VALUE) - F.col("_centre"))
+    # distances are summed from the greatest of the cell, so that far clusters lose no digits
+    most = F.greatest(F.col("_high") - F.col("_centre"), F.col("_centre") - F.col("_low"))
+    short = distance - most
     cells = (
         join_stats(counts, centres)
         .groupBy(SLICE)
         .agg(
             F.sum(COUNT).alias("_size"),
-            F.sum(n * distance).alias("_s1"),
-            F.sum(n * distance * distance).alias("_s2"),
+            F.sum(n * short).alias("_s1"),
+            F.sum(n * short * short).alias("_s2"),
+            F.first(most).alias("_most"),
+            F.first(F.greatest(F.abs("_low"), F.abs("_high"))).alias("_scale"),
         )
     )
     size = F.col("_size").cast("double")
     within = F.col("_s2") - F.col("_s1") * F.col("_s1") / size
+    rounding = size * F.pow(F.col("_scale") * F.lit(4e-16), F.lit(2))
     inner = F.struct(*[F.col(SLICE)[b].alias(b) for b in by]) if by else F.struct(F.lit(0).alias("all"))
     cells = cells.select(
         inner.alias(SLICE),
         "_size",
-        (F.col("_s1") / size).alias("_mean"),
-        F.when(within > F.lit(DUST) * F.col("_s2"), within).otherwise(F.lit(0.0)).alias("_within"),
+        (F.col("_most") + F.col("_s1") / size).alias("_mean"),
+        F.when(within > F.greatest(rounding, F.lit(DUST) * F.col("_s2")), within).otherwise(F.lit(0.0)).alias("_within"),
     )
     return _oneway(cells).select(*from_slice(by), *_ONEWAY)
 
