@@ -31,22 +31,25 @@ BANDS, ROWS = 32, 5
 WIDTH = BANDS * ROWS
 SHINGLE = 5
 BLOCK = 1024
-ROUNDS = (16, BLOCK)
+#: Partners verified for each outsider and block; in the last round all.
+ROUNDS = (16, None)
+#: Coordinates of the longer signature that tells the likely partners inside an unsettled bucket.
+SKETCH = 320
 #: Signatures below this likeness are not verified: five standard errors under a Jaccard of 0.85.
-MARGIN = 0.14
+MARGIN = 0.1
 
 
 @cache
-def shifted_table() -> np.ndarray:
-    """Row p holds the second permutation at p, p + 1, ..., p + WIDTH - 1, circularly; a view, not a copy."""
+def shifted_table(width: int) -> np.ndarray:
+    """Row p holds the second permutation at p, p + 1, ..., p + width - 1, circularly; a view, not a copy."""
     order = np.random.default_rng(104729).permutation(UNIVERSE).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: WIDTH - 1]]), WIDTH)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: width - 1]]), width)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """All coordinates of the set of 64-bit shingle hashes (not empty)."""
+def signature(shingles: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The first `width` coordinates of the set of 64-bit shingle hashes (not empty)."""
     places = np.unique(mix(shingles ^ np.uint64(0xA5A5A5A5)) >> np.uint64(44)).astype(np.int64)
-    rows = shifted_table()
+    rows = shifted_table(width)
     out = rows[places[:512]].min(axis=0)
     for start in range(512, len(places), 512):
         np.minimum(out, rows[places[start : start + 512]].min(axis=0), out=out)
@@ -75,18 +78,16 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "text"):
-        sizes, digests, sketches, bands = [], [], [], []
+        sizes, digests, bands = [], [], []
         for found in shingle_sets(batch.column("text")):
             sizes.append(len(found))
             if not len(found):
                 digests.append(None)
-                sketches.append(None)
                 bands.append(None)
                 continue
             ends = mix(found + np.uint64(1))
             digests.append(np.array([len(found), ends.sum(), np.bitwise_xor.reduce(mix(ends))], np.uint64).tobytes())
             sign = signature(found)
-            sketches.append(sign.astype(np.uint8).tobytes())
             key = np.arange(1, BANDS + 1, dtype=np.uint64)
             for column in sign.reshape(BANDS, ROWS).T:
                 key = mix(key * np.uint64(0x100000001B3) + column)
@@ -96,30 +97,35 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id"),
                 pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.binary()),
-                pa.array(sketches, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "digest", "sketch", "bands"],
+            ["doc_id", "n_shingles", "digest", "bands"],
         )
 
 
 def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "text"):
-        found = [s.view(np.int64) for s in shingle_sets(batch.column("text"))]
+        found = list(shingle_sets(batch.column("text")))
+        sketches = [signature(s, SKETCH).astype(np.uint8).tobytes() if len(s) else None for s in found]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"]
+            [
+                batch.column("doc_id"),
+                pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
+                pa.array(sketches, pa.binary()),
+            ],
+            ["doc_id", "shingles", "sketch"],
         )
 
 
-def _likely_pairs(least: float, percent: int, most: int):
-    """For one block of outsiders and one block of other members: the likeliest partners of each outsider."""
-    need = int(np.floor(WIDTH * least))
+def _likely_pairs(least: float, percent: int, most: int | None):
+    """For one block of outsiders and one block of other members: the likeliest partners of each outsider, or all."""
+    need = int(np.floor(SKETCH * least))
 
     def pairs(batch: pa.Table) -> pa.Table:
         out = np.asarray(batch.column("outsider"))
         ids, comp = np.asarray(batch.column("doc_id")), np.asarray(batch.column("component"))
         size = np.asarray(batch.column("n_shingles"))
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         mine, other = np.flatnonzero(out), np.flatnonzero(np.asarray(batch.column("partner")))
         left, right = [], []
         for i in mine:
@@ -210,14 +216,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     features = staged(
         docs.mapInArrow(
-            _features, "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"
+            _features, "doc_id long, n_shingles long, digest binary, bands array<long>"
         )
     )
     named = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = named.groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"),
         F.first("n_shingles").alias("n_shingles"),
-        F.first("sketch").alias("sketch"),
         F.first("bands").alias("bands"),
     )
     nodes = staged(nodes)
@@ -232,10 +237,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     suspects = members.select("doc_id").distinct()
     sets = staged(
         docs.join(suspects, "doc_id", "left_semi")
-        .mapInArrow(_set_rows, "doc_id long, shingles array<long>")
+        .mapInArrow(_set_rows, "doc_id long, shingles array<long>, sketch binary")
         .withColumn("n_shingles", F.size("shingles").cast("long"))
     )
-    sketches = nodes.select("doc_id", "n_shingles", "sketch").join(suspects, "doc_id", "left_semi")
+    sketches = sets.filter("sketch IS NOT NULL").select("doc_id", "n_shingles", "sketch")
 
     pairs = staged(
         members.filter("doc_id != first_id")
