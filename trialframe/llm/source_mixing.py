@@ -127,7 +127,7 @@ def _offer(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     whole = F.col("fits") & F.coalesce(F.col("bin") < F.col("cut"), F.lit(True))
     merged = placed.join(taken, "key", "left")
     return merged.select(
-        "key", "doc_id", "source", "size", "base", "rank", "may", "target",
+        "key", "doc_id", "source", "size", "source_size", "target", "rate", "base", "rank", "may",
         F.when(whole | F.col("now").isNotNull(), 1).otherwise(F.col("extra")).alias("extra"),
     )
 
@@ -159,15 +159,13 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     uniform = (F.pmod(F.xxhash64("key", F.lit("round")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     state = staged(
         rated.select(
-            "key", "doc_id", "source", "size", "target", "rate",
+            "key", "doc_id", "source", "size", "source_size", "target", "rate",
             F.floor("rate").cast("int").alias("base"),
             (F.col("rate") - F.floor("rate") - uniform).alias("rank"),
             (F.floor("rate") < CAP).alias("may"),
             F.lit(0).alias("extra"),
         )
     )
-    rates = state.select("key", "rate")
-    state = state.drop("rate")
     for _ in range(OFFERS):
         gaps = state.groupBy("source").agg((F.first("target") - F.sum((F.col("base") + F.col("extra")) * F.col("size"))).alias("gap"))
         after = staged(_offer(state, gaps))
@@ -176,7 +174,6 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
         if moved:
             break
     copies = F.col("base") + F.col("extra")
-    sized = _with(state, targets.select("source", "source_size"))
-    return sized.join(rates, "key").select(
+    return state.select(
         "key", "doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
