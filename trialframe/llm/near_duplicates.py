@@ -56,6 +56,14 @@ def signature(shingles: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return out
 
 
+def band_keys(sign: np.ndarray) -> np.ndarray:
+    """The bucket of each band of a signature."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in sign[:WIDTH].reshape(BANDS, ROWS).T:
+        key = mix(key * np.uint64(0x100000001B3) + column)
+    return key.view(np.int64)
+
+
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text its sorted distinct hashed shingles: `size` words, or all words where there are fewer."""
     for _, words, bounds in hashed_words(texts):
@@ -87,11 +95,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             ends = mix(found + np.uint64(1))
             digests.append(np.array([len(found), ends.sum(), np.bitwise_xor.reduce(mix(ends))], np.uint64).tobytes())
-            sign = signature(found)
-            key = np.arange(1, BANDS + 1, dtype=np.uint64)
-            for column in sign.reshape(BANDS, ROWS).T:
-                key = mix(key * np.uint64(0x100000001B3) + column)
-            bands.append(key.view(np.int64))
+            bands.append(band_keys(signature(found)))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -106,19 +110,23 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, "text"):
         found = list(shingle_sets(batch.column("text")))
-        sketches = [signature(s, SKETCH).astype(np.uint8).tobytes() if len(s) else None for s in found]
+        signs = [signature(s, SKETCH) if len(s) else None for s in found]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
-                pa.array(sketches, pa.binary()),
+                pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in signs], pa.binary()),
+                pa.array([None if s is None else band_keys(s).tobytes() for s in signs], pa.binary()),
             ],
-            ["doc_id", "shingles", "sketch"],
+            ["doc_id", "shingles", "sketch", "keys"],
         )
 
 
 def _likely_pairs(least: float, percent: int, most: int | None):
-    """For one block of outsiders and one block of other members: the likeliest partners of each outsider, or all."""
+    """For one block of outsiders and one block of other members: the likeliest partners of each outsider, or all.
+
+    A pair that shares several buckets is looked at in that of its first shared band only.
+    """
     need = int(np.floor(SKETCH * least))
 
     def pairs(batch: pa.Table) -> pa.Table:
@@ -126,6 +134,8 @@ def _likely_pairs(least: float, percent: int, most: int | None):
         ids, comp = np.asarray(batch.column("doc_id")), np.asarray(batch.column("component"))
         size = np.asarray(batch.column("n_shingles"))
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+        here = batch.column("key")[0].as_py()
         mine, other = np.flatnonzero(out), np.flatnonzero(np.asarray(batch.column("partner")))
         left, right = [], []
         for i in mine:
@@ -133,6 +143,8 @@ def _likely_pairs(least: float, percent: int, most: int | None):
             fit = other[(comp[other] != comp[i]) & (100 * low >= percent * high)]
             same = (sketch[fit] == sketch[i]).sum(axis=1)
             fit, same = fit[same >= need], same[same >= need]
+            first = keys[i][(keys[fit] == keys[i]).argmax(axis=1)] == here
+            fit, same = fit[first], same[first]
             best = np.argsort(-same, kind="stable")[:most]
             left += [ids[i]] * len(best)
             right += list(ids[fit[best]])
@@ -237,10 +249,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     suspects = members.select("doc_id").distinct()
     sets = staged(
         docs.join(suspects, "doc_id", "left_semi")
-        .mapInArrow(_set_rows, "doc_id long, shingles array<long>, sketch binary")
+        .mapInArrow(_set_rows, "doc_id long, shingles array<long>, sketch binary, keys binary")
         .withColumn("n_shingles", F.size("shingles").cast("long"))
     )
-    sketches = sets.filter("sketch IS NOT NULL").select("doc_id", "n_shingles", "sketch")
+    sketches = sets.filter("sketch IS NOT NULL").select("doc_id", "n_shingles", "sketch", "keys")
 
     pairs = staged(
         members.filter("doc_id != first_id")
@@ -259,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
         )
         found = staged(found)
         if found.isEmpty():
-            break
+            continue  # the likeliest may all be tested while others are not
         new = _verified(found, sets, percent)
         known = links.select(F.col("node").alias("a"), F.col("component").alias("b"))
         links = staged(components(known.unionByName(new)))
