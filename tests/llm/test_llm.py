@@ -17,6 +17,7 @@ from trialframe.llm import katz, quality_votes, queries, source_mixing, toxicity
 from trialframe.llm.near_duplicates import near_duplicates
 from trialframe.llm.piece_encoding import Encoder, encode
 from trialframe.llm.quotations import as_replies, link_quotations
+from trialframe.llm.threads import conversations, reply_order
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, _size long"
 
@@ -311,6 +312,28 @@ def test_quotations_round_trip(spark):
     assert got[2, 0].body == "own" and (got[2, 0].n_quoted, got[2, 0].n_linked) == (1, 0)
 
 
+def test_branching_threads_in_reply_order(spark):
+    """Against a plain walk of the trees: a star, a chain, random trees, a repeated turn and missing keys."""
+    rng = random.Random(3)
+    parents = {1: {0: None, 1: 0, 2: 0, 3: 1, 4: 2, 5: 1, 2000: 0}, 2: {t: t - 1 if t else None for t in range(40)}}
+    parents |= {3: {t: rng.randrange(t) if t else None for t in range(90)}, 4: {t: 0 if t else None for t in range(30)}, None: {0: None, 7: 0}, 5: {None: None}}
+    rows = [(c, t, "user", p, f"{c}-{t}") for c, of in parents.items() for t, p in of.items()] + [(1, 1, "zebra", 0, "again")]
+    linked = spark.createDataFrame(rows, "conv_id long, turn long, role string, reply_to long, body string")
+    got = {(r.m.conv_id, r.m.turn): r for r in reply_order(linked).collect()}
+    blocks = conversations(linked, reply_order(linked), block=16).collect()
+    for c, of in parents.items():
+        want, todo = [], [(t, 0) for t, p in of.items() if p is None]
+        while todo:
+            t, depth = todo.pop()
+            r = got[c, t]
+            assert (r.depth, r.place) == (depth, len(want)) and r.root == (None if c == 5 else 0)
+            want += [f"{c}-{t}"] if (c, t) != (1, 1) else ["1-1", "again"]
+            todo += sorted(((x, depth + 1) for x, p in of.items() if p == t and x != t and x is not None), reverse=True) if t is not None else []
+        mine = sorted((b for b in blocks if b.conv_id == c), key=lambda b: b.block)
+        assert [m.body for b in mine for m in b.messages] == want
+        assert all(b.n_messages == len(b.messages) <= 17 for b in mine)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from conftest import SF

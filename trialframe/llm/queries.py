@@ -14,6 +14,7 @@ from .piece_encoding import encode
 from .quality_votes import quality
 from .quotations import as_replies, link_quotations
 from .source_mixing import mix
+from .threads import conversations, reply_order
 from .toxicity import toxicity
 from .url_filter import repeated_urls, url_filter
 from .warc import round_trip
@@ -56,7 +57,8 @@ def op2_katz_scores(spark, sf):
 
 @query
 def op3_quotation_linking(spark, sf):
-    return link_quotations(staged(as_replies(table(spark, sf, "conversations"))))  # read by four plans
+    linked = staged(link_quotations(staged(as_replies(table(spark, sf, "conversations")))))  # both are read by several plans
+    return conversations(linked, reply_order(linked))
 
 
 @query
