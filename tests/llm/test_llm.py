@@ -11,12 +11,13 @@ import numpy as np
 import pytest
 import sentencepiece
 from brute_texts import components, shingles, words
+from pyspark.sql import functions as F
 
 from trialframe.llm import fingerprints as fp
-from trialframe.llm import katz, quality_votes, queries, source_mixing, toxicity, url_filter, warc
+from trialframe.llm import katz, quality_votes, queries, quotations, source_mixing, toxicity, url_filter, warc
 from trialframe.llm.near_duplicates import near_duplicates
 from trialframe.llm.piece_encoding import Encoder, encode
-from trialframe.llm.quotations import as_replies, link_quotations
+from trialframe.llm.quotations import as_replies, chosen_turn, link_quotations
 from trialframe.llm.threads import conversations, reply_order
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, _size long"
@@ -312,6 +313,28 @@ def test_quotations_round_trip(spark):
     assert got[2, 0].body == "own" and (got[2, 0].n_quoted, got[2, 0].n_linked) == (1, 0)
 
 
+def test_most_quoted_text_decides_the_parent(spark, monkeypatch):
+    """Not the latest turn with a common line; re-wrapped passages; the chosen turn of derived replies; common or rare alike."""
+    rows = [(1, t, "user", "Hello,\nnothing new " + str(t)) for t in range(20)]
+    rows[3] = (1, 3, "user", "Hello,\nthe build fails\nsince Monday")
+    rows += [(1, 20, "bot", "> Hello,\n> the build fails\n> since Monday\n\nSee log."), (1, 21, "bot", ">Hello, the build\n>fails since   monday\nRe-wrapped.")]
+    rows += [(1, 22, "bot", "> Hello,\nAny."), (1, 23, "bot", "> > Hello,\n> See log.\nThanks."), (1, 24, "bot", "> nothing new 2\n> nothing new 7\nYes.")]
+    rng = random.Random(2)
+    rows += [(2, t, "user", "\n".join([f"line {t}", "Hello,", *rng.sample(["aa", "bb", "cc"], 2)])) for t in range(60)]
+    mail = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    derived = as_replies(mail.filter("conv_id = 2"))
+    assert max(re.match("[> ]*", x).group().count(">") for r in derived.collect() for x in r.text.split("\n")) == 3
+    every = mail.filter("conv_id = 1").unionByName(derived)
+    want = {r.turn: r.c for r in derived.select("turn", chosen_turn(F.col("conv_id"), F.col("turn")).alias("c")).collect()}
+    assert sum(c is not None and c != t - 1 for t, c in want.items()) > 20
+    for common in (16, 1, 1000):
+        monkeypatch.setattr(quotations, "COMMON", common)
+        got = {(r.conv_id, r.turn): r for r in link_quotations(every).collect()}
+        assert [got[1, t].reply_to for t in range(20, 25)] == [3, 3, 19, 20, 7]
+        assert (got[1, 21].n_passages, got[1, 21].n_passages_linked, got[1, 21].n_linked) == (1, 1, 0)
+        assert {t: got[2, t].reply_to for t in want} == want
+
+
 def test_branching_threads_in_reply_order(spark):
     """Against a plain walk of the trees: a star, a chain, random trees, a repeated turn and missing keys."""
     rng = random.Random(3)
