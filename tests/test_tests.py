@@ -1,6 +1,7 @@
 """Rank tests, linear models and distribution checks against direct formulas."""
 
 import math
+import random
 from statistics import NormalDist
 
 import brute
@@ -232,6 +233,24 @@ def test_shapiro_is_calibrated_and_bounded(spark):
     assert op.shapiro(big, "g", "v").first().reason == "more than 5000 values"
 
 
+def test_shapiro_above_5000_values(spark):
+    """W of a large slice, with ties and a second small slice, against a plain sum; p has a warning."""
+    values = [round(random.Random(k).gauss(3, 2), 1) for k in range(6001)]
+    data = [("big", v) for v in values] + [("flat", 1.0)] * 5002 + [("small", float(k * k)) for k in range(20)]
+    got = {r.g: r for r in op.shapiro(spark.createDataFrame(data, "g string, v double"), "g", "v").collect()}
+    n, x = len(values), sorted(values)
+    m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    ss, u, mean = sum(v * v for v in m), n**-0.5, sum(x) / n
+    a1 = m[-1] / math.sqrt(ss) + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
+    a2 = m[-2] / math.sqrt(ss) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+    phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a1**2 - 2 * a2**2)
+    weights = [-a1, -a2, *[v / math.sqrt(phi) for v in m[2:-2]], a2, a1]
+    w = sum(a * v for a, v in zip(weights, x, strict=True)) ** 2 / sum((v - mean) ** 2 for v in x)
+    assert got["big"].w == pytest.approx(w, rel=1e-9) and 0 <= got["big"].p <= 1
+    assert (got["big"].n, got["big"].reason) == (6001, "more than 5000 values")
+    assert got["flat"].w is None and got["small"].reason is None and 0.8 < got["small"].w < 1
+
+
 def test_histogram_edges(table):
     values = table([(float(v),) for v in range(30)] + [(29.0,)], "v double")
     got = op.hist_data(values, [], "v").orderBy("bin").collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import add_normal_quantile, normal_sf
@@ -16,6 +16,7 @@ from .ordering import (
     COUNT,
     TOTAL,
     VALUE,
+    at_position,
     join_stats,
     quantile_aggs,
     ranked,
@@ -128,8 +129,10 @@ SMALL_MEAN = [0.5440, -0.39978, 0.025054, -0.0006714]
 SMALL_LOG_SD = [1.3822, -0.77857, 0.062767, -0.0020322]
 LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_LOG_SD = [-0.4803, -0.082676, 0.0030302]
+#: p is calibrated up to HIGHEST_N values.
 LOWEST_N, HIGHEST_N = 3, 5000
-SALTS = 32
+#: Tied values that are laid out together.
+TIED = 10_000
 
 
 def _poly(coefficients: list[float], x: Column) -> Column:
@@ -145,60 +148,56 @@ def _with_score(df: DataFrame, i: Column, n: Column, out: str) -> DataFrame:
     return add_normal_quantile(df.withColumn("_place", position), "_place", out).drop("_place")
 
 
-def _rows_of(rows: DataFrame, usable: DataFrame) -> DataFrame:
-    """The rows of the usable slices.
+def _scored(table: DataFrame) -> DataFrame:
+    """(slice, value, place, score) of each row, from ranked value counts.
 
-    A hot slice is not usable, yet a shuffle join on the slice would first bring
-    all of it together. The join is on (slice, salt) instead, with the
-    usable slices written once per salt, so that their true size decides between
-    broadcast and shuffle. The salt depends on the value and the input partition,
-    so neither a hot slice nor a hot value meets in one task.
+    A value tied many times is laid out in blocks that are spread before they are expanded.
     """
-    salt = F.pmod(F.xxhash64(VALUE, F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    copies = usable.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", salt).join(stage(copies), [SLICE, "_salt"]).drop("_salt")
+    start = F.explode(F.sequence(F.col(BELOW) + 1, F.col(BELOW) + F.col(COUNT), F.lit(TIED).cast("long")))
+    last = (F.col(BELOW) + F.col(COUNT)).alias("_last")
+    blocks = table.select(SLICE, VALUE, TOTAL, start.alias("_from"), last).repartition(SLICE, "_from")
+    place = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (TIED - 1), F.col("_last"))))
+    return _with_score(blocks.select(SLICE, VALUE, TOTAL, place.alias("_i")), F.col("_i"), F.col(TOTAL), "_m")
 
 
 def shapiro(df: DataFrame, by, value: str) -> DataFrame:
-    """Shapiro-Wilk W and p per slice, for 3 to 5000 present values.
+    """Shapiro-Wilk W and p per slice, for 3 or more present values.
 
-    Slices outside that range are reported with a reason, and their rows are
-    dropped before any sort, so the window below never holds more than 5000 rows
-    of a slice. Normal scores are symmetric, so W needs only sums over the slice
+    W is computed for every size. p is calibrated up to 5000 values: above that it is an extrapolation, and the
+    reason says so. Other slices have a reason and no W. Places come from the ranked value counts, so no
+    slice is sorted in one task. Normal scores are symmetric, so W needs only sums over the slice
     and its two lowest and two highest values.
     """
     by = names(by)
     rows = df.select(slice_key(by).alias(SLICE), number(value).alias(VALUE))
     sizes = stage(
         rows.groupBy(SLICE).agg(
-            F.count(VALUE).alias("n"), F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi")
+            F.count(VALUE).alias("n"), F.min(VALUE).alias("_lo"), F.max(VALUE).alias("_hi"), F.avg(VALUE).alias("_mean")
         )
     )
+    flat = F.col("_lo") == F.col("_hi")
     reason = (
         F.when(F.col("n") < LOWEST_N, F.lit("fewer than 3 values"))
         .when(F.col("n") > HIGHEST_N, F.lit("more than 5000 values"))
-        .when(F.col("_lo") == F.col("_hi"), F.lit("all values equal"))
+        .when(flat, F.lit("all values equal"))
     )
     sizes = sizes.withColumn("reason", reason)
-    usable = sizes.filter("reason IS NULL").select(SLICE, "n")
-    order = Window.partitionBy(SLICE).orderBy(VALUE)
-    present = rows.filter(F.col(VALUE).isNotNull())
-    scored = _rows_of(present, usable).withColumn("_i", F.row_number().over(order))
-    scored = _with_score(scored, F.col("_i"), F.col("n"), "_m")
-
-    def at(place: Column) -> Column:
-        return F.max(F.when(F.col("_i") == place, F.col(VALUE)))
-
-    sums = scored.groupBy(SLICE).agg(
-        F.first("n").cast("double").alias("_size"),
-        F.sum(F.col("_m") * F.col("_m")).alias("_ss"),
-        F.sum(F.col("_m") * F.col(VALUE)).alias("_mx"),
-        (F.count(F.lit(1)) * F.var_pop(VALUE)).alias("_xx"),
-        at(F.lit(1)).alias("_x1"),
-        at(F.lit(2)).alias("_x2"),
-        at(F.col("n") - 1).alias("_y2"),
-        at(F.col("n")).alias("_y1"),
+    usable = sizes.filter((F.col("n") >= LOWEST_N) & ~flat).select(SLICE, "_mean")
+    counts = sorted_counts(value_counts(df, by, value))
+    table = stage(ranked(join_stats(counts, usable)))
+    gap = F.col(VALUE) - F.col("_mean")
+    spread = table.groupBy(SLICE).agg(
+        F.first(TOTAL).cast("double").alias("_size"),
+        F.sum(F.col(COUNT) * gap * gap).alias("_xx"),
+        at_position(F.lit(0)).alias("_x1"),
+        at_position(F.lit(1)).alias("_x2"),
+        at_position(F.col(TOTAL) - 2).alias("_y2"),
+        at_position(F.col(TOTAL) - 1).alias("_y1"),
+    )
+    scores = _scored(table).groupBy(SLICE).agg(
+        F.sum(F.col("_m") * F.col("_m")).alias("_ss"), F.sum(F.col("_m") * F.col(VALUE)).alias("_mx")
     )
+    sums = spread.join(scores, SLICE)
     n, ss = F.col("_size"), F.col("_ss")
     sums = _with_score(_with_score(sums, n, n, "_m1"), n - 1, n, "_m2").withColumn("_u", F.lit(1.0) / F.sqrt(n))
     m1, m2, u = F.col("_m1"), F.col("_m2"), F.col("_u")
