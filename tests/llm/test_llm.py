@@ -149,6 +149,54 @@ def test_katz(spark, texts):
     assert katz.katz_scores(docs(spark, [(None, None)])).first().n_tokens == 1
 
 
+def test_katz_of_higher_orders(spark, texts, monkeypatch):
+    """Against plain recursion over counts of all orders, in one batch and in many."""
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    tokens = {i: [" ", *words(t), "\n"] for i, t in texts.items()}
+    counts, after = [{} for _ in range(5)], {}
+    for i, w in tokens.items():
+        for k in range(1, len(w)) if not held[i] else ():
+            for n in range(1, min(4, k + 1) + 1):
+                gram = tuple(w[k - n + 1 : k + 1])
+                counts[n][gram] = counts[n].get(gram, 0) + 1
+                after.setdefault(gram[:-1], {})[gram[-1]] = 0
+    total = sum(counts[1].values())
+    d = [None, *(katz.good_turing(np.array([sum(c == r for c in counts[n].values()) for r in range(1, 7)])) for n in range(1, 5))]
+
+    def cut(gram):
+        c = counts[len(gram)][gram]
+        return c * (d[len(gram)][c] if c <= 5 else 1)
+
+    lost = total - sum(map(cut, counts[1]))
+    cache = {}
+
+    def back(h):
+        if h not in cache:
+            seen, times = sum(cut((*h, x)) for x in after[h]), sum(counts[len(h) + 1][*h, x] for x in after[h])
+            whole = times if seen < times - 1e-9 else times + 1
+            cache[h] = whole, (1 - seen / whole) / (1 - sum(p(h[1:], x) for x in after[h]))
+        return cache[h]
+
+    def p(h, x):
+        if not h:
+            return cut((x,)) / total if (x,) in counts[1] else lost / total
+        if h not in after:
+            return p(h[1:], x)
+        return cut((*h, x)) / back(h)[0] if x in after[h] else back(h)[1] * p(h[1:], x)
+
+    for h in ((" ", "y"), ("y", "y"), ("y", "y", "y"), (" ", "one", "two")):
+        assert abs(sum(p(h, x) for (x,) in counts[1]) + p(h, "unknown") - 1) < 1e-9
+    differ = 0
+    for order, size in ((3, katz.BATCH), (3, 50), (4, katz.BATCH)):
+        monkeypatch.setattr(katz, "BATCH", size)
+        got = {r.doc_id: r.score for r in katz.katz_scores(docs(spark, texts.items()).coalesce(2), order=order).collect()}
+        for i, w in tokens.items():
+            want = sum(math.log10(p(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w)))
+            assert math.isclose(got[i], want, rel_tol=1e-9)
+            differ += not math.isclose(want, sum(math.log10(p((w[k - 1],), w[k])) for k in range(1, len(w))), rel_tol=1e-6)
+    assert differ > 20
+
+
 ODD = ["", " ", "  a  b ", "a▁b ▁", "😀 x😀y", "日本語 テキスト", "a\x00b\tq\n\n  z", "� <s> </s> <0x41>", "x" * 3000, "   ", "ﬁ ① ß"]
 
 

@@ -1,18 +1,19 @@
-"""Katz back-off bigrams: Good-Turing discounted counts with exactly normalised back-off weights.
+"""Katz back-off n-grams: Good-Turing discounted counts with exactly normalised back-off weights.
 
 Texts are read once and kept as batches of word numbers. A batch asks each table only for the n-grams it has:
 the requests, with the batch's own training counts, are dealt by a hash of the n-gram into the parts of
-the unigram and bigram tables, whose tasks add up the counts and answer in the order of the
+the tables of each order, whose tasks add up the counts and answer in the order of the
 request. So n-grams are pre-aggregated a batch at a time before any shuffle, a frequent word is one entry for each
 batch, and no table is ever broadcast or held by one task. Requests and answers are written tables of
 packed columns, (batch, kind, part, blob); every job can be repeated after a loss.
 
     p(w)     = d(c) c(w) / N, what is left going to the one class of unknown words
-    p(w | h) = d(c) c(h w) / C(h) for seen bigrams, else a(h) p(w); a(h) = 1 for an unseen h
+    p(w | h) = d(c) c(h w) / C(h) for seen n-grams, else a(h) p(w | h without its first word); a(h) = 1 for an unseen h
 
-d is the Good-Turing discount for counts up to 5, and 1 above. C(h) is the count of h, or one
-more where no seen bigram of h is discounted; a(h) makes the probabilities after h sum to 1. The context of
-the first word is a begin mark; the end of a text is a token.
+d is the Good-Turing discount of the order for counts up to 5, and 1 above. C(h) is the count of h, or one
+more where no seen n-gram of h is discounted; a(h) makes the probabilities after h sum to 1. The context of
+the first word is a begin mark, and nothing is before that; the end of a text is a token. Every order repeats one step:
+its contexts are the numbers of the n-grams of the order below, and a batch knows the lower p of each of its tokens.
 """
 
 from __future__ import annotations
@@ -35,7 +36,12 @@ END = np.uint64(0)  # hash of the end token
 BEGIN = np.uint64(0xFFFFFFFF)  # number of the begin context; 0 is an unknown word
 SCHEMA = "batch long, kind int, part int, blob binary"
 _FIELDS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
-TEXTS, WORDS, NUMBERS, PAIRS, COUNTS, SUMS, TOTALS = range(7)
+TEXTS, WORDS, NUMBERS, GRAMS, COUNTS, SUMS, TOTALS = range(7)
+
+
+def of_order(kind: int, order: int) -> int:
+    """Kind of the rows of an order from 2 on."""
+    return kind + 4 * (order - 2)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -134,11 +140,11 @@ def tokenised(docs: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def summed(requests: DataFrame, answer: int, parts: int) -> DataFrame:
+def summed(requests: DataFrame, answer: int, parts: int, numbered: bool = True) -> DataFrame:
     """Add up the requests of each part; answers in the order of the requests, and one row of statistics (batch -1).
 
-    Answers: the number of each key (0 if no training text has it) and its count; the first request for a
-    key is marked in the number's place for pairs. Statistics: all counts, keys, keys with count 1 to 6.
+    Answers: the number of each key (0 if no training text has it, or not `numbered`), its count, and for n-grams whether
+    this is the first request for it. Statistics: all counts, keys, keys with count 1 to 6.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,15 +154,19 @@ def summed(requests: DataFrame, answer: int, parts: int) -> DataFrame:
             found, first, where = np.unique(keys, return_index=True, return_inverse=True)
             counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(found)).astype(np.uint64)
             seen = counts > 0
-            if answer == NUMBERS:
-                number = np.where(seen, (np.cumsum(seen) - 1) * parts + part + 1, 0).astype(np.uint32)[where]
-            else:
-                number = np.zeros(len(keys), np.uint32)
-                number[first] = 1
+            number = np.zeros(len(keys), np.uint32)
+            if numbered:
+                wide = np.where(seen, (np.cumsum(seen) - 1) * parts + part + 1, 0)
+                if wide.max() >= BEGIN:
+                    raise OverflowError("more n-grams than 32-bit numbers")
+                number = wide.astype(np.uint32)[where]
+            mark = np.zeros(len(keys), bool)
+            mark[first] = True
             stop = np.cumsum([len(a[0]) for a in asked])
             for row, e, a in zip(rows, stop, asked, strict=True):
                 s = slice(e - len(a[0]), e)
-                yield _rows([(row[0], answer, part, pack(number[s], counts[where[s]]))])
+                marks = [] if answer == NUMBERS else [mark[s]]
+                yield _rows([(row[0], answer, part, pack(number[s], counts[where[s]], *marks))])
             least = np.bincount(counts[counts <= LARGEST + 1].astype(np.int64), minlength=LARGEST + 2)[1:]
             yield _rows([(-1, answer, part, np.concatenate([[counts.sum(), seen.sum()], least]).astype("<i8").tobytes())])
 
@@ -204,136 +214,157 @@ class Unigrams:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+class Grams:
+    """The n-grams of one order in a batch: context number of each token, and where its requests are."""
+
+    def __init__(self, texts: Texts, order: int, parts: int, begins: int):
+        word = texts.words.astype(np.uint64)
+        self.context, self.times = np.zeros_like(word), np.zeros(len(word))
+        self.context[1:], self.times[1:] = texts.below[:-1], texts.times[:-1]
+        starts = np.cumsum(texts.lengths) - texts.lengths
+        self.context[starts], self.times[starts] = (BEGIN, begins) if order == 2 else (0, 0)
+        self.known = np.flatnonzero(self.context > 0)
+        self.both = np.flatnonzero((self.context > 0) & (word > 0))
+        train = texts.training()
+        keys = (self.context << np.uint64(32) | word)[self.both]
+        self.keys, self.part, self.counts, self.place = _unique(keys, train[self.both], parts)
+        self.contexts, self.context_part, _, at = _unique(self.context[self.known], train[self.known], parts)
+        self.at = np.zeros(len(word), np.int64)
+        self.at[self.known] = at
+
+
 class Texts:
-    """A batch: its texts as token numbers (0: unknown), with the unigram answers put in."""
+    """A batch: its texts as token numbers (0: unknown), with the answers put in, and p of each token, order by order.
 
-    def __init__(self, rows: list[tuple]):
+    `below` and `times` are the number and count of the n-gram of the order reached that ends at each token.
+    """
+
+    def __init__(self, rows: list[tuple], unigrams: Unigrams):
         blob = {k: [r[3] for r in rows if r[1] == k] for k in {r[1] for r in rows}}
         self.ids, self.known_id, self.held, self.lengths, rank, back = unpack(blob[TEXTS][0], "i8", "?", "?", "i8", "u4", "u4")
-        self.place = back[rank]
+        place = back[rank]
         answers = [unpack(b, "u4", "u8") for b in blob[NUMBERS]]
-        self.number, self.count = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
-        self.blob = blob
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(context number, word number, whether both are known) of every token."""
-        word = self.number[self.place].astype(np.uint64)
-        context = np.empty_like(word)
-        context[1:] = word[:-1]
-        context[np.cumsum(self.lengths) - self.lengths] = BEGIN
-        return context, word, (context > 0) & (word > 0)
+        number, count = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
+        self.words, self.count, self.blob = number[place], count[place], blob
+        self.below, self.times, self.p = self.words, self.count, unigrams(self.count)
 
     def training(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
 
+    def answered(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, count, mark) of the distinct n-grams, in the order of the requests."""
+        got = [unpack(b, "u4", "u8", "?") for b in self.blob.get(of_order(COUNTS, order), [])]
+        empty = np.empty(0, np.uint32), np.empty(0, np.uint64), np.empty(0, bool)
+        return tuple(np.concatenate([g[k] for g in got]) if got else empty[k] for k in range(3))
+
+    def climb(self, order: int, grams: Grams, discounts: np.ndarray) -> None:
+        """From p of the order below to p of this order."""
+        number, count, _ = self.answered(order)
+        below, times = np.zeros(len(self.words), np.uint32), np.zeros(len(self.words), np.uint64)
+        below[grams.both], times[grams.both] = number[grams.place], count[grams.place]
+        if len(grams.known):
+            totals = [unpack(b, "f8", "f8") for b in self.blob[of_order(TOTALS, order)]]
+            seen, mass = (np.concatenate([t[k] for t in totals])[grams.at[grams.known]] for k in (0, 1))
+            h, c = grams.times[grams.known], times[grams.known]
+            all_seen = 1 - mass <= 1e-12
+            whole = np.where(all_seen, np.maximum(seen, 1e-300), np.where(seen < h - 1e-9, h, h + 1))
+            weight = np.where(all_seen, 0.0, (1 - seen / whole) / np.where(all_seen, 1.0, 1 - mass))
+            none = seen == 0  # no training text: nothing was seen after it
+            whole, weight = np.where(none, 1.0, whole), np.where(none, 1.0, weight)
+            p = self.p.copy()
+            p[grams.known] = np.where(c > 0, np.maximum(discounted(c, discounts), 1e-300) / whole, weight * self.p[grams.known])
+            self.p = p
+        self.below, self.times = below, times
+
+
+class Model:
+    """What every batch task knows: the unigram statistics, the discounts of the orders done, and how to climb them."""
+
+    def __init__(self, unigrams: Unigrams, parts: int, begins: int):
+        self.unigrams, self.parts, self.begins, self.discounts = unigrams, parts, begins, {}
+
+    def grams(self, texts: Texts, order: int) -> Grams:
+        return Grams(texts, order, self.parts, self.begins)
+
+    def texts(self, rows: list[tuple], order: int) -> Texts:
+        """A batch with p of `order`."""
+        texts = Texts(rows, self.unigrams)
+        for k in range(2, order + 1):
+            texts.climb(k, self.grams(texts, k), self.discounts[k])
+        return texts
+
 
 def _by_batch(rows: DataFrame, work, schema: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(work, schema)
 
 
-def _pair_requests(parts: int):
+def _gram_requests(model: Model, order: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in _grouped(batches, "batch"):
-            texts = Texts(rows)
-            context, word, both = texts.pairs()
-            keys, part, counts, _ = _unique((context << np.uint64(32) | word)[both], texts.training()[both], parts)
-            if len(keys):
-                yield _rows(list(_ask(batch, PAIRS, part, keys, counts)))
+            grams = model.grams(model.texts(rows, order - 1), order)
+            if len(grams.keys):
+                yield _rows(list(_ask(batch, of_order(GRAMS, order), grams.part, grams.keys, grams.counts)))
 
     return run
 
 
-def _context_order(number: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The contexts of a batch, its known words and the begin mark, in the order of (part, number)."""
-    contexts = np.append(np.sort(number[number > 0]).astype(np.uint64), BEGIN)
-    part = (mix(contexts) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    return contexts[order], part[order]
-
-
-def _context_requests(parts: int, unigrams: Unigrams, discounts: np.ndarray):
-    """Each bigram is counted by the first batch that asked for it: its discounted count and p(w), summed by context."""
+def _context_requests(model: Model, order: int):
+    """Each n-gram is counted by the first batch that asked for it: its discounted count and lower p, summed by context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in _grouped(batches, "batch"):
-            blob = {k: [r[3] for r in rows if r[1] == k] for k in (NUMBERS, PAIRS, COUNTS)}
-            answers = [unpack(b, "u4", "u8") for b in blob[NUMBERS]]
-            number, count = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
-            keys = np.concatenate([np.cumsum(unpack(b, "u8", "u4")[0], dtype=np.uint64) for b in blob[PAIRS]] or [np.empty(0, np.uint64)])
-            got = [unpack(b, "u4", "u8") for b in blob[COUNTS]]
-            mine = np.concatenate([g[0] for g in got] or [np.empty(0)]) > 0
-            pairs = np.concatenate([g[1] for g in got] or [np.empty(0)])
-            mine &= pairs > 0
-            keys, pairs = keys[mine], pairs[mine]
-            by_number = np.argsort(number)
-            words = by_number[np.searchsorted(number[by_number], keys & np.uint64(0xFFFFFFFF))]
-            contexts, part = _context_order(number, parts)
-            sort = np.argsort(contexts)
-            at = sort[np.searchsorted(contexts[sort], keys >> np.uint64(32))]
-            seen = np.bincount(at, weights=discounted(pairs, discounts), minlength=len(contexts))
-            mass = np.bincount(at, weights=unigrams(count[words]), minlength=len(contexts))
-            yield _rows(list(_ask(batch, SUMS, part, contexts, seen, mass)))
+            texts = model.texts(rows, order - 1)
+            grams = model.grams(texts, order)
+            _, count, mark = texts.answered(order)
+            mine = mark & (count > 0)
+            token = np.zeros(len(grams.keys), np.int64)  # a token where the n-gram is
+            token[grams.place] = grams.both
+            token = token[mine]
+            at, size = grams.at[token], len(grams.contexts)
+            seen = np.bincount(at, weights=discounted(count[mine], model.discounts[order]), minlength=size)
+            mass = np.bincount(at, weights=texts.p[token], minlength=size)
+            if size:
+                yield _rows(list(_ask(batch, of_order(SUMS, order), grams.context_part, grams.contexts, seen, mass)))
 
     return run
 
 
-def _context_totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, rows in _grouped(batches, "part"):
-        asked = [unpack(r[3], "u8", "f8", "f8") for r in rows]
-        keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-        _, where = np.unique(keys, return_inverse=True)
-        sums = [np.bincount(where, weights=np.concatenate([a[k] for a in asked]))[where] for k in (1, 2)]
-        stop = np.cumsum([len(a[0]) for a in asked])
-        for row, e, a in zip(rows, stop, asked, strict=True):
-            s = slice(e - len(a[0]), e)
-            yield _rows([(row[0], TOTALS, part, pack(sums[0][s], sums[1][s]))])
+def _context_totals(order: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches, "part"):
+            asked = [unpack(r[3], "u8", "f8", "f8") for r in rows]
+            keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
+            _, where = np.unique(keys, return_inverse=True)
+            sums = [np.bincount(where, weights=np.concatenate([a[k] for a in asked]))[where] for k in (1, 2)]
+            stop = np.cumsum([len(a[0]) for a in asked])
+            for row, e, a in zip(rows, stop, asked, strict=True):
+                s = slice(e - len(a[0]), e)
+                yield _rows([(row[0], of_order(TOTALS, order), part, pack(sums[0][s], sums[1][s]))])
+
+    return run
 
 
-def _scores(parts: int, unigrams: Unigrams, discounts: np.ndarray, begins: int):
+def _scores(model: Model, order: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "batch"):
-            texts = Texts(rows)
-            context, word, both = texts.pairs()
-            got = [unpack(b, "u4", "u8")[1] for b in texts.blob.get(COUNTS, [])]
-            _, _, _, where = _unique((context << np.uint64(32) | word)[both], texts.training()[both], parts)
-            pairs = np.zeros(len(word), np.uint64)
-            if got:
-                pairs[both] = np.concatenate(got)[where]
-            # contexts of the batch: what is seen after them, and how often they are
-            contexts, _ = _context_order(texts.number, parts)
-            totals = [unpack(b, "f8", "f8") for b in texts.blob[TOTALS]]
-            seen, mass = (np.concatenate([t[k] for t in totals]) for k in (0, 1))
-            by_number = np.argsort(texts.number)
-            sort = np.argsort(contexts)
-            words = by_number[np.minimum(np.searchsorted(texts.number[by_number], contexts), len(by_number) - 1)]
-            times = np.where(contexts == BEGIN, begins, texts.count[words]).astype(float)
-            all_seen = 1 - mass <= 1e-12
-            whole = np.where(all_seen, np.maximum(seen, 1e-300), np.where(seen < times - 1e-9, times, times + 1))
-            weight = np.where(all_seen, 0.0, (1 - seen / whole) / np.where(all_seen, 1.0, 1 - mass))
-            none = seen == 0  # no training text: nothing was seen after it
-            whole, weight = np.where(none, 1.0, whole), np.where(none, 1.0, weight)
-            known = context > 0
-            at = np.zeros(len(context), np.int64)
-            at[known] = sort[np.searchsorted(contexts[sort], context[known])]
-            single = unigrams(texts.count[texts.place])
-            with np.errstate(divide="ignore"):
-                back = np.log10(np.where(known, weight[at], 1.0) * single)
-            p = np.where(pairs > 0, np.log10(np.maximum(discounted(pairs, discounts), 1e-300) / whole[at]), back)
+            texts = model.texts(rows, order)
             owner = np.repeat(np.arange(len(texts.lengths)), texts.lengths)
 
             def by_text(values, owner=owner, n=len(texts.lengths)):
                 return np.bincount(owner, weights=values, minlength=n)
 
-            counts = texts.count[texts.place]
+            with np.errstate(divide="ignore"):
+                logs = np.log10(texts.p)
+            counts = texts.count
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(texts.ids, mask=~texts.known_id),
                     pa.array(texts.held),
                     pa.array(texts.lengths),
                     pa.array(by_text(counts > 0).astype(np.int64)),
-                    pa.array(by_text(unigrams.base(counts))),
-                    pa.array(by_text(p)),
+                    pa.array(by_text(model.unigrams.base(counts))),
+                    pa.array(by_text(logs)),
                 ],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
@@ -341,10 +372,11 @@ def _scores(parts: int, unigrams: Unigrams, discounts: np.ndarray, begins: int):
     return run
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
+def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs` (doc_id, text).
 
-    Counts come from the whole texts of rows that are not held out (crc32 of the id as text modulo 5 is 1). A null
+    `order` is that of the longest n-grams, 1 or more. Counts come from the whole texts of rows that are not held out
+    (crc32 of the id as text modulo 5 is 1). A null
     or empty text is the end token alone. A row without an id is trained on. Repeated rows repeat and count as often
     as they occur; an empty table stays empty; without training texts every token is unknown. Other
     columns are not read.
@@ -352,15 +384,16 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = staged(tokenised(docs, parts))
     numbers = staged(summed(texts.filter(f"kind = {WORDS}"), NUMBERS, parts))
-    unigrams = Unigrams(statistics(numbers))
-    words = texts.filter(f"kind = {TEXTS}").unionByName(numbers.filter("batch >= 0"))
-    pairs = staged(_by_batch(words, _pair_requests(parts), SCHEMA))
-    counts = staged(summed(pairs, COUNTS, parts))
-    discounts = good_turing(statistics(counts)[2:])
-    asked = numbers.filter("batch >= 0").unionByName(pairs).unionByName(counts.filter("batch >= 0"))
-    sums = staged(_by_batch(asked, _context_requests(parts, unigrams, discounts), SCHEMA))
-    totals = staged(sums.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(_context_totals, SCHEMA))
     begins = docs.filter(~held_out("doc_id", 5, 1)).count()
-    all_rows = words.unionByName(counts.filter("batch >= 0")).unionByName(totals)
+    model = Model(Unigrams(statistics(numbers)), parts, begins)
+    known = texts.filter(f"kind = {TEXTS}").unionByName(numbers.filter("batch >= 0"))
+    for k in range(2, order + 1):
+        asked = staged(_by_batch(known, _gram_requests(model, k), SCHEMA))
+        counts = staged(summed(asked, of_order(COUNTS, k), parts, numbered=k < order))
+        model.discounts[k] = good_turing(statistics(counts)[2:])
+        known = known.unionByName(counts.filter("batch >= 0"))
+        sums = staged(_by_batch(known, _context_requests(model, k), SCHEMA))
+        totals = sums.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(_context_totals(k), SCHEMA)
+        known = known.unionByName(staged(totals))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return _by_batch(all_rows, _scores(parts, unigrams, discounts, begins), schema).withColumn("train_tokens", F.lit(unigrams.total).cast("long"))
+    return _by_batch(known, _scores(model, order), schema).withColumn("train_tokens", F.lit(model.unigrams.total).cast("long"))

@@ -52,7 +52,7 @@ def op1_paragraph_sketches(spark, sf):
 
 @query
 def op2_katz_scores(spark, sf):
-    return katz_scores(table(spark, sf, "documents"))
+    return katz_scores(table(spark, sf, "documents"), order=3)
 
 
 @query
