@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import byte_bpe
 from .common import staged, table
 from .fingerprints import fingerprints
 from .katz import katz_scores
@@ -21,6 +22,8 @@ from .warc import round_trip
 
 #: The model file of the pieces; another path may be given by this setting of the session.
 PIECES = "spark.trialframe.pieceModel"
+#: The file of the ranks; another path may be given by this setting of the session.
+RANKS = "spark.trialframe.byteRanks"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,16 +38,20 @@ def op5_circulant_minhash(spark, sf):
     return near_duplicates(table(spark, sf, "documents"), percent=85)
 
 
-def piece_model(spark: SparkSession) -> str:
-    """Path of the model file, on the driver: the session's setting, or that of the public tokenizers."""
-    path = spark.conf.get(PIECES, None)
+def tokenizer_file(spark: SparkSession, setting: str, name: str) -> str:
+    """Path of a vocabulary file, on the driver: the session's setting, or that of the public tokenizers."""
+    path = spark.conf.get(setting, None)
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("piece_bpe_32k.model")
+        path = public_tokenizers.path(name)
     return path
 
 
+def piece_model(spark: SparkSession) -> str:
+    return tokenizer_file(spark, PIECES, "piece_bpe_32k.model")
+
+
 @query
 def op1_paragraph_sketches(spark, sf):
     return fingerprints(table(spark, sf, "documents"))
@@ -94,5 +101,14 @@ def op10_url_filter(spark, sf):
     return url_filter(pages, repeated_urls(pages))
 
 
+@query
+def op13_byte_bpe(spark, sf):
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(tokenizer_file(spark, RANKS, "byte_bpe_multi_50k.tiktoken"))
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return byte_bpe.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, outputs=outputs)
+
+
 #: Equivalent SQL where it can express an operator.
 ORACLE: dict[str, str] = {}
