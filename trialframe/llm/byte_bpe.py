@@ -2,7 +2,7 @@
 
 Texts are cut into words by the pattern of the vocabulary. The words of a block of texts (about 8 MB) are numbered, so
 each word of a block is encoded once: its bytes become an array of one-byte pieces, and a fold merges, as long as two
-neighbours together are a token, the neighbours of the lowest rank, all their occurrences from left to right. Ranks are
+neighbours together are a token, the neighbours of the lowest rank, the leftmost first. Ranks are
 looked up in a literal rank map, an array of small maps chosen by the crc32 of the bytes, as a lookup in one map of
 50,000 entries would scan it. Ids are the ranks of the pieces left. Decoding concatenates the binary pieces of the ids.
 A block stays one row from cutting to joining the words of each text, so nothing is shuffled.
@@ -13,8 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +41,13 @@ NEWER = regex.compile(
 UNASSIGNED = "\u0378"
 BUCKETS = 1 << 14
 BLOCK = 8 << 20  # bytes of text whose words are numbered together
+LONG = 100
+NONE = 1 << 30  # above every rank
 
 TYPES = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 _ARROW = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string(), "binary": pa.binary()}
-_BLOCK = "keys binary, counts binary, places binary, words array<binary>"
-_BLOCK_ARROW = pa.schema([("keys", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.binary()))])
+_BLOCK = "keys binary, texts binary, chunks binary, parts binary, words binary, spelt array<binary>"
+_BLOCK_ARROW = pa.schema([(c, pa.binary()) for c in ("keys", "texts", "chunks", "parts", "words")] + [("spelt", pa.list_(pa.binary()))])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,11 +65,11 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 
 def pieces_by_id(ranks: dict[bytes, int]) -> Column:
-    """array<binary>, a literal: the bytes of each id; null for ids that no token has."""
+    """array<string>, a literal: the bytes of each id in hex; null for ids that no token has."""
     pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = base64.b64encode(token).decode()
-    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<binary>")
+        pieces[rank] = token.hex().upper()
+    return F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
 
 
 def _let(value: Column, then) -> Column:
@@ -75,58 +79,98 @@ def _let(value: Column, then) -> Column:
 
 def rank_of(ranks: Column, piece: Column) -> Column:
     """Rank of a byte string in the rank map; null for one that is no token."""
-    return F.try_element_at(F.get(ranks, F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int")), F.hex(piece))
+    return F.try_element_at(F.get(ranks, F.crc32(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.hex(piece))
 
 
-def _apart(hits: Column) -> Column:
-    """Of ascending places those that are merged, from left to right: a place next to a merged one is left out."""
-    joined = F.aggregate(
-        hits,
-        F.array().cast("array<int>"),
-        lambda done, i: F.when(F.coalesce(F.element_at(F.slice(F.concat(F.array(F.lit(-1)), done), -1, 1), 1) < i - 1, F.lit(True)), F.concat(done, F.array(i))).otherwise(done),
-    )
-    return F.when(F.size(hits) == 1, hits).otherwise(joined)
+def _joined(word: Column, starts: Column, i: Column, pieces: int) -> Column:
+    """The bytes of so many pieces from the i-th (from 0) on; null if there are fewer."""
+    first = F.get(starts, i)
+    return F.substring(word, first, F.get(starts, i + pieces) - first)
 
 
-def _merged(pieces: Column, ranks: Column) -> Column:
-    """One step of the fold: the neighbours of the lowest rank joined wherever they occur; null if no neighbours are a token."""
+def _fold(word: Column, start: Column, step) -> Column:
+    """`step` applied until it gives null, at most once for each byte; the last state."""
+    state = F.struct(start.alias("at"), F.lit(False).alias("done"))
 
-    def join(best: Column, found: Column) -> Column:
-        hits = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: F.get(found, i - 1) == best)
+    def again(state: Column, _: Column) -> Column:
+        new = _let(step(state["at"]), lambda new: F.struct(F.coalesce(new, state["at"]).alias("at"), new.isNull().alias("done")))
+        return F.when(state["done"], state).otherwise(new)
 
-        def rebuild(at: Column) -> Column:
-            left = F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.transform(at, lambda i: i + 1))
-            return F.transform(
-                left,
-                lambda i: F.when(F.array_contains(at, i), F.concat(F.get(pieces, i - 1), F.get(pieces, i))).otherwise(F.get(pieces, i - 1)),
+    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), state, again, lambda state: state["at"])
+
+
+def _one_by_one(word: Column, ranks: Column) -> Column:
+    """Where pieces start after merging the leftmost neighbours of the lowest rank, again and again; and the end.
+
+    A piece is one number, `rank << 32 | start`: the rank that it has together with the next piece, or `NONE`. So the
+    least number is the next merge, and a merge looks up two ranks anew.
+    """
+
+    def number(start: Column, after: Column) -> Column:
+        """That of a piece, given where the piece after the next one starts; null if there is none."""
+        rank = rank_of(ranks, F.substring(word, start, after - start))
+        return F.shiftleft(F.coalesce(rank, F.lit(NONE)).cast("long"), 32) + start
+
+    def begin(of: Column) -> Column:
+        return of.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+    def merge(pieces: Column) -> Column:
+        def join(lowest: Column) -> Column:
+            place = F.size(F.filter(pieces, lambda p: begin(p) <= begin(lowest)))  # of the second, from 0
+
+            def rebuild(i: Column) -> Column:
+                left = F.filter(pieces, lambda _, k: k != i)
+                return _let(
+                    left,
+                    lambda left: F.transform(left, lambda p, k: F.when((k < i - 2) | (k >= i), p).otherwise(number(begin(p), begin(F.get(left, k + 2))))),
+                )
+
+            return F.when(F.shiftright(lowest, 32) < NONE, _let(place, rebuild))
+
+        return _let(F.array_min(pieces), join)
+
+    size = F.octet_length(word)
+    singles = F.transform(F.sequence(F.lit(1), size + 1), lambda at: number(at, F.when(at < size, at + 2)))
+    return F.transform(_fold(word, singles, merge), begin)
+
+
+def _all_at_once(word: Column, ranks: Column) -> Column:
+    """The same, merging all places of the lowest rank at once from left to right: of overlapping places the second waits."""
+
+    def merge(starts: Column) -> Column:
+        def join(found: Column, lowest: Column) -> Column:
+            hits = F.filter(F.transform(found, lambda rank, i: F.when(rank == lowest, i)), lambda i: i.isNotNull())
+            apart = F.aggregate(
+                hits,
+                F.array().cast("array<int>"),
+                lambda done, i: F.when(F.coalesce(F.get(done, F.size(done) - 1) < i - 1, F.lit(True)), F.concat(done, F.array(i))).otherwise(done),
             )
+            return F.when(lowest.isNotNull(), F.array_except(starts, F.transform(apart, lambda i: F.get(starts, i + 1))))
 
-        return F.when(best.isNotNull(), _let(_apart(hits), rebuild))
+        neighbours = F.transform(starts, lambda _, i: rank_of(ranks, _joined(word, starts, i, 2)))
+        return _let(neighbours, lambda found: _let(F.array_min(found), lambda lowest: join(found, lowest)))
 
-    neighbours = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda a, b: rank_of(ranks, F.concat(a, b))
-    )
-    return _let(neighbours, lambda found: _let(F.array_min(found), lambda best: join(best, found)))
+    return _fold(word, F.sequence(F.lit(1), F.octet_length(word) + 1), merge)
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
-    """Ids of one word (binary): its own rank where it is a token, else the ranks after folding merges over its bytes."""
-    size = F.octet_length(word)
-    start = F.struct(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1))).alias("pieces"), F.lit(False).alias("done"))
+    """Ids of one word (binary): its own rank where it is a token, else the ranks after folding merges over its bytes.
 
-    def step(state: Column, _: Column) -> Column:
-        return F.when(state["done"] | (F.size(state["pieces"]) < 2), state).otherwise(
-            _let(_merged(state["pieces"], ranks), lambda new: F.struct(F.coalesce(new, state["pieces"]).alias("pieces"), new.isNull().alias("done")))
-        )
+    Merges are done one at a time; in words of more than `LONG` bytes all places of a rank at once, so that the work does
+    not grow with the square of the length. Both orders give the same pieces, as no merge makes a pair of a lower rank.
+    """
+
+    def ids(starts: Column) -> Column:
+        return F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda _, i: rank_of(ranks, _joined(word, starts, i, 1)))
 
-    folded = F.aggregate(F.sequence(F.lit(1), size), start, step, lambda state: F.transform(state["pieces"], lambda p: rank_of(ranks, p)))
     whole = rank_of(ranks, word)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
+    folded = F.when(F.octet_length(word) > LONG, _all_at_once(word, ranks)).otherwise(_one_by_one(word, ranks))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(folded, ids))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
-    """The bytes of ids: their pieces, concatenated. Null where an id is none of the vocabulary's."""
-    return F.aggregate(ids, F.lit(b"").cast("binary"), lambda done, i: F.concat(done, F.get(pieces, i)))
+    """The bytes of ids: their binary pieces, written in hex, concatenated. An id that the vocabulary lacks has none."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
 def words_of(text: str, pattern: regex.Pattern) -> list[str]:
@@ -137,67 +181,115 @@ def words_of(text: str, pattern: regex.Pattern) -> list[str]:
     return [text[m.start() : m.end()] for m in pattern.finditer(NEWER.sub(UNASSIGNED, text))]
 
 
+#: A space next to white space; only there do matches of the pattern depend on what is before a space.
+_RUN = re.compile(r" \s|\s ")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text cut before each single space between other characters: no word reaches over such a cut."""
+    first, *rest = _CUT.split(text) if _RUN.search(text) else text.split(" ")
+    return [first, *[" " + r for r in rest]]
+
+
+def _bytes(places: list[np.ndarray]) -> bytes:
+    return np.concatenate([*places, np.empty(0, "<i4")]).astype("<i4").tobytes()
+
+
 def _blocks(pattern: str, keys: list[str]):
+    """One row for each block: its keys, the chunks of each text, the words of each chunk, the words."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
         for batch in text_batches(batches, "_text", BLOCK):
-            number: dict[str, int] = {}
-            counts, places = [], []
+            chunks: dict[str, int] = {}
+            places = []
             for text in batch.column("_text").to_pylist():
-                found = words_of(text or "", cut)
-                counts.append(len(found))
-                places.append(np.fromiter((number.setdefault(w, len(number)) for w in found), "<i4", len(found)))
+                found = chunks_of(text or "")
+                places.append(np.fromiter((chunks.setdefault(c, len(chunks)) for c in found), "<i4", len(found)))
+            words: dict[str, int] = {}
+            parts = []
+            for chunk in chunks:
+                found = words_of(chunk, cut)
+                parts.append(np.fromiter((words.setdefault(w, len(words)) for w in found), "<i4", len(found)))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.select(keys).schema) as out:
                 out.write_batch(batch.select(keys))
-            words = pa.array([w.encode() for w in number], pa.binary())
-            row = [
-                pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                pa.array([np.array(counts, "<i4").tobytes()], pa.binary()),
-                pa.array([np.concatenate([*places, np.empty(0, "<i4")]).astype("<i4").tobytes()], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-            ]
-            yield pa.RecordBatch.from_arrays(row, schema=_BLOCK_ARROW)
+            spelt = pa.array([w.encode() for w in words], pa.binary())
+            row = [sink.getvalue().to_pybytes()]
+            for lists in (places, parts):
+                row += [np.array([len(x) for x in lists], "<i4").tobytes(), _bytes(lists)]
+            arrays = [pa.array([v], pa.binary()) for v in row]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt)], schema=_BLOCK_ARROW)
 
     return run
 
 
-def _texts(keys: list[str], outputs: tuple[str, ...]):
+class _Block:
+    """A block read back: for each of its texts the chunks, and for each chunk what its words stand for."""
+
+    def __init__(self, block: pa.RecordBatch, k: int):
+        with pa.ipc.open_stream(block.column("keys")[k].as_buffer()) as stream:
+            self.keys = stream.read_next_batch()
+        self.texts, self.chunks, self.parts, self.words = (np.frombuffer(block.column(c)[k].as_buffer(), "<i4") for c in ("texts", "chunks", "parts", "words"))
+        encoded = block.column("encoded")[k].values
+        lists, decoded = encoded.field("ids"), encoded.field("decoded")
+        self.starts, self.ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+        self.decoded = decoded.to_pylist
+
+    def _by_chunk(self, of_word: list, join) -> list:
+        words, out, at = self.words.tolist(), [], 0
+        for n in self.parts.tolist():
+            out.append(of_word[words[at]] if n == 1 else join([of_word[w] for w in words[at : at + n]]))
+            at += n
+        return out
+
+    def _by_text(self) -> Iterator[list[int]]:
+        chunks, at = self.chunks.tolist(), 0
+        for n in self.texts.tolist():
+            yield chunks[at : at + n]
+            at += n
+
+    def _words_ids(self) -> list[np.ndarray]:
+        return np.split(self.ids[self.starts[0] : self.starts[-1]], (self.starts[1:-1] - self.starts[0])) if len(self.starts) > 1 else []
+
+    def n_tokens(self) -> list[int]:
+        of_word = np.diff(self.starts)
+        ends = np.cumsum(self.parts)
+        of_chunk = np.diff(np.append(0, np.append(0, np.cumsum(of_word[self.words]))[ends]))
+        ends = np.cumsum(self.texts)
+        return np.diff(np.append(0, np.append(0, np.cumsum(of_chunk[self.chunks]))[ends])).tolist()
+
+    def id_lists(self) -> list[np.ndarray]:
+        none = np.empty(0, np.int32)
+        of_chunk = self._by_chunk(self._words_ids(), lambda x: np.concatenate([none, *x]))
+        return [np.concatenate([none, *[of_chunk[c] for c in chunks]]) for chunks in self._by_text()]
+
+    def id_digests(self) -> list[str]:
+        ids = self.ids.tolist()
+        of_word = [",".join(map(str, ids[a:b])) for a, b in pairwise(self.starts.tolist())]
+        of_chunk = self._by_chunk(of_word, ",".join)
+        return [hashlib.sha256(",".join([of_chunk[c] for c in chunks if of_chunk[c]]).encode()).hexdigest() for chunks in self._by_text()]
+
+    def texts_back(self) -> Iterator[bytes]:
+        of_chunk = self._by_chunk(self.decoded(), b"".join)
+        return (b"".join([of_chunk[c] for c in chunks]) for chunks in self._by_text())
+
+    def output(self, name: str) -> list:
+        if name == "decoded_sha256":
+            return [hashlib.sha256(t).hexdigest() for t in self.texts_back()]
+        return list({"n_tokens": self.n_tokens, "ids": self.id_lists, "ids_sha256": self.id_digests, "decoded": self.texts_back}[name]())
+
+
+def _texts(outputs: tuple[str, ...]):
     """The words of each text of a block, joined: the keys and the outputs asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in batches:
-            for k in range(block.num_rows):
-                with pa.ipc.open_stream(block.column("keys")[k].as_buffer()) as stream:
-                    key = stream.read_next_batch()
-                counts = np.frombuffer(block.column("counts")[k].as_py(), "<i4")
-                places = np.frombuffer(block.column("places")[k].as_py(), "<i4")
-                ends = np.cumsum(counts)
-                encoded = block.column("encoded")[k].values
-                lists, decoded = encoded.field("ids"), encoded.field("decoded").to_pylist()
-                starts = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy()
-                lengths = np.diff(starts)
-                own = [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)] if "ids" in outputs else []
-                spelt = [",".join(map(str, flat[a:b].tolist())) for a, b in zip(starts[:-1], starts[1:], strict=True)] if "ids_sha256" in outputs else []
-                made: dict[str, list] = {o: [] for o in outputs}
-                for stop, n in zip(ends.tolist(), counts.tolist(), strict=True):
-                    at = places[stop - n : stop]
-                    words = at.tolist()
-                    if "n_tokens" in made:
-                        made["n_tokens"].append(int(lengths[at].sum()))
-                    if "ids" in made:
-                        made["ids"].append(np.concatenate([own[w] for w in words]) if words else np.empty(0, np.int32))
-                    if "ids_sha256" in made:
-                        made["ids_sha256"].append(hashlib.sha256(",".join([spelt[w] for w in words]).encode()).hexdigest())
-                    if "decoded" in made or "decoded_sha256" in made:
-                        data = b"".join([decoded[w] for w in words])
-                        if "decoded" in made:
-                            made["decoded"].append(data)
-                        if "decoded_sha256" in made:
-                            made["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
-                arrays = [pa.array(made[o], _ARROW[TYPES[o]]) for o in outputs]
-                yield pa.RecordBatch.from_arrays([key.column(i) for i in range(len(keys))] + arrays, [*keys, *outputs])
+        for rows in batches:
+            for k in range(rows.num_rows):
+                block = _Block(rows, k)
+                arrays = [pa.array(block.output(o), _ARROW[TYPES[o]]) for o in outputs]
+                yield pa.RecordBatch.from_arrays([*block.keys.columns, *arrays], [*block.keys.schema.names, *outputs])
 
     return run
 
@@ -228,8 +320,8 @@ def encode(
         return F.struct(ids.alias("ids"), decode_ids(ids, pieces).alias("decoded"))
 
     def encoded(tables: Column) -> Column:
-        return F.transform("words", lambda w: _let(encode_word(w, tables["ranks"]), lambda ids: word(ids, tables["pieces"])))
+        return F.transform("spelt", lambda w: _let(encode_word(w, tables["ranks"]), lambda ids: word(ids, tables["pieces"])))
 
     tables = F.struct(rank_map(ranks).alias("ranks"), pieces_by_id(ranks).alias("pieces"))
-    rows = blocks.select("keys", "counts", "places", _let(tables, encoded).alias("encoded")).mapInArrow(_texts(names, outputs), schema)
+    rows = blocks.select("keys", "texts", "chunks", "parts", "words", _let(tables, encoded).alias("encoded")).mapInArrow(_texts(outputs), schema)
     return rows.toDF(*keys, *outputs)
