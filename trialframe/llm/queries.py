@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, oracle
 from .common import staged, table
 from .fingerprints import fingerprints
 from .katz import katz_scores
+from .lexical_search import top_documents
 from .near_duplicates import near_duplicates
 from .piece_encoding import encode
 from .quality_votes import quality
@@ -18,6 +19,7 @@ from .source_mixing import mix
 from .threads import conversations, reply_order
 from .toxicity import toxicity
 from .url_filter import repeated_urls, url_filter
+from .vector_codes import compress
 from .warc import round_trip
 
 #: The model file of the pieces; another path may be given by this setting of the session.
@@ -101,6 +103,16 @@ def op10_url_filter(spark, sf):
     return url_filter(pages, repeated_urls(pages))
 
 
+@query
+def op11_vector_codes(spark, sf):
+    return compress(table(spark, sf, "embeddings")).drop("label")
+
+
+@query
+def op12_lexical_search(spark, sf):
+    return top_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op13_byte_bpe(spark, sf):
     import public_tokenizers
@@ -111,4 +123,4 @@ def op13_byte_bpe(spark, sf):
 
 
 #: Equivalent SQL where it can express an operator.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.build()
