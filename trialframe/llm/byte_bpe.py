@@ -73,8 +73,8 @@ def pieces_by_id(ranks: dict[bytes, int]) -> Column:
 
 
 def _let(value: Column, then) -> Column:
-    """`then(value)`, with the value worked out once."""
-    return F.transform(F.array(value), then)[0]
+    """`then(value)`, with the value worked out once: the start of a fold over nothing, and its end."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, then)
 
 
 def rank_of(ranks: Column, piece: Column) -> Column:
