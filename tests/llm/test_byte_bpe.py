@@ -72,6 +72,8 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
     before = encode(spark, ODD)
     monkeypatch.setattr(byte_bpe, "BLOCK", 100)
     assert encode(spark, ODD) == before
+    monkeypatch.setattr(byte_bpe, "KNOWN", 3)
+    assert encode(spark, ODD) == before
 
 
 def test_a_vocabulary_without_some_byte_is_refused(spark):

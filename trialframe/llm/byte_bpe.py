@@ -1,11 +1,12 @@
 """Byte-level BPE: ranked merges folded over the byte arrays of distinct words, in Spark's higher-order functions.
 
-Texts are cut into words by the pattern of the vocabulary. The words of a block of texts (about 8 MB) are numbered, so
-each word of a block is encoded once: its bytes become an array of one-byte pieces, and a fold merges, as long as two
+Texts are cut into words by the pattern of the vocabulary. The words of a task's texts are numbered, so
+each word is encoded once for a task (a bounded number of words is remembered): its bytes become an array of one-byte pieces, and a fold merges, as long as two
 neighbours together are a token, the neighbours of the lowest rank, the leftmost first. Ranks are
 looked up in a literal rank map, an array of small maps chosen by the crc32 of the bytes, as a lookup in one map of
 50,000 entries would scan it. Ids are the ranks of the pieces left. Decoding concatenates the binary pieces of the ids.
-A block stays one row from cutting to joining the words of each text, so nothing is shuffled.
+A block of texts (about 4 MB) is one row with its new words, from cutting to joining the words of each
+text; rows stay in order and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +42,15 @@ NEWER = regex.compile(
 )
 UNASSIGNED = "\u0378"
 BUCKETS = 1 << 14
-BLOCK = 8 << 20  # bytes of text whose words are numbered together
+BLOCK = 4 << 20  # bytes of text that are a row
+KNOWN = 1 << 20  # chunks that a task remembers
 LONG = 100
 NONE = 1 << 30  # above every rank
 
 TYPES = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 _ARROW = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string(), "binary": pa.binary()}
-_BLOCK = "keys binary, texts binary, chunks binary, parts binary, words binary, spelt array<binary>"
-_BLOCK_ARROW = pa.schema([(c, pa.binary()) for c in ("keys", "texts", "chunks", "parts", "words")] + [("spelt", pa.list_(pa.binary()))])
+_BLOCK = "first boolean, keys binary, texts binary, places binary, parts binary, numbers binary, spelt array<binary>"
+_BLOCK_ARROW = pa.schema([("first", pa.bool_()), *[(c, pa.binary()) for c in ("keys", "texts", "places", "parts", "numbers")], ("spelt", pa.list_(pa.binary()))])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,17 +91,6 @@ def _joined(word: Column, starts: Column, i: Column, pieces: int) -> Column:
     return F.substring(word, first, F.get(starts, i + pieces) - first)
 
 
-def _fold(word: Column, start: Column, step) -> Column:
-    """`step` applied until it gives null, at most once for each byte; the last state."""
-    state = F.struct(start.alias("at"), F.lit(False).alias("done"))
-
-    def again(state: Column, _: Column) -> Column:
-        new = _let(step(state["at"]), lambda new: F.struct(F.coalesce(new, state["at"]).alias("at"), new.isNull().alias("done")))
-        return F.when(state["done"], state).otherwise(new)
-
-    return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), state, again, lambda state: state["at"])
-
-
 def _one_by_one(word: Column, ranks: Column) -> Column:
     """Where pieces start after merging the leftmost neighbours of the lowest rank, again and again; and the end.
 
@@ -108,30 +100,29 @@ def _one_by_one(word: Column, ranks: Column) -> Column:
 
     def number(start: Column, after: Column) -> Column:
         """That of a piece, given where the piece after the next one starts; null if there is none."""
-        rank = rank_of(ranks, F.substring(word, start, after - start))
+        rank = rank_of(ranks, F.substring(word, start.cast("int"), (after - start).cast("int")))
         return F.shiftleft(F.coalesce(rank, F.lit(NONE)).cast("long"), 32) + start
 
     def begin(of: Column) -> Column:
-        return of.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        return of.bitwiseAND(F.lit(0xFFFFFFFF))
 
-    def merge(pieces: Column) -> Column:
+    def merge(pieces: Column, _: Column) -> Column:
         def join(lowest: Column) -> Column:
-            place = F.size(F.filter(pieces, lambda p: begin(p) <= begin(lowest)))  # of the second, from 0
+            place = _let(begin(lowest), lambda at: F.size(F.filter(pieces, lambda p: begin(p) <= at)))  # of the second, from 0
 
             def rebuild(i: Column) -> Column:
-                left = F.filter(pieces, lambda _, k: k != i)
-                return _let(
-                    left,
-                    lambda left: F.transform(left, lambda p, k: F.when((k < i - 2) | (k >= i), p).otherwise(number(begin(p), begin(F.get(left, k + 2))))),
-                )
+                def renumber(left: Column) -> Column:
+                    return F.transform(left, lambda p, k: F.when((k >= i) | (k < i - 2), p).otherwise(number(begin(p), begin(F.get(left, k + 2)))))
 
-            return F.when(F.shiftright(lowest, 32) < NONE, _let(place, rebuild))
+                return _let(F.filter(pieces, lambda _, k: k != i), renumber)
+
+            return F.when(lowest < (NONE << 32), _let(place, rebuild)).otherwise(pieces)
 
         return _let(F.array_min(pieces), join)
 
     size = F.octet_length(word)
     singles = F.transform(F.sequence(F.lit(1), size + 1), lambda at: number(at, F.when(at < size, at + 2)))
-    return F.transform(_fold(word, singles, merge), begin)
+    return F.aggregate(F.sequence(F.lit(2), size), singles, merge, lambda pieces: F.transform(pieces, lambda p: begin(p).cast("int")))
 
 
 def _all_at_once(word: Column, ranks: Column) -> Column:
@@ -150,7 +141,13 @@ def _all_at_once(word: Column, ranks: Column) -> Column:
         neighbours = F.transform(starts, lambda _, i: rank_of(ranks, _joined(word, starts, i, 2)))
         return _let(neighbours, lambda found: _let(F.array_min(found), lambda lowest: join(found, lowest)))
 
-    return _fold(word, F.sequence(F.lit(1), F.octet_length(word) + 1), merge)
+    def again(state: Column, _: Column) -> Column:
+        new = _let(merge(state["at"]), lambda new: F.struct(F.coalesce(new, state["at"]).alias("at"), new.isNull().alias("done")))
+        return F.when(state["done"], state).otherwise(new)
+
+    size = F.octet_length(word)
+    start = F.struct(F.sequence(F.lit(1), size + 1).alias("at"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(2), size), start, again, lambda state: state["at"])
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
@@ -192,104 +189,113 @@ def chunks_of(text: str) -> list[str]:
     return [first, *[" " + r for r in rest]]
 
 
-def _bytes(places: list[np.ndarray]) -> bytes:
-    return np.concatenate([*places, np.empty(0, "<i4")]).astype("<i4").tobytes()
+class _Numbers(dict):
+    """Numbers its keys in the order in which they are asked for first."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+    def of(self, keys: list) -> list[int]:
+        return list(map(self.__getitem__, keys))
 
 
 def _blocks(pattern: str, keys: list[str]):
-    """One row for each block: its keys, the chunks of each text, the words of each chunk, the words."""
+    """One row for each block: its keys, the chunks of each text, the words of each new chunk, the new words.
+
+    Chunks and words are numbered over the blocks of a task, until there are `KNOWN` chunks; then numbers start anew.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = regex.compile(pattern)
+        chunks, words = _Numbers(), _Numbers()
         for batch in text_batches(batches, "_text", BLOCK):
-            chunks: dict[str, int] = {}
-            places = []
+            if len(chunks) >= KNOWN:
+                chunks, words = _Numbers(), _Numbers()
+            old_chunks, old_words = len(chunks), len(words)
+            texts, places, parts, numbers = [], array("i"), [], array("i")
             for text in batch.column("_text").to_pylist():
                 found = chunks_of(text or "")
-                places.append(np.fromiter((chunks.setdefault(c, len(chunks)) for c in found), "<i4", len(found)))
-            words: dict[str, int] = {}
-            parts = []
-            for chunk in chunks:
+                texts.append(len(found))
+                places.extend(chunks.of(found))
+            for chunk in islice(chunks, old_chunks, None):
                 found = words_of(chunk, cut)
-                parts.append(np.fromiter((words.setdefault(w, len(words)) for w in found), "<i4", len(found)))
+                parts.append(len(found))
+                numbers.extend(words.of(found))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.select(keys).schema) as out:
                 out.write_batch(batch.select(keys))
-            spelt = pa.array([w.encode() for w in words], pa.binary())
-            row = [sink.getvalue().to_pybytes()]
-            for lists in (places, parts):
-                row += [np.array([len(x) for x in lists], "<i4").tobytes(), _bytes(lists)]
-            arrays = [pa.array([v], pa.binary()) for v in row]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt)], schema=_BLOCK_ARROW)
+            spelt = pa.array([w.encode() for w in islice(words, old_words, None)], pa.binary())
+            row = [pa.array([old_chunks == 0]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            row += [pa.array([x.tobytes()], pa.binary()) for x in (array("i", texts), places, array("i", parts), numbers)]
+            yield pa.RecordBatch.from_arrays([*row, pa.ListArray.from_arrays(pa.array([0, len(spelt)], pa.int32()), spelt)], schema=_BLOCK_ARROW)
 
     return run
 
 
-class _Block:
-    """A block read back: for each of its texts the chunks, and for each chunk what its words stand for."""
-
-    def __init__(self, block: pa.RecordBatch, k: int):
-        with pa.ipc.open_stream(block.column("keys")[k].as_buffer()) as stream:
-            self.keys = stream.read_next_batch()
-        self.texts, self.chunks, self.parts, self.words = (np.frombuffer(block.column(c)[k].as_buffer(), "<i4") for c in ("texts", "chunks", "parts", "words"))
-        encoded = block.column("encoded")[k].values
-        lists, decoded = encoded.field("ids"), encoded.field("decoded")
-        self.starts, self.ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-        self.decoded = decoded.to_pylist
-
-    def _by_chunk(self, of_word: list, join) -> list:
-        words, out, at = self.words.tolist(), [], 0
-        for n in self.parts.tolist():
-            out.append(of_word[words[at]] if n == 1 else join([of_word[w] for w in words[at : at + n]]))
+class _Decoder:
+    """Puts blocks together again, in their order: what each known chunk stands for, by its number."""
+
+    def __init__(self, outputs: tuple[str, ...]):
+        self.outputs = outputs
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, list] = {"n": [], "ids": [], "spelt": [], "bytes": []}
+        self.chunks: dict[str, list] = {k: [] for k in self.words}
+
+    def block(self, rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        if rows.column("first")[k].as_py():
+            self.clear()
+        texts, places, parts, numbers = (np.frombuffer(rows.column(c)[k].as_buffer(), "<i4").tolist() for c in ("texts", "places", "parts", "numbers"))
+        encoded = rows.column("encoded")[k].values
+        lists = encoded.field("ids")
+        starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        if "n_tokens" in self.outputs:
+            self._learn("n", np.diff(starts).tolist(), parts, numbers, sum)
+        if "ids" in self.outputs:
+            self._learn("ids", [flat[a:b].tolist() for a, b in pairwise(starts)], parts, numbers, lambda x: list(chain.from_iterable(x)))
+        if "ids_sha256" in self.outputs:
+            spelt = list(map(str, flat.tolist()))
+            self._learn("spelt", [",".join(spelt[a:b]) for a, b in pairwise(starts.tolist())], parts, numbers, ",".join)
+        if {"decoded", "decoded_sha256"} & set(self.outputs):
+            self._learn("bytes", encoded.field("decoded").to_pylist(), parts, numbers, b"".join)
+        with pa.ipc.open_stream(rows.column("keys")[k].as_buffer()) as stream:
+            keys = stream.read_next_batch()
+        made: dict[str, list] = {o: [] for o in self.outputs}
+        at = 0
+        for n in texts:
+            own = places[at : at + n]
             at += n
-        return out
-
-    def _by_text(self) -> Iterator[list[int]]:
-        chunks, at = self.chunks.tolist(), 0
-        for n in self.texts.tolist():
-            yield chunks[at : at + n]
+            for name, column in made.items():
+                column.append(self._of_text(name, own))
+        arrays = [pa.array(c, _ARROW[TYPES[o]]) for o, c in made.items()]
+        return pa.RecordBatch.from_arrays([*keys.columns, *arrays], [*keys.schema.names, *made])
+
+    def _learn(self, kind: str, new: list, parts: list[int], numbers: list[int], join) -> None:
+        words, chunks, at = self.words[kind], self.chunks[kind], 0
+        words += new
+        for n in parts:
+            chunks.append(words[numbers[at]] if n == 1 else join([words[w] for w in numbers[at : at + n]]))
             at += n
 
-    def _words_ids(self) -> list[np.ndarray]:
-        return np.split(self.ids[self.starts[0] : self.starts[-1]], (self.starts[1:-1] - self.starts[0])) if len(self.starts) > 1 else []
-
-    def n_tokens(self) -> list[int]:
-        of_word = np.diff(self.starts)
-        ends = np.cumsum(self.parts)
-        of_chunk = np.diff(np.append(0, np.append(0, np.cumsum(of_word[self.words]))[ends]))
-        ends = np.cumsum(self.texts)
-        return np.diff(np.append(0, np.append(0, np.cumsum(of_chunk[self.chunks]))[ends])).tolist()
-
-    def id_lists(self) -> list[np.ndarray]:
-        none = np.empty(0, np.int32)
-        of_chunk = self._by_chunk(self._words_ids(), lambda x: np.concatenate([none, *x]))
-        return [np.concatenate([none, *[of_chunk[c] for c in chunks]]) for chunks in self._by_text()]
-
-    def id_digests(self) -> list[str]:
-        ids = self.ids.tolist()
-        of_word = [",".join(map(str, ids[a:b])) for a, b in pairwise(self.starts.tolist())]
-        of_chunk = self._by_chunk(of_word, ",".join)
-        return [hashlib.sha256(",".join([of_chunk[c] for c in chunks if of_chunk[c]]).encode()).hexdigest() for chunks in self._by_text()]
-
-    def texts_back(self) -> Iterator[bytes]:
-        of_chunk = self._by_chunk(self.decoded(), b"".join)
-        return (b"".join([of_chunk[c] for c in chunks]) for chunks in self._by_text())
-
-    def output(self, name: str) -> list:
-        if name == "decoded_sha256":
-            return [hashlib.sha256(t).hexdigest() for t in self.texts_back()]
-        return list({"n_tokens": self.n_tokens, "ids": self.id_lists, "ids_sha256": self.id_digests, "decoded": self.texts_back}[name]())
+    def _of_text(self, output: str, places: list[int]):
+        if output == "n_tokens":
+            return sum(map(self.chunks["n"].__getitem__, places))
+        if output == "ids":
+            return list(chain.from_iterable(map(self.chunks["ids"].__getitem__, places)))
+        if output == "ids_sha256":  # only an empty text has a chunk without ids
+            return hashlib.sha256(",".join(map(self.chunks["spelt"].__getitem__, places)).encode()).hexdigest()
+        data = b"".join(map(self.chunks["bytes"].__getitem__, places))
+        return data if output == "decoded" else hashlib.sha256(data).hexdigest()
 
 
 def _texts(outputs: tuple[str, ...]):
-    """The words of each text of a block, joined: the keys and the outputs asked for."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _Decoder(outputs)
         for rows in batches:
             for k in range(rows.num_rows):
-                block = _Block(rows, k)
-                arrays = [pa.array(block.output(o), _ARROW[TYPES[o]]) for o in outputs]
-                yield pa.RecordBatch.from_arrays([*block.keys.columns, *arrays], [*block.keys.schema.names, *outputs])
+                yield decoder.block(rows, k)
 
     return run
 
@@ -323,5 +329,5 @@ def encode(
         return F.transform("spelt", lambda w: _let(encode_word(w, tables["ranks"]), lambda ids: word(ids, tables["pieces"])))
 
     tables = F.struct(rank_map(ranks).alias("ranks"), pieces_by_id(ranks).alias("pieces"))
-    rows = blocks.select("keys", "texts", "chunks", "parts", "words", _let(tables, encoded).alias("encoded")).mapInArrow(_texts(outputs), schema)
+    rows = blocks.select("first", "keys", "texts", "places", "parts", "numbers", _let(tables, encoded).alias("encoded")).mapInArrow(_texts(outputs), schema)
     return rows.toDF(*keys, *outputs)
