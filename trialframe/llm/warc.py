@@ -1,6 +1,6 @@
 """WARC archives: one gzip member for each record, read back sequentially.
 
-Writing: rows are dealt to archives by a hash of their key; a task writes each of its archives under a
+Writing: rows are dealt by a hash of page and payload, a partition for each archive; a task writes its archive under a
 temporary name and renames it, so an attempt that is repeated leaves the same file. Reading: a task streams an
 archive in pieces of 1 MB through zlib, one member after the other, takes the block by its Content-Length and
 checks the digests. Memory is bounded by the largest record. Files are reached through
@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,64 +98,58 @@ def parsed(member: bytes) -> dict:
     return {"headers": headers, "payload": payload, "payload_length": length}
 
 
-def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_batches(batches, "html"):
-        payloads = batch.column("html").cast(pa.binary()).fill_null(b"").to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), pa.array([hashlib.sha1(p).digest() for p in payloads], pa.binary()), pa.array([len(p) for p in payloads], pa.int64())],
-            ["page_id", "digest", "size"],
-        )
-
-
 def _folder(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
 
 
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, sha1, refers_to): the payloads of at least 1000 bytes that a page with a larger id has too."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    found = pages.filter(F.col("page_id").isNotNull() & (size >= LEAST_REVISIT)).select("page_id", "sha1", size.alias("size")).distinct()
+    largest = found.groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).filter("first < last")
+    return found.join(largest, ["sha1", "size"]).filter("page_id < last").select("page_id", "sha1", F.col("last").alias("refers_to"))
+
+
 def write_archives(pages: DataFrame, folder: str, archives: int) -> DataFrame:
     """Write a record for each row of `pages` (page_id, url, html) to `folder`; (archive, records, bytes) of the files.
 
     Of equal payloads of at least 1000 bytes the row with the largest page_id is a response and the others
     revisit it; a row without page_id is always a response. Repeated rows are written as often as they occur.
+    The rows and the list of revisits are dealt once, by page and payload, to as many partitions as there are archives:
+    a partition is an archive. In its order an entry of the list comes just before the rows that it marks.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url"), F.col("html"))
-    found = pages.filter(f"octet_length(html) >= {LEAST_REVISIT}").mapInArrow(_digests, "page_id long, digest binary, size long")
-    largest = found.filter("page_id IS NOT NULL").groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"))
-    again = found.join(largest.filter("first < last"), ["digest", "size"]).filter("page_id < last").select("page_id", F.col("last").alias("refers_to"), F.lower(F.hex("digest")).alias("sha1")).distinct()
-    # a row is a revisit if its page and its payload are; the payload is hashed again beside its row
-    rows = pages.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).join(again, ["page_id", "sha1"], "left")
-    rows = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), "refers_to")
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "url"), F.lit(archives)).cast("int"))
+    pages = pages.withColumn("sha1", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    marks = revisits(pages).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha1", "refers_to")
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), "sha1", F.lit(None).cast("long").alias("refers_to"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _folder(folder)
         files.create_dir(base, recursive=True)
-        now, out, n, done = None, None, 0, []
-        attempt = uuid.uuid4().hex
-
-        def close():
-            out.close()
-            final = f"{base}/{now:06d}.warc.gz"
-            files.move(f"{final}.{attempt}", final)
-            done.append((now, n, files.get_file_info(final).size))
-
+        archive, n, out, mark = TaskContext.get().partitionId(), 0, None, None
+        final = f"{base}/{archive:06d}.warc.gz"
+        attempt = f"{final}.{uuid.uuid4().hex}"
         for batch in text_batches(batches, "html"):
             for row in batch.to_pylist():
-                if row["archive"] != now:
-                    if out is not None:
-                        close()
-                    now, n = row["archive"], 0
-                    out = files.open_output_stream(f"{base}/{now:06d}.warc.gz.{attempt}")
+                key = row["page_id"], row["sha1"]
+                if row["html"] is None:
+                    mark = key, row["refers_to"]
+                    continue
+                if out is None:
+                    out = files.open_output_stream(attempt)
                 payload = row["html"].encode()
-                out.write(record(row["page_id"], row["url"], payload, len(payload), row["refers_to"]))
+                out.write(record(row["page_id"], row["url"], payload, len(payload), mark[1] if mark and mark[0] == key else None))
                 n += 1
-        if out is not None:
-            close()
+        if out is None:
+            return
+        out.close()
+        files.move(attempt, final)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else ([], [], []), (pa.int32(), pa.int64(), pa.int64()), strict=True)],
-            ["archive", "records", "bytes"],
+            [pa.array([archive], pa.int32()), pa.array([n], pa.int64()), pa.array([files.get_file_info(final).size], pa.int64())], ["archive", "records", "bytes"]
         )
 
-    dealt = rows.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "url")
+    dealt = rows.unionByName(marks).repartition(archives, "page_id", "sha1")
+    dealt = dealt.sortWithinPartitions("page_id", "sha1", F.col("refers_to").isNull(), "url")
     return staged(dealt.mapInArrow(run, "archive int, records long, bytes long"))
 
 
