@@ -388,11 +388,11 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     model = Model(Unigrams(statistics(numbers)), parts, begins)
     known = texts.filter(f"kind = {TEXTS}").unionByName(numbers.filter("batch >= 0"))
     for k in range(2, order + 1):
-        asked = staged(_by_batch(known, _gram_requests(model, k), SCHEMA))
+        asked = _by_batch(known, _gram_requests(model, k), SCHEMA)
         counts = staged(summed(asked, of_order(COUNTS, k), parts, numbered=k < order))
         model.discounts[k] = good_turing(statistics(counts)[2:])
         known = known.unionByName(counts.filter("batch >= 0"))
-        sums = staged(_by_batch(known, _context_requests(model, k), SCHEMA))
+        sums = _by_batch(known, _context_requests(model, k), SCHEMA)
         totals = sums.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(_context_totals(k), SCHEMA)
         known = known.unionByName(staged(totals))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
