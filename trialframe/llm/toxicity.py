@@ -4,7 +4,7 @@ A text is its lower-cased character 3-, 4- and 5-grams, hashed to 2**18 features
 log(1 + occurrences in a thousand characters). A feature counts with its log ratio
 r = log((p / |p|) / (q / |q|)), p and q being smoothed sums of its values among toxic and clean training texts; a ridge-penalised logistic regression is fitted
 on the scaled features. It is fitted in one task on a bounded sample of the labelled rows (at most
-`sample` of each class, those with the smallest hash of the id, whatever the size of the input). All
+`sample` ids and `characters` of whole texts of each class, those with the smallest hash of the id, whatever the size of the input). All
 rows are scored in one pass over the texts, without a shuffle; the coefficients take 1 MB.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_batches
@@ -24,6 +24,9 @@ BITS = 18
 FEATURES = 1 << BITS
 SIZES = (3, 4, 5)
 SAMPLE = 4000
+#: Characters of sampled text of a class: about 3 features each, of 8 bytes, so the fit takes 1.2 GB at most.
+CHARACTERS = 25_000_000
+BLOCK = 1 << 20  # features that are handled at once in the fit
 SMOOTHING = 10.0
 RIDGE = 1e-3
 STEPS = 60
@@ -56,29 +59,62 @@ def _hashed(chars: np.ndarray, starts: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, float]:
+def _blocks(rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, begin of each row, features, values) of blocks of about `BLOCK` values: the only copy of the matrix."""
+    held, size, first, count = [], 0, 0, 0
+    for at, value in rows:
+        held.append((at, value))
+        size += len(at)
+        count += 1
+        if size >= BLOCK:
+            yield first, *_joined(held)
+            held, size, first = [], 0, count
+    if held:
+        yield first, *_joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    begins = np.cumsum([0, *[len(at) for at, _ in held]])
+    return begins, np.concatenate([at for at, _ in held]).astype(np.int32), np.concatenate([v for _, v in held]).astype(np.float32)
+
+
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Coefficients of the raw features and the intercept.
 
-    With one class only, or no rows, every coefficient is 0 and the intercept gives the smoothed share.
+    The features take 8 bytes for each value; losses and gradients are added up block by block. With one class only, or
+    no rows, every coefficient is 0 and the intercept gives the smoothed share.
     """
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-    if not len(rows) or toxic.min() == toxic.max():
+    if not len(toxic) or toxic.min() == toxic.max():
         return np.zeros(FEATURES), float(np.log(share / (1 - share)))
-    at, amount = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    seen = [np.bincount(at, weights=(toxic == c)[owner] * amount, minlength=FEATURES) for c in (0.0, 1.0)]
+    blocks = list(_blocks(rows))
+
+    def per_row(by_feature: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(toxic))
+        for first, begins, at, value in blocks:
+            sums = np.append(0.0, np.cumsum(by_feature[at] * value))
+            out[first : first + len(begins) - 1] = sums[begins[1:]] - sums[begins[:-1]]
+        return out
+
+    def per_feature(by_row: np.ndarray) -> np.ndarray:
+        out = np.zeros(FEATURES)
+        for first, begins, at, value in blocks:
+            shares = np.repeat(by_row[first : first + len(begins) - 1], np.diff(begins))
+            out += np.bincount(at, weights=shares * value, minlength=FEATURES)
+        return out
+
+    seen = [per_feature((toxic == c).astype(float)) for c in (0.0, 1.0)]
     sizes = [(toxic == c).sum() for c in (0.0, 1.0)]
     # smoothed in proportion to the classes, so a feature that neither class has weighs nothing
     rate = [(n + SMOOTHING * k / len(toxic)) / k for n, k in zip(seen, sizes, strict=True)]
     ratio = np.log(rate[1] / rate[0])
-    value = ratio[at] * amount
     weight = np.where(toxic == 1, 0.5 / sizes[1], 0.5 / sizes[0])  # both classes weigh the same in the fit
     sign = 2 * toxic - 1
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        margin = sign * (np.bincount(owner, weights=value * x[at], minlength=len(rows)) + x[-1])
+        margin = sign * (per_row(x[:-1] * ratio) + x[-1])
         error = -weight * sign / (1 + np.exp(np.clip(margin, -40, 40)))
-        grad = np.append(np.bincount(at, weights=value * error[owner], minlength=FEATURES) + RIDGE * x[:-1], error.sum())
+        grad = np.append(ratio * per_feature(error) + RIDGE * x[:-1], error.sum())
         return float((weight * np.logaddexp(0, -margin)).sum() + RIDGE / 2 * (x[:-1] ** 2).sum()), grad
 
     x = _minimum(loss, np.zeros(FEATURES + 1))
@@ -119,21 +155,34 @@ def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows += [(at.astype(np.int32), value.astype(np.float32)) for at, value in found]
         toxic += batch.column("toxic").to_pylist()
         order += batch.column("doc_id").to_pylist()
-    by_id = np.argsort(np.array(order, np.int64), kind="stable")  # the order of arrival must not matter
-    w, b = fit([rows[k] for k in by_id], np.array(toxic, float)[by_id])
+    # the order of arrival must not matter, not even for repeated ids
+    by_id = sorted(range(len(rows)), key=lambda k: (order[k], len(rows[k][0]), rows[k][0].tobytes(), rows[k][1].tobytes()))
+    labels = np.array(toxic, float)[by_id]
+
+    def in_order() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in by_id:
+            row, rows[k] = rows[k], None  # the blocks of the fit are the only copy
+            yield row
+
+    w, b = fit(in_order(), labels)
     yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()]), pa.array([b])], ["weights", "intercept"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[bytes, float]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS) -> tuple[bytes, float]:
     """Coefficients and intercept learned from `labels` (doc_id, toxic 0/1) and the texts of `docs`.
 
     Of repeated labels of an id the largest counts; null ids and labels are left out. At most 2 * sample
-    ids are broadcast to find their texts, so the texts of other rows are not moved.
+    ids are broadcast to find their texts, so the texts of other rows are not moved. Of a class, whole texts are taken in
+    the order of the hash until they have `characters` characters.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text")
+    size = F.coalesce(F.length("text"), F.lit(0)) + 1
+    before = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    rows = rows.withColumn("_before", before).filter(F.col("_before") < characters).drop("_before")
     found = rows.repartition(1).mapInArrow(_fitted, "weights binary, intercept double").first()
     if found is None:  # no labelled text at all: no task had a row
         return np.zeros(FEATURES, "<f4").tobytes(), 0.0
