@@ -71,3 +71,15 @@ def test_tails_of_a_whole_column(table):
     p = [r.p for r in with_p_value(df, "f", "f", "a", "b").collect()]
     assert p[0] == pytest.approx(math.exp(-4) * 5, rel=1e-9) and p[1:] == [None, None, None]
     assert with_p_value(df.filter(F.lit(False)), "f", "f", "a", "b").collect() == []
+
+
+def test_rank_sum_plan_does_not_grow_with_the_levels(spark):
+    sizes = []
+    for levels in (5, 200):
+        df = spark.range(400).selectExpr(f"concat('g', id % {levels}) AS g", "double(id * 7919 % 400) AS v")
+        pairs = op.pairwise_ranksum(df, [], "g", "v", adjust="none")
+        sizes.append(len(pairs._jdf.queryExecution().analyzed().toString().splitlines()))
+        if levels == 200:
+            rows = {(r.g1, r.g2): r for r in pairs.collect()}
+            assert len(rows) == 200 * 199 // 2 and all(r.n1 == r.n2 == 2 and 0 <= r.w <= 4 and r.p is not None for r in rows.values())
+    assert sizes[0] == sizes[1]

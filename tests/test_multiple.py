@@ -1,5 +1,8 @@
 """Adjustment, pair tables and compact letters."""
 
+import random
+import re
+import time
 from itertools import combinations
 
 import brute
@@ -9,6 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from trialframe import operators as op
+from trialframe.operators.multiple import largest_sets
 
 PAIRS = "s string, g1 string, g2 string, p_adj double"
 
@@ -81,6 +85,43 @@ def test_letters_of_many_levels(table):
     assert len(got) == 70
 
 
+def test_largest_sets_against_listing_all():
+    rng = random.Random(1)
+    for n in (1, 6, 8) * 40:
+        apart = [p for p in combinations(range(n), 2) if rng.random() < 0.5]
+        good = [s for k in range(1, n + 1) for s in combinations(range(n), k) if not any(set(p) <= set(s) for p in apart)]
+        assert largest_sets(n, apart) == sorted(list(s) for s in good if not any(set(s) < set(t) for t in good))
+
+
+def test_letters_of_80_irregular_levels_take_seconds(table):
+    rng = random.Random(3)
+    levels = [f"t{i:02d}" for i in range(80)]
+    data = pairs_of(levels, [p for p in combinations(levels, 2) if rng.random() < 0.4])
+    start = time.time()
+    got = {r.group: r.letters for r in op.compact_letters(table(data, PAIRS), "s").collect()}
+    assert time.time() - start < 60
+    sets = {g: set(re.findall(r"\.*[a-zA-Z]", x)) for g, x in got.items()}
+    assert all(bool(sets[a] & sets[b]) == (p >= 0.05) for _, a, b, p in data)
+
+
+def test_adjustment_of_a_large_family(spark, staged_path):
+    """Several chunks, ties over a third of the rows, NaN and NULL, two slices; no task takes a whole family."""
+    rng = random.Random(2)
+    data = [(s, i, rng.choice([0.01, rng.random() ** 3, rng.random()])) for s in "ab" for i in range(1500)]
+    data += [("a", 5000, None), ("a", 5001, float("nan"))]
+    df = spark.createDataFrame(data, "s string, i int, p double")
+    for by in (["s"], []):
+        table = op.adjust_bh(df, by, "p")
+        assert table.columns == ["s", "i", "p", "p_adj"]
+        assert "SinglePartition" not in table._jdf.queryExecution().toString()
+        got = {(r.s, r.i): r.p_adj for r in table.collect()}
+        for s in "ab" if by else [None]:
+            family = [(k, i, p) for k, i, p in data if s in (None, k) and i < 5000]
+            want = list(brute.bh([p for *_, p in family]))
+            assert [got[k, i] for k, i, _ in family] == pytest.approx(want, rel=1e-12)
+        assert got["a", 5000] is None and got["a", 5001] is None
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.sets(st.sampled_from([(a, b) for a, b in combinations("abcdef", 2)])), min_size=4, max_size=8))
 def test_letters_shared_iff_not_significant(table, relations):

@@ -5,9 +5,17 @@ All tables here are result-sized: one row per slice and pair of treatment levels
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
+from ..functions.scalar import number
+from ..sources.staging import stage
 from .slices import SLICE, from_slice, names, slice_key, with_slice
 
 # The letters of a compact display, in the order they are given out.
@@ -60,16 +68,31 @@ def vs_reference(df: DataFrame, group: str, ref: str, by=None) -> DataFrame:
 
 
 def adjust_bh(df: DataFrame, by, p: str, out: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg within each slice; a missing p stays missing and does not count."""
+    """Benjamini-Hochberg within each slice; a missing p (NULL or NaN) stays missing and does not count.
+
+    A family may have any size. The rows are range-partitioned on (slice, p), equal p's spread too; a rank is the
+    place in its chunk and the rows of earlier chunks, and the least step above a row is that of the rest of its chunk and
+    of later chunks. Both need one row for each slice and chunk only.
+    """
     by = names(by)
-    table = with_slice(df, by)
-    tests = F.count(p).over(Window.partitionBy(SLICE))
-    order = Window.partitionBy(SLICE).orderBy(F.col(p).asc_nulls_last())
-    table = table.withColumn("_rank", F.row_number().over(order)).withColumn("_tests", tests)
-    step = F.col(p) * F.col("_tests") / F.col("_rank")
-    upward = Window.partitionBy(SLICE).orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(step).over(upward)))
-    return table.withColumn(out, adjusted).drop(SLICE, "_rank", "_tests")
+    table = with_slice(df, by).withColumn("_p", number(p)).withColumn("_tie", F.monotonically_increasing_id())
+    order = [SLICE, F.col("_p").asc_nulls_last(), "_tie"]
+    table = stage(table.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id()))
+    chunk = [SLICE, "_chunk"]
+    chunks, within = Window.partitionBy(SLICE).orderBy("_chunk"), Window.partitionBy(*chunk).orderBy(*order[1:])
+    sizes = table.groupBy(*chunk).agg(F.count("_p").alias("_rows"))
+    sizes = sizes.select(
+        *chunk, (F.sum("_rows").over(chunks) - F.col("_rows")).alias("_offset"), F.sum("_rows").over(Window.partitionBy(SLICE)).alias("_tests")
+    )
+    step = F.col("_p") * F.col("_tests") / (F.col("_offset") + F.row_number().over(within))
+    ranked = table.join(sizes, chunk).withColumn("_step", step)
+    least = ranked.groupBy(*chunk).agg(F.min("_step").alias("_least"))
+    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    least = least.select(*chunk, F.min("_least").over(later).alias("_later"))
+    upward = F.min("_step").over(within.rowsBetween(0, Window.unboundedFollowing))
+    table = ranked.withColumn("_least", upward).join(least, chunk)
+    adjusted = F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.col("_least"), F.col("_later")))
+    return table.withColumn(out, adjusted).select(*[c for c in df.columns if c != out], out)
 
 
 def adjust_p(df: DataFrame, by, p: str, method: str, out: str = "p_adj") -> DataFrame:
@@ -99,59 +122,81 @@ def pair_matrix(full: DataFrame, by, levels: list[str], p: str = "p_adj") -> Dat
     return full.groupBy(*names(by), "g1").pivot("g2", levels).agg(F.first(p))
 
 
+#: Pairs of sets that are compared at once, in words of 64 levels.
+COMPARED = 1 << 22
+
+
+def _inside(parts: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Which of the parts lie inside one of the sets; both are rows of 64-bit words."""
+    out = np.zeros(len(parts), bool)
+    step = max(1, COMPARED // max(1, sets.size))
+    for start in range(0, len(parts), step):
+        some = parts[start : start + step, None, :]
+        out[start : start + step] = ((some & ~sets[None]) == 0).all(axis=2).any(axis=1)
+    return out
+
+
+def largest_sets(levels: int, apart: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """The largest sets of levels 0, 1, ... without a pair that is apart, in the order of their levels.
+
+    Sets are bit masks, an antichain at any time. A pair (i, j) splits the sets that hold both. What is left of one without i
+    can only lie inside a set that holds j and not i and was not split, so only those are looked at; what is left of two
+    sets without the same level cannot lie in one another. There may be exponentially many largest sets (3 to the third of
+    the levels, for levels in threes all apart within), and the time grows with the square of their number.
+    """
+    words = -(-levels // 64)
+    sets = np.zeros((1, words), np.uint64)
+    for k in range(levels):
+        sets[0, k // 64] |= np.uint64(1 << k % 64)
+    for i, j in apart:
+        (iw, ib), (jw, jb) = ((k // 64, np.uint64(1 << k % 64)) for k in (i, j))
+        with_i, with_j = (sets[:, iw] & ib) != 0, (sets[:, jw] & jb) != 0
+        split = sets[with_i & with_j]
+        if not len(split):
+            continue
+        kept = [sets[~(with_i & with_j)]]
+        for w, b, others in ((iw, ib, sets[with_j & ~with_i]), (jw, jb, sets[with_i & ~with_j])):
+            part = split.copy()
+            part[:, w] &= ~b
+            kept.append(part[~_inside(part, others)] if len(others) else part)
+        sets = np.concatenate(kept)
+    return sorted([k for k in range(levels) if s[k // 64] >> np.uint64(k % 64) & np.uint64(1)] for s in sets)
+
+
+def _letter(i: int) -> str:
+    return "." * (i // len(LETTERS)) + LETTERS[i % len(LETTERS)]
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _letters_of(levels: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
+    out = []
+    for n, a, b in zip(levels, first, second):
+        letters = [""] * n
+        for k, members in enumerate(largest_sets(int(n), zip(a.tolist(), b.tolist()))):
+            for level in members:
+                letters[level] += _letter(k)
+        out.append(letters)
+    return pd.Series(out)
+
+
 def compact_letters(pairs: DataFrame, by, p: str = "p_adj", alpha: float = 0.05) -> DataFrame:
     """Letters per group: two groups share a letter exactly when their pair is not significant.
 
-    Starting from one set with all levels, each significant pair splits the sets
-    that hold both of its levels, and sets inside another set are dropped; what
-    remains are the largest sets without a significant pair. The fold runs over
-    the significant pairs of a slice, so there is no bound on the number of levels.
+    Starting from one set with all levels, each significant pair splits the sets that hold both of its levels, and sets
+    inside another set are dropped (`largest_sets`). There is no bound on the number of levels.
     """
     by = names(by)
     table = with_slice(pairs, by).groupBy(SLICE).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("g1", "g2"))))).alias("levels"),
         F.sort_array(F.collect_list(F.when(F.col(p) < alpha, F.struct("g1", "g2")))).alias("apart"),
     )
+    table = table.withColumn("place", F.map_from_arrays("levels", F.sequence(F.lit(0), F.size("levels") - 1)))
 
-    def split(sets, pair):
-        parts = F.flatten(
-            F.transform(
-                sets,
-                lambda s: F.when(
-                    F.array_contains(s, pair["g1"]) & F.array_contains(s, pair["g2"]),
-                    F.array(F.array_remove(s, pair["g1"]), F.array_remove(s, pair["g2"])),
-                ).otherwise(F.array(s)),
-            )
-        )
-        # a one-element array holds the parts, so that they are worked out once per pair
-        held = F.array(F.array_distinct(parts))
-        return F.transform(
-            held,
-            lambda all_: F.filter(
-                all_,
-                lambda s: ~F.exists(all_, lambda t: (s != t) & (F.size(F.array_except(s, t)) == 0)),
-            ),
-        )[0]
-
-    sets = F.sort_array(F.aggregate("apart", F.array(F.col("levels")), split))
-    table = table.select(SLICE, "levels", sets.alias("sets"))
-    alphabet = F.lit(LETTERS)
-
-    def letter(i):
-        return F.concat(
-            F.repeat(F.lit("."), F.floor(i / len(LETTERS)).cast("int")),
-            F.substring(alphabet, (i % len(LETTERS)) + 1, F.lit(1)),
-        )
-
-    def letters_of(group):
-        return F.concat_ws(
-            "", F.transform("sets", lambda s, i: F.when(F.array_contains(s, group), letter(i)))
-        )
-
-    rows = F.transform(
-        "levels", lambda g: F.struct(g.alias("_group"), letters_of(g).alias("letters"))
-    )
-    return table.select(SLICE, F.inline(rows)).select(
+    def places(g: str) -> Column:
+        return F.transform("apart", lambda pair: F.element_at("place", pair[g]))
+
+    table = table.select(SLICE, "levels", _letters_of(F.size("levels"), places("g1"), places("g2")).alias("letters"))
+    return table.select(SLICE, F.inline(F.arrays_zip(F.col("levels").alias("_group"), "letters"))).select(
         *from_slice(by), F.col("_group").alias("group"), "letters"
     )
 

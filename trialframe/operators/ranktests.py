@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normal import chi2_sf, normal_two_sided
 from ..functions.scalar import ratio
-from ..functions.tails import rank_sum_exact
+from ..functions.tails import EXACT_ROWS, rank_sum_exact
 from ..sources.staging import stage
-from ..sources.tables import union_all
 from .multiple import adjust_p, pair_up
 from .ordering import BELOW, CHUNK, COUNT, GROUP, TIES, VALUE, chunk_ranks, chunked, value_counts
 from .slices import SLICE, from_slice, names
@@ -90,43 +95,72 @@ def dunn(df: DataFrame, by, group: str, value: str, adjust: str = "bh") -> DataF
     return adjust_p(table, by, "p", adjust)
 
 
-def _pair_sums(table: DataFrame, targets: dict[int, str]) -> DataFrame:
-    """For each group and each target group: half-tie win count and cross tie sum, over all chunks.
+#: Numbers in the tables of one step of the ordered pass.
+CELLS = 1 << 21
+
+
+def pair_counts(place: np.ndarray, level: np.ndarray, n: np.ndarray, levels: int, ties: bool, only: int | None, block: int) -> Iterator[tuple]:
+    """(i, j, wins, cross) as arrays, from rows in the order of their place, for pairs i < j of levels or (only, j).
 
-    `targets` maps a number to the SQL condition that a row belongs to that
-    target. One window pass counts every target at once, so rows are not copied
-    per pair.
+    wins: for each row of level i the rows of level j below it, and half of those at its place if `ties`; cross: what the
+    places add to the tie sum of the pair. One pass over the places keeps the running count of each level.
     """
-    upto = "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    here = "RANGE BETWEEN CURRENT ROW AND CURRENT ROW"
-
-    def counts(column: str, name: str, spread: str) -> list[str]:
-        out = []
-        for j in targets:
-            out.append(f"sum({column}{j}) OVER ({spread} {upto}) AS _upto{j}")
-            out.append(f"double(sum({column}{j}) OVER ({spread} {here})) AS {name}{j}")
-        return out
-
-    keys = [SLICE, CHUNK, VALUE, GROUP, "_ord", COUNT]
-    table = table.selectExpr(*keys, *[f"IF({is_target}, {COUNT}, 0) AS _own{j}" for j, is_target in targets.items()])
-    spread = f"PARTITION BY {SLICE}, {CHUNK} ORDER BY {VALUE}"
-    table = table.selectExpr("*", *counts("_own", "_tie", spread))
-    n = f"double({COUNT})"
-    aggs = [f"sum({COUNT}) AS _n"]
-    for j in targets:
-        aggs += [
-            f"sum({n} * (_upto{j} - _tie{j} / 2)) AS _u{j}",
-            f"sum(3.0D * {n} * _tie{j} * ({n} + _tie{j})) AS _x{j}",
-            f"sum(_own{j}) AS _c{j}",
-        ]
-    chunks = table.groupBy(SLICE, CHUNK, GROUP, "_ord").agg(*map(F.expr, aggs))
-    chunks = chunks.selectExpr("*", *counts("_c", "_here", f"PARTITION BY {SLICE} ORDER BY {CHUNK}"))
-    aggs = []
-    for j in targets:
-        aggs += [f"sum(_u{j} + double(_n) * (_upto{j} - _here{j})) AS _u{j}", f"sum(_x{j}) AS _x{j}"]
-    sums = chunks.groupBy(SLICE, GROUP, "_ord").agg(*map(F.expr, aggs))
-    entries = [f"named_struct('_other', {j}, '_wins', _u{j}, '_cross', _x{j})" for j in targets]
-    return sums.selectExpr(SLICE, GROUP, "_ord", f"inline(array({', '.join(entries)}))")
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(place))
+    step = max(1, CELLS // max(1, levels))
+    for first in range(0, levels, block) if only is None else [only]:
+        own = slice(first, min(first + block, levels) if only is None else first + 1)
+        wins = np.zeros((own.stop - own.start, levels))
+        cross = np.zeros_like(wins)
+        running = np.zeros(levels)
+        for s in range(0, len(starts), step):
+            rows = slice(starts[s], ends[min(s + step, len(starts)) - 1])
+            at = np.cumsum(np.append(0, place[rows][1:] != place[rows][:-1]))
+            here = np.zeros((at[-1] + 1, levels))
+            here[at, level[rows]] = n[rows]
+            below = running + np.cumsum(here, axis=0) - here
+            running = running + here.sum(axis=0)
+            wins += here[:, own].T @ (below + here / 2 if ties else below)
+            if ties:
+                cross += 3 * ((here[:, own] ** 2).T @ here + here[:, own].T @ here**2)
+        i, j = np.meshgrid(np.arange(own.start, own.stop), np.arange(levels), indexing="ij")
+        keep = (j > i) if only is None else (j != i)
+        yield i[keep], j[keep], wins[keep], cross[keep]
+
+
+def _pass(rows: DataFrame, keys: list[str], place: str, ties: bool, ref, block: int) -> DataFrame:
+    """`pair_counts` on the rows of each key, which has bounded rows; levels are named by their group."""
+    schema = T.StructType([rows.schema[SLICE], *[T.StructField(c, rows.schema[GROUP].dataType) for c in ("g1", "g2")]])
+    schema = schema.add("_wins", "double").add("_cross", "double")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        groups = pa.compute.unique(table.column(GROUP))
+        groups = groups.take(pa.compute.sort_indices(groups))
+        level = np.asarray(pa.compute.index_in(table.column(GROUP), groups), dtype=np.int64)
+        where = np.asarray(table.column(place))
+        order = np.argsort(where, kind="stable")
+        only = None
+        if ref is not None:
+            only = groups.to_pylist().index(ref) if ref in groups.to_pylist() else -1
+        found = [] if only == -1 else list(pair_counts(where[order], level[order], np.asarray(table.column(COUNT), dtype=float)[order], len(groups), ties, only, block))
+        i, j, wins, cross = (np.concatenate([f[k] for f in found]) if found else np.empty(0, t) for k, t in enumerate((np.int64, np.int64, float, float)))
+        slices = table.column(SLICE).combine_chunks().take(pa.array(np.zeros(len(i), np.int64)))
+        return pa.table([slices, groups.take(pa.array(i)), groups.take(pa.array(j)), pa.array(wins), pa.array(cross)], names=[SLICE, "g1", "g2", "_wins", "_cross"])
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _pair_sums(table: DataFrame, ref, block: int) -> DataFrame:
+    """(slice, g1, g2): half-tie wins of g1 over g2 and cross tie sum, for g1 < g2, or for g1 = ref.
+
+    Inside the chunks one ordered pass counts all pairs that meet there; a pass of the same kind over the counts of
+    (chunk, level) adds the rows of earlier chunks. The plan does not depend on the number of levels.
+    """
+    inside = _pass(table.select(SLICE, CHUNK, GROUP, VALUE, COUNT), [SLICE, CHUNK], VALUE, True, ref, block)
+    counts = table.groupBy(SLICE, CHUNK, GROUP).agg(F.sum(COUNT).alias(COUNT))
+    sums = inside.unionByName(_pass(counts, [SLICE], CHUNK, False, ref, block))
+    return sums.groupBy(SLICE, "g1", "g2").agg(F.sum("_wins").alias("_wins"), F.sum("_cross").alias("_cross"))
 
 
 def rank_sum_z(w: Column, n1: Column, n2: Column, tie_sum: Column) -> Column:
@@ -147,75 +181,37 @@ def pairwise_ranksum(
     adjust: str = "bh",
     ref: str | None = None,
     exact: bool = True,
-    block: int = 32,
+    block: int = 1024,
 ) -> DataFrame:
     """Wilcoxon rank-sum for every pair of groups, ranked inside each pair.
 
     With `ref`, only the pairs (ref, other) are tested. With `exact`, pairs
     without ties and with fewer than 50 rows on each side take the exact
     distribution; all others the normal approximation. Any number of groups is
-    handled: targets are counted `block` at a time.
+    handled by the same plan; a task counts `block` levels against all others at a time.
     """
     by = names(by)
     table = stage(chunked(value_counts(df, by, value, group)))
     n = F.col(COUNT).cast("double")
-    levels = table.groupBy(SLICE, GROUP).agg(
-        F.sum(COUNT).alias("_size"), F.sum(n * n * n - n).alias("_own")
-    )
-    order = Window.partitionBy(SLICE).orderBy(GROUP)
-    levels = stage(levels.withColumn("_ord", F.row_number().over(order)))
-    info = levels.groupBy(SLICE).agg(
-        F.sort_array(F.collect_list(F.struct("_ord", GROUP, "_size", "_own"))).alias("_levels")
-    )
-    most, smallest = levels.agg(F.max("_ord"), F.min("_size")).first()
-    if ref is not None:
-        rows = table.withColumn("_ord", F.lit(1))
-        rows = rows.withColumn("_is_ref", F.col(GROUP) == F.lit(ref))
-        sums = _pair_sums(rows, {0: "_is_ref"}).filter(F.col(GROUP) != F.lit(ref))
-        pairs = sums.join(info, SLICE).select(
-            SLICE,
-            F.get(F.filter("_levels", lambda x: x[GROUP] == F.lit(ref)), F.lit(0)).alias("_a"),
-            F.get(F.filter("_levels", lambda x: x[GROUP] == F.col(GROUP)), F.lit(0)).alias("_b"),
-            "_wins",
-            "_cross",
-        )
-        pairs = pairs.filter(F.col("_a").isNotNull()).withColumn(
-            "_wins", F.col("_a._size").cast("double") * F.col("_b._size") - F.col("_wins")
-        )
-    else:
-        most = most or 1
-        rows = table.join(levels.select(SLICE, GROUP, "_ord"), [SLICE, GROUP])
-        blocks = [
-            _pair_sums(rows, {j: f"_ord = {j}" for j in range(start, min(start + block, most + 1))})
-            for start in range(1, most + 1, block)
-        ]
-        sums = union_all(blocks)
-        pairs = (
-            sums.filter(F.col("_other") > F.col("_ord"))
-            .join(info, SLICE)
-            .filter(F.col("_other") <= F.size("_levels"))
-            .select(
-                SLICE,
-                F.get("_levels", F.col("_ord") - 1).alias("_a"),
-                F.get("_levels", F.col("_other") - 1).alias("_b"),
-                "_wins",
-                "_cross",
-            )
-        )
-    n1, n2 = F.col("_a._size"), F.col("_b._size")
-    pairs = pairs.withColumn("_tie_sum", F.col("_a._own") + F.col("_b._own") + F.col("_cross"))
+    levels = table.groupBy(SLICE, GROUP).agg(F.sum(COUNT).alias("_size"), F.sum(n * n * n - n).alias("_own"))
+
+    def side(g: str, k: int) -> DataFrame:
+        return levels.select(SLICE, F.col(GROUP).alias(g), F.col("_size").alias(f"n{k}"), F.col("_own").alias(f"_own{k}"))
+
+    pairs = _pair_sums(table, ref, block).join(side("g1", 1), [SLICE, "g1"]).join(side("g2", 2), [SLICE, "g2"])
+    tie_sum = F.col("_own1") + F.col("_own2") + F.col("_cross")
     out = pairs.select(
         *from_slice(by),
-        F.col("_a._group").alias("g1"),
-        F.col("_b._group").alias("g2"),
-        n1.alias("n1"),
-        n2.alias("n2"),
+        "g1",
+        "g2",
+        "n1",
+        "n2",
         F.col("_wins").alias("w"),
-        rank_sum_z(F.col("_wins"), n1, n2, F.col("_tie_sum")).alias("z"),
-        ((F.col("_tie_sum") == 0) & (n1 < 50) & (n2 < 50)).alias("_exact"),
+        rank_sum_z(F.col("_wins"), F.col("n1"), F.col("n2"), tie_sum).alias("z"),
+        ((tie_sum == 0) & (F.col("n1") < EXACT_ROWS) & (F.col("n2") < EXACT_ROWS)).alias("_exact"),
     )
     out = out.withColumn("p", normal_two_sided("z"))
-    if exact and smallest is not None and smallest < 50:
+    if exact:
         small = F.when(F.col("_exact"), F.col("w"))
         out = out.withColumn(
             "p",
