@@ -230,7 +230,7 @@ def test_shapiro_is_calibrated_and_bounded(spark):
     share = op.shapiro(draws, "g", "v").agg(F.avg((F.col("p") < 0.05).cast("int"))).first()[0]
     assert 0.01 < share < 0.1
     big = spark.range(0, 5001).select(F.lit("x").alias("g"), F.col("id").cast("double").alias("v"))
-    assert op.shapiro(big, "g", "v").first().reason == "more than 5000 values"
+    assert op.shapiro(big, "g", "v").first().reason == "p extrapolated beyond 5000 values"
 
 
 def test_shapiro_above_5000_values(spark):
@@ -247,7 +247,7 @@ def test_shapiro_above_5000_values(spark):
     weights = [-a1, -a2, *[v / math.sqrt(phi) for v in m[2:-2]], a2, a1]
     w = sum(a * v for a, v in zip(weights, x, strict=True)) ** 2 / sum((v - mean) ** 2 for v in x)
     assert got["big"].w == pytest.approx(w, rel=1e-9) and 0 <= got["big"].p <= 1
-    assert (got["big"].n, got["big"].reason) == (6001, "more than 5000 values")
+    assert (got["big"].n, got["big"].reason) == (6001, "p extrapolated beyond 5000 values")
     assert got["flat"].w is None and got["small"].reason is None and 0.8 < got["small"].w < 1
 
 

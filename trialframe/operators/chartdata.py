@@ -147,10 +147,12 @@ def scatter_fit_data(df: DataFrame, by, x: str, y: str) -> dict[str, DataFrame]:
 
 
 def grouped_bar_data(
-    df: DataFrame, by, x: str, fill: str | None, value: str, ref: str | None = None
+    df: DataFrame, by, x: str, fill: str | None, value: str, ref: str | None = None, fill_ref: str | None = None
 ) -> DataFrame:
     """Mean and error bar per (x, fill), with the place of x by descending median, omnibus p and stars against `ref`.
 
+    With `fill_ref`, `fill_p` and `fill_stars` compare each level of `fill` with that one inside its x.
+
     Places, tests and stars belong to the slice `by`, as each slice is a chart.
     """
     by = names(by)
@@ -167,6 +169,12 @@ def grouped_bar_data(
             slice_key(by).alias(SLICE), F.col("g2").alias(x), "p", star_code(F.col("p")).alias("stars")
         )
         table = table.join(stars, [SLICE, x], "left")
+    if fill_ref is not None:
+        inner = pairwise_ranksum(df, [*by, x], fill, value, adjust="none", ref=fill_ref)
+        inner = inner.select(
+            slice_key(by).alias(SLICE), x, F.col("g2").alias(fill), F.col("p").alias("fill_p"), star_code(F.col("p")).alias("fill_stars")
+        )
+        table = table.join(inner, [SLICE, x, fill], "left")
     return table.drop(SLICE)
 
 

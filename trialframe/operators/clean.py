@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import number
 from ..sources.staging import stage
 from .ordering import BELOW, COUNT, VALUE, quantiles, ranked, sorted_counts
 from .slices import SLICE, add_stats, names, slice_key
@@ -134,8 +135,8 @@ def reorder_levels(
 
 
 def flag_threshold(df: DataFrame, col: str, cut: float, out: str = "flag") -> DataFrame:
-    """0 below the cut, 1 at or above it, NULL stays NULL."""
-    c = F.col(col)
+    """0 below the cut, 1 at or above it, NULL for a missing value (NULL or NaN)."""
+    c = number(col)
     return df.withColumn(out, F.when(c < cut, F.lit(0)).when(c >= cut, F.lit(1)))
 
 

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.scalar import number, ratio
-from ..functions.tails import f_sf, f_tail, t_quantile, t_two_sided
+from ..functions.tails import f_sf, t_quantile, t_two_sided
+from ..sources.staging import stage
 from .ordering import COUNT, GROUP, VALUE, join_stats, quantile_aggs, ranked, sorted_counts, value_counts
 from .slices import SLICE, add_stats, from_slice, names, slice_key
 
@@ -115,49 +117,6 @@ def _terms(factors: list[str], interactions: bool) -> list[tuple[int, ...]]:
     return [c for size in range(1, top + 1) for c in combinations(range(len(factors)), size)]
 
 
-def sequential_table(cells: pd.DataFrame, factors: list[str], interactions: bool) -> list[dict]:
-    """Sequential sums of squares on a cell table (`_size`, `_mean`, `_within` per cell).
-
-    Each term's indicator columns, weighted by cell size, are added to an
-    orthonormal basis; the term's degrees of freedom are the new directions, so
-    empty cells need no special case.
-    """
-    weight = np.sqrt(cells["_size"].to_numpy(float))
-    grand = np.average(cells["_mean"], weights=cells["_size"])
-    response = weight * (cells["_mean"].to_numpy(float) - grand)
-    codes = [pd.factorize(cells[f].astype(str), sort=True)[0] for f in factors]
-    basis = (weight / np.linalg.norm(weight))[:, None]
-    out, explained = [], 0.0
-    for term in _terms(factors, interactions):
-        label = np.zeros(len(cells), dtype=np.int64)
-        for k in term:
-            label = label * (codes[k].max() + 1) + codes[k]
-        label = np.unique(label, return_inverse=True)[1]
-        design = np.zeros((len(cells), label.max() + 1))
-        design[np.arange(len(cells)), label] = weight
-        for _ in range(2):
-            design = design - basis @ (basis.T @ design)
-        left, size, _ = np.linalg.svd(design, full_matrices=False)
-        fresh = left[:, size > 1e-8 * weight.max()]
-        ss = float(np.sum((fresh.T @ response) ** 2))
-        basis = np.hstack([basis, fresh])
-        explained += ss
-        out.append({"term": ":".join(factors[k] for k in term), "df": fresh.shape[1], "ss": ss})
-    between = float(response @ response)
-    rest = float(cells["_within"].sum()) + max(0.0, between - explained)
-    total = between + float(cells["_within"].sum())
-    df_rest = int(cells["_size"].sum()) - basis.shape[1]
-    solid = df_rest > 0 and rest > DUST * total
-    for row in out:
-        row["ms"] = row["ss"] / row["df"] if row["df"] else None
-        row["f"] = row["ms"] / (rest / df_rest) if solid and row["df"] else None
-        row["p"] = f_tail(row["f"], row["df"], df_rest) if row["f"] is not None else None
-    out.append(
-        {"term": "Residuals", "df": df_rest, "ss": rest, "ms": rest / df_rest if df_rest else None, "f": None, "p": None}
-    )
-    return out
-
-
 def _factor_cells(df: DataFrame, by: list[str], factors: list[str], value: str) -> DataFrame:
     rows = df.select(*by, *[F.col(f).cast("string").alias(f) for f in factors], number(value).alias(VALUE))
     rows = rows.dropna(subset=[*factors, VALUE])
@@ -168,37 +127,118 @@ def _factor_cells(df: DataFrame, by: list[str], factors: list[str], value: str)
     )
 
 
+#: A pivot below this share of its column's weight counts as none: the column lies in the span of earlier ones.
+ALIASED = 1e-9
+
+
+def swept(size: int, i, j, products, responses) -> np.ndarray:
+    """What each column takes of the response, in order, after the columns before it; -1 for a column without a pivot.
+
+    `products` are the cross-products of columns i <= j (0 where absent), `responses` those of columns and response.
+    """
+    matrix = np.zeros((size, size))
+    matrix[i, j] = products
+    matrix[j, i] = products
+    left = np.array(responses, float)
+    weight = matrix.diagonal().copy()
+    out = np.full(size, -1.0)
+    for k in range(size):
+        pivot = matrix[k, k]
+        if pivot <= ALIASED * weight[k]:
+            continue
+        out[k] = left[k] ** 2 / pivot
+        share = matrix[k + 1 :, k] / pivot
+        rows = np.flatnonzero(share)
+        matrix[k + 1 + rows, k + 1 :] -= share[rows, None] * matrix[k, k + 1 :]
+        left[k + 1 :] -= share * left[k]
+    return out
+
+
+@pandas_udf(T.ArrayType(T.DoubleType()))
+def _swept(size: pd.Series, i: pd.Series, j: pd.Series, products: pd.Series, responses: pd.Series) -> pd.Series:
+    return pd.Series([swept(int(n), *rest) for n, *rest in zip(size, i, j, products, responses)])
+
+
+def _swept_terms(cells: DataFrame, terms: list[tuple[int, ...]], names_of: list[str]) -> DataFrame:
+    """(slice, term number, df, ss) of the terms in their order, from cells with `_gap`, their mean less the grand mean.
+
+    The columns of the model are the intercept and an indicator for each combination of levels that a term has. A cell lies in
+    one column of each term, so the cross-products are sums of cell sizes over pairs of columns, added up by Spark.
+    """
+    size = F.col("_size").cast("double")
+    columns = [F.struct(F.lit(0).alias("term"), F.array().cast("array<string>").alias("key"))]
+    columns += [F.struct(F.lit(k).alias("term"), F.array(*[names_of[f] for f in term]).alias("key")) for k, term in enumerate(terms, 1)]
+    spread = cells.select(SLICE, size.alias("_w"), (size * F.col("_gap")).alias("_y"), F.array(*columns).alias("_in"))
+    order = Window.partitionBy(SLICE).orderBy("_c")
+    numbers = spread.select(SLICE, F.explode("_in").alias("_c"), "_y").groupBy(SLICE, "_c").agg(F.sum("_y").alias("_y"))
+    numbers = stage(numbers.withColumn("_k", F.row_number().over(order) - 1))
+    pairs = F.explode(F.flatten(F.transform("_in", lambda a, n: F.transform(F.slice("_in", n + 1, len(columns)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    products = spread.select(SLICE, "_w", pairs.alias("_ab")).groupBy(SLICE, "_ab").agg(F.sum("_w").alias("_w"))
+
+    def number(side: str) -> DataFrame:
+        return numbers.select(SLICE, F.col("_c").alias(f"_{side}"), F.col("_k").alias(f"_k{side}"))
+
+    products = products.select(SLICE, "_w", F.col("_ab.a").alias("_a"), F.col("_ab.b").alias("_b")).join(number("a"), [SLICE, "_a"]).join(number("b"), [SLICE, "_b"])
+    entries = products.groupBy(SLICE).agg(F.sort_array(F.collect_list(F.struct("_ka", "_kb", "_w"))).alias("_m"))
+    sides = numbers.groupBy(SLICE).agg(F.sort_array(F.collect_list(F.struct("_k", "_y", "_c.term"))).alias("_v"))
+    table = sides.join(entries, SLICE)
+    found = _swept(F.size("_v"), F.col("_m._ka"), F.col("_m._kb"), F.col("_m._w"), F.col("_v._y"))
+    table = table.select(SLICE, F.explode(F.arrays_zip(found.alias("ss"), F.col("_v.term").alias("term"))).alias("_c"))
+    taken = F.col("_c.ss") >= 0
+    return (
+        table.filter("_c.term > 0")
+        .groupBy(SLICE, F.col("_c.term").alias("term_ord"))
+        .agg(F.count(F.when(taken, 1)).alias("df"), F.coalesce(F.sum(F.when(taken, F.col("_c.ss"))), F.lit(0.0)).alias("ss"))
+    )
+
+
 def anova_factorial(
     df: DataFrame, by, factors: list[str], value: str, interactions: bool = True
 ) -> DataFrame:
     """Sequential (type I) analysis of variance with all interactions, one row per slice and term.
 
-    Spark reduces the rows to factor cells; only the cell table of a slice (one
-    row per combination of levels) reaches the projection.
+    Spark reduces the rows to factor cells and these to the cross-products of the model's columns, which are swept in
+    their order; a column in the span of earlier ones, as with empty cells, has no pivot and no degree of freedom. The term
+    with all factors is what the cells have left, so only the terms below it have columns. A slice's row
+    holds the cross-products that are not 0: at most 4 to the number of factors for each of its cells.
     """
-    by = names(by)
-    cells = _factor_cells(df, by, factors, value)
-    schema = T.StructType(
-        [cells.schema[b] for b in by]
-        + [
-            T.StructField("term", T.StringType()),
-            T.StructField("term_ord", T.IntegerType()),
-            T.StructField("df", T.LongType()),
-            T.StructField("ss", T.DoubleType()),
-            T.StructField("ms", T.DoubleType()),
-            T.StructField("f", T.DoubleType()),
-            T.StructField("p", T.DoubleType()),
-        ]
+    by, factors = names(by), list(factors)
+    cells = _factor_cells(df, by, factors, value).withColumn(SLICE, slice_key(by)).drop(*by)
+    size = F.col("_size").cast("double")
+    grand = F.sum(size * F.col("_mean")).over(Window.partitionBy(SLICE)) / F.sum(size).over(Window.partitionBy(SLICE))
+    cells = stage(cells.withColumn("_gap", F.col("_mean") - grand))
+    terms = _terms(factors, interactions)
+    whole = len(terms[-1]) == len(factors)
+    totals = cells.groupBy(SLICE).agg(
+        F.sum("_size").alias("_n"), F.count(F.lit(1)).alias("_cells"), F.sum(size * F.col("_gap") * F.col("_gap")).alias("_between"), F.sum("_within").alias("_within")
+    )
+    below = terms[:-1] if whole else terms
+    used = _swept_terms(cells, below, factors) if below else totals.select(SLICE, F.lit(1).alias("term_ord"), F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("ss")).limit(0)
+    used = used.groupBy(SLICE).agg(F.collect_list(F.struct("term_ord", "df", "ss")).alias("_used"))
+    table = totals.join(used, SLICE, "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<struct<term_ord:int,df:bigint,ss:double>>")))
+    table = table.withColumns(
+        {
+            "_df": F.aggregate("_used", F.lit(0).cast("long"), lambda a, t: a + t["df"]),
+            "_left": F.greatest(F.lit(0.0), F.col("_between") - F.aggregate("_used", F.lit(0.0), lambda a, t: a + t["ss"])),
+        }
     )
 
-    def per_slice(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(sequential_table(pdf, factors, interactions))
-        out["term_ord"] = range(1, len(out) + 1)
-        for b in by:
-            out[b] = pdf[b].iloc[0]
-        return out[schema.names]
+    def row(k: int, df_: Column, ss: Column) -> Column:
+        return F.struct(F.lit(k).alias("term_ord"), df_.cast("long").alias("df"), ss.alias("ss"))
 
-    return cells.groupBy(*by).applyInPandas(per_slice, schema)
+    if whole:
+        top, rest = row(len(terms), F.col("_cells") - 1 - F.col("_df"), F.col("_left")), row(len(terms) + 1, F.col("_n") - F.col("_cells"), F.col("_within"))
+        rows = F.concat("_used", F.array(top, rest))
+    else:
+        rows = F.concat("_used", F.array(row(len(terms) + 1, F.col("_n") - 1 - F.col("_df"), F.col("_within") + F.col("_left"))))
+    table = table.withColumn("_rest", F.element_at(rows, -1)).select(SLICE, "_between", "_within", "_rest", F.inline(rows))
+    solid = (F.col("_rest.df") > 0) & (F.col("_rest.ss") > F.lit(DUST) * (F.col("_between") + F.col("_within")))
+    is_term = F.col("term_ord") <= len(terms)
+    label = F.element_at(F.array(*[F.lit(":".join(factors[f] for f in t)) for t in terms], F.lit("Residuals")), F.col("term_ord"))
+    ms = ratio(F.col("ss"), F.col("df").cast("double"))
+    f = F.when(solid & is_term, ratio(ms, ratio(F.col("_rest.ss"), F.col("_rest.df").cast("double"))))
+    table = table.select(*from_slice(by), label.alias("term"), "term_ord", "df", "ss", ms.alias("ms"), f.alias("f"), F.col("_rest.df").cast("double").alias("_df"))
+    return table.withColumn("p", f_sf(F.col("f"), F.col("df").cast("double"), F.col("_df"))).drop("_df")
 
 
 def anova_first_and_residual(df: DataFrame, by, factors: list[str], value: str) -> DataFrame:

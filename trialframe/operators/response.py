@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import inhibition, log10_or_null, ratio, safe_sqrt, under_policy
+from ..functions.scalar import inhibition, log10_or_null, number, ratio, safe_sqrt, under_policy
 from .clean import to_long
 from .slices import SLICE, add_stats, names, slice_key
 
@@ -19,7 +19,8 @@ def window_agg(
 ) -> DataFrame:
     """A slice aggregate next to each row, by aggregate and join."""
     by = names(by)
-    agg = under_policy(_AGGS[fn](value), F.col(value), null_policy)
+    v = number(value)
+    agg = under_policy(_AGGS[fn](v), v, null_policy)
     stats = df.groupBy(slice_key(by).alias(SLICE)).agg(agg.alias(out))
     return add_stats(df, by, stats)
 
@@ -34,7 +35,7 @@ def inhibition_pct(
 ) -> DataFrame:
     """100 * (max - value) / max with the maximum of the slice `by`; NULL where the maximum is 0."""
     table = window_agg(df, by, value, "max", max_out, null_policy)
-    return table.withColumn(out, inhibition(F.col(value), F.col(max_out)))
+    return table.withColumn(out, inhibition(number(value), F.col(max_out)))
 
 
 def transforms(df: DataFrame, value: str, log_plus: float = 0.0) -> DataFrame:
@@ -57,7 +58,7 @@ def inhibition_summary(
     by = names(by)
     max_by = by if max_by is None else names(max_by)
     keys = list(dict.fromkeys([*by, *max_by, group]))
-    v = F.col(value).cast("double")
+    v = number(value)
     fine = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(v).alias("_filled"),

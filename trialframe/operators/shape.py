@@ -131,8 +131,8 @@ LARGE_MEAN = [-1.5861, -0.31082, -0.083751, 0.0038915]
 LARGE_LOG_SD = [-0.4803, -0.082676, 0.0030302]
 #: p is calibrated up to HIGHEST_N values.
 LOWEST_N, HIGHEST_N = 3, 5000
-#: Tied values that are laid out together.
-TIED = 10_000
+#: Places at either end of a slice whose normal scores are summed one by one.
+ENDS = 64
 
 
 def _poly(coefficients: list[float], x: Column) -> Column:
@@ -148,16 +148,73 @@ def _with_score(df: DataFrame, i: Column, n: Column, out: str) -> DataFrame:
     return add_normal_quantile(df.withColumn("_place", position), "_place", out).drop("_place")
 
 
-def _scored(table: DataFrame) -> DataFrame:
-    """(slice, value, place, score) of each row, from ranked value counts.
+def _density(z: str) -> Column:
+    return F.exp(-F.col(z) * F.col(z) / 2) / math.sqrt(2 * math.pi)
 
-    A value tied many times is laid out in blocks that are spread before they are expanded.
+
+def _run_sum(z1: str, z2: str, n: Column) -> Column:
+    """Sum of the normal scores of a run of places, from the scores half a place before it and after it.
+
+    The integral of the quantile is minus the density; the Euler-Maclaurin terms of the midpoint rule follow, with the derivatives of the
+    quantile. The first and last `ENDS` places are left to direct sums, so what is cut off is below 1e-12.
+    """
+    width = n + F.lit(0.25)
+
+    def terms(name: str) -> Column:
+        z, h = F.col(name), F.lit(1.0) / (width * _density(name))
+        fifth = (7 + 46 * z * z + 24 * z * z * z * z) * F.pow(h, F.lit(5))
+        return -width * _density(name) - h / 24 + (1 + 2 * z * z) * F.pow(h, F.lit(3)) * (7 / 5760) - fifth * (31 / 967680)
+
+    return terms(z2) - terms(z1)
+
+
+def _squares_sum(z1: str, n: Column) -> Column:
+    """Sum of the squared scores of the places between the ends, which lie evenly about the middle; `z1` as above."""
+    z, width = F.col(z1), n + F.lit(0.25)
+    share, h = (F.lit(ENDS + 0.125)) / width, F.lit(1.0) / (width * _density(z1))
+    inner = width * (1 - 2 * share + 2 * z * _density(z1))
+    third = (8 * z + 4 * z * z * z) * F.pow(h, F.lit(3))
+    fifth = z * (104 + 192 * z * z + 48 * z * z * z * z) * F.pow(h, F.lit(5))
+    return inner + 2 * (2 * z * h / 24 - third * (7 / 5760) + fifth * (31 / 967680))
+
+
+def _score_products(table: DataFrame) -> DataFrame:
+    """(slice): sum of score times distance from the mean over all rows, from ranked value counts; tied rows are not laid out.
+
+    A value's run of places has a sum of scores of its own; only the first and last `ENDS` places of a slice are taken singly.
     """
-    start = F.explode(F.sequence(F.col(BELOW) + 1, F.col(BELOW) + F.col(COUNT), F.lit(TIED).cast("long")))
-    last = (F.col(BELOW) + F.col(COUNT)).alias("_last")
-    blocks = table.select(SLICE, VALUE, TOTAL, start.alias("_from"), last).repartition(SLICE, "_from")
-    place = F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (TIED - 1), F.col("_last"))))
-    return _with_score(blocks.select(SLICE, VALUE, TOTAL, place.alias("_i")), F.col("_i"), F.col(TOTAL), "_m")
+    n, gap = F.col(TOTAL), F.col(VALUE) - F.col("_mean")
+    first, last = F.col(BELOW) + 1, F.col(BELOW) + F.col(COUNT)
+    runs = table.select(
+        SLICE, gap.alias("_gap"), n.alias("_n"), F.greatest(first, F.lit(ENDS + 1)).alias("_a"), F.least(last, n - ENDS).alias("_b"), first.alias("_first"), last.alias("_last")
+    )
+    half = F.when(F.col("_a") == F.col("_b"), 0.0).otherwise(0.5)  # a single place has its own score
+    middle = runs.filter("_a <= _b").withColumns({"_lo": F.col("_a") - half, "_hi": F.col("_b") + half})
+    middle = _with_score(_with_score(middle, F.col("_lo"), F.col("_n"), "_z1"), F.col("_hi"), F.col("_n"), "_z2")
+    total = F.when(F.col("_a") == F.col("_b"), F.col("_z1")).otherwise(_run_sum("_z1", "_z2", F.col("_n")))
+    parts = middle.select(SLICE, (total * F.col("_gap")).alias("_mx"))
+    low = F.when(F.col("_first") <= ENDS, F.sequence("_first", F.least(F.col("_last"), F.lit(ENDS).cast("long"))))
+    high_start = F.greatest(F.col("_first"), F.greatest(F.col("_n") - ENDS, F.lit(ENDS)) + 1)
+    high = F.when(high_start <= F.col("_last"), F.sequence(high_start, F.col("_last")))
+    none = F.array().cast("array<bigint>")
+    single = runs.select(SLICE, "_gap", "_n", F.explode(F.concat(F.coalesce(low, none), F.coalesce(high, none))).alias("_i"))
+    single = _with_score(single, F.col("_i"), F.col("_n"), "_m")
+    parts = parts.unionByName(single.select(SLICE, (F.col("_m") * F.col("_gap")).alias("_mx")))
+    return parts.groupBy(SLICE).agg(F.sum("_mx").alias("_mx"))
+
+
+def _score_squares(sizes: DataFrame) -> DataFrame:
+    """(slice): sum of the squared scores of n places (`_size`), from at most `ENDS` single places and the run between."""
+    n = F.col("_size").cast("long")
+    ends = sizes.select(SLICE, "_size", F.explode(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(ENDS).cast("long")))).alias("_i"))
+    ends = _with_score(ends, F.col("_i"), F.col("_size"), "_m")
+    # of a small slice the upper half is the lower half mirrored
+    twice = F.when(2 * F.col("_i") <= F.col("_size"), 2.0).when(2 * F.col("_i") == F.col("_size") + 1, 1.0).otherwise(0.0)
+    whole = F.when(F.col("_size") > 2 * ENDS, 2.0).otherwise(twice)
+    ends = ends.groupBy(SLICE).agg(F.sum(whole * F.col("_m") * F.col("_m")).alias("_ends"), F.first("_size").alias("_size"))
+    table = _with_score(ends, F.lit(ENDS + 0.5), F.greatest(F.col("_size"), F.lit(2.0 * ENDS)), "_z1")
+    between = F.when(F.col("_size") > 2 * ENDS, _squares_sum("_z1", F.col("_size"))).otherwise(F.lit(0.0))
+    return table.select(SLICE, (F.col("_ends") + between).alias("_ss"))
 
 
 def shapiro(df: DataFrame, by, value: str) -> DataFrame:
@@ -165,8 +222,8 @@ def shapiro(df: DataFrame, by, value: str) -> DataFrame:
 
     W is computed for every size. p is calibrated up to 5000 values: above that it is an extrapolation, and the
     reason says so. Other slices have a reason and no W. Places come from the ranked value counts, so no
-    slice is sorted in one task. Normal scores are symmetric, so W needs only sums over the slice
-    and its two lowest and two highest values.
+    slice is sorted in one task, and a value tied any number of times is one run of places. Normal scores are symmetric,
+    so W needs only sums over the slice and its two lowest and two highest values.
     """
     by = names(by)
     rows = df.select(slice_key(by).alias(SLICE), number(value).alias(VALUE))
@@ -178,8 +235,8 @@ def shapiro(df: DataFrame, by, value: str) -> DataFrame:
     flat = F.col("_lo") == F.col("_hi")
     reason = (
         F.when(F.col("n") < LOWEST_N, F.lit("fewer than 3 values"))
-        .when(F.col("n") > HIGHEST_N, F.lit("more than 5000 values"))
         .when(flat, F.lit("all values equal"))
+        .when(F.col("n") > HIGHEST_N, F.lit("p extrapolated beyond 5000 values"))
     )
     sizes = sizes.withColumn("reason", reason)
     usable = sizes.filter((F.col("n") >= LOWEST_N) & ~flat).select(SLICE, "_mean")
@@ -194,10 +251,8 @@ def shapiro(df: DataFrame, by, value: str) -> DataFrame:
         at_position(F.col(TOTAL) - 2).alias("_y2"),
         at_position(F.col(TOTAL) - 1).alias("_y1"),
     )
-    scores = _scored(table).groupBy(SLICE).agg(
-        F.sum(F.col("_m") * F.col("_m")).alias("_ss"), F.sum(F.col("_m") * F.col(VALUE)).alias("_mx")
-    )
-    sums = spread.join(scores, SLICE)
+    spread = stage(spread)  # one row for each slice, read three times
+    sums = spread.join(_score_products(table), SLICE).join(_score_squares(spread.select(SLICE, "_size")), SLICE)
     n, ss = F.col("_size"), F.col("_ss")
     sums = _with_score(_with_score(sums, n, n, "_m1"), n - 1, n, "_m2").withColumn("_u", F.lit(1.0) / F.sqrt(n))
     m1, m2, u = F.col("_m1"), F.col("_m2"), F.col("_u")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio, under_policy
+from ..functions.scalar import number, ratio, under_policy
 from .clean import flag_threshold
 from .slices import names
 
 
 def treatment_summary(df: DataFrame, by, group, value: str, null_policy: str = "propagate") -> DataFrame:
     """mean, sample sd, n and se = sd / sqrt(n) per slice and group."""
-    v = F.col(value)
+    v = number(value)
     n = F.count(F.lit(1)) if null_policy == "propagate" else F.count(v)
     table = df.groupBy(*names(by), *names(group)).agg(
         under_policy(F.avg(v), v, null_policy).alias("mean"),
@@ -30,7 +30,7 @@ def sliced_and_pooled(df: DataFrame, keys, pool: str, group: str, value: str) ->
     `pooled` is 1 on the pooled rows, where `pool` is NULL.
     """
     keys = names(keys)
-    v = F.col(value).cast("double")
+    v = number(value)
     cells = df.groupBy(*keys, pool, group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(v).alias("_filled"),
@@ -57,9 +57,9 @@ def sliced_and_pooled(df: DataFrame, keys, pool: str, group: str, value: str) ->
     return table.withColumn("se", ratio(F.col("sd"), F.sqrt("n")))
 
 
-def germination_rate(df: DataFrame, by, value: str, offset: float = 0.0) -> DataFrame:
-    """100 * sum / n + offset per slice, with mean, sd, n and se."""
-    v = F.col(value).cast("double")
+def germination_rate(df: DataFrame, by, value: str, offset: float = 0.0, se_offset: float = 0.0) -> DataFrame:
+    """100 * sum / n + offset per slice, with mean, sd, n and se = sd / sqrt(n) + se_offset."""
+    v = number(value)
     table = df.groupBy(*names(by)).agg(
         under_policy(F.avg(v), v, "propagate").alias("mean"),
         under_policy(F.stddev_samp(v), v, "propagate").alias("sd"),
@@ -68,7 +68,7 @@ def germination_rate(df: DataFrame, by, value: str, offset: float = 0.0) -> Data
     )
     return table.select(
         *names(by), "mean", "sd", "n",
-        ratio(F.col("sd"), F.sqrt("n")).alias("se"),
+        (ratio(F.col("sd"), F.sqrt("n")) + F.lit(float(se_offset))).alias("se"),
         (ratio(F.lit(100.0) * F.col("_sum"), F.col("n").cast("double")) + F.lit(float(offset))).alias("rate"),
     )
 
@@ -102,9 +102,8 @@ def severity_index(
 
 def summary_stats(df: DataFrame, by, value: str) -> DataFrame:
     """n of present values, mean and sd per slice; not rounded."""
-    return df.groupBy(*names(by)).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
-    )
+    v = number(value)
+    return df.groupBy(*names(by)).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
 
 
 def mean_se(df: DataFrame, by, x: str, fill: str | None, value: str) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import operators as op
-from ..functions import star_code
-from ..sources import profile_schema, shared_dir, sort_table, stage, write_csv
+from ..functions import log10_or_null, normal_two_sided, star_code, with_p_value
+from ..sources import profile_schema, read_table, shared_dir, sort_table, stage, write_chart_data, write_csv, write_table
 from . import reports
 
 BY = ["pathogen", "experiment"]
@@ -98,9 +98,7 @@ def transforms(spark, sf):
         "l_orderkey", "l_linenumber", (F.col("l_quantity") - 5).alias("diam_mm")
     )
     plain = op.transforms(lines, "diam_mm")
-    return rounded(
-        plain.withColumn("log1_diam", F.log10(F.greatest(F.col("diam_mm"), F.lit(0.0)) + 1))
-    )
+    return rounded(plain.withColumn("log1_diam", log10_or_null(F.greatest(F.col("diam_mm"), F.lit(0.0)), 1.0)))
 
 
 @query
@@ -262,6 +260,31 @@ def profile(spark, sf):
     return profile_schema(table(spark, sf, "customer")).select("position", "column", "rows", "non_null")
 
 
+@query
+def declared_table(spark, sf):
+    """A table loaded by name with a declared schema, which is checked."""
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_mktsegment", T.StringType()), T.StructField("c_acctbal", T.DoubleType())])
+    return op.count_by(read_table(spark, sf, "customer", schema).filter(F.col("c_acctbal") > 0), "c_mktsegment")
+
+
+@query
+def partitioned_table(spark, sf):
+    """A table laid out by slice and read back, one slice of it."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    write_table(lines, path, partition_by=["l_returnflag"])
+    return op.slice_by(spark.read.schema(lines.schema).parquet(path), l_returnflag="A")
+
+
+@query
+def chart_table(spark, sf):
+    """The table behind a chart, written and read back."""
+    path = f"{shared_dir(spark)}/chart-{uuid.uuid4().hex}"
+    bars = rounded(op.mean_se(table(spark, sf, "events"), [], "event_type", None, "value"))
+    write_chart_data(bars, path)
+    return spark.read.schema(bars.schema).parquet(path)
+
+
 @query
 def staged_reread(spark, sf):
     """The cleaned table is written once and read back before it is sliced."""
@@ -333,6 +356,35 @@ def summary_stats(spark, sf):
     return rounded(op.summary_stats(table(spark, sf, "events"), "event_type", "value"))
 
 
+def _with_nan(spark, sf):
+    """The assay with NaN in place of the greatest diameters."""
+    rows = assay(spark, sf)
+    return rows.withColumn("diam_mm", F.when(F.col("diam_mm") > 45, float("nan")).otherwise(F.col("diam_mm")))
+
+
+@query
+def nan_summary(spark, sf):
+    """NaN counts as missing: left out of mean, sd and n."""
+    return rounded(op.treatment_summary(_with_nan(spark, sf), BY, TREATMENT, "diam_mm", null_policy="skip"))
+
+
+@query
+def nan_inhibition(spark, sf):
+    """NaN is no maximum and no response."""
+    return rounded(op.inhibition_summary(_with_nan(spark, sf), BY, TREATMENT, "diam_mm", null_policy="skip"))
+
+
+@query
+def nan_flags(spark, sf):
+    """NaN is neither above nor below the cut, and propagates to a group's rate."""
+    rows = _with_nan(spark, sf).filter((F.col("treatment") != "5-LOW") | (F.col("value2") < 20000))
+    flags = op.flag_threshold(rows, "diam_mm", 10.0, "flag").groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    rates = op.incidence_pct(rows, [TREATMENT, "pathogen"], "diam_mm", 10.0)
+    return rounded(rates.select(TREATMENT, "pathogen", "n", "incidence").unionByName(
+        flags.select(F.lit("flag").alias(TREATMENT), F.col("flag").cast("string").alias("pathogen"), "n", F.lit(None).cast("double").alias("incidence"))
+    ))
+
+
 @query
 def mean_se(spark, sf):
     return rounded(op.mean_se(assay(spark, sf), "pathogen", TREATMENT, "experiment", "diam_mm"))
@@ -397,6 +449,34 @@ def anova_factorial_ends(spark, sf):
     return rounded(op.anova_first_and_residual(assay(spark, sf), [], [TREATMENT, *BY], "diam_shift"), 4)
 
 
+@query
+def anova_empty_cells(spark, sf):
+    """Unbalanced, and without rows in some combinations of levels."""
+    rows = assay(spark, sf).filter(
+        ~((F.col("pathogen") == "F") & F.col("treatment").isin("1-URGENT", "5-LOW"))
+        & ~((F.col("experiment") == "R") & (F.col("treatment") == "2-HIGH"))
+        & ~((F.col("experiment") == "N") & (F.col("pathogen") == "O") & (F.col("diam_mm") > 9))
+    )
+    return rounded(op.anova_factorial(rows, [], [TREATMENT, *BY], "diam_shift"), 4)
+
+
+@query
+def anova_sliced(spark, sf):
+    """A factorial table for each slice, main effects only."""
+    return rounded(op.anova_factorial(assay(spark, sf), ["pathogen"], ["experiment", TREATMENT], "diam_shift", interactions=False), 4)
+
+
+@query
+def p_values(spark, sf):
+    """Tails put next to the statistics of a result table, from each of the four distributions."""
+    table_ = op.anova_oneway(assay(spark, sf), BY, TREATMENT, "diam_shift").select(*BY, "f", "df_group", "df_resid")
+    table_ = table_.withColumns({"z": F.sqrt("f"), "x2": F.col("f") * F.col("df_group")})
+    table_ = with_p_value(table_, "f", "f", "df_group", "df_resid", out="p_f")
+    table_ = with_p_value(table_, "t", "z", "df_resid", out="p_t")
+    table_ = with_p_value(table_, "chi2", "x2", "df_group", out="p_chi2")
+    return rounded(with_p_value(table_, "normal", "z", out="p_normal").drop("z", "x2"), 4)
+
+
 @query
 def residuals(spark, sf):
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -463,6 +543,20 @@ def adjust_bh(spark, sf):
     return rounded(op.adjust_bh(lines.select("l_linenumber", "p"), [], "p"))
 
 
+@query
+def adjust_bh_parts(spark, sf):
+    """A family with one p for each part: is its mean quantity that of all quantities 1 to 50?"""
+    parts = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("m"), F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("z", (F.col("m") - 25.5) * F.sqrt("n") / 14.43)
+    return rounded(op.adjust_bh(parts.select("l_partkey", normal_two_sided("z").alias("p")), [], "p"))
+
+
+@query
+def pairwise_ranksum_nations(spark, sf):
+    """All pairs of 25 groups."""
+    return rounded(op.pairwise_ranksum(table(spark, sf, "customer"), [], "c_nationkey", "c_acctbal", exact=False))
+
+
 @query
 def full_pairs(spark, sf):
     return rounded(op.full_pairs(op.dunn(assay(spark, sf), BY, TREATMENT, "diam_shift"), BY))
@@ -508,6 +602,12 @@ def shapiro(spark, sf):
     return rounded(op.shapiro(table(spark, sf, "customer"), [], "c_acctbal"))
 
 
+@query
+def shapiro_ties(spark, sf):
+    """Many rows of few different values."""
+    return rounded(op.shapiro(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity"))
+
+
 @query
 def shapiro_by_group(spark, sf):
     return rounded(op.shapiro(table(spark, sf, "customer"), "c_mktsegment", "c_acctbal"))
@@ -556,16 +656,47 @@ def grouped_bars(spark, sf):
     )
 
 
-@query
-def lines(spark, sf):
-    """Order value per customer segment and year, as the change from the first year."""
+def _yearly(spark, sf, key: str, columns: list[str]) -> DataFrame:
+    """Mean order value per key, a column for each year from 1995 on."""
     orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     price = F.col("o_totalprice")
-    years = [f"day{k}" for k in range(1, 6)]
-    wide = orders.groupBy("o_orderpriority").agg(
-        *[F.avg(F.when(F.col("year") % 5 == k, price)).alias(years[k]) for k in range(5)]
+    return orders.groupBy(key).agg(
+        *[F.avg(F.when(F.col("year") == 1995 + k, price)).alias(c) for k, c in enumerate(columns)]
     )
-    return rounded(op.series_data(wide, "o_orderpriority", years, "day", "weight"), 4)
+
+
+@query
+def grouped_bars_fill(spark, sf):
+    """Stars of each experiment against one of them, inside each treatment."""
+    rows = assay(spark, sf)
+    bars = op.grouped_bar_data(rows, ["pathogen"], TREATMENT, "experiment", "diam_shift", fill_ref="A")
+    return rounded(bars.select("pathogen", TREATMENT, "experiment", "mean", "n", "ord", "fill_p", "fill_stars"))
+
+
+@query
+def scatter_points(spark, sf):
+    positive = assay(spark, sf).filter(F.col("diam_mm") > 45)
+    return op.scatter_fit_data(positive, "pathogen", "diam_mm", "value2")["points"]
+
+
+@query
+def scatter_band(spark, sf):
+    return rounded(op.scatter_fit_data(assay(spark, sf), "pathogen", "diam_mm", "value2")["band"], 4)
+
+
+@query
+def germination_offsets(spark, sf):
+    """Both offsets: on the rate and on the standard error."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    rated = docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return rounded(op.germination_rate(rated, "lang", "quality", offset=1.0, se_offset=1.0))
+
+
+@query
+def lines(spark, sf):
+    """Order value per priority and year, as the change from the first year."""
+    years = [f"day{k}" for k in range(1, 8)]
+    return rounded(op.series_data(_yearly(spark, sf, "o_orderpriority", years), "o_orderpriority", years, "day", "weight"), 4)
 
 
 @query
@@ -578,16 +709,18 @@ def scatter_label(spark, sf):
 # ---------------------------------------------------------------- whole reports
 
 
+def _isolate(place):
+    """The first isolate codes of the strain table, by the order priority."""
+    return F.element_at(F.array(*[F.lit(c) for c in list(reports.STRAINS)[:5]]), place.cast("int"))
+
+
 def _confrontation(spark, sf):
     """The assay in the raw schema of the confrontation table."""
-    code = F.create_map(
-        *[F.lit(x) for pair in zip("12345", ["C", "357", "461", "506", "707"]) for x in pair]
-    )
     lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     first = F.substring("o_orderpriority", 1, 1)
     day = F.to_date("l_shipdate")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        code[first].alias("isolate_id"),
+        _isolate(first).alias("isolate_id"),
         F.col("l_linestatus").alias("pathogen"),
         F.col("l_returnflag").alias("experiment"),
         ((F.col("l_quantity") + F.lit(0.4) * (first.cast("int") - 1) + 5) / 2).alias("radius_mm"),
@@ -651,7 +784,7 @@ def severity_tests(spark, sf):
         F.col("p_type").alias("pathogen"),
         F.col("p_brand").alias("treatment"),
         (F.col("p_size") % 5 + 1).alias("rating_scale"),
-        F.lit(1).alias("total_rating"),
+        (F.col("p_partkey") % 4 + 1).alias("total_rating"),
     )
     index = op.severity_index(parts, ["treatment", "pathogen"], "rating_scale", "total_rating")
     return rounded(op.kruskal(index, [], "pathogen", "dis_sev"))
@@ -662,7 +795,114 @@ def screened_isolates(spark, sf):
     raw = table(spark, sf, "events").select(
         F.col("event_id").alias("row_id"),
         F.col("user_id").cast("string").alias("isolate"),
-        F.col("event_type").alias("organism"),
-        F.col("event_type").alias("name"),
+        F.when(F.col("event_type") == "error", "bacteria").otherwise("yeast").alias("organism"),
+        F.when(F.col("event_type") == "signup", "Control").otherwise(F.col("event_type")).alias("name"),
     )
     return reports.screened_table(raw)
+
+
+@query
+def prescreen_table(spark, sf):
+    """Mean diameter per pre-screened isolate of one pathogen, bacteria left out."""
+    parts = table(spark, sf, "part")
+    raw = parts.select(
+        F.col("p_brand").alias("Sample"),
+        F.col("p_type").alias("Isolate"),
+        F.col("p_size").cast("string").alias("Name"),
+        F.when(F.col("p_partkey") % 2 == 0, "Bc").otherwise("Cf").alias("Pathogen"),
+        F.when(F.col("p_partkey") % 5 == 0, "bacteria").otherwise("yeast").alias("Organism"),
+        (F.col("p_retailprice") / 100).alias("Radius mm"),
+    )
+    return rounded(reports.prescreen_table(raw, "Bc"))
+
+
+@query
+def fermentation_lines(spark, sf):
+    raw = _yearly(spark, sf, "o_orderstatus", [f"day{k}" for k in range(1, 8)])
+    return rounded(reports.fermentation_lines(raw.withColumnRenamed("o_orderstatus", "strain")), 4)
+
+
+def _diameters(spark, sf):
+    """The assay in the raw schema of the pathogen-on-yeast table."""
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    first = F.substring("o_orderpriority", 1, 1)
+    day = F.to_date("l_shipdate")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+        _isolate(first).alias("isolate_id"),
+        F.col("l_linestatus").alias("pathogen"),
+        F.col("l_returnflag").alias("experiment"),
+        (F.col("l_quantity") + F.lit(0.4) * (first.cast("int") - 1) + 5).alias("diam_mm"),
+        day.alias("inoc_date"),
+        day.alias("col_date"),
+    )
+
+
+@query
+def diameter_summary(spark, sf):
+    """Raw diameters to lettered summary: one maximum over all experiments, Dunn pairs, letters."""
+    by = ["pathogen"]
+    clean = stage(reports.relative_response(reports.clean_diameter(_diameters(spark, sf), ["inoc_date", "col_date"]), by))
+    return rounded(reports.lettered_summary(clean, by, "treatmnt", "perc_in", "dunn"))
+
+
+def _lesions(spark, sf):
+    """Line items in the raw schema of the lesion table; two line numbers are no analysed treatment."""
+    codes = ["357", "506", "707", "957", "461", "none", "other"]
+    code = F.element_at(F.array(*[F.lit(c) for c in codes]), F.col("l_linenumber"))
+    return table(spark, sf, "lineitem").select(
+        code.alias("treatment"),
+        F.col("l_quantity").alias("av_ld"),
+        F.when(F.col("l_linestatus") == "F", "Botrytis").otherwise("Colletotrichum").alias("pathogen"),
+        F.when(F.col("l_returnflag") == "A", 4).otherwise(7).alias("dpi"),
+    )
+
+
+@query
+def lesion_anova(spark, sf):
+    """The three-factor table of the lesion report."""
+    lesions = reports.clean_lesions(_lesions(spark, sf))
+    return rounded(op.anova_factorial(lesions, [], ["treatment", "pathogen", "dpi"], "av_ld"), 4)
+
+
+@query
+def lesion_kruskal(spark, sf):
+    """Its omnibus test of the treatments inside each pathogen."""
+    return rounded(op.kruskal(reports.clean_lesions(_lesions(spark, sf)), ["pathogen"], "treatment", "av_ld"))
+
+
+@query
+def incidence_table(spark, sf):
+    """Percent of late lesions of at least 20 per treatment and pathogen, from the incidence report."""
+    return rounded(reports.incidence_report(reports.clean_lesions(_lesions(spark, sf)), cut=20.0)["incidence"])
+
+
+@query
+def severity_rows(spark, sf):
+    """The severity index next to every rating row, from the severity report."""
+    raw = table(spark, sf, "part").select(
+        F.col("p_brand").alias("treatment"),
+        F.lit(7).alias("dpi"),
+        F.when(F.col("p_partkey") % 2 == 0, "Botrytis").otherwise("Colletotrichum").alias("pathogen"),
+        (F.col("p_size") % 5 + 1).cast("double").alias("rating_scale"),
+        (F.col("p_partkey") % 4 + 1).cast("double").alias("total_rating"),
+    )
+    return rounded(reports.severity_report(raw, per_row=True)["severity"])
+
+
+@query
+def rate_pairs(spark, sf):
+    """Germination rates of three yeasts per treatment: small untied groups, so most p are exact."""
+    lines = table(spark, sf, "lineitem")
+    rows = lines.select(
+        F.col("l_linestatus").alias("pathogen"),
+        F.col("l_linenumber").alias("experiment"),
+        F.col("l_returnflag").alias("yeast_id"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("sdw").alias("treatmnt"), F.col("l_extendedprice").alias("value")),
+                F.struct(F.lit("wcs").alias("treatmnt"), (F.col("l_extendedprice") * F.col("l_discount") * 20).alias("value")),
+            )
+        ).alias("r"),
+    ).select("pathogen", "experiment", "yeast_id", "r.*")
+    rates = stage(op.germination_rate(rows, ["pathogen", "experiment", "yeast_id", "treatmnt"], "value"))
+    return rounded(reports.compare_rates(rates))

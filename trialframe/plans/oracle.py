@@ -269,12 +269,12 @@ def shapiro_sql(source: str, keys: str, value: str, head: str = "") -> str:
     ww AS (SELECT {k}max(n) AS n, pow(sum(wgt * x), 2) / nullif(sum((x - xbar) * (x - xbar)), 0) AS w FROM wt
            {'GROUP BY ' + keys if keys else ''}),
     sz AS (SELECT *, CASE WHEN n < 4 OR w >= 1 THEN NULL WHEN n <= 11 THEN {small} ELSE {large} END AS z
-           FROM ww WHERE n BETWEEN 3 AND 5000),
+           FROM ww WHERE n >= 3),
     sizes AS (SELECT {k}count(x) AS n, CASE WHEN count(x) < 3 THEN 'fewer than 3 values'
-                WHEN count(x) > 5000 THEN 'more than 5000 values' WHEN min(x) = max(x) THEN 'all values equal' END AS reason
+                WHEN min(x) = max(x) THEN 'all values equal' WHEN count(x) > 5000 THEN 'p extrapolated beyond 5000 values' END AS reason
               FROM base {by}),
-    joined AS (SELECT {k}sizes.n AS n, reason, CASE WHEN reason IS NULL THEN w END AS w,
-                 CASE WHEN reason IS NULL THEN z END AS z
+    joined AS (SELECT {k}sizes.n AS n, reason, CASE WHEN reason IS NULL OR reason LIKE 'p %' THEN w END AS w,
+                 CASE WHEN reason IS NULL OR reason LIKE 'p %' THEN z END AS z
                FROM sizes LEFT JOIN (SELECT {k}w, z FROM sz) q {f'USING ({keys})' if keys else 'ON true'})
     SELECT {k}n, {r('w', 'w')}, {r(p, 'p')}, reason FROM joined"""
 
@@ -300,6 +300,10 @@ RESID = """rs AS (SELECT *, avg(c_acctbal) OVER (PARTITION BY {keys}) AS fitted,
   noise AS (SELECT sqrt(sum(residual * residual) / (count(*) - count(DISTINCT c_mktsegment))) AS s FROM sd),
   rr AS (SELECT sd.*, residual / (s * sqrt(1 - 1.0 / cell)) AS std_residual FROM sd, noise)"""
 
+#: The strain label of each order priority.
+LABELLED = """CASE substr(treatment, 1, 1) WHEN '1' THEN 'CTRL' WHEN '2' THEN 'JB543' WHEN '3' THEN 'JB524'
+    WHEN '4' THEN 'JB624' WHEN '5' THEN 'JB767' END"""
+
 CONFRONTATION = """plates AS (
   SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CTRL' WHEN '2' THEN 'JB543' WHEN '3' THEN 'JB524'
            WHEN '4' THEN 'JB624' WHEN '5' THEN 'JB767' END AS treatmnt,
@@ -334,6 +338,53 @@ def describe_sql(source: str, keys: str, value: str) -> str:
     FROM {source} JOIN med USING ({keys}) JOIN tr USING ({keys}) JOIN dev USING ({keys}) GROUP BY {keys}"""
 
 
+def yearly_cte(key: str) -> str:
+    return f"""m AS (SELECT {key}, d.day, avg(CASE WHEN extract(year FROM o_orderdate) = 1994 + d.day THEN o_totalprice END) AS price
+                 FROM orders, (SELECT unnest(range(1, 8))::INTEGER AS day) d GROUP BY 1, 2)"""
+
+
+def factorial_sql(source: str, factors: list[str], value: str, keys: str = "", interactions: bool = True, head: str = "") -> str:
+    """Sequential sums of squares by orthogonalising the weighted cell vectors of the columns one after the other."""
+    from itertools import combinations
+
+    k = f"{keys}, " if keys else ""
+    top = len(factors) if interactions else 1
+    terms = [c for size in range(1, top + 1) for c in combinations(factors, size)]
+    sl = keys or "0"
+    parts = ["SELECT s, cid, 0 AS t, '' AS lev, sqrt(n) AS x FROM num"]
+    parts += [f"SELECT s, cid, {i}, concat_ws('|', {', '.join(t)}), sqrt(n) FROM num" for i, t in enumerate(terms, 1)]
+    names = ", ".join(f"({i}, '{':'.join(t)}')" for i, t in enumerate(terms, 1)) + f", ({len(terms) + 1}, 'Residuals')"
+    back = f"s AS {keys}, " if keys else ""
+    return f"""WITH RECURSIVE {head}cell AS (SELECT {sl} AS s, {', '.join(factors)}, count(*) AS n, avg({value}) AS m, count(*) * var_pop({value}) AS v
+             FROM {source} WHERE {value} IS NOT NULL GROUP BY {k}{', '.join(factors)}),
+    num AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY {', '.join(factors)}) AS cid,
+              m - sum(n * m) OVER (PARTITION BY s) / sum(n) OVER (PARTITION BY s) AS gap FROM cell),
+    cc AS ({' UNION ALL '.join(parts)}),
+    col AS (SELECT s, t, lev, row_number() OVER (PARTITION BY s ORDER BY t, lev) - 1 AS c FROM (SELECT DISTINCT s, t, lev FROM cc)),
+    vec AS (SELECT col.s, col.c, col.t, list(coalesce(cc.x, 0.0) ORDER BY num.cid) AS x
+            FROM col JOIN num ON num.s = col.s LEFT JOIN cc ON cc.s = col.s AND cc.t = col.t AND cc.lev = col.lev AND cc.cid = num.cid
+            GROUP BY ALL
+            UNION ALL SELECT s, 1000000, -1, list(sqrt(n) * gap ORDER BY cid) FROM num GROUP BY s),
+    g AS (SELECT 0 AS step, s, c, t, x, list_dot_product(x, x) AS w0 FROM vec
+          UNION ALL
+          SELECT g.step + 1, g.s, g.c, g.t,
+            CASE WHEN list_dot_product(q.x, q.x) > 1e-9 * q.w0 THEN
+              list_transform(list_zip(g.x, q.x), lambda z: z[1] - z[2] * (list_dot_product(g.x, q.x) / list_dot_product(q.x, q.x)))
+            ELSE g.x END, g.w0
+          FROM g JOIN g q ON q.s = g.s AND q.c = g.step AND g.c > g.step),
+    piv AS (SELECT q.s, q.t, list_dot_product(q.x, q.x) > 1e-9 * q.w0 AS used,
+              pow(list_dot_product(y.x, q.x), 2) / nullif(list_dot_product(q.x, q.x), 0) AS ss
+            FROM g q JOIN g y ON y.s = q.s AND y.step = q.step AND y.c = 1000000 WHERE q.c = q.step AND q.t > 0),
+    tt AS (SELECT s, t, count(*) FILTER (used) AS df, coalesce(sum(ss) FILTER (used), 0) AS ss FROM piv GROUP BY s, t),
+    tot AS (SELECT s, sum(n) AS n, sum(v) AS within, sum(n * gap * gap) AS between FROM num GROUP BY s),
+    res AS (SELECT s, any_value(n) - 1 - sum(df) AS dfr, any_value(within) + greatest(0, any_value(between) - sum(ss)) AS ssr
+            FROM tot JOIN tt USING (s) GROUP BY s),
+    al AS (SELECT s, t, df, ss, (ss / nullif(df, 0)) / (ssr / dfr) AS f, dfr FROM tt JOIN res USING (s)
+           UNION ALL SELECT s, {len(terms) + 1}, dfr, ssr, NULL, dfr FROM res)
+    SELECT {back}term, t::INTEGER AS term_ord, df::BIGINT AS df, {r('ss', 'ss', 4)}, {r('ss / nullif(df, 0)', 'ms', 4)}, {r('f', 'f', 4)},
+      {r(f_tail('f', 'df', 'dfr'), 'p', 4)} FROM al JOIN (VALUES {names}) nm(t, term) USING (t)"""
+
+
 def build() -> dict[str, str]:
     a = f"WITH {ASSAY}"
     sql: dict[str, str] = {}
@@ -616,10 +667,13 @@ def build() -> dict[str, str]:
       FROM s JOIN od ON od.pathogen = s.pathogen AND od.treatment = s.treatment JOIN kw ON kw.pathogen = s.pathogen
       LEFT JOIN raw ON raw.pathogen = s.pathogen AND raw.g2 = s.treatment"""
     sql["lines"] = f"""
-      WITH m AS (SELECT o_orderpriority, (extract(year FROM o_orderdate) % 5)::INTEGER + 1 AS day, avg(o_totalprice) AS price
-                 FROM orders GROUP BY 1, 2)
+      WITH {yearly_cte('o_orderpriority')}
       SELECT m.o_orderpriority, m.day, {r('b.price - m.price', 'weight', 4)} FROM m
       JOIN m b ON b.o_orderpriority = m.o_orderpriority AND b.day = 1"""
+    sql["fermentation_lines"] = f"""
+      WITH {yearly_cte('o_orderstatus')}
+      SELECT m.o_orderstatus AS strain, m.day, {r('b.price - m.price', 'weight', 4)} FROM m
+      JOIN m b ON b.o_orderstatus = m.o_orderstatus AND b.day = 1"""
     sql["scatter_label"] = f"""{a}, pos AS (SELECT * FROM assay WHERE diam_mm > 0), {pear.format(k='pathogen', s='pos')},
       pp AS (SELECT pathogen, r, {f_tail('(t * t)', '1', '(n - 2)')} AS p FROM tt)
       SELECT pathogen, {r('r', 'r')}, {r('p', 'p')}, {stars('p')} AS stars FROM pp"""
@@ -642,11 +696,83 @@ def build() -> dict[str, str]:
       SELECT s.*, letters FROM s JOIN letters l ON s.pathogen = l.pathogen AND s.yeast_id = l.yeast_id
         AND s.treatmnt = l.g"""
     sev = """sev AS (SELECT p_type AS pathogen, p_brand AS treatment,
-      100.0 * sum(p_size % 5 + 1) / (count(*) * max(p_size % 5 + 1)) AS dis_sev FROM part GROUP BY 1, 2), """
+      100.0 * sum((p_size % 5 + 1) * (p_partkey % 4 + 1)) / (sum(p_partkey % 4 + 1) * max(p_size % 5 + 1)) AS dis_sev
+      FROM part GROUP BY 1, 2), """
+    sql["anova_factorial"] = factorial_sql("assay", ["treatment", "pathogen", "experiment"], "diam_shift", head=ASSAY + ", ")
+    some = """thinned AS (SELECT * FROM assay WHERE NOT (pathogen = 'F' AND treatment IN ('1-URGENT', '5-LOW'))
+      AND NOT (experiment = 'R' AND treatment = '2-HIGH') AND NOT (experiment = 'N' AND pathogen = 'O' AND diam_mm > 9))"""
+    sql["anova_empty_cells"] = factorial_sql("thinned", ["treatment", "pathogen", "experiment"], "diam_shift", head=f"{ASSAY}, {some}, ")
+    sql["anova_sliced"] = factorial_sql("assay", ["experiment", "treatment"], "diam_shift", "pathogen", False, head=ASSAY + ", ")
+    lesions = """les AS (SELECT ['357', '506', '707', '957', '461', 'none', 'other'][l_linenumber] AS treatment, l_quantity AS av_ld,
+      CASE WHEN l_linestatus = 'F' THEN 'Botrytis' ELSE 'Colletotrichum' END AS pathogen,
+      CASE WHEN l_returnflag = 'A' THEN '4' ELSE '7' END AS dpi FROM lineitem WHERE l_linenumber <= 5)"""
+    sql["lesion_anova"] = factorial_sql("les", ["treatment", "pathogen", "dpi"], "av_ld", head=lesions + ", ")
+    sql["lesion_kruskal"] = kruskal_sql("les", "pathogen", "treatment", "av_ld", lesions + ", ")
+    sql["incidence_table"] = f"""WITH {lesions} SELECT treatment, pathogen, count(*) AS n,
+      {r('100.0 * count(*) FILTER (av_ld >= 20) / count(*)', 'incidence')} FROM les WHERE dpi = '7' GROUP BY 1, 2"""
+    sql["severity_rows"] = f"""WITH q AS (SELECT p_brand AS treatment, 7 AS dpi,
+        CASE WHEN p_partkey % 2 = 0 THEN 'Botrytis' ELSE 'Colletotrichum' END AS pathogen,
+        (p_size % 5 + 1)::DOUBLE AS rating_scale, (p_partkey % 4 + 1)::DOUBLE AS total_rating FROM part)
+      SELECT *, rating_scale * total_rating AS num_ratings, max(rating_scale) OVER w AS max_rating,
+        {r('100 * sum(rating_scale * total_rating) OVER w / (sum(total_rating) OVER w * max(rating_scale) OVER w)', 'dis_sev')}
+      FROM q WINDOW w AS (PARTITION BY treatment, pathogen)"""
+    sql["prescreen_table"] = f"""WITH q AS (SELECT p_brand AS sample, p_type AS isolate, p_size::VARCHAR AS name, 'Bc' AS pathogen,
+        p_retailprice / 100 * 2 AS d FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 5 <> 0)
+      {summary('q', 'sample, isolate, name, pathogen', 'd')}"""
+    diam = f"""{ASSAY}, dm AS (SELECT pathogen, {LABELLED} AS treatmnt, diam_shift AS d FROM assay),
+      resp AS (SELECT pathogen, treatmnt, 100 * (max(d) OVER (PARTITION BY pathogen) - d) / max(d) OVER (PARTITION BY pathogen) AS perc_in FROM dm)"""
+    sql["diameter_summary"] = f"""WITH {diam}, {dunn_cte('resp', 'pathogen', 'treatmnt', 'perc_in')}, {letters_cte('pathogen')},
+      s AS ({summary('resp', 'pathogen, treatmnt', 'perc_in')})
+      SELECT s.*, letters FROM s JOIN letters l ON s.pathogen = l.pathogen AND s.treatmnt = l.g"""
+    values = "SELECT l_linestatus AS pathogen, l_linenumber AS experiment, l_returnflag AS yeast_id, '{0}' AS treatmnt, {1} AS v FROM lineitem"
+    rates = f"""rt AS (SELECT pathogen, experiment, yeast_id, treatmnt, 100 * sum(v) / count(*) AS rate FROM (
+      {values.format('sdw', 'l_extendedprice')} UNION ALL {values.format('wcs', 'l_extendedprice * l_discount * 20')}) GROUP BY ALL)"""
+    # of 20 orders of three and three values so many have a statistic up to 0, 1, ... 4
+    exact = f"CASE WHEN ties = 0 AND n1 = 3 AND n2 = 3 THEN least(1.0, 2 * [1, 2, 4, 7, 10][least(w, 9 - w)::INTEGER + 1] / 20.0) ELSE p END"
+    sql["rate_pairs"] = f"""WITH {rates}, {ranksum_cte('rt', 'pathogen, experiment', 'treatmnt', 'rate')},
+      ex AS (SELECT * REPLACE ({exact} AS p) FROM raw), {adjust('ex', 'pathogen, experiment', '*')}
+      SELECT pathogen, experiment, g1, g2, n1::BIGINT AS n1, n2::BIGINT AS n2, {r('w', 'w')}, {r('z', 'z')}, {r('p', 'p')}, {r('p_adj', 'p_adj')} FROM bh"""
+    sql["p_values"] = f"""{a}, {oneway_cte('assay', BY, 'treatment', 'diam_shift')}
+      SELECT {BY}, {r('f', 'f', 4)}, df_group, df_resid, {r(f_tail('f', 'df_group', 'df_resid'), 'p_f', 4)}, {r(f_tail('f', '1', 'df_resid'), 'p_t', 4)},
+        {r(chi2('(f * df_group)', 'df_group'), 'p_chi2', 4)}, {r(tail2('sqrt(f)'), 'p_normal', 4)} FROM owf"""
+    sql["adjust_bh_parts"] = f"""WITH pz AS (SELECT l_partkey, (avg(l_quantity) - 25.5) * sqrt(count(*)) / 14.43 AS z FROM lineitem GROUP BY 1),
+      raw AS (SELECT l_partkey, {tail2('z')} AS p FROM pz), {adjust('raw', '', 'l_partkey, p')}
+      SELECT l_partkey, {r('p', 'p')}, {r('p_adj', 'p_adj')} FROM bh"""
+    sql["pairwise_ranksum_nations"] = f"""WITH {ranksum_cte('customer', '', 'c_nationkey', 'c_acctbal')}, {adjust('raw', '', 'g1, g2, n1, n2, w, z, p')}
+      SELECT g1, g2, n1::BIGINT AS n1, n2::BIGINT AS n2, {r('w', 'w')}, {r('z', 'z')}, {r('p', 'p')}, {r('p_adj', 'p_adj')} FROM bh"""
+    sql["nan_summary"] = f"""{a} SELECT {BY}, treatment, {r('avg(diam_mm)', 'mean')}, {r('stddev_samp(diam_mm)', 'sd')}, count(*) AS n,
+      {r('stddev_samp(diam_mm) / sqrt(count(*))', 'se')} FROM assay WHERE diam_mm <= 45 GROUP BY {BY}, treatment"""
+    sql["nan_inhibition"] = f"""{a}, low AS (SELECT * FROM assay WHERE diam_mm <= 45),
+      q AS (SELECT {BY}, treatment, 100 * (max(diam_mm) OVER (PARTITION BY {BY}) - diam_mm) / max(diam_mm) OVER (PARTITION BY {BY}) AS x FROM low)
+      {summary('q', f'{BY}, treatment', 'x')}"""
+    sql["nan_flags"] = f"""{a}, q AS (SELECT treatment, pathogen, CASE WHEN diam_mm <= 45 THEN (diam_mm >= 10)::INTEGER END AS flag
+        FROM assay WHERE treatment <> '5-LOW' OR value2 < 20000)
+      SELECT treatment, pathogen, count(*) AS n, {r('CASE WHEN count(flag) = count(*) THEN 100.0 * sum(flag) / count(*) END', 'incidence')} FROM q GROUP BY 1, 2
+      UNION ALL SELECT 'flag', flag::VARCHAR, count(*), NULL FROM q GROUP BY flag"""
+    sql["declared_table"] = "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1"
+    sql["partitioned_table"] = "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem WHERE l_returnflag = 'A'"
+    sql["chart_table"] = f"""SELECT event_type, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')}, count(*) AS n,
+      {r('stddev_samp(value) / sqrt(count(*))', 'se')}, {r('avg(value) - stddev_samp(value) / sqrt(count(*))', 'ymin')},
+      {r('avg(value) + stddev_samp(value) / sqrt(count(*))', 'ymax')} FROM events GROUP BY 1"""
+    sql["shapiro_ties"] = shapiro_sql("lineitem", "l_returnflag", "l_quantity")
+    fills = ranksum_cte("assay", "pathogen, treatment", "experiment", "diam_shift", "a.g = 'A' AND b.g <> 'A'")
+    sql["grouped_bars_fill"] = f"""{a}, {fills},
+      md AS (SELECT pathogen, treatment, median(diam_shift) AS md FROM assay GROUP BY 1, 2),
+      od AS (SELECT pathogen, treatment, (row_number() OVER (PARTITION BY pathogen ORDER BY md DESC, treatment))::INTEGER AS ord FROM md),
+      s AS (SELECT pathogen, treatment, experiment, avg(diam_shift) AS m, count(*) AS n FROM assay GROUP BY ALL)
+      SELECT s.pathogen, s.treatment, experiment, {r('m', 'mean')}, s.n, ord, {r('raw.p', 'fill_p')}, {stars('raw.p')} AS fill_stars
+      FROM s JOIN od ON od.pathogen = s.pathogen AND od.treatment = s.treatment
+      LEFT JOIN raw ON raw.pathogen = s.pathogen AND raw.treatment = s.treatment AND raw.g2 = s.experiment"""
+    sql["scatter_points"] = f"{a} SELECT pathogen, diam_mm AS x, value2 AS y FROM assay WHERE diam_mm > 45"
+    sql["scatter_band"] = sql["fit_band"].replace(BY, "pathogen")
+    sql["germination_offsets"] = f"""
+      SELECT lang, {r('avg(quality)', 'mean')}, {r('stddev_samp(quality)', 'sd')}, count(*) AS n,
+        {r('stddev_samp(quality) / sqrt(count(*)) + 1', 'se')}, {r('100.0 * sum(quality) / count(*) + 1', 'rate')}
+      FROM documents JOIN labels USING (doc_id) GROUP BY lang"""
     sql["severity_tests"] = kruskal_sql("sev", "", "pathogen", "dis_sev", sev)
     sql["screened_isolates"] = f"""
       SELECT event_type AS name, count(*) AS n FROM (SELECT event_type, {first.format('user_id')} FROM events
-        WHERE event_type <> 'bacteria' AND event_type <> 'Control') WHERE i = 1 GROUP BY event_type"""
+        WHERE event_type <> 'error' AND event_type <> 'signup') WHERE i = 1 GROUP BY event_type"""
     return sql
 
 

@@ -228,19 +228,27 @@ def clean_germination(raw: DataFrame) -> DataFrame:
     return to_long(table, ids, "treatmnt", "value")
 
 
-def germination_report(raw: DataFrame, offset: float = 0.0) -> dict[str, DataFrame]:
-    """Spore germination: rates per experiment and pooled, Kruskal and Dunn per pathogen and yeast."""
+def compare_rates(rates: DataFrame) -> DataFrame:
+    """Rank-sum pairs of the treatments over the rates of the yeasts, per pathogen and experiment."""
+    return pairwise_ranksum(rates, ["pathogen", "experiment"], "treatmnt", "rate")
+
+
+def germination_report(raw: DataFrame, offset: float = 0.0, se_offset: float = 0.0) -> dict[str, DataFrame]:
+    """Spore germination: rates per experiment and pooled, Kruskal and Dunn per pathogen and yeast.
+
+    `offset` and `se_offset` are added to the rates and to the standard errors of the summary.
+    """
     table = stage(clean_germination(raw))
     by, group = ["pathogen", "yeast_id"], "treatmnt"
     rates = stage(germination_rate(table, ["pathogen", "experiment", "yeast_id", group], "value", offset))
-    rate_pairs = stage(pairwise_ranksum(rates, ["pathogen", "experiment"], group, "rate"))
+    rate_pairs = stage(compare_rates(rates))
     pairs = stage(dunn(table, by, group, "value"))
     letters = compact_letters(pairs, by)
-    pooled = attach_letters(germination_rate(table, [*by, group], "value", offset), letters, by, group)
+    pooled = attach_letters(germination_rate(table, [*by, group], "value", offset, se_offset), letters, by, group)
     return {
         "clean": table,
         "rates": rates,
-        "rate_bars": grouped_bar_data(rates, ["pathogen", "experiment"], "yeast_id", group, "rate"),
+        "rate_bars": grouped_bar_data(rates, ["pathogen", "experiment"], "yeast_id", group, "rate", fill_ref="sdw"),
         "rate_pairs": rate_pairs,
         "rate_letters": compact_letters(rate_pairs, ["pathogen", "experiment"]),
         "kruskal": kruskal(table, by, group, "value"),
@@ -268,14 +276,17 @@ def prescreen_table(raw: DataFrame, pathogen: str | None = None) -> DataFrame:
     return treatment_summary(table, keys, "pathogen", "diam_mm").orderBy(F.asc_nulls_last("name"))
 
 
+def clean_lesions(raw: DataFrame) -> DataFrame:
+    """The analysed treatments, with the day as a factor."""
+    table = raw.select("treatment", "av_ld", "pathogen", "dpi").filter(F.col("treatment").isin(FRUIT_TREATMENTS))
+    return table.withColumn("dpi", F.col("dpi").cast("string"))
+
+
 def lesion_report(
     raw: DataFrame, labels: dict[str, str] = FRUIT_LABELS, refs: dict[str, str] = FRUIT_REFERENCES
 ) -> dict[str, DataFrame]:
     """Detached-fruit lesions: factorial analysis, checks, omnibus tests by factor, pairs and chart."""
-    table = raw.select("treatment", "av_ld", "pathogen", "dpi").filter(
-        F.col("treatment").isin(FRUIT_TREATMENTS)
-    )
-    table = stage(table.withColumn("dpi", F.col("dpi").cast("string")))
+    table = stage(clean_lesions(raw))
     factors = ["treatment", "pathogen", "dpi"]
     marked = recode(table, "treatment", labels, "label")
     report = {
