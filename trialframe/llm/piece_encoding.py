@@ -2,7 +2,7 @@
 
 Normalisation is done here: at each position the longest prefix found in the model's compiled
 character map (a double array over bytes, followed by the replacement strings) is replaced, and each
-normalised byte remembers the source byte it came from. The normalised text is cut before runs of the
+normalised byte remembers the source byte it came from. Decoding reads the model's table of pieces. The normalised text is cut before runs of the
 space mark; no piece of the model reaches over such a cut, so each part is encoded once for a batch of
 texts and looked up afterwards. Pieces are projected through the alignment to spans of source bytes.
 """
@@ -16,9 +16,11 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from .common import text_batches
@@ -70,6 +72,56 @@ class CharacterMap:
         return length, self.strings[start : self.strings.index(b"\0", start)]
 
 
+def _utf8(data: bytes) -> str:
+    """Bytes as text; every byte that is no part of a character becomes U+FFFD."""
+    out = []
+    while data:
+        try:
+            out.append(data.decode())
+            break
+        except UnicodeDecodeError as e:
+            out += [data[: e.start].decode(), "\ufffd"]
+            data = data[e.start + 1 :]
+    return "".join(out)
+
+
+class Decoder:
+    """Text of ids, by the pieces of a model: marks are spaces, runs of byte pieces characters, control pieces nothing."""
+
+    def __init__(self, model: model_pb2.ModelProto):
+        spec, unknown = model.normalizer_spec, model.trainer_spec.unk_surface
+        plain = [p.type not in (p.CONTROL, p.UNKNOWN, p.BYTE) for p in model.pieces]
+        self.texts = [p.piece.replace(MARK, " ") if k else unknown if p.type == p.UNKNOWN else "" for p, k in zip(model.pieces, plain, strict=True)]
+        self.bytes = [int(p.piece[3:5], 16) if p.type == p.BYTE else -1 for p in model.pieces]
+        self.is_byte = np.array([b >= 0 for b in self.bytes])
+        self.bare, self.squeeze = spec.add_dummy_prefix or spec.remove_extra_whitespaces, spec.remove_extra_whitespaces
+        self.starts = [k and p.piece.startswith(MARK) for p, k in zip(model.pieces, plain, strict=True)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        if len(ids) and not (0 <= int(ids.min()) and int(ids.max()) < len(self.texts)):
+            raise ValueError("an id that the model does not have")
+        numbers = ids.tolist()
+        parts = [self.texts[i] for i in numbers]
+        for k, i in enumerate(numbers):  # the space in front: of the first piece with text, one mark of each piece before it too
+            if self.bytes[i] >= 0:
+                break
+            if self.bare and self.starts[i]:
+                parts[k] = parts[k][1:]
+                if not self.squeeze:
+                    break
+            if parts[k]:
+                break
+        if self.is_byte[ids].any():
+            run: list[int] = []
+            for k, i in enumerate([*numbers, -1]):
+                if i >= 0 and self.bytes[i] >= 0:
+                    run.append(self.bytes[i])
+                elif run:
+                    parts[k - 1] = _utf8(bytes(run))
+                    run = []
+        return "".join(parts)
+
+
 class Encoder:
     """A model with its normaliser taken apart: rules here, merges in the library."""
 
@@ -81,6 +133,7 @@ class Encoder:
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         cuttable = all(MARK not in p.piece.lstrip(MARK) and p.type != p.USER_DEFINED for p in model.pieces)
         self.cuttable = cuttable and self.escape and not model.trainer_spec.treat_whitespace_as_suffix
+        self.decoder = Decoder(model)
         spec.name, spec.precompiled_charsmap = "identity", b""
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.merges = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
@@ -132,8 +185,8 @@ class Encoder:
         marked = text.decode().replace(" ", MARK)
         return (MARK + marked, np.concatenate([np.zeros(3, np.int64), source])) if self.prefix else (marked, source)
 
-    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
-        """Ids of all parts in a row, normalised bytes under each id, where each part starts, odd parts decoded.
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, normalised bytes under each id, where each part starts.
 
         Odd are parts with byte or unknown pieces. A character that is spelt in bytes counts for its last byte.
         """
@@ -141,12 +194,11 @@ class Encoder:
         starts = np.zeros(len(parts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, found), np.int64, len(parts)), out=starts[1:])
         ids = np.fromiter(chain.from_iterable(found), "<u4", starts[-1])
-        widths, odd = self.widths[ids], {}
+        widths = self.widths[ids]
         for k in np.unique(np.searchsorted(starts, np.flatnonzero(self.odd[ids]), side="right") - 1).tolist():
             pieces = self.merges.encode(parts[k], return_type="proto").pieces
             widths[starts[k] : starts[k + 1]] = [len(p.surface.encode()) for p in pieces]
-            odd[k] = self.merges.decode(found[k])
-        return ids, widths, starts, odd
+        return ids, widths, starts
 
     def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
         """For each text: ids with begin and end, first source byte of each, byte after the last, decoded text.
@@ -157,10 +209,9 @@ class Encoder:
         split = [PARTS.findall(n) if self.cuttable else [n] * bool(n) for n, _ in normal]
         number: dict[str, int] = {}
         places = np.fromiter((number.setdefault(p, len(number)) for p in chain.from_iterable(split)), np.int64)
-        part_ids, part_widths, starts, odd = self._encode_parts(list(number))
-        odd_ids = self.odd[part_ids].any()
+        part_ids, part_widths, starts = self._encode_parts(list(number))
         first = 0
-        for (marked, source), parts in zip(normal, split, strict=True):
+        for (_, source), parts in zip(normal, split, strict=True):
             own = places[first : first + len(parts)]
             first += len(parts)
             counts = starts[own + 1] - starts[own]
@@ -168,21 +219,9 @@ class Encoder:
             at = np.arange(after[-1] if len(own) else 0) + np.repeat(starts[own] - after + counts, counts)
             ids, ends = part_ids[at], np.cumsum(part_widths[at])
             begins, ends = source[ends - part_widths[at]], source[ends]
-            if odd_ids and self.odd[ids].any():
-                decoded = "".join(odd.get(k) or p.replace(MARK, " ") for k, p in zip(own.tolist(), parts, strict=True))
-            else:
-                decoded = marked.replace(MARK, " ")
-            if self.squeeze:
-                decoded = decoded.lstrip(" ")
-            elif self.prefix:
-                decoded = decoded.removeprefix(" ")
             low, high = (begins[0], ends[-1]) if len(ids) else (0, 0)
-            yield (
-                np.concatenate([[self.begin], ids, [self.end]]).astype("<u4"),
-                np.concatenate([[low], begins, [high]]),
-                np.concatenate([[low], ends, [high]]),
-                decoded,
-            )
+            whole = np.concatenate([[self.begin], ids, [self.end]]).astype("<u4")
+            yield whole, np.concatenate([[low], begins, [high]]), np.concatenate([[low], ends, [high]]), self.decoder.decode(whole)
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         return next(self.encode_all([text]))
@@ -193,6 +232,23 @@ def _encoder(blob: bytes) -> Encoder:
     return Encoder(blob)
 
 
+def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """`df` with the text that its arrays of ids stand for; null for null ids, an empty text for an empty array.
+
+    Begin, end and other control ids stand for nothing, unknown ids for the model's mark of them. A null in an array and an id
+    that the model does not have are errors.
+    """
+    with open(model, "rb") as f:
+        blob = f.read()
+
+    @F.pandas_udf("string")
+    def texts(column: pd.Series) -> pd.Series:
+        decoder = _encoder(blob).decoder
+        return pd.Series([None if x is None else decoder.decode(np.asarray(x, np.int64)) for x in column], dtype=object)
+
+    return df.withColumn(out, texts(F.col(ids)))
+
+
 def _outputs(encoded: tuple[np.ndarray, np.ndarray, np.ndarray, str], wanted: tuple[str, ...]) -> list:
     ids, begins, ends, decoded = encoded
     values = {"n_tokens": len(ids), "ids": ids.view("<i4"), "begins": begins, "ends": ends, "decoded": decoded}
