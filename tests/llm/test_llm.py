@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trialframe.llm import fingerprints as fp
 from trialframe.llm import katz, quality_votes, queries, quotations, source_mixing, toxicity, url_filter, warc
 from trialframe.llm.near_duplicates import near_duplicates
-from trialframe.llm.piece_encoding import Encoder, encode
+from trialframe.llm.piece_encoding import Encoder, decode, encode
 from trialframe.llm.quotations import as_replies, chosen_turn, link_quotations
 from trialframe.llm.threads import conversations, reply_order
 
@@ -405,11 +405,170 @@ def test_branching_threads_in_reply_order(spark):
         assert all(b.n_messages == len(b.messages) <= 17 for b in mine)
 
 
-def test_pipeline_stages(spark):
+def test_a_filter_in_a_table_gives_the_same(spark, monkeypatch):
+    urls = [f"x://h{k % 70}.net/p{k % 211}" + ".html" * (k % 2) for k in range(3000)] + [None, "no url"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = url_filter.repeated_urls(pages)
+    before = {tuple(r) for r in url_filter.url_filter(pages, listed).collect()}
+    monkeypatch.setattr(url_filter, "MOST_BLOCKS", 8)
+    assert {tuple(r) for r in url_filter.url_filter(pages, listed).collect()} == before
+    assert [url_filter.blocks_for(n) for n in (0, 3200, 3201, 6_553_600)] == [64, 64, 128, 1 << 17]
+
+
+def test_mixing_with_many_sources_gives_the_same(spark, monkeypatch):
+    df = docs(spark, [(k, "w " * (k % 37)) for k in range(300)], lambda i: f"s{i % 9}" if i % 3 else None)
+
+    def mixed():  # sums differ in their last digits
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in source_mixing.mix(df).collect())
+
+    before = mixed()
+    monkeypatch.setattr(source_mixing, "SOURCES", 3)
+    assert mixed() == before
+
+
+def test_texts_with_one_id_keep_their_keys(spark):
+    rows = [(1, "a b c"), (1, "d e f"), (1, "g h i"), (2, "x"), (2, "x")]
+    keys = [{(r.text, r._key) for r in source_mixing.keyed(docs(spark, order)).collect()} for order in (rows, rows[::-1], rows[2:] + rows[:2])]
+    assert keys[0] == keys[1] == keys[2] and len(keys[0]) == 5
+
+
+def test_decoding_reads_the_ids(spark):
+    path = queries.piece_model(spark)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    lists = [[rng.randrange(32_000) if rng.random() < 0.7 else rng.randrange(300) for _ in range(rng.randint(0, 30))] for _ in range(300)]
+    lists += [[], [1, 2], [0], [3 + 0xC3, 3 + 0xA9], [3 + 0xC3], [3 + 0xF0, 3 + 0x9F, 100], [1, 29871, 29871, 3 + 0x20, 2]]
+    df = spark.createDataFrame(list(enumerate(lists)) + [(-1, None)], "k int, ids array<int>")
+    got = {r.k: r.decoded for r in decode(df, path).collect()}
+    assert got.pop(-1) is None
+    assert all(text == library.decode(lists[k]) for k, text in got.items())
+    with pytest.raises(Exception, match="does not have"):
+        decode(spark.createDataFrame([([32_000],)], "ids array<int>"), path).collect()
+
+
+def test_piece_query_digests(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model(spark))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op4_piece_encoding(spark, "/root/testdata/sf0.001").collect():
+        ids = [1, *library.encode(texts[r.doc_id]), 2]
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_fit_holds_one_copy_of_long_texts():
+    """8 million values: 64 MB as features and values, and temporaries of a block's size besides."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    toxic = np.arange(400) % 2.0
+
+    def rows():
+        for k in range(400):
+            at = np.unique(rng.integers(0, toxicity.FEATURES, 20_000))
+            yield np.concatenate([at, [k % 2]]).astype(np.int32), np.append(np.full(len(at), 0.1), 5.0).astype(np.float32)
+
+    tracemalloc.start()
+    weights, bias = toxicity.fit(rows(), toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 8_000_000 + 180e6
+    assert weights[1] > 0 > weights[0] and np.isfinite(bias)
+
+
+def test_fit_against_plain_gradient_steps():
+    """The minimum of the same loss, found by plain steps on dense rows."""
+    rng = np.random.default_rng(2)
+    toxic = (np.arange(60) % 3 == 0).astype(float)
+    dense = rng.random((60, 12)) * (rng.random((60, 12)) < 0.5)
+    dense[:, 0] += toxic
+    rows = [(np.flatnonzero(d).astype(np.int32), d[d > 0].astype(np.float32)) for d in dense]
+    weights, bias = toxicity.fit(rows, toxic)
+    sizes = [(toxic == c).sum() for c in (0, 1)]
+    rate = [(dense[toxic == c].sum(axis=0) + toxicity.SMOOTHING * n / 60) / n for c, n in zip((0, 1), sizes)]
+    x = dense * np.log(rate[1] / rate[0])
+    w, b, share = np.zeros(12), 0.0, np.where(toxic == 1, 0.5 / sizes[1], 0.5 / sizes[0])
+    for _ in range(60_000):
+        error = share * (1 / (1 + np.exp(-(x @ w + b))) - toxic)
+        w, b = w - 2 * (x.T @ error + toxicity.RIDGE * w), b - 2 * error.sum()
+    mine, plain = x @ (weights[:12] / np.log(rate[1] / rate[0])) + bias, x @ w + b
+    np.testing.assert_allclose(mine, plain, atol=0.05 + 0.02 * np.abs(plain).max())
+
+
+def _stage_input(spark):
+    """Clean prose, planted toxic, poor, copied, null and repeated rows, with the labels to learn from."""
+    rng = random.Random(6)
+    good = [f"{a}{b}" for a in ("ba", "lo", "mi", "ru", "ten") for b in ("da", "ki", "mo", "ras", "vel", "in", "or")]
+    bad = ["venom", "scum", "wretch", "filth", "vermin"]
+
+    def prose(n, toxic=False):
+        return " ".join(rng.choice(bad if toxic and rng.random() < 0.3 else good) for _ in range(n))
+
+    rows, labels = [], []
+    for k in range(240):
+        toxic = k % 4 == 0
+        rows.append((k, prose(rng.randint(80, 160), toxic), "en", "web" if k % 2 else "book", 0))
+        labels.append((k, int(not toxic), int(toxic)))
+    rows += [(1000 + k, rows[2 * k + 1][1], "en", "web", 0) for k in range(5)]  # copies of clean rows
+    rows += [(1100, "word " * 300, "en", "web", 0), (1101, "too short", None, None, 0), (1102, None, "en", "web", None), (None, prose(90), "en", "web", 0)]
+    rows += [rows[1], rows[1]]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return documents, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on its own input against its plain version."""
+    import corpus_pipeline as cp
+
+    documents, labels, rows = _stage_input(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(cp.STAGES)
+    assert list(stages) == ["toxicity", "quality rules", "MinHash near-dedup", "mixing sources to target weights", "SentencePiece encoding and decoding"]
+    names = list(cp.COLUMNS)
+
+    def by_id(df):
+        assert df.columns == names
+        return sorted((str(r.doc_id) for r in df.collect()))
+
+    kept = stages["toxicity"](spark, documents, str(tmp_path))
+    left = by_id(kept)
+    toxic = {str(k) for k in range(0, 240, 4)}
+    assert not toxic & set(left)
+    assert set(left) >= {str(r[0]) for r in rows} - toxic - {"1100", "1101", "1102"}
+    assert left.count("1") == 3
+
+    kept = stages["quality rules"](spark, documents, str(tmp_path))
+    plain = {str(r[0]) for r in rows if len(words(r[1])) >= 50 and r[0] != 1100}
+    assert set(by_id(kept)) <= plain  # 50 words, at most half of them repeated; the votes may reject more
+    assert len(by_id(kept)) >= 0.9 * sum(str(r[0]) in plain for r in rows)
+
+    kept = stages["MinHash near-dedup"](spark, documents, str(tmp_path))
+    group = components({r[0]: r[1] for r in rows if r[0] is not None}, 80)
+    assert {r for r in by_id(kept) if r != "None"} == {str(i) for i in group if group[i] == i}
+
+    kept = stages["mixing sources to target weights"](spark, documents, str(tmp_path))
+    copies = by_id(kept)
+    taken = source_mixing.mix(documents).collect()
+    want = sorted(str(r.doc_id) for r in taken for _ in range(r.copies))
+    assert copies == want
+    texts = {(r[0], r[1]) for r in rows}
+    assert {(r.doc_id, r.text) for r in kept.collect()} <= texts
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model(spark))
+    encoded = stages["SentencePiece encoding and decoding"](spark, documents, str(tmp_path)).collect()
+    assert sorted(str(r.ids) for r in encoded) == sorted(str([1, *library.encode(r[1] or ""), 2]) for r in rows)
+
+    empty = documents.limit(0)
+    for name, stage in cp.STAGES:
+        if name != "toxicity":
+            assert stage(spark, empty, str(tmp_path)).collect() == []
+    assert stages["toxicity"](spark, empty, str(tmp_path)).collect() == []
+
+
+def test_pipeline_keeps_only_ids_of_the_table(spark):
     import corpus_pipeline
     from conftest import SF
 
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     result = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     assert result and result <= {r.doc_id for r in documents.collect()}
-    assert len(corpus_pipeline.STAGES) == 5

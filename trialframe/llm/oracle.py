@@ -45,5 +45,33 @@ def lexical_search(top: int = 50) -> str:
     QUALIFY rank <= {top}"""
 
 
+def warc_round_trip(least: int = 1000) -> str:
+    """What the records of the archives must say, from the table itself."""
+    return f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    q AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest,
+            CASE WHEN octet_length(payload) >= {least} AND page_id IS NOT NULL
+                 THEN nullif(max(page_id) OVER (PARTITION BY payload), page_id) END AS refers_to FROM p)
+    SELECT *, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type FROM q"""
+
+
+def url_filter() -> str:
+    """Rules in the order of their length; the list is every canonical URL that two URLs share."""
+    lower = f"translate(regexp_extract(rest, '^[^/?#]*'), '{CAPITALS}', '{CAPITALS.lower()}')"
+    return f"""WITH r AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (SELECT page_id, url, {lower} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(/index)?(\\.html?)?/*$', '') END AS canonical,
+            CASE WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                 WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+                 WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+                 WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+                 WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM h),
+    l AS (SELECT canonical FROM c WHERE canonical IS NOT NULL GROUP BY canonical HAVING min(url) < max(url)),
+    f AS (SELECT page_id, host, path, canonical, rule, rule IS NULL AND canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l) AS listed FROM c)
+    SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict FROM f"""
+
+
 def build() -> dict[str, str]:
-    return {"op11_vector_codes": vector_codes(), "op12_lexical_search": lexical_search()}
+    return {
+        "op6_warc_round_trip": warc_round_trip(), "op10_url_filter": url_filter(),
+        "op11_vector_codes": vector_codes(), "op12_lexical_search": lexical_search(),
+    }

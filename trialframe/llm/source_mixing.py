@@ -23,6 +23,8 @@ SHARE, CAP = 1.5, 2.0
 NEWTON = 40
 BINS = 4096
 OFFERS = 8
+#: Up to so many sources, tables with a row for each are broadcast (a few MB).
+SOURCES = 20_000
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, weights=WEIGHTS) -> DataFrame:
@@ -56,7 +58,7 @@ def _rate(x, cap: float):
     return F.least(F.lit(cap), F.exp(F.least(x, F.lit(50.0))))
 
 
-def multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = NEWTON) -> DataFrame:
+def multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = NEWTON, few: bool = True) -> DataFrame:
     """(source, lambda, mean): the dual solution for every source; null keys are a source of their own.
 
     Where the target is the cap itself the rates all are the cap, and lambda is null.
@@ -66,7 +68,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: i
     )
     means = bins.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     open_targets = targets.filter((F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12)))
-    state = _with(open_targets, means)
+    state = _with(open_targets, means, few=few)
     state = staged(
         state.select("source", "target", "mean", *[F.lit(v).alias(c) for c, v in (("lam", 0.0), ("low", None), ("high", None))])
         .withColumns({c: F.col(c).cast("double") for c in ("lam", "low", "high")})
@@ -77,7 +79,7 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: i
         rate = _rate(tilt, cap)
         mass = rate * F.col("size") * F.col("n")
         free = tilt < F.log(F.lit(cap))
-        sums = _with(bins, state).groupBy("source").agg(
+        sums = _with(bins, state, few=few).groupBy("source").agg(
             *[F.first(c).alias(c) for c in ("target", "mean", "lam", "low", "high")],
             F.sum(mass).alias("mass"),
             F.sum(F.when(free, mass * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
@@ -100,15 +102,20 @@ def multipliers(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: i
     return state.select("source", "lam", "mean")
 
 
-def _with(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on source, null equal to null; columns of both, source once. Skew is left to adaptive execution."""
+def _with(left: DataFrame, right: DataFrame, how: str = "inner", few: bool = True) -> DataFrame:
+    """Join on source, null equal to null; columns of both, source once.
+
+    `right` has one row for each source. With `few`, which the caller has counted to be at most `SOURCES`, it is broadcast,
+    so a source with a third of all rows is joined where its rows lie. With more sources the join deals rows by source and
+    adaptive execution splits a hot one.
+    """
     named = right.withColumnRenamed("source", "_right")
-    return left.join(named, left["source"].eqNullSafe(named["_right"]), how).drop("_right")
+    return left.join(F.broadcast(named) if few else named, left["source"].eqNullSafe(named["_right"]), how).drop("_right")
 
 
-def _offer(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+def _offer(rows: DataFrame, gaps: DataFrame, few: bool = True) -> DataFrame:
     """`rows` (key, source, size, rank, extra) after one more prefix of those that fit is taken."""
-    open_rows = _with(rows, gaps, "left").withColumn(
+    open_rows = _with(rows, gaps, "left", few).withColumn(
         "fits", F.coalesce((F.col("extra") == 0) & F.col("may") & (F.col("size") <= F.col("gap")) & (F.col("size") > 0), F.lit(False))
     ).withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.col("rank")) / 2 * BINS)).cast("int"))
     bins = open_rows.filter("fits").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("gap").alias("gap"))
@@ -118,7 +125,7 @@ def _offer(rows: DataFrame, gaps: DataFrame) -> DataFrame:
         .filter((F.col("before") + F.col("bin_size") > F.col("gap")) & (F.col("before") <= F.col("gap")))
         .select("source", F.col("bin").alias("cut"), "before")
     )
-    placed = _with(open_rows, cut, "left")
+    placed = _with(open_rows, cut, "left", few)
     # only the rows of one bin of a source are ordered together
     inside = placed.filter(F.col("fits") & (F.col("bin") == F.col("cut"))).withColumn(
         "upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy(F.desc("rank"), "key").rowsBetween(Window.unboundedPreceding, 0))
@@ -133,10 +140,13 @@ def _offer(rows: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows with `_size` and `_key`: a hash of id, source and size, and a number among rows equal in these."""
-    sized = docs.withColumn("_size", word_count(F.col(text)))
-    twins = Window.partitionBy(id_column, source, "_size").orderBy(F.lit(0))
-    return sized.withColumn("_key", F.xxhash64(id_column, source, "_size", F.row_number().over(twins)))
+    """The rows with `_size` and `_key`: a hash of id, source and size, and a number among rows equal in these.
+
+    The number follows a hash of the text, so a text has its key whatever the order of the rows; equal texts may swap.
+    """
+    sized = docs.withColumn("_size", word_count(F.col(text))).withColumn("_hash", F.xxhash64(text))
+    twins = Window.partitionBy(id_column, source, "_size").orderBy("_hash")
+    return sized.withColumn("_key", F.xxhash64(id_column, source, "_size", F.row_number().over(twins))).drop("_hash")
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -149,8 +159,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
     rows = staged(keyed(sized).select("doc_id", "source", F.col("_size").alias("size"), F.col("_key").alias("key")))
     targets = staged(source_targets(rows))
-    solved = multipliers(rows, targets)
-    rated = _with(_with(rows, targets.select("source", "target", "source_size")), solved, "left").withColumn(
+    few = targets.count() <= SOURCES
+    solved = multipliers(rows, targets, few=few)
+    rated = _with(_with(rows, targets.select("source", "target", "source_size"), few=few), solved, "left", few).withColumn(
         "rate",
         F.when(F.col("size") == 0, 1.0)
         .when(F.col("lam").isNull(), F.when(F.col("target") > 0, CAP).otherwise(0.0))
@@ -168,7 +179,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     )
     for _ in range(OFFERS):
         gaps = state.groupBy("source").agg((F.first("target") - F.sum((F.col("base") + F.col("extra")) * F.col("size"))).alias("gap"))
-        after = staged(_offer(state, gaps))
+        after = staged(_offer(state, gaps, few))
         moved = after.agg(F.sum("extra")).first()[0] == state.agg(F.sum("extra")).first()[0]
         state = after
         if moved:

@@ -1,9 +1,9 @@
 """URL filtering: rules on host and path, and a list of canonical URLs behind a blocked Bloom filter.
 
-All bits of a URL lie in one 512-bit block of the filter, so a test reads eight longs. The filter has
-a fixed number of blocks, hence a fixed size whatever the length of the list; it is sent to the tasks as one
-value and passes possible hits. Only those are joined to the list, which removes false positives. A longer list
-makes more false positives, never a wrong verdict. Only DataFrame functions are used.
+All bits of a URL lie in one 512-bit block of the filter, so a test reads eight longs. The number of blocks follows the
+length of the list, about 50 URLs to a block. Up to `MOST_BLOCKS` the filter is sent to the tasks as one value (8 MB at most,
+for some six million URLs); a longer one stays a table of blocks, which are joined to the rows by their number. It passes
+possible hits. Only those are joined to the list, which removes false positives. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-BLOCKS = 1 << 12  # 512 bits each: 256 KB
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 6, 1 << 17  # 512 bits each
+KEYS_A_BLOCK = 50
 PROBES = 6
 _LONGS = 8
 
@@ -49,36 +50,49 @@ def canonical(host: Column, path: Column) -> Column:
     return F.when(host != "", F.concat(F.regexp_replace(host, "^www\\.", ""), short))
 
 
-def _probes(key: Column) -> tuple[Column, list[Column]]:
-    """Block of a key, and its bits: places 0 to 511 within the block."""
-    block = F.pmod(F.xxhash64(F.lit("block"), key), F.lit(BLOCKS)).cast("int")
+def blocks_for(keys: int) -> int:
+    """The least power of two of blocks that have at most `KEYS_A_BLOCK` keys on average."""
+    return max(LEAST_BLOCKS, 1 << max(0, -(-keys // KEYS_A_BLOCK) - 1).bit_length())
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks)).cast("int")
+
+
+def _bits(key: Column) -> list[Column]:
+    """The bits of a key: places 0 to 511 within its block."""
     bits = F.xxhash64(F.lit("bits"), key)
-    return block, [F.shiftrightunsigned(bits, 9 * k).bitwiseAND(F.lit(511)).cast("int") for k in range(PROBES)]
-
-
-def bloom_filter(keys: DataFrame, column: str) -> list[int]:
-    """The filter of a column as BLOCKS * 8 longs, block after block; built by partial aggregation."""
-    block, bits = _probes(F.col(column))
-    places = keys.filter(F.col(column).isNotNull()).select(block.alias("block"), F.explode(F.array(*bits)).alias("bit"))
-    longs = places.select(
-        (F.col("block") * _LONGS + F.shiftright("bit", 6)).alias("at"),
-        F.expr("shiftleft(1L, bit & 63)").alias("mask"),
-    ).groupBy("at").agg(F.bit_or("mask").alias("mask"))
-    # at most BLOCKS * 8 rows reach the driver, by construction
-    out = [0] * (BLOCKS * _LONGS)
-    for row in longs.collect():
-        out[row["at"]] = row["mask"]
-    return out
-
-
-def may_contain(filter_longs: Column, key: Column) -> Column:
-    """Whether the filter, an array of longs, may contain the key; false for a null key."""
-    block, bits = _probes(key)
+    return [F.shiftrightunsigned(bits, 9 * k).bitwiseAND(F.lit(511)).cast("int") for k in range(PROBES)]
+
+
+def bloom_filter(keys: DataFrame, column: str, blocks: int) -> DataFrame:
+    """(block, longs): the eight longs of each block that has a key; built by partial aggregation."""
+    key = F.col(column)
+    places = keys.filter(key.isNotNull()).select(_block(key, blocks).alias("block"), F.explode(F.array(*_bits(key))).alias("bit"))
+    mask = F.expr("shiftleft(1L, bit & 63)")
+    longs = [F.coalesce(F.bit_or(F.when(F.shiftright("bit", 6) == k, mask)), F.lit(0).cast("long")) for k in range(_LONGS)]
+    return places.groupBy("block").agg(F.array(*longs).alias("longs"))
+
+
+def _hit(key: Column, long_at) -> Column:
     hit = F.lit(True)
-    for bit in bits:
-        long = F.element_at(filter_longs, block * _LONGS + F.shiftright(bit, 6) + 1)
-        hit = hit & (F.call_function("bit_get", long, bit.bitwiseAND(F.lit(63))) == 1)
-    return key.isNotNull() & hit
+    for bit in _bits(key):
+        hit = hit & (F.call_function("bit_get", long_at(F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1)
+    return key.isNotNull() & F.coalesce(hit, F.lit(False))
+
+
+def with_possible(rows: DataFrame, column: str, filter_blocks: DataFrame, blocks: int) -> DataFrame:
+    """`rows` with `possible`: whether the filter may contain the column; false for a null."""
+    key = F.col(column)
+    if blocks > MOST_BLOCKS:
+        table = filter_blocks.select(F.col("block").alias("_block"), F.col("longs").alias("_longs"))
+        joined = rows.withColumn("_at", _block(key, blocks)).join(table, F.col("_at") == F.col("_block"), "left")
+        return joined.withColumn("possible", _hit(key, lambda k: F.get("_longs", k))).drop("_at", "_block", "_longs")
+    flat = [0] * (blocks * _LONGS)
+    for row in filter_blocks.collect():  # at most MOST_BLOCKS rows
+        flat[row["block"] * _LONGS : (row["block"] + 1) * _LONGS] = row["longs"]
+    longs = rows.sparkSession.createDataFrame([(flat,)], "longs array<bigint>").scalar()
+    return rows.withColumn("possible", _hit(key, lambda k: F.get(longs, _block(key, blocks) * _LONGS + k)))
 
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -98,13 +112,14 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, keys: tuple[str
     (column `canonical`; nulls and repeats do no harm). A null url, or one without `://`, has an empty host and
     path and is allowed. Repeated rows repeat; an empty list blocks nothing; other columns are not read.
     """
-    spark = pages.sparkSession
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select(*keys, host.alias("host"), path.alias("path"))
     rule, outcome = longest_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", canonical(F.col("host"), F.col("path")).alias("canonical"), rule.alias("rule"), outcome.alias("outcome"))
-    longs = spark.createDataFrame([(bloom_filter(listed, "canonical"),)], "longs array<bigint>")
-    possible = rows.withColumn("possible", may_contain(longs.scalar(), F.col("canonical")) & F.col("rule").isNull())
+    blocks = blocks_for(listed.count())
+    possible = with_possible(rows, "canonical", bloom_filter(listed, "canonical", blocks), blocks)
+    # written once, without the pages' text: both branches below read it
+    possible = staged(possible.withColumn("possible", F.col("possible") & F.col("rule").isNull()))
     # a key that only possible hits have: all other rows get null, which joins nothing and is dealt nowhere
     exact = listed.select(F.col("canonical").alias("hit")).filter("hit IS NOT NULL").distinct()
     passed = possible.filter("possible").join(exact, F.col("canonical") == F.col("hit"), "left")
