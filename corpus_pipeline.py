@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage applies one training-data operator to all its predecessor kept.
 
 Stages take (spark, docs, sf_dir); their result is written and read again as the next one's docs.
-All but the last return the columns of `documents`.
+All but the last return the columns of `documents`. In every stage a null text is an empty one, null ids and null
+sources are values of their own, an empty table stays empty, other columns are dropped and repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id. Rows without id stay."""
+    """One document of each group of near duplicates stays: that with the smallest id. Rows without id stay, and so do rows that share an id."""
     dropped = near_duplicates(docs, percent=80).filter("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -60,7 +61,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-#: Trained scores, signatures and tokens are beyond SQL; tests hold each stage against brute force.
+#: Trained scores, signatures and tokens are beyond SQL; tests/llm hold each stage against its plain version on a small table.
 ORACLE_SQL = None
 
 
