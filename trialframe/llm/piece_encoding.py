@@ -26,6 +26,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from .common import text_batches
 
 MARK = "▁"
+BATCH = 3 << 20  # bytes of text whose parts are encoded together; the arrays beside it take some forty times as much
 PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 TYPES = {
@@ -284,7 +285,7 @@ def encode(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(blob)
-        for batch in text_batches(batches, "_text"):
+        for batch in text_batches(batches, "_text", BATCH):
             texts = batch.column("_text").cast(pa.binary()).fill_null(b"").to_pylist()
             rows = [_outputs(found, outputs) for found in encoder.encode_all(texts)]
             made = [pa.array([r[k] for r in rows], _ARROW[TYPES[o]]) for k, o in enumerate(outputs)]
