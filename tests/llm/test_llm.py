@@ -456,7 +456,7 @@ def test_piece_query_digests(spark):
 
 
 def test_fit_holds_one_copy_of_long_texts():
-    """8 million values: 64 MB as features and values, and temporaries of a block's size besides."""
+    """8 million values: 32 MB as features and values, and temporaries of a block's size besides."""
     import tracemalloc
 
     rng = np.random.default_rng(1)
@@ -471,7 +471,7 @@ def test_fit_holds_one_copy_of_long_texts():
     weights, bias = toxicity.fit(rows(), toxic)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 8 * 8_000_000 + 180e6
+    assert peak < 4 * 8_000_000 + 120e6
     assert weights[1] > 0 > weights[0] and np.isfinite(bias)
 
 

@@ -22,10 +22,12 @@ from .hashing import mix
 
 BITS = 18
 FEATURES = 1 << BITS
+PART_BITS = 16
+PART = 1 << PART_BITS
 SIZES = (3, 4, 5)
 SAMPLE = 4000
-#: Characters of sampled text of a class: about 3 features each, of 8 bytes, so the fit takes 1.2 GB at most.
-CHARACTERS = 25_000_000
+#: Characters of sampled text of a class: about 3 features each, of 4 bytes, so the fit takes 0.5 GB at most.
+CHARACTERS = 20_000_000
 BLOCK = 1 << 20  # features that are handled at once in the fit
 SMOOTHING = 10.0
 RIDGE = 1e-3
@@ -59,48 +61,63 @@ def _hashed(chars: np.ndarray, starts: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def _blocks(rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, begin of each row, features, values) of blocks of about `BLOCK` values: the only copy of the matrix."""
+class Block:
+    """Some rows of the sample, with the features in parts of 2**16: 4 bytes for each value, and nothing else is kept."""
+
+    def __init__(self, first: int, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.first, self.rows = first, len(rows)
+        at, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        part = at >> PART_BITS
+        self.parts = []
+        for p in range(FEATURES >> PART_BITS):
+            mine = part == p
+            begins = np.append(0, np.cumsum(np.bincount(owner[mine], minlength=len(rows))))
+            self.parts.append((begins, (at[mine] & (PART - 1)).astype(np.uint16), value[mine].astype(np.float16)))
+
+
+def blocks_of(rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[Block]:
+    """The rows (features, values) in blocks of about `BLOCK` values."""
     held, size, first, count = [], 0, 0, 0
     for at, value in rows:
         held.append((at, value))
         size += len(at)
         count += 1
         if size >= BLOCK:
-            yield first, *_joined(held)
+            yield Block(first, held)
             held, size, first = [], 0, count
     if held:
-        yield first, *_joined(held)
+        yield Block(first, held)
 
 
-def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    begins = np.cumsum([0, *[len(at) for at, _ in held]])
-    return begins, np.concatenate([at for at, _ in held]).astype(np.int32), np.concatenate([v for _, v in held]).astype(np.float32)
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of the raw features and the intercept, from rows of (features, values) and their classes."""
+    return fit_blocks(list(blocks_of(rows)), toxic)
 
 
-def fit(rows: Iterable[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients of the raw features and the intercept.
+def fit_blocks(blocks: list[Block], toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """The same from blocks, the only copy of the sample; losses and gradients are added up block by block.
 
-    The features take 8 bytes for each value; losses and gradients are added up block by block. With one class only, or
-    no rows, every coefficient is 0 and the intercept gives the smoothed share.
+    With one class only, or no rows, every coefficient is 0 and the intercept gives the smoothed share.
     """
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     if not len(toxic) or toxic.min() == toxic.max():
         return np.zeros(FEATURES), float(np.log(share / (1 - share)))
-    blocks = list(_blocks(rows))
 
     def per_row(by_feature: np.ndarray) -> np.ndarray:
         out = np.zeros(len(toxic))
-        for first, begins, at, value in blocks:
-            sums = np.append(0.0, np.cumsum(by_feature[at] * value))
-            out[first : first + len(begins) - 1] = sums[begins[1:]] - sums[begins[:-1]]
+        for block in blocks:
+            for p, (begins, at, value) in enumerate(block.parts):
+                sums = np.append(0.0, np.cumsum(by_feature[p * PART : (p + 1) * PART][at] * value))
+                out[block.first : block.first + block.rows] += sums[begins[1:]] - sums[begins[:-1]]
         return out
 
     def per_feature(by_row: np.ndarray) -> np.ndarray:
         out = np.zeros(FEATURES)
-        for first, begins, at, value in blocks:
-            shares = np.repeat(by_row[first : first + len(begins) - 1], np.diff(begins))
-            out += np.bincount(at, weights=shares * value, minlength=FEATURES)
+        for block in blocks:
+            own = by_row[block.first : block.first + block.rows]
+            for p, (begins, at, value) in enumerate(block.parts):
+                out[p * PART : (p + 1) * PART] += np.bincount(at, weights=np.repeat(own, np.diff(begins)) * value, minlength=PART)
         return out
 
     seen = [per_feature((toxic == c).astype(float)) for c in (0.0, 1.0)]
@@ -149,22 +166,16 @@ def _minimum(loss, x: np.ndarray, keep: int = 8) -> np.ndarray:
 
 
 def _fitted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows, toxic, order = [], [], []
-    for batch in batches:
-        found = (grams(t or "") for t in batch.column("text").to_pylist())
-        rows += [(at.astype(np.int32), value.astype(np.float32)) for at, value in found]
-        toxic += batch.column("toxic").to_pylist()
-        order += batch.column("doc_id").to_pylist()
-    # the order of arrival must not matter, not even for repeated ids
-    by_id = sorted(range(len(rows)), key=lambda k: (order[k], len(rows[k][0]), rows[k][0].tobytes(), rows[k][1].tobytes()))
-    labels = np.array(toxic, float)[by_id]
-
-    def in_order() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for k in by_id:
-            row, rows[k] = rows[k], None  # the blocks of the fit are the only copy
-            yield row
-
-    w, b = fit(in_order(), labels)
+    toxic: list[int] = []
+
+    def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                toxic.append(label)
+                yield grams(text or "")
+
+    blocks = list(blocks_of(rows()))
+    w, b = fit_blocks(blocks, np.array(toxic, float))
     yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()]), pa.array([b])], ["weights", "intercept"])
 
 
@@ -183,7 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
     size = F.coalesce(F.length("text"), F.lit(0)) + 1
     before = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
     rows = rows.withColumn("_before", before).filter(F.col("_before") < characters).drop("_before")
-    found = rows.repartition(1).mapInArrow(_fitted, "weights binary, intercept double").first()
+    # one order, whatever that of arrival
+    rows = rows.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("text", "toxic")
+    found = rows.mapInArrow(_fitted, "weights binary, intercept double").first()
     if found is None:  # no labelled text at all: no task had a row
         return np.zeros(FEATURES, "<f4").tobytes(), 0.0
     return bytes(found.weights), found.intercept
