@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from brute_texts import components, shingles, words
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trialframe.llm import fingerprints as fp
 from trialframe.llm import katz, quality_votes, queries, quotations, source_mixing, toxicity, url_filter, warc
+from trialframe.llm import near_duplicates as near
 from trialframe.llm.near_duplicates import near_duplicates
 from trialframe.llm.piece_encoding import Encoder, decode, encode
 from trialframe.llm.quotations import as_replies, chosen_turn, link_quotations
@@ -64,6 +66,58 @@ def test_a_chain_inside_one_bucket_is_followed(spark):
     assert got == components(chain, 85)
 
 
+def test_a_bucket_of_many_blocks_loses_no_link(spark, monkeypatch):
+    """Versions at likenesses around the threshold, small blocks and split hubs."""
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "PIECE", 8)
+    rng = np.random.default_rng(7)
+    base = [f"v{k}" for k in range(400)]
+    rows = {}
+    for i in range(160):
+        own = list(base)
+        for k in rng.choice(400, int(rng.integers(3, 20)), replace=False):
+            own[k] = f"r{i}x{k}"
+        rows[1000 - i] = " ".join(own)
+    want = components(rows, 85)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows.items()), percent=85).collect()}
+    assert got == want
+    assert 1 < len(set(want.values())) < len(rows)
+
+
+def test_open_pairs_are_those_that_a_bound_allows():
+    """Every pair of a block at the threshold comes out, and none that sizes or counts rule out."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 300 - d, replace=False), rng.integers(0, 1 << 62, d).astype(np.uint64)])) for d in rng.integers(0, 60, 80)]
+    bands = near.bands_for(80)
+    signs = [near.band_keys(near.signature(s, bands * near.ROWS)) for s in sets]
+    for k in signs:
+        k[0] = 5  # all share the first band
+    batch = pa.table(
+        {
+            "key": [5] * 80, "doc_id": range(80), "component": range(80), "outsider": [1] * 80, "partner": [1] * 80,
+            "n_shingles": [len(s) for s in sets], "bins": [near.bin_counts(s) for s in sets], "keys": [k.tobytes() for k in signs],
+        }
+    )
+    def pairs(batch):
+        got = near._open_pairs(bands, 80, None)(batch)
+        return set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+
+    found, true = pairs(batch), {}
+    for i in range(80):
+        for j in range(i + 1, 80):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            true[i, j] = both / (len(sets[i]) + len(sets[j]) - both)
+    alike = {p for p, x in true.items() if x >= 0.8}
+    assert alike <= found
+    assert len(alike) <= len(found) < len(true)
+    blind = batch.set_column(6, "bins", pa.array([None] * 80, pa.binary()))  # bins too full: sizes alone decide
+    assert found < pairs(blind)
+    assert near.bin_counts(np.arange(1 << 20, dtype=np.uint64)) is None
+    assert (near.bands_for(85), near.bands_for(80), near.bands_for(100)) == (32, 47, 1)
+    assert all((1 - (p / 100) ** near.ROWS) ** near.bands_for(p) <= near.MISSED for p in (60, 80, 85, 95))
+
+
 def test_fingerprints(spark, texts):
     rows = [*texts.items(), (7, texts[7])]
     got = fp.fingerprints(docs(spark, rows), chunks=6).collect()

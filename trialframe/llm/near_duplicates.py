@@ -8,14 +8,16 @@ the signature send alike documents to the same bucket, and links are confirmed o
 Buckets are never expanded into all pairs. Documents with equal shingle sets are one node. Every
 member of a bucket is first compared with the smallest member; verified links are contracted to
 components. Only buckets that still hold several components are looked at again: members outside
-the bucket's main component are compared with the rest in blocks, by signatures, and the likeliest
-pairs are verified, 16 for each document and block, then all that are left.
+the bucket's main component are compared with the rest in blocks, by counts of their shingles in 512
+bins: the overlap of two sets is at most the sum of the smaller counts. Pairs that this bound rules out are
+left, the likeliest others are verified, 16 for each document and block, then all that are left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +29,22 @@ from .components import components
 from .hashing import hashed_words, mix
 
 UNIVERSE = 1 << 20
-BANDS, ROWS = 32, 5
-WIDTH = BANDS * ROWS
+ROWS = 5  # coordinates of a band
+MISSED = 1e-8  # chance that two sets at the threshold share no band
 SHINGLE = 5
 BLOCK = 1024
 #: Partners verified for each outsider and block; in the last round all.
 ROUNDS = (16, None)
-#: Coordinates of the longer signature that tells the likely partners inside an unsettled bucket.
-SKETCH = 320
-#: Signatures below this likeness are not verified: five standard errors under a Jaccard of 0.85.
-MARGIN = 0.1
+#: Bins of a set's shingle counts, a byte each; a set with a fuller bin has no counts and is always verified.
+BINS = 512
+#: Pairs of one smaller id that meet its set in one piece of a join.
+PIECE = 2048
+
+
+def bands_for(percent: int) -> int:
+    """Bands that sets with a Jaccard of percent / 100 all miss with a chance of at most `MISSED`: 32 at 85, 47 at 80."""
+    agree = (percent / 100) ** ROWS
+    return 1 if agree >= 1 else ceil(log(MISSED) / log1p(-agree))
 
 
 @cache
@@ -46,7 +54,7 @@ def shifted_table(width: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: width - 1]]), width)
 
 
-def signature(shingles: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def signature(shingles: np.ndarray, width: int) -> np.ndarray:
     """The first `width` coordinates of the set of 64-bit shingle hashes (not empty)."""
     places = np.unique(mix(shingles ^ np.uint64(0xA5A5A5A5)) >> np.uint64(44)).astype(np.int64)
     rows = shifted_table(width)
@@ -58,8 +66,9 @@ def signature(shingles: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 def band_keys(sign: np.ndarray) -> np.ndarray:
     """The bucket of each band of a signature."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in sign[:WIDTH].reshape(BANDS, ROWS).T:
+    rows = sign.reshape(-1, ROWS)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64)
+    for column in rows.T:
         key = mix(key * np.uint64(0x100000001B3) + column)
     return key.view(np.int64)
 
@@ -84,68 +93,83 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_batches(batches, "text"):
-        sizes, digests, bands = [], [], []
-        for found in shingle_sets(batch.column("text")):
-            sizes.append(len(found))
-            if not len(found):
-                digests.append(None)
-                bands.append(None)
-                continue
-            ends = mix(found + np.uint64(1))
-            digests.append(np.array([len(found), ends.sum(), np.bitwise_xor.reduce(mix(ends))], np.uint64).tobytes())
-            bands.append(band_keys(signature(found)))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array(sizes, pa.int64()),
-                pa.array(digests, pa.binary()),
-                pa.array(bands, pa.list_(pa.int64())),
-            ],
-            ["doc_id", "n_shingles", "digest", "bands"],
-        )
-
-
-def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_batches(batches, "text"):
-        found = list(shingle_sets(batch.column("text")))
-        signs = [signature(s, SKETCH) if len(s) else None for s in found]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
-                pa.array([None if s is None else s.astype(np.uint8).tobytes() for s in signs], pa.binary()),
-                pa.array([None if s is None else band_keys(s).tobytes() for s in signs], pa.binary()),
-            ],
-            ["doc_id", "shingles", "sketch", "keys"],
-        )
-
-
-def _likely_pairs(least: float, percent: int, most: int | None):
+def bin_counts(shingles: np.ndarray) -> bytes | None:
+    """How many shingles of a set fall into each bin."""
+    counts = np.bincount((mix(shingles + np.uint64(3)) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() <= 255 else None
+
+
+def _features(bands: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            sizes, digests, keys = [], [], []
+            for found in shingle_sets(batch.column("text")):
+                sizes.append(len(found))
+                if not len(found):
+                    digests.append(None)
+                    keys.append(None)
+                    continue
+                ends = mix(found + np.uint64(1))
+                digests.append(np.array([len(found), ends.sum(), np.bitwise_xor.reduce(mix(ends))], np.uint64).tobytes())
+                keys.append(band_keys(signature(found, bands * ROWS)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(digests, pa.binary()),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "n_shingles", "digest", "bands"],
+            )
+
+    return run
+
+
+def _set_rows(bands: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            found = list(shingle_sets(batch.column("text")))
+            keys = [band_keys(signature(s, bands * ROWS)).tobytes() if len(s) else None for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
+                    pa.array([bin_counts(s) if len(s) else None for s in found], pa.binary()),
+                    pa.array(keys, pa.binary()),
+                ],
+                ["doc_id", "shingles", "bins", "keys"],
+            )
+
+    return run
+
+
+def _open_pairs(bands: int, percent: int, most: int | None):
     """For one block of outsiders and one block of other members: the likeliest partners of each outsider, or all.
 
-    A pair that shares several buckets is looked at in that of its first shared band only.
+    Partners are ruled out by the greatest overlap that sizes and bin counts allow, never by an estimate. A pair that
+    shares several buckets is looked at in that of its first shared band only.
     """
-    need = int(np.floor(SKETCH * least))
 
     def pairs(batch: pa.Table) -> pa.Table:
         out = np.asarray(batch.column("outsider"))
         ids, comp = np.asarray(batch.column("doc_id")), np.asarray(batch.column("component"))
         size = np.asarray(batch.column("n_shingles"))
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+        full = np.asarray(batch.column("bins").is_null())  # no counts: nothing is known but the size
+        bins = np.frombuffer(b"".join(b or bytes(BINS) for b in batch.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, bands)
         here = batch.column("key")[0].as_py()
         mine, other = np.flatnonzero(out), np.flatnonzero(np.asarray(batch.column("partner")))
         left, right = [], []
         for i in mine:
             low, high = np.minimum(size[i], size[other]), np.maximum(size[i], size[other])
             fit = other[(comp[other] != comp[i]) & (100 * low >= percent * high)]
-            same = (sketch[fit] == sketch[i]).sum(axis=1)
-            fit, same = fit[same >= need], same[same >= need]
-            first = keys[i][(keys[fit] == keys[i]).argmax(axis=1)] == here
-            fit, same = fit[first], same[first]
-            best = np.argsort(-same, kind="stable")[:most]
+            fit = fit[keys[i][(keys[fit] == keys[i]).argmax(axis=1)] == here]
+            both = np.minimum(bins[fit], bins[i]).sum(axis=1, dtype=np.int64)
+            both = np.where(full[fit] | full[i], np.minimum(size[fit], size[i]), both)
+            union = size[fit] + size[i] - both
+            may = 100 * both >= percent * union
+            fit, likeness = fit[may], both[may] / union[may]
+            best = np.argsort(-likeness, kind="stable")[:most]
             left += [ids[i]] * len(best)
             right += list(ids[fit[best]])
         a, b = np.minimum(left, right).astype(np.int64), np.maximum(left, right).astype(np.int64)
@@ -155,17 +179,24 @@ def _likely_pairs(least: float, percent: int, most: int | None):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough. Skewed joins are left to adaptive execution."""
+    """The distinct pairs (a, b) whose full sets are alike enough.
+
+    A set that is the smaller id of many pairs is copied, once for each `PIECE` of them, and its pairs are dealt over the copies.
+    """
     left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb"))
+    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    hubs = staged(pieces.filter("pieces > 1"))  # written, so that its size decides how it is joined
+    one = F.coalesce("pieces", F.lit(1))
+    copies = left.join(hubs, "a", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), one - 1))).drop("pieces")
+    dealt = pairs.join(hubs, "a", "left").withColumn("piece", F.pmod(F.xxhash64("b"), one).cast("int")).drop("pieces")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return (
-        pairs.join(right, "b")
-        .join(left, "a")
+        dealt.join(right, "b")
+        .join(copies, ["a", "piece"])
         .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .filter(100 * both >= percent * (F.col("na") + F.col("nb") - both))
         .select("a", "b")
-        .distinct()
     )
 
 
@@ -223,12 +254,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     null or wordless text has no shingles and links with nothing. Rows with one id are one node, so
     repeated rows repeat their result; a row without an id links with nothing, is kept, and has a null
     component. The smallest id of a component is kept. Other columns are not read. An empty table gives
-    an empty result. Two texts at the threshold share no bucket with a chance below 1e-8.
+    an empty result. The number of bands follows `percent`: two texts at the threshold share no bucket with a chance
+    of 1e-8 at most. Of the pairs that share a bucket none is left out but by a bound on its overlap.
     """
+    bands = bands_for(percent)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     features = staged(
         docs.mapInArrow(
-            _features, "doc_id long, n_shingles long, digest binary, bands array<long>"
+            _features(bands), "doc_id long, n_shingles long, digest binary, bands array<long>"
         )
     )
     named = features.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -249,10 +282,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     suspects = members.select("doc_id").distinct()
     sets = staged(
         docs.join(suspects, "doc_id", "left_semi")
-        .mapInArrow(_set_rows, "doc_id long, shingles array<long>, sketch binary, keys binary")
+        .mapInArrow(_set_rows(bands), "doc_id long, shingles array<long>, bins binary, keys binary")
         .withColumn("n_shingles", F.size("shingles").cast("long"))
     )
-    sketches = sets.filter("sketch IS NOT NULL").select("doc_id", "n_shingles", "sketch", "keys")
+    counted = sets.filter("keys IS NOT NULL").select("doc_id", "n_shingles", "bins", "keys")
 
     pairs = staged(
         members.filter("doc_id != first_id")
@@ -262,10 +295,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     links = staged(components(_verified(pairs, sets, percent)))
     tested = pairs
     for most in ROUNDS:
-        blocks = _blocks(_labelled(members.select("key", "doc_id"), links)).join(sketches, "doc_id")
+        blocks = _blocks(_labelled(members.select("key", "doc_id"), links)).join(counted, "doc_id")
         found = (
             blocks.groupBy("key", "i", "j")
-            .applyInArrow(_likely_pairs(percent / 100 - MARGIN, percent, most), "a long, b long")
+            .applyInArrow(_open_pairs(bands, percent, most), "a long, b long")
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
