@@ -13,7 +13,9 @@ packed columns, (batch, kind, part, blob); every job can be repeated after a los
 d is the Good-Turing discount of the order for counts up to 5, and 1 above. C(h) is the count of h, or one
 more where no seen n-gram of h is discounted; a(h) makes the probabilities after h sum to 1. The context of
 the first word is a begin mark, and nothing is before that; the end of a text is a token. Every order repeats one step:
-its contexts are the numbers of the n-grams of the order below, and a batch knows the lower p of each of its tokens.
+its contexts are the keys of the n-grams of the order below, and a batch knows the lower p of each of its tokens.
+The key of a word is its mixed 64-bit number, that of a longer n-gram a 64-bit hash of its context's key and its last word's;
+parts are ranges of keys. There are as many parts as the text has blocks of 64 MB, or shuffle partitions if those are more.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from .common import staged, text_batches
 from .hashing import hashed_words, mix
 from .toxicity import held_out
 
-BATCH = 2_000_000  # tokens of a batch; a longer text is a batch of its own
+BATCH = 1_500_000  # tokens of a batch; a longer text is a batch of its own
 LARGEST = 5  # counts above are not discounted
 END = np.uint64(0)  # hash of the end token
-BEGIN = np.uint64(0xFFFFFFFF)  # number of the begin context; 0 is an unknown word
+BEGIN = np.uint64(0xFFFFFFFFFFFFFFFF)  # key of the begin context
+PART_BYTES = 64 << 20  # text behind one part of a table
 SCHEMA = "batch long, kind int, part int, blob binary"
 _FIELDS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 TEXTS, WORDS, NUMBERS, GRAMS, COUNTS, SUMS, TOTALS = range(7)
@@ -91,14 +94,17 @@ def _ask(batch: int, kind: int, part: np.ndarray, keys: np.ndarray, *values: np.
 
 
 def _unique(keys: np.ndarray, training: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in the order of (part, key), their parts, training counts, and where each input key is."""
+    """Distinct keys in order, their parts, training counts, and where each input key is. Keys are hashes: parts are ranges of them."""
     found, where = np.unique(keys, return_inverse=True)
     counts = np.bincount(where, weights=training, minlength=len(found)).astype(np.uint32)
-    part = (mix(found + np.uint64(7)) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return found[order], part[order], counts[order], place[where]
+    part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    return found, part, counts, where
+
+
+def gram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the keys of their contexts and last words."""
+    with np.errstate(over="ignore"):
+        return mix(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def tokenised(docs: DataFrame, parts: int) -> DataFrame:
@@ -140,10 +146,10 @@ def tokenised(docs: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def summed(requests: DataFrame, answer: int, parts: int, numbered: bool = True) -> DataFrame:
+def summed(requests: DataFrame, answer: int, parts: int) -> DataFrame:
     """Add up the requests of each part; answers in the order of the requests, and one row of statistics (batch -1).
 
-    Answers: the number of each key (0 if no training text has it, or not `numbered`), its count, and for n-grams whether
+    Answers: for words the number of each key (0 if no training text has it) and its count, for n-grams the count and whether
     this is the first request for it. Statistics: all counts, keys, keys with count 1 to 6.
     """
 
@@ -154,19 +160,16 @@ def summed(requests: DataFrame, answer: int, parts: int, numbered: bool = True)
             found, first, where = np.unique(keys, return_index=True, return_inverse=True)
             counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(found)).astype(np.uint64)
             seen = counts > 0
-            number = np.zeros(len(keys), np.uint32)
-            if numbered:
-                wide = np.where(seen, (np.cumsum(seen) - 1) * parts + part + 1, 0)
-                if wide.max() >= BEGIN:
-                    raise OverflowError("more n-grams than 32-bit numbers")
-                number = wide.astype(np.uint32)[where]
+            if answer == NUMBERS:
+                of_key = np.where(seen, (np.cumsum(seen) - 1) * parts + part + 1, 0).astype(np.uint64)
             mark = np.zeros(len(keys), bool)
             mark[first] = True
             stop = np.cumsum([len(a[0]) for a in asked])
             for row, e, a in zip(rows, stop, asked, strict=True):
                 s = slice(e - len(a[0]), e)
-                marks = [] if answer == NUMBERS else [mark[s]]
-                yield _rows([(row[0], answer, part, pack(number[s], counts[where[s]], *marks))])
+                at = where[s]
+                values = (of_key[at], counts[at]) if answer == NUMBERS else (counts[at], mark[s])
+                yield _rows([(row[0], answer, part, pack(*values))])
             least = np.bincount(counts[counts <= LARGEST + 1].astype(np.int64), minlength=LARGEST + 2)[1:]
             yield _rows([(-1, answer, part, np.concatenate([[counts.sum(), seen.sum()], least]).astype("<i8").tobytes())])
 
@@ -215,53 +218,53 @@ class Unigrams:
 
 
 class Grams:
-    """The n-grams of one order in a batch: context number of each token, and where its requests are."""
+    """The n-grams of one order in a batch: the count of each token's context, and where its requests are."""
 
     def __init__(self, texts: Texts, order: int, parts: int, begins: int):
-        word = texts.words.astype(np.uint64)
-        self.context, self.times = np.zeros_like(word), np.zeros(len(word))
-        self.context[1:], self.times[1:] = texts.below[:-1], texts.times[:-1]
+        context, self.times = np.zeros_like(texts.words), np.zeros(len(texts.words))
+        context[1:], self.times[1:] = texts.below[:-1], texts.times[:-1]
         starts = np.cumsum(texts.lengths) - texts.lengths
-        self.context[starts], self.times[starts] = (BEGIN, begins) if order == 2 else (0, 0)
-        self.known = np.flatnonzero(self.context > 0)
-        self.both = np.flatnonzero((self.context > 0) & (word > 0))
+        context[starts], self.times[starts] = (BEGIN, begins) if order == 2 else (0, 0)
+        self.known = np.flatnonzero(self.times > 0)
+        self.both = np.flatnonzero((self.times > 0) & (texts.count > 0))
         train = texts.training()
-        keys = (self.context << np.uint64(32) | word)[self.both]
+        keys = gram_keys(context[self.both], texts.words[self.both])
         self.keys, self.part, self.counts, self.place = _unique(keys, train[self.both], parts)
-        self.contexts, self.context_part, _, at = _unique(self.context[self.known], train[self.known], parts)
-        self.at = np.zeros(len(word), np.int64)
+        self.contexts, self.context_part, _, at = _unique(context[self.known], train[self.known], parts)
+        self.at = np.zeros(len(context), np.int64)
         self.at[self.known] = at
 
 
 class Texts:
-    """A batch: its texts as token numbers (0: unknown), with the answers put in, and p of each token, order by order.
+    """A batch: its texts as keys of tokens, with the answers put in, and p of each token, order by order.
 
-    `below` and `times` are the number and count of the n-gram of the order reached that ends at each token.
+    `below` and `times` are the key and count of the n-gram of the order reached that ends at each token; a count of 0 is
+    an n-gram without training texts, whose key says nothing.
     """
 
     def __init__(self, rows: list[tuple], unigrams: Unigrams):
         blob = {k: [r[3] for r in rows if r[1] == k] for k in {r[1] for r in rows}}
         self.ids, self.known_id, self.held, self.lengths, rank, back = unpack(blob[TEXTS][0], "i8", "?", "?", "i8", "u4", "u4")
         place = back[rank]
-        answers = [unpack(b, "u4", "u8") for b in blob[NUMBERS]]
+        answers = [unpack(b, "u8", "u8") for b in blob[NUMBERS]]
         number, count = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
-        self.words, self.count, self.blob = number[place], count[place], blob
+        self.words, self.count, self.blob = mix(number)[place], count[place], blob
         self.below, self.times, self.p = self.words, self.count, unigrams(self.count)
 
     def training(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
 
-    def answered(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number, count, mark) of the distinct n-grams, in the order of the requests."""
-        got = [unpack(b, "u4", "u8", "?") for b in self.blob.get(of_order(COUNTS, order), [])]
-        empty = np.empty(0, np.uint32), np.empty(0, np.uint64), np.empty(0, bool)
-        return tuple(np.concatenate([g[k] for g in got]) if got else empty[k] for k in range(3))
+    def answered(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(count, mark) of the distinct n-grams, in the order of the requests."""
+        got = [unpack(b, "u8", "?") for b in self.blob.get(of_order(COUNTS, order), [])]
+        empty = np.empty(0, np.uint64), np.empty(0, bool)
+        return tuple(np.concatenate([g[k] for g in got]) if got else empty[k] for k in range(2))
 
     def climb(self, order: int, grams: Grams, discounts: np.ndarray) -> None:
         """From p of the order below to p of this order."""
-        number, count, _ = self.answered(order)
-        below, times = np.zeros(len(self.words), np.uint32), np.zeros(len(self.words), np.uint64)
-        below[grams.both], times[grams.both] = number[grams.place], count[grams.place]
+        count, _ = self.answered(order)
+        below, times = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.uint64)
+        below[grams.both], times[grams.both] = grams.keys[grams.place], count[grams.place]
         if len(grams.known):
             totals = [unpack(b, "f8", "f8") for b in self.blob[of_order(TOTALS, order)]]
             seen, mass = (np.concatenate([t[k] for t in totals])[grams.at[grams.known]] for k in (0, 1))
@@ -316,7 +319,7 @@ def _context_requests(model: Model, order: int):
         for batch, rows in _grouped(batches, "batch"):
             texts = model.texts(rows, order - 1)
             grams = model.grams(texts, order)
-            _, count, mark = texts.answered(order)
+            count, mark = texts.answered(order)
             mine = mark & (count > 0)
             token = np.zeros(len(grams.keys), np.int64)  # a token where the n-gram is
             token[grams.place] = grams.both
@@ -335,7 +338,7 @@ def _context_totals(order: int):
         for part, rows in _grouped(batches, "part"):
             asked = [unpack(r[3], "u8", "f8", "f8") for r in rows]
             keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-            _, where = np.unique(keys, return_inverse=True)
+            where = np.unique(keys, return_inverse=True)[1]
             sums = [np.bincount(where, weights=np.concatenate([a[k] for a in asked]))[where] for k in (1, 2)]
             stop = np.cumsum([len(a[0]) for a in asked])
             for row, e, a in zip(rows, stop, asked, strict=True):
@@ -381,15 +384,15 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     as they occur; an empty table stays empty; without training texts every token is unknown. Other
     columns are not read.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    begins, size = docs.agg(F.count_if(~held_out("doc_id", 5, 1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     texts = staged(tokenised(docs, parts))
     numbers = staged(summed(texts.filter(f"kind = {WORDS}"), NUMBERS, parts))
-    begins = docs.filter(~held_out("doc_id", 5, 1)).count()
     model = Model(Unigrams(statistics(numbers)), parts, begins)
     known = texts.filter(f"kind = {TEXTS}").unionByName(numbers.filter("batch >= 0"))
     for k in range(2, order + 1):
         asked = _by_batch(known, _gram_requests(model, k), SCHEMA)
-        counts = staged(summed(asked, of_order(COUNTS, k), parts, numbered=k < order))
+        counts = staged(summed(asked, of_order(COUNTS, k), parts))
         model.discounts[k] = good_turing(statistics(counts)[2:])
         known = known.unionByName(counts.filter("batch >= 0"))
         sums = _by_batch(known, _context_requests(model, k), SCHEMA)
