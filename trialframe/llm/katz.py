@@ -32,7 +32,7 @@ from .common import staged, text_batches
 from .hashing import hashed_words, mix
 from .toxicity import held_out
 
-BATCH = 1_500_000  # tokens of a batch; a longer text is a batch of its own
+BATCH = 2_000_000  # tokens of a batch; a longer text is a batch of its own
 LARGEST = 5  # counts above are not discounted
 END = np.uint64(0)  # hash of the end token
 BEGIN = np.uint64(0xFFFFFFFFFFFFFFFF)  # key of the begin context
@@ -48,8 +48,11 @@ def of_order(kind: int, order: int) -> int:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value. Bytes of one weight lie together, so the zeros of small numbers cost nothing."""
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    """Arrays as one compressed value.
+
+    Bytes of one weight lie together, so the zeros of small numbers cost nothing; probabilities stay whole, as they repeat.
+    """
+    planes = [a.tobytes() if a.dtype.kind == "f" else np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
     batch = pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in planes], [str(k) for k in range(len(arrays))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -59,8 +62,13 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     batch = next(iter(pa.ipc.open_stream(blob)))
-    planes = [np.frombuffer(c[0].as_buffer(), np.uint8).reshape(np.dtype(k).itemsize, -1) for c, k in zip(batch.columns, kinds, strict=True)]
-    return [np.ascontiguousarray(p.T).reshape(-1).view(k) for p, k in zip(planes, kinds, strict=True)]
+    out = []
+    for column, kind in zip(batch.columns, map(np.dtype, kinds), strict=True):
+        data = np.frombuffer(column[0].as_buffer(), np.uint8)
+        if kind.kind != "f":
+            data = np.ascontiguousarray(data.reshape(kind.itemsize, -1).T).reshape(-1)
+        out.append(data.view(kind))
+    return out
 
 
 def packed_keys(keys: np.ndarray) -> np.ndarray:
@@ -98,7 +106,7 @@ def _unique(keys: np.ndarray, training: np.ndarray, parts: int) -> tuple[np.ndar
     found, where = np.unique(keys, return_inverse=True)
     counts = np.bincount(where, weights=training, minlength=len(found)).astype(np.uint32)
     part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-    return found, part, counts, where
+    return found, part, counts, where.astype(np.int32)
 
 
 def gram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -225,13 +233,13 @@ class Grams:
         context[1:], self.times[1:] = texts.below[:-1], texts.times[:-1]
         starts = np.cumsum(texts.lengths) - texts.lengths
         context[starts], self.times[starts] = (BEGIN, begins) if order == 2 else (0, 0)
-        self.known = np.flatnonzero(self.times > 0)
-        self.both = np.flatnonzero((self.times > 0) & (texts.count > 0))
+        self.known = np.flatnonzero(self.times > 0).astype(np.int32)
+        self.both = np.flatnonzero((self.times > 0) & (texts.count > 0)).astype(np.int32)
         train = texts.training()
         keys = gram_keys(context[self.both], texts.words[self.both])
         self.keys, self.part, self.counts, self.place = _unique(keys, train[self.both], parts)
         self.contexts, self.context_part, _, at = _unique(context[self.known], train[self.known], parts)
-        self.at = np.zeros(len(context), np.int64)
+        self.at = np.zeros(len(context), np.int32)
         self.at[self.known] = at
 
 
@@ -321,7 +329,7 @@ def _context_requests(model: Model, order: int):
             grams = model.grams(texts, order)
             count, mark = texts.answered(order)
             mine = mark & (count > 0)
-            token = np.zeros(len(grams.keys), np.int64)  # a token where the n-gram is
+            token = np.zeros(len(grams.keys), np.int32)  # a token where the n-gram is
             token[grams.place] = grams.both
             token = token[mine]
             at, size = grams.at[token], len(grams.contexts)
