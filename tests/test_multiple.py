@@ -122,6 +122,26 @@ def test_adjustment_of_a_large_family(spark, staged_path):
         assert got["a", 5000] is None and got["a", 5001] is None
 
 
+def test_adjustment_of_one_large_chunk_takes_seconds(spark):
+    """25,000 rows that one task reads, in two slices, with ties and nulls."""
+    rng = random.Random(4)
+    data = [(s, i, rng.choice([0.01, None, rng.random() ** 3])) for s in "ab" for i in range(12_500)]
+    df = spark.createDataFrame(data, "s string, i int, p double").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for by in (["s"], []):
+            start = time.time()
+            got = {(r.s, r.i): r.p_adj for r in op.adjust_bh(df, by, "p").collect()}
+            assert time.time() - start < 40
+            for s in "ab" if by else [None]:
+                family = [(k, i, p) for k, i, p in data if s in (None, k) and p is not None]
+                assert [got[k, i] for k, i, _ in family] == pytest.approx(list(brute.bh([p for *_, p in family])), rel=1e-12)
+            assert all(got[k, i] is None for k, i, p in data if p is None)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.sets(st.sampled_from([(a, b) for a, b in combinations("abcdef", 2)])), min_size=4, max_size=8))
 def test_letters_shared_iff_not_significant(table, relations):

@@ -72,24 +72,24 @@ def adjust_bh(df: DataFrame, by, p: str, out: str = "p_adj") -> DataFrame:
 
     A family may have any size. The rows are range-partitioned on (slice, p), equal p's spread too; a rank is the
     place in its chunk and the rows of earlier chunks, and the least step above a row is that of the rest of its chunk and
-    of later chunks. Both need one row for each slice and chunk only.
+    of later chunks. Both need one row for each slice and chunk only. Chunks are read downwards, so that each row adds to a
+    running least step: a frame of the rows that follow would be read anew for each row.
     """
     by = names(by)
     table = with_slice(df, by).withColumn("_p", number(p)).withColumn("_tie", F.monotonically_increasing_id())
     order = [SLICE, F.col("_p").asc_nulls_last(), "_tie"]
     table = stage(table.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id()))
     chunk = [SLICE, "_chunk"]
-    chunks, within = Window.partitionBy(SLICE).orderBy("_chunk"), Window.partitionBy(*chunk).orderBy(*order[1:])
+    chunks = Window.partitionBy(SLICE).orderBy("_chunk")
+    down = Window.partitionBy(*chunk).orderBy(F.col("_p").desc_nulls_last(), F.col("_tie").desc())
     sizes = table.groupBy(*chunk).agg(F.count("_p").alias("_rows"))
-    sizes = sizes.select(
-        *chunk, (F.sum("_rows").over(chunks) - F.col("_rows")).alias("_offset"), F.sum("_rows").over(Window.partitionBy(SLICE)).alias("_tests")
-    )
-    step = F.col("_p") * F.col("_tests") / (F.col("_offset") + F.row_number().over(within))
+    sizes = sizes.select(*chunk, F.sum("_rows").over(chunks).alias("_upto"), F.sum("_rows").over(Window.partitionBy(SLICE)).alias("_tests"))
+    step = F.col("_p") * F.col("_tests") / (F.col("_upto") + 1 - F.row_number().over(down))
     ranked = table.join(sizes, chunk).withColumn("_step", step)
     least = ranked.groupBy(*chunk).agg(F.min("_step").alias("_least"))
-    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(SLICE).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     least = least.select(*chunk, F.min("_least").over(later).alias("_later"))
-    upward = F.min("_step").over(within.rowsBetween(0, Window.unboundedFollowing))
+    upward = F.min("_step").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     table = ranked.withColumn("_least", upward).join(least, chunk)
     adjusted = F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.col("_least"), F.col("_later")))
     return table.withColumn(out, adjusted).select(*[c for c in df.columns if c != out], out)
