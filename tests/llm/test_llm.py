@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -203,6 +204,33 @@ def test_katz(spark, texts):
     assert katz.katz_scores(docs(spark, [(None, None)])).first().n_tokens == 1
 
 
+def test_katz_lets_a_batch_go_before_the_next():
+    """A task with several batches holds the arrays of one; blobs are not copied out of what the task reads."""
+    held = []
+
+    class Held(np.ndarray):
+        pass
+
+    def work(batch, rows):
+        assert all(h() is None for h in held)
+        values = katz.unpack(rows[0][3], "u8")[0].copy().view(Held)
+        held.append(weakref.ref(values))
+        return [(batch, 0, 0, katz.pack(values.view(np.ndarray)))]
+
+    blob = katz.pack(np.arange(1000, dtype=np.uint64))
+    read = katz._rows([(b, 0, 0, blob) for b in range(4)])
+    assert all(isinstance(r[3], pa.Buffer) for _, rows in katz._grouped([read], "batch") for r in rows)
+    made = list(katz._each("batch", work)([read]))
+    assert len(held) == 4 and [m.column("batch")[0].as_py() for m in made] == [0, 1, 2, 3]
+    assert all(katz.unpack(m.column("blob")[0].as_buffer(), "u8")[0].tolist() == list(range(1000)) for m in made)
+
+
+def test_katz_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get(katz.CLEANUP, None)
+    assert katz.katz_scores(docs(spark, [(1, "a b a")]), order=3).count() == 1
+    assert spark.conf.get(katz.CLEANUP, None) == before
+
+
 def test_katz_of_higher_orders(spark, texts, monkeypatch):
     """Against plain recursion over counts of all orders, in one batch and in many."""
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}

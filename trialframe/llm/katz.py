@@ -37,6 +37,8 @@ LARGEST = 5  # counts above are not discounted
 END = np.uint64(0)  # hash of the end token
 BEGIN = np.uint64(0xFFFFFFFFFFFFFFFF)  # key of the begin context
 PART_BYTES = 64 << 20  # text behind one part of a table
+SLICE = 1 << 18  # tokens whose probabilities are worked out at once
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SCHEMA = "batch long, kind int, part int, blob binary"
 _FIELDS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 TEXTS, WORDS, NUMBERS, GRAMS, COUNTS, SUMS, TOTALS = range(7)
@@ -81,19 +83,34 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _grouped(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
-    """Runs of sorted rows with one value of `key`, as (batch, kind, part, blob)."""
+    """Runs of sorted rows with one value of `key`, as (batch, kind, part, blob); blobs are not copied."""
     now, rows = None, []
     for batch in batches:
-        for row, value in zip(zip(*[c.to_pylist() for c in batch.columns], strict=True), batch.column(key).to_pylist(), strict=True):
+        blobs = batch.column("blob")
+        for k, row in enumerate(zip(*[batch.column(c).to_pylist() for c in ("batch", "kind", "part")], strict=True)):
+            value = row[_FIELDS.get_field_index(key)]
             if rows and value != now:
                 yield now, rows
                 rows = []
+                pa.default_memory_pool().release_unused()
             now = value
-            rows.append(row)
+            rows.append((*row, blobs[k].as_buffer()))
     if rows:
         yield now, rows
 
 
+def _each(key: str, work):
+    """Rows of `work` for each group of `_grouped`; what it holds goes before the next group is begun."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, rows in _grouped(batches, key):
+            if made := work(value, rows):
+                yield _rows(made)
+            made = None
+
+    return run
+
+
 def _ask(batch: int, kind: int, part: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
     """Requests of a batch; keys are ordered by (part, key)."""
     bounds = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -103,10 +120,15 @@ def _ask(batch: int, kind: int, part: np.ndarray, keys: np.ndarray, *values: np.
 
 def _unique(keys: np.ndarray, training: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, their parts, training counts, and where each input key is. Keys are hashes: parts are ranges of them."""
-    found, where = np.unique(keys, return_inverse=True)
-    counts = np.bincount(where, weights=training, minlength=len(found)).astype(np.uint32)
+    order = np.argsort(keys)
+    found = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = found[1:] != found[:-1]
+    found, where = found[new], np.empty(len(keys), np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - 1
+    counts = np.bincount(where[training], minlength=len(found)).astype(np.uint32)
     part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-    return found, part, counts, where.astype(np.int32)
+    return found, part, counts, where
 
 
 def gram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -161,27 +183,27 @@ def summed(requests: DataFrame, answer: int, parts: int) -> DataFrame:
     this is the first request for it. Statistics: all counts, keys, keys with count 1 to 6.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _grouped(batches, "part"):
-            asked = [unpack(r[3], "u8", "u4") for r in rows]
-            keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-            found, first, where = np.unique(keys, return_index=True, return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(found)).astype(np.uint64)
-            seen = counts > 0
-            if answer == NUMBERS:
-                of_key = np.where(seen, (np.cumsum(seen) - 1) * parts + part + 1, 0).astype(np.uint64)
-            mark = np.zeros(len(keys), bool)
-            mark[first] = True
-            stop = np.cumsum([len(a[0]) for a in asked])
-            for row, e, a in zip(rows, stop, asked, strict=True):
-                s = slice(e - len(a[0]), e)
-                at = where[s]
-                values = (of_key[at], counts[at]) if answer == NUMBERS else (counts[at], mark[s])
-                yield _rows([(row[0], answer, part, pack(*values))])
-            least = np.bincount(counts[counts <= LARGEST + 1].astype(np.int64), minlength=LARGEST + 2)[1:]
-            yield _rows([(-1, answer, part, np.concatenate([[counts.sum(), seen.sum()], least]).astype("<i8").tobytes())])
-
-    return requests.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(run, SCHEMA)
+    def sums(part: int, rows: list[tuple]) -> list[tuple]:
+        asked = [unpack(r[3], "u8", "u4") for r in rows]
+        keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
+        found, first, where = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(found)).astype(np.uint64)
+        seen = counts > 0
+        if answer == NUMBERS:
+            of_key = np.where(seen, (np.cumsum(seen) - 1) * parts + part + 1, 0).astype(np.uint64)
+        mark = np.zeros(len(keys), bool)
+        mark[first] = True
+        stop = np.cumsum([len(a[0]) for a in asked])
+        made = []
+        for row, e, a in zip(rows, stop, asked, strict=True):
+            s = slice(e - len(a[0]), e)
+            at = where[s]
+            values = (of_key[at], counts[at]) if answer == NUMBERS else (counts[at], mark[s])
+            made.append((row[0], answer, part, pack(*values)))
+        least = np.bincount(counts[counts <= LARGEST + 1].astype(np.int64), minlength=LARGEST + 2)[1:]
+        return [*made, (-1, answer, part, np.concatenate([[counts.sum(), seen.sum()], least]).astype("<i8").tobytes())]
+
+    return requests.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(_each("part", sums), SCHEMA)
 
 
 def statistics(answers: DataFrame) -> np.ndarray:
@@ -275,16 +297,17 @@ class Texts:
         below[grams.both], times[grams.both] = grams.keys[grams.place], count[grams.place]
         if len(grams.known):
             totals = [unpack(b, "f8", "f8") for b in self.blob[of_order(TOTALS, order)]]
-            seen, mass = (np.concatenate([t[k] for t in totals])[grams.at[grams.known]] for k in (0, 1))
-            h, c = grams.times[grams.known], times[grams.known]
-            all_seen = 1 - mass <= 1e-12
-            whole = np.where(all_seen, np.maximum(seen, 1e-300), np.where(seen < h - 1e-9, h, h + 1))
-            weight = np.where(all_seen, 0.0, (1 - seen / whole) / np.where(all_seen, 1.0, 1 - mass))
-            none = seen == 0  # no training text: nothing was seen after it
-            whole, weight = np.where(none, 1.0, whole), np.where(none, 1.0, weight)
-            p = self.p.copy()
-            p[grams.known] = np.where(c > 0, np.maximum(discounted(c, discounts), 1e-300) / whole, weight * self.p[grams.known])
-            self.p = p
+            seen_after, mass_after = (np.concatenate([t[k] for t in totals]) for k in (0, 1))
+            for start in range(0, len(grams.known), SLICE):
+                known = grams.known[start : start + SLICE]
+                seen, mass = seen_after[grams.at[known]], mass_after[grams.at[known]]
+                h, c = grams.times[known], times[known]
+                all_seen = 1 - mass <= 1e-12
+                whole = np.where(all_seen, np.maximum(seen, 1e-300), np.where(seen < h - 1e-9, h, h + 1))
+                weight = np.where(all_seen, 0.0, (1 - seen / whole) / np.where(all_seen, 1.0, 1 - mass))
+                none = seen == 0  # no training text: nothing was seen after it
+                whole, weight = np.where(none, 1.0, whole), np.where(none, 1.0, weight)
+                self.p[known] = np.where(c > 0, np.maximum(discounted(c, discounts), 1e-300) / whole, weight * self.p[known])
         self.below, self.times = below, times
 
 
@@ -305,80 +328,88 @@ class Model:
         return texts
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """As `staged`; the shuffle files behind it go when it is written, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return staged(df)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def _by_batch(rows: DataFrame, work, schema: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(work, schema)
 
 
 def _gram_requests(model: Model, order: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _grouped(batches, "batch"):
-            grams = model.grams(model.texts(rows, order - 1), order)
-            if len(grams.keys):
-                yield _rows(list(_ask(batch, of_order(GRAMS, order), grams.part, grams.keys, grams.counts)))
+    def requests(batch: int, rows: list[tuple]) -> list[tuple]:
+        grams = model.grams(model.texts(rows, order - 1), order)
+        return list(_ask(batch, of_order(GRAMS, order), grams.part, grams.keys, grams.counts))
 
-    return run
+    return _each("batch", requests)
 
 
 def _context_requests(model: Model, order: int):
     """Each n-gram is counted by the first batch that asked for it: its discounted count and lower p, summed by context."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _grouped(batches, "batch"):
-            texts = model.texts(rows, order - 1)
-            grams = model.grams(texts, order)
-            count, mark = texts.answered(order)
-            mine = mark & (count > 0)
-            token = np.zeros(len(grams.keys), np.int32)  # a token where the n-gram is
-            token[grams.place] = grams.both
-            token = token[mine]
-            at, size = grams.at[token], len(grams.contexts)
-            seen = np.bincount(at, weights=discounted(count[mine], model.discounts[order]), minlength=size)
-            mass = np.bincount(at, weights=texts.p[token], minlength=size)
-            if size:
-                yield _rows(list(_ask(batch, of_order(SUMS, order), grams.context_part, grams.contexts, seen, mass)))
+    def requests(batch: int, rows: list[tuple]) -> list[tuple]:
+        texts = model.texts(rows, order - 1)
+        grams = model.grams(texts, order)
+        count, mark = texts.answered(order)
+        mine = mark & (count > 0)
+        token = np.zeros(len(grams.keys), np.int32)  # a token where the n-gram is
+        token[grams.place] = grams.both
+        token = token[mine]
+        at, size = grams.at[token], len(grams.contexts)
+        seen = np.bincount(at, weights=discounted(count[mine], model.discounts[order]), minlength=size)
+        mass = np.bincount(at, weights=texts.p[token], minlength=size)
+        return list(_ask(batch, of_order(SUMS, order), grams.context_part, grams.contexts, seen, mass))
 
-    return run
+    return _each("batch", requests)
 
 
 def _context_totals(order: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _grouped(batches, "part"):
-            asked = [unpack(r[3], "u8", "f8", "f8") for r in rows]
-            keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-            where = np.unique(keys, return_inverse=True)[1]
-            sums = [np.bincount(where, weights=np.concatenate([a[k] for a in asked]))[where] for k in (1, 2)]
-            stop = np.cumsum([len(a[0]) for a in asked])
-            for row, e, a in zip(rows, stop, asked, strict=True):
-                s = slice(e - len(a[0]), e)
-                yield _rows([(row[0], of_order(TOTALS, order), part, pack(sums[0][s], sums[1][s]))])
+    def totals(part: int, rows: list[tuple]) -> list[tuple]:
+        asked = [unpack(r[3], "u8", "f8", "f8") for r in rows]
+        keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
+        where = np.unique(keys, return_inverse=True)[1]
+        sums = [np.bincount(where, weights=np.concatenate([a[k] for a in asked]))[where] for k in (1, 2)]
+        stop = np.cumsum([len(a[0]) for a in asked])
+        bounds = [slice(e - len(a[0]), e) for e, a in zip(stop, asked, strict=True)]
+        return [(row[0], of_order(TOTALS, order), part, pack(sums[0][s], sums[1][s])) for row, s in zip(rows, bounds, strict=True)]
 
-    return run
+    return _each("part", totals)
 
 
 def _scores(model: Model, order: int):
+    def scores(rows: list[tuple]) -> pa.RecordBatch:
+        texts = model.texts(rows, order)
+        owner = np.repeat(np.arange(len(texts.lengths)), texts.lengths)
+
+        def by_text(values):
+            return np.bincount(owner, weights=values, minlength=len(texts.lengths))
+
+        with np.errstate(divide="ignore"):
+            logs = np.log10(texts.p)
+        counts = texts.count
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(texts.ids, mask=~texts.known_id),
+                pa.array(texts.held),
+                pa.array(texts.lengths),
+                pa.array(by_text(counts > 0).astype(np.int64)),
+                pa.array(by_text(model.unigrams.base(counts))),
+                pa.array(by_text(logs)),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, "batch"):
-            texts = model.texts(rows, order)
-            owner = np.repeat(np.arange(len(texts.lengths)), texts.lengths)
-
-            def by_text(values, owner=owner, n=len(texts.lengths)):
-                return np.bincount(owner, weights=values, minlength=n)
-
-            with np.errstate(divide="ignore"):
-                logs = np.log10(texts.p)
-            counts = texts.count
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(texts.ids, mask=~texts.known_id),
-                    pa.array(texts.held),
-                    pa.array(texts.lengths),
-                    pa.array(by_text(counts > 0).astype(np.int64)),
-                    pa.array(by_text(model.unigrams.base(counts))),
-                    pa.array(by_text(logs)),
-                ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            yield scores(rows)
 
     return run
 
@@ -394,17 +425,17 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     """
     begins, size = docs.agg(F.count_if(~held_out("doc_id", 5, 1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    texts = staged(tokenised(docs, parts))
-    numbers = staged(summed(texts.filter(f"kind = {WORDS}"), NUMBERS, parts))
+    texts = _written(tokenised(docs, parts))
+    numbers = _written(summed(texts.filter(f"kind = {WORDS}"), NUMBERS, parts))
     model = Model(Unigrams(statistics(numbers)), parts, begins)
     known = texts.filter(f"kind = {TEXTS}").unionByName(numbers.filter("batch >= 0"))
     for k in range(2, order + 1):
         asked = _by_batch(known, _gram_requests(model, k), SCHEMA)
-        counts = staged(summed(asked, of_order(COUNTS, k), parts))
+        counts = _written(summed(asked, of_order(COUNTS, k), parts))
         model.discounts[k] = good_turing(statistics(counts)[2:])
         known = known.unionByName(counts.filter("batch >= 0"))
         sums = _by_batch(known, _context_requests(model, k), SCHEMA)
         totals = sums.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(_context_totals(k), SCHEMA)
-        known = known.unionByName(staged(totals))
+        known = known.unionByName(_written(totals))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return _by_batch(known, _scores(model, order), schema).withColumn("train_tokens", F.lit(model.unigrams.total).cast("long"))
