@@ -123,16 +123,18 @@ def test_adjustment_of_a_large_family(spark, staged_path):
 
 
 def test_adjustment_of_one_large_chunk_takes_seconds(spark):
-    """25,000 rows that one task reads, in two slices, with ties and nulls."""
+    """60,000 rows that one task reads, in two slices, with ties and nulls; no frame is read anew for each row."""
     rng = random.Random(4)
-    data = [(s, i, rng.choice([0.01, None, rng.random() ** 3])) for s in "ab" for i in range(12_500)]
+    data = [(s, i, rng.choice([0.01, None, rng.random() ** 3])) for s in "ab" for i in range(30_000)]
     df = spark.createDataFrame(data, "s string, i int, p double").coalesce(1)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
         for by in (["s"], []):
             start = time.time()
-            got = {(r.s, r.i): r.p_adj for r in op.adjust_bh(df, by, "p").collect()}
+            table = op.adjust_bh(df, by, "p")
+            assert not re.search(r"RowFrame, (currentrow\$\(\)|\d+), unboundedfollowing", table._jdf.queryExecution().toString())
+            got = {(r.s, r.i): r.p_adj for r in table.collect()}
             assert time.time() - start < 40
             for s in "ab" if by else [None]:
                 family = [(k, i, p) for k, i, p in data if s in (None, k) and p is not None]
