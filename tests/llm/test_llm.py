@@ -279,6 +279,35 @@ def test_katz_of_higher_orders(spark, texts, monkeypatch):
     assert differ > 20
 
 
+def test_katz_asks_only_about_what_batches_share(spark, monkeypatch):
+    """Two batches with one phrase in common: 2 bigrams, 1 trigram and 2 contexts of trigrams are asked for by each."""
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 != 1]
+    texts = [(ids[0], "a1 a2 x y z a3"), (ids[1], "b1 b2 x y z b3")]
+    made, written = [], katz._written
+    monkeypatch.setattr(katz, "_written", lambda df: made.append(written(df)) or made[-1])
+    apart = docs(spark, texts).rdd.map(lambda row: (tuple(row), None)).partitionBy(2, lambda row: row[0] == ids[0])
+    scores = {r.doc_id: r.score for r in katz.katz_scores(spark.createDataFrame(apart.keys(), DOCS), order=3).collect()}
+    rows = [r for df in made for r in df.filter("batch >= 0").collect()]
+    assert len({r.batch for r in rows}) == 2
+
+    def answers(kind, *kinds):
+        return [len(katz.unpack(bytes(r.blob), *kinds)[0]) for r in rows if r.kind == kind]
+
+    assert [sum(answers(katz.of_order(katz.COUNTS, k), "u8", "u1", "u4")) for k in (2, 3)] == [4, 2]
+    masses = [katz.unpack(bytes(r.blob), "u8", *["u4"] * katz.LARGEST)[0] for r in rows if r.kind == katz.of_order(katz.TOTALS, 3)]
+    assert np.concatenate(masses).tolist() == [0] * 4  # every token was seen, so no context needs its mass
+    together = {r.doc_id: r.score for r in katz.katz_scores(docs(spark, texts).coalesce(1), order=3).collect()}
+    assert scores.keys() == together.keys() and all(math.isclose(scores[i], together[i], rel_tol=1e-12) for i in scores)
+
+
+def test_katz_orders_keys_that_share_their_upper_bits():
+    rng = np.random.default_rng(3)
+    for keys in (rng.integers(0, 50, 1000), rng.integers(0, 1 << 63, 1000), np.arange(0), np.array([7]), np.array([5, 3, 5, 4, 3])):
+        keys = keys.astype(np.uint64)
+        order, found = katz._ordered(keys)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist() and found.tolist() == np.sort(keys).tolist()
+
+
 ODD = ["", " ", "  a  b ", "a▁b ▁", "😀 x😀y", "日本語 テキスト", "a\x00b\tq\n\n  z", "� <s> </s> <0x41>", "x" * 3000, "   ", "ﬁ ① ß"]
 
 

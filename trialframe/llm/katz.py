@@ -7,6 +7,9 @@ request. So n-grams are pre-aggregated a batch at a time before any shuffle, a f
 batch, and no table is ever broadcast or held by one task. Requests and answers are written tables of
 packed columns, (batch, kind, part, blob); every job can be repeated after a loss.
 
+An answer also says whether no other batch asked for the n-gram. Such an n-gram, and so every longer one that holds it, is nowhere
+else: the batch has its counts and what follows it, and asks nothing about longer ones (it reports how often which count occurs).
+
     p(w)     = d(c) c(w) / N, what is left going to the one class of unknown words
     p(w | h) = d(c) c(h w) / C(h) for seen n-grams, else a(h) p(w | h without its first word); a(h) = 1 for an unseen h
 
@@ -37,11 +40,15 @@ LARGEST = 5  # counts above are not discounted
 END = np.uint64(0)  # hash of the end token
 BEGIN = np.uint64(0xFFFFFFFFFFFFFFFF)  # key of the begin context
 PART_BYTES = 64 << 20  # text behind one part of a table
+UNIT = 2.0**-52  # masses are sums of so many units; nothing but 1 - mass is used, which a double rounds as much
+ALL = 1e-12  # a context that leaves no more than this is one after which everything was seen
 SLICE = 1 << 18  # tokens whose probabilities are worked out at once
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SCHEMA = "batch long, kind int, part int, blob binary"
 _FIELDS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 TEXTS, WORDS, NUMBERS, GRAMS, COUNTS, SUMS, TOTALS = range(7)
+TOLD = -1  # kind of the statistics of n-grams that no part is asked about
+FIRST, ALONE = 1, 2  # marks of answers
 
 
 def of_order(kind: int, order: int) -> int:
@@ -52,10 +59,10 @@ def of_order(kind: int, order: int) -> int:
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value.
 
-    Bytes of one weight lie together, so the zeros of small numbers cost nothing; probabilities stay whole, as they repeat.
+    Bytes of one weight lie together, so the zeros of small numbers cost nothing.
     """
-    planes = [a.tobytes() if a.dtype.kind == "f" else np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
-    batch = pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in planes], [str(k) for k in range(len(arrays))])
+    values = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    batch = pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], [str(k) for k in range(len(values))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_batch(batch)
@@ -67,14 +74,12 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     out = []
     for column, kind in zip(batch.columns, map(np.dtype, kinds), strict=True):
         data = np.frombuffer(column[0].as_buffer(), np.uint8)
-        if kind.kind != "f":
-            data = np.ascontiguousarray(data.reshape(kind.itemsize, -1).T).reshape(-1)
-        out.append(data.view(kind))
+        out.append(np.ascontiguousarray(data.reshape(kind.itemsize, -1).T).reshape(-1).view(kind))
     return out
 
 
 def packed_keys(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences, which compress well; `np.cumsum` undoes it."""
+    """Sorted keys or numbers as differences, which compress well; `np.cumsum` undoes it."""
     return np.diff(keys, prepend=np.uint64(0))
 
 
@@ -118,17 +123,64 @@ def _ask(batch: int, kind: int, part: np.ndarray, keys: np.ndarray, *values: np.
         yield batch, kind, int(part[start]), pack(packed_keys(keys[start:stop]), *[v[start:stop] for v in values])
 
 
-def _unique(keys: np.ndarray, training: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, their parts, training counts, and where each input key is. Keys are hashes: parts are ranges of them."""
-    order = np.argsort(keys)
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in their order, equal ones as they came, and the keys in order.
+
+    The upper bits of a key and its place are sorted as one number, which is several times faster than sorting places.
+    Keys are hashes, so few that differ share the upper bits; those are put in order afterwards.
+    """
+    bits = np.uint64(max(len(keys) - 1, 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
     found = keys[order]
-    new = np.ones(len(keys), bool)
+    upper = found >> bits
+    for group in np.unique(upper[1:][found[1:] < found[:-1]]):
+        s = slice(np.searchsorted(upper, group), np.searchsorted(upper, group, side="right"))
+        order[s] = order[s][np.argsort(found[s], kind="stable")]
+        found[s] = keys[order[s]]
+    return order, found
+
+
+def _new(found: np.ndarray) -> np.ndarray:
+    """Which of the ordered keys are the first of their value."""
+    new = np.ones(len(found), bool)
     new[1:] = found[1:] != found[:-1]
+    return new
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of keys; keys are hashes, and parts are ranges of them."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _unique(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, training counts, and where each input key is."""
+    order, found = _ordered(keys)
+    new = _new(found)
     found, where = found[new], np.empty(len(keys), np.int32)
     where[order] = np.cumsum(new, dtype=np.int32) - 1
-    counts = np.bincount(where[training], minlength=len(found)).astype(np.uint32)
-    part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-    return found, part, counts, where
+    return found, np.bincount(where[training], minlength=len(found)).astype(np.uint32), where
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Numbers that grow, but for zeros between them, as differences from the last that is not 0."""
+    out = numbers.copy()
+    some = np.flatnonzero(numbers)
+    out[some] = np.diff(numbers[some], prepend=np.uint32(0))
+    return out
+
+
+def _numbers(steps: np.ndarray) -> np.ndarray:
+    return np.where(steps > 0, np.cumsum(steps, dtype=np.uint32), np.uint32(0))
+
+
+def _statistics(counts: np.ndarray) -> np.ndarray:
+    """All counts, keys with a count, keys with count 1 to 6."""
+    least = np.bincount(counts[counts <= LARGEST + 1].astype(np.int64), minlength=LARGEST + 2)[1:]
+    return np.concatenate([[counts.sum(dtype=np.int64), np.count_nonzero(counts)], least]).astype("<i8")
 
 
 def gram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -147,13 +199,13 @@ def tokenised(docs: DataFrame, parts: int) -> DataFrame:
         def flush():
             tokens, lengths = np.concatenate(words), np.concatenate(sizes)
             out = np.concatenate(held)
-            keys, part, counts, place = _unique(tokens, np.repeat(~out, lengths), parts)
+            keys, counts, place = _unique(tokens, np.repeat(~out, lengths))
             # in the stored texts frequent words have small numbers; `back` leads to the order of the requests
             back = np.argsort(-np.bincount(place, minlength=len(keys)), kind="stable")
             rank = np.empty(len(back), np.uint32)
             rank[back] = np.arange(len(back))
             blob = pack(np.concatenate(ids), np.concatenate(known), out, lengths, rank[place], back.astype(np.uint32))
-            return _rows([(first + made, TEXTS, -1, blob), *_ask(first + made, WORDS, part, keys, counts)])
+            return _rows([(first + made, TEXTS, -1, blob), *_ask(first + made, WORDS, part_of(keys, parts), keys, counts)])
 
         for batch in text_batches(batches, "text"):
             for start, hashes, bounds in hashed_words(batch.column("text")):
@@ -176,32 +228,38 @@ def tokenised(docs: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def summed(requests: DataFrame, answer: int, parts: int) -> DataFrame:
+def summed(requests: DataFrame, answer: int, parts: int, last: bool = False) -> DataFrame:
     """Add up the requests of each part; answers in the order of the requests, and one row of statistics (batch -1).
 
-    Answers: for words the number of each key (0 if no training text has it) and its count, for n-grams the count and whether
-    this is the first request for it. Statistics: all counts, keys, keys with count 1 to 6.
+    Answers: the count of each key, `FIRST` if this is the first request for it and `ALONE` if it is the only one, and its number in the
+    part (0 if it has none: those without training texts, and n-grams that are alone). N-grams of the last order are no contexts, so they
+    have no number and no `ALONE`. Statistics: as `_statistics`, with those that batches told.
     """
 
     def sums(part: int, rows: list[tuple]) -> list[tuple]:
+        told = sum((np.frombuffer(r[3], "<i8") for r in rows if r[1] == TOLD), np.zeros(2 + LARGEST + 1, "<i8"))
+        rows = [r for r in rows if r[1] != TOLD]
+        if not rows:
+            return [(-1, answer, part, told.tobytes())]
         asked = [unpack(r[3], "u8", "u4") for r in rows]
-        keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-        found, first, where = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(found)).astype(np.uint64)
-        seen = counts > 0
-        if answer == NUMBERS:
-            of_key = np.where(seen, (np.cumsum(seen) - 1) * parts + part + 1, 0).astype(np.uint64)
-        mark = np.zeros(len(keys), bool)
-        mark[first] = True
         stop = np.cumsum([len(a[0]) for a in asked])
+        order, found = _ordered(np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked]))
+        new = _new(found)
+        where = np.empty(len(order), np.int32)
+        where[order] = np.cumsum(new, dtype=np.int32) - 1
+        first = np.flatnonzero(new)
+        counts = np.bincount(where, weights=np.concatenate([a[1] for a in asked]), minlength=len(first)).astype(np.uint64)
+        alone = np.diff(first, append=len(order)) == 1
+        mark = np.zeros(len(order), np.uint8)
+        mark[order[first]] = np.where(alone & (not last), FIRST | ALONE, FIRST)
+        numbered = (counts > 0) & ((not last) & ~alone if answer != NUMBERS else True)
+        numbers = np.where(numbered, np.cumsum(numbered), 0).astype(np.uint32)
         made = []
         for row, e, a in zip(rows, stop, asked, strict=True):
             s = slice(e - len(a[0]), e)
             at = where[s]
-            values = (of_key[at], counts[at]) if answer == NUMBERS else (counts[at], mark[s])
-            made.append((row[0], answer, part, pack(*values)))
-        least = np.bincount(counts[counts <= LARGEST + 1].astype(np.int64), minlength=LARGEST + 2)[1:]
-        return [*made, (-1, answer, part, np.concatenate([[counts.sum(), seen.sum()], least]).astype("<i8").tobytes())]
+            made.append((row[0], answer, part, pack(counts[at], mark[s], _steps(numbers[at]))))
+        return [*made, (-1, answer, part, (_statistics(counts) + told).tobytes())]
 
     return requests.repartition(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(_each("part", sums), SCHEMA)
 
@@ -248,67 +306,113 @@ class Unigrams:
 
 
 class Grams:
-    """The n-grams of one order in a batch: the count of each token's context, and where its requests are."""
+    """The n-grams of one order in a batch: where their contexts are among those of the order below, and what is asked about both.
+
+    The contexts are the distinct n-grams that `texts` has reached, and one more: the begin mark in order 2, else none.
+    """
 
     def __init__(self, texts: Texts, order: int, parts: int, begins: int):
-        context, self.times = np.zeros_like(texts.words), np.zeros(len(texts.words))
-        context[1:], self.times[1:] = texts.below[:-1], texts.times[:-1]
-        starts = np.cumsum(texts.lengths) - texts.lengths
-        context[starts], self.times[starts] = (BEGIN, begins) if order == 2 else (0, 0)
-        self.known = np.flatnonzero(self.times > 0).astype(np.int32)
-        self.both = np.flatnonzero((self.times > 0) & (texts.count > 0)).astype(np.int32)
-        train = texts.training()
-        keys = gram_keys(context[self.both], texts.words[self.both])
-        self.keys, self.part, self.counts, self.place = _unique(keys, train[self.both], parts)
-        self.contexts, self.context_part, _, at = _unique(context[self.known], train[self.known], parts)
-        self.at = np.zeros(len(context), np.int32)
-        self.at[self.known] = at
+        none = len(texts.keys)
+        keys, alone = np.append(texts.keys, BEGIN), np.append(texts.alone, False)
+        self.times = np.append(texts.times, np.uint64(begins if order == 2 else 0))
+        self.context = np.empty(len(texts.words), np.int32)  # of each token
+        self.context[1:] = texts.at[:-1]
+        self.context[np.cumsum(texts.lengths) - texts.lengths] = none
+        known = self.times[self.context] > 0
+        self.known = np.flatnonzero(known).astype(np.int32)
+        self.both = np.flatnonzero(known & (texts.count > 0)[texts.words]).astype(np.int32)
+        of = self.context[self.both]
+        grams = gram_keys(keys[of], texts.word_keys[texts.words[self.both]])
+        self.keys, self.counts, self.place = _unique(grams, texts.training()[self.both])
+        self.mark = np.zeros(len(self.keys), np.uint8)
+        self.mark[self.place] = np.where(alone[of] | alone[texts.at[self.both]], FIRST | ALONE, 0)
+        self.asked = np.flatnonzero(self.mark == 0).astype(np.int32)
+        self.parts = part_of(self.keys, parts)
+        self.part = self.parts[self.asked]
+        used = np.zeros(none + 1, bool)
+        used[self.context[self.known]] = True
+        numbers, part = np.append(texts.numbers, np.uint32(0)), np.append(texts.part, np.int32(0))
+        asked = np.flatnonzero(used & ~alone).astype(np.int32)
+        self.contexts = asked[np.lexsort((numbers[asked], part[asked]))]
+        self.context_numbers, self.context_part = numbers[self.contexts].astype(np.uint64), part[self.contexts]
+
+    def sums(self, texts: Texts, count: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the n-grams that this batch asked for first have each discounted count, and their lower p, by context."""
+        mine = (mark & FIRST > 0) & (count > 0)
+        token = np.zeros(len(self.keys), np.int32)  # a token where the n-gram is
+        token[self.place] = self.both
+        token, count = token[mine], count[mine]
+        at, size = self.context[token], len(self.times)
+        few = [np.bincount(at[count == r], minlength=size) for r in range(1, LARGEST + 1)]
+        return np.array(few, np.uint32), np.bincount(at, texts.p[token], size)
+
+    def open(self, count: np.ndarray) -> np.ndarray:
+        """Contexts before a token that no training text has after them: only there their mass is needed."""
+        unseen = self.times[self.context] > 0
+        unseen[self.both[count[self.place] > 0]] = False
+        out = np.zeros(len(self.times), bool)
+        out[self.context[unseen]] = True
+        return out
 
 
 class Texts:
-    """A batch: its texts as keys of tokens, with the answers put in, and p of each token, order by order.
+    """A batch: its texts as places among its distinct words, with the answers put in, and p of each token, order by order.
 
-    `below` and `times` are the key and count of the n-gram of the order reached that ends at each token; a count of 0 is
-    an n-gram without training texts, whose key says nothing.
+    `at` is the place of the n-gram of the order reached that ends at each token, among the distinct ones: `keys`, `times` (their
+    counts), `alone`, and `part` and `numbers` in the tables. A place after the last is an n-gram without training texts.
     """
 
-    def __init__(self, rows: list[tuple], unigrams: Unigrams):
-        blob = {k: [r[3] for r in rows if r[1] == k] for k in {r[1] for r in rows}}
-        self.ids, self.known_id, self.held, self.lengths, rank, back = unpack(blob[TEXTS][0], "i8", "?", "?", "i8", "u4", "u4")
-        place = back[rank]
-        answers = [unpack(b, "u8", "u8") for b in blob[NUMBERS]]
-        number, count = (np.concatenate([a[k] for a in answers]) for k in (0, 1))
-        self.words, self.count, self.blob = mix(number)[place], count[place], blob
-        self.below, self.times, self.p = self.words, self.count, unigrams(self.count)
+    def __init__(self, rows: list[tuple], unigrams: Unigrams, parts: int):
+        blob = {k: [r[2:] for r in rows if r[1] == k] for k in {r[1] for r in rows}}
+        self.ids, self.known_id, self.held, self.lengths, rank, back = unpack(blob[TEXTS][0][1], "i8", "?", "?", "i8", "u4", "u4")
+        self.words, self.blob = back.astype(np.int32)[rank], blob
+        self.count, mark, self.numbers, self.part = self._answers(NUMBERS)
+        # the key of a word is the same in every batch; one without training texts is in no key that is asked for
+        self.word_keys = mix(self.numbers.astype(np.uint64) * np.uint64(parts) + self.part.astype(np.uint64))
+        self.at, self.keys, self.times, self.alone = self.words, self.word_keys, self.count, mark & ALONE > 0
+        self.p = unigrams(self.count)[self.words]
 
     def training(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
 
-    def answered(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(count, mark) of the distinct n-grams, in the order of the requests."""
-        got = [unpack(b, "u8", "?") for b in self.blob.get(of_order(COUNTS, order), [])]
-        empty = np.empty(0, np.uint64), np.empty(0, bool)
-        return tuple(np.concatenate([g[k] for g in got]) if got else empty[k] for k in range(2))
+    def _answers(self, kind: int) -> list[np.ndarray]:
+        """(count, mark, number, part) of all that was asked, in the order of the requests."""
+        got = []
+        for part, blob in self.blob.get(kind, []):
+            count, mark, steps = unpack(blob, "u8", "u1", "u4")
+            got.append((count, mark, _numbers(steps), np.full(len(count), part, np.int32)))
+        return [np.concatenate(x) for x in zip(*got, strict=True)]
+
+    def answered(self, order: int, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count, mark, number) of the distinct n-grams: the batch's own for those it did not ask about."""
+        out = grams.counts.astype(np.uint64), grams.mark.copy(), np.zeros(len(grams.keys), np.uint32)
+        if len(grams.asked):
+            for values, got in zip(out, self._answers(of_order(COUNTS, order)), strict=False):
+                values[grams.asked] = got
+        return out
 
     def climb(self, order: int, grams: Grams, discounts: np.ndarray) -> None:
         """From p of the order below to p of this order."""
-        count, _ = self.answered(order)
-        below, times = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.uint64)
-        below[grams.both], times[grams.both] = grams.keys[grams.place], count[grams.place]
-        if len(grams.known):
-            totals = [unpack(b, "f8", "f8") for b in self.blob[of_order(TOTALS, order)]]
-            seen_after, mass_after = (np.concatenate([t[k] for t in totals]) for k in (0, 1))
-            for start in range(0, len(grams.known), SLICE):
-                known = grams.known[start : start + SLICE]
-                seen, mass = seen_after[grams.at[known]], mass_after[grams.at[known]]
-                h, c = grams.times[known], times[known]
-                all_seen = 1 - mass <= 1e-12
-                whole = np.where(all_seen, np.maximum(seen, 1e-300), np.where(seen < h - 1e-9, h, h + 1))
-                weight = np.where(all_seen, 0.0, (1 - seen / whole) / np.where(all_seen, 1.0, 1 - mass))
-                none = seen == 0  # no training text: nothing was seen after it
-                whole, weight = np.where(none, 1.0, whole), np.where(none, 1.0, weight)
-                self.p[known] = np.where(c > 0, np.maximum(discounted(c, discounts), 1e-300) / whole, weight * self.p[known])
-        self.below, self.times = below, times
+        count, mark, numbers = self.answered(order, grams)
+        few, mass_after = grams.sums(self, count, mark)
+        totals = [unpack(b, "u8", *["u4"] * LARGEST) for _, b in self.blob.get(of_order(TOTALS, order), [])]
+        if totals:
+            mass_after[grams.contexts] = np.concatenate([t[0] for t in totals]) * UNIT
+            few[:, grams.contexts] = np.concatenate([t[1:] for t in totals], axis=1)
+        lost_after = ((1 - discounts[1:]) * np.arange(1, LARGEST + 1)) @ few
+        times = np.append(count, np.uint64(0))
+        self.at = np.full(len(self.words), len(count), np.int32)
+        self.at[grams.both] = grams.place
+        for start in range(0, len(grams.known), SLICE):
+            known = grams.known[start : start + SLICE]
+            of = grams.context[known]
+            lost, mass, h, c = lost_after[of], mass_after[of], grams.times[of], times[self.at[known]]
+            seen = h - lost
+            all_seen = 1 - mass <= ALL
+            whole = np.where(all_seen, np.maximum(seen, 1e-300), np.where(lost > 0, h, h + 1))
+            weight = np.where(all_seen, 0.0, (1 - seen / whole) / np.where(all_seen, 1.0, 1 - mass))
+            self.p[known] = np.where(c > 0, np.maximum(discounted(c, discounts), 1e-300) / whole, weight * self.p[known])
+        self.keys, self.times, self.alone, self.numbers, self.part = grams.keys, count, mark & ALONE > 0, numbers, grams.parts
 
 
 class Model:
@@ -322,7 +426,7 @@ class Model:
 
     def texts(self, rows: list[tuple], order: int) -> Texts:
         """A batch with p of `order`."""
-        texts = Texts(rows, self.unigrams)
+        texts = Texts(rows, self.unigrams, self.parts)
         for k in range(2, order + 1):
             texts.climb(k, self.grams(texts, k), self.discounts[k])
         return texts
@@ -347,39 +451,45 @@ def _by_batch(rows: DataFrame, work, schema: str) -> DataFrame:
 def _gram_requests(model: Model, order: int):
     def requests(batch: int, rows: list[tuple]) -> list[tuple]:
         grams = model.grams(model.texts(rows, order - 1), order)
-        return list(_ask(batch, of_order(GRAMS, order), grams.part, grams.keys, grams.counts))
+        told = _statistics(grams.counts[grams.mark > 0]).tobytes()
+        asked = _ask(batch, of_order(GRAMS, order), grams.part, grams.keys[grams.asked], grams.counts[grams.asked])
+        return [(batch, TOLD, batch % model.parts, told), *asked]
 
     return _each("batch", requests)
 
 
 def _context_requests(model: Model, order: int):
-    """Each n-gram is counted by the first batch that asked for it: its discounted count and lower p, summed by context."""
+    """Each n-gram is counted by the first batch that asked for it: its count if discounted and its lower p, summed by context."""
 
     def requests(batch: int, rows: list[tuple]) -> list[tuple]:
         texts = model.texts(rows, order - 1)
         grams = model.grams(texts, order)
-        count, mark = texts.answered(order)
-        mine = mark & (count > 0)
-        token = np.zeros(len(grams.keys), np.int32)  # a token where the n-gram is
-        token[grams.place] = grams.both
-        token = token[mine]
-        at, size = grams.at[token], len(grams.contexts)
-        seen = np.bincount(at, weights=discounted(count[mine], model.discounts[order]), minlength=size)
-        mass = np.bincount(at, weights=texts.p[token], minlength=size)
-        return list(_ask(batch, of_order(SUMS, order), grams.context_part, grams.contexts, seen, mass))
+        count, mark, _ = texts.answered(order, grams)
+        few, mass = (v[..., grams.contexts] for v in grams.sums(texts, count, mark))
+        values = grams.open(count)[grams.contexts], np.rint(mass / UNIT).astype(np.uint64), *few
+        return list(_ask(batch, of_order(SUMS, order), grams.context_part, grams.context_numbers, *values))
 
     return _each("batch", requests)
 
 
 def _context_totals(order: int):
+    """Sums by context. Where a request does not need them whole, masses are 0 and numbers of n-grams 1 at most."""
+
     def totals(part: int, rows: list[tuple]) -> list[tuple]:
-        asked = [unpack(r[3], "u8", "f8", "f8") for r in rows]
-        keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
-        where = np.unique(keys, return_inverse=True)[1]
-        sums = [np.bincount(where, weights=np.concatenate([a[k] for a in asked]))[where] for k in (1, 2)]
-        stop = np.cumsum([len(a[0]) for a in asked])
-        bounds = [slice(e - len(a[0]), e) for e, a in zip(stop, asked, strict=True)]
-        return [(row[0], of_order(TOTALS, order), part, pack(sums[0][s], sums[1][s])) for row, s in zip(rows, bounds, strict=True)]
+        kinds = "u8", "?", "u8", *["u4"] * LARGEST
+        numbers = [np.cumsum(unpack(r[3], *kinds)[0], dtype=np.uint64).astype(np.int64) for r in rows]
+        size = max(int(n[-1]) for n in numbers) + 1
+        mass, few = np.zeros(size, np.uint64), np.zeros((LARGEST, size), np.uint32)
+        for n, row in zip(numbers, rows, strict=True):  # a request names each context once
+            _, _, m, *f = unpack(row[3], *kinds)
+            mass[n] += m
+            few[:, n] += f
+        made = []
+        for n, row in zip(numbers, rows, strict=True):
+            whole = unpack(row[3], *kinds)[1] | (1 - mass[n] * UNIT <= ALL)
+            values = np.where(whole, mass[n], np.uint64(0)), *np.where(whole, few[:, n], np.minimum(few[:, n], 1))
+            made.append((row[0], of_order(TOTALS, order), part, pack(*values)))
+        return made
 
     return _each("part", totals)
 
@@ -395,13 +505,14 @@ def _scores(model: Model, order: int):
         with np.errstate(divide="ignore"):
             logs = np.log10(texts.p)
         counts = texts.count
+        base = model.unigrams.base(counts)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(texts.ids, mask=~texts.known_id),
                 pa.array(texts.held),
                 pa.array(texts.lengths),
-                pa.array(by_text(counts > 0).astype(np.int64)),
-                pa.array(by_text(model.unigrams.base(counts))),
+                pa.array(by_text((counts > 0)[texts.words]).astype(np.int64)),
+                pa.array(by_text(base[texts.words])),
                 pa.array(by_text(logs)),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
@@ -431,7 +542,7 @@ def katz_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     known = texts.filter(f"kind = {TEXTS}").unionByName(numbers.filter("batch >= 0"))
     for k in range(2, order + 1):
         asked = _by_batch(known, _gram_requests(model, k), SCHEMA)
-        counts = _written(summed(asked, of_order(COUNTS, k), parts))
+        counts = _written(summed(asked, of_order(COUNTS, k), parts, last=k == order))
         model.discounts[k] = good_turing(statistics(counts)[2:])
         known = known.unionByName(counts.filter("batch >= 0"))
         sums = _by_batch(known, _context_requests(model, k), SCHEMA)
