@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import tracemalloc
 import weakref
 import zlib
 
@@ -300,6 +301,33 @@ def test_katz_asks_only_about_what_batches_share(spark, monkeypatch):
     assert scores.keys() == together.keys() and all(math.isclose(scores[i], together[i], rel_tol=1e-12) for i in scores)
 
 
+def test_katz_memory_of_a_batch(spark, monkeypatch):
+    """A batch is climbed in less than 105 bytes a token: arrays of all n-grams are not held as doubles, nor those of lower orders."""
+    made, written = [], katz._written
+    monkeypatch.setattr(katz, "_written", lambda df: made.append(written(df)) or made[-1])
+    words = np.random.default_rng(1).zipf(1.1, 400_000) % 50_000
+    batches = [(k, " ".join(map(str, words[k::4]))) for k in range(4)]
+    katz.katz_scores(spark.createDataFrame(batches, "doc_id long, text string").repartitionByRange(4, "doc_id"), order=3)
+    rows = sorted((r.batch, r.kind, r.part, bytes(r.blob)) for df in made for r in df.collect())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def statistics(kind):
+        return sum(np.frombuffer(r[3], "<i8") for r in rows if r[0] == -1 and r[1] == kind)
+
+    model = katz.Model(katz.Unigrams(statistics(katz.NUMBERS)), parts, 4)
+    model.discounts = {k: katz.good_turing(statistics(katz.of_order(katz.COUNTS, k))[2:]) for k in (2, 3)}
+    batch = max(r[0] for r in rows)
+    own = [(*r[:3], pa.py_buffer(r[3])) for r in rows if r[0] == batch and r[1] != katz.WORDS]
+    monkeypatch.setattr(katz, "SLICE", 1 << 12)
+    tracemalloc.start()
+    try:
+        tokens = len(model.texts(own, 3).p)
+        assert tracemalloc.get_traced_memory()[1] < 105 * tokens
+    finally:
+        tracemalloc.stop()
+    assert tokens == 100_001
+
+
 def test_katz_orders_keys_that_share_their_upper_bits():
     rng = np.random.default_rng(3)
     for keys in (rng.integers(0, 50, 1000), rng.integers(0, 1 << 63, 1000), np.arange(0), np.array([7]), np.array([5, 3, 5, 4, 3])):

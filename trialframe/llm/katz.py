@@ -35,14 +35,14 @@ from .common import staged, text_batches
 from .hashing import hashed_words, mix
 from .toxicity import held_out
 
-BATCH = 2_000_000  # tokens of a batch; a longer text is a batch of its own
+BATCH = 1_750_000  # tokens of a batch; a longer text is a batch of its own
 LARGEST = 5  # counts above are not discounted
 END = np.uint64(0)  # hash of the end token
 BEGIN = np.uint64(0xFFFFFFFFFFFFFFFF)  # key of the begin context
 PART_BYTES = 64 << 20  # text behind one part of a table
 UNIT = 2.0**-52  # masses are sums of so many units; nothing but 1 - mass is used, which a double rounds as much
 ALL = 1e-12  # a context that leaves no more than this is one after which everything was seen
-SLICE = 1 << 18  # tokens whose probabilities are worked out at once
+SLICE = 1 << 18  # tokens or contexts that are worked out at once
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SCHEMA = "batch long, kind int, part int, blob binary"
 _FIELDS = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
@@ -318,17 +318,14 @@ class Grams:
         self.context = np.empty(len(texts.words), np.int32)  # of each token
         self.context[1:] = texts.at[:-1]
         self.context[np.cumsum(texts.lengths) - texts.lengths] = none
-        known = self.times[self.context] > 0
-        self.known = np.flatnonzero(known).astype(np.int32)
-        self.both = np.flatnonzero(known & (texts.count > 0)[texts.words]).astype(np.int32)
+        self.known = self.times[self.context] > 0
+        self.both = np.flatnonzero(self.known & (texts.count > 0)[texts.words]).astype(np.int32)
         of = self.context[self.both]
         grams = gram_keys(keys[of], texts.word_keys[texts.words[self.both]])
         self.keys, self.counts, self.place = _unique(grams, texts.training()[self.both])
         self.mark = np.zeros(len(self.keys), np.uint8)
         self.mark[self.place] = np.where(alone[of] | alone[texts.at[self.both]], FIRST | ALONE, 0)
         self.asked = np.flatnonzero(self.mark == 0).astype(np.int32)
-        self.parts = part_of(self.keys, parts)
-        self.part = self.parts[self.asked]
         used = np.zeros(none + 1, bool)
         used[self.context[self.known]] = True
         numbers, part = np.append(texts.numbers, np.uint32(0)), np.append(texts.part, np.int32(0))
@@ -343,12 +340,14 @@ class Grams:
         token[self.place] = self.both
         token, count = token[mine], count[mine]
         at, size = self.context[token], len(self.times)
-        few = [np.bincount(at[count == r], minlength=size) for r in range(1, LARGEST + 1)]
-        return np.array(few, np.uint32), np.bincount(at, texts.p[token], size)
+        few = np.empty((LARGEST, size), np.uint32)
+        for r in range(1, LARGEST + 1):
+            few[r - 1] = np.bincount(at[count == r], minlength=size)
+        return few, np.bincount(at, texts.p[token], size)
 
     def open(self, count: np.ndarray) -> np.ndarray:
         """Contexts before a token that no training text has after them: only there their mass is needed."""
-        unseen = self.times[self.context] > 0
+        unseen = self.known.copy()
         unseen[self.both[count[self.place] > 0]] = False
         out = np.zeros(len(self.times), bool)
         out[self.context[unseen]] = True
@@ -365,8 +364,10 @@ class Texts:
     def __init__(self, rows: list[tuple], unigrams: Unigrams, parts: int):
         blob = {k: [r[2:] for r in rows if r[1] == k] for k in {r[1] for r in rows}}
         self.ids, self.known_id, self.held, self.lengths, rank, back = unpack(blob[TEXTS][0][1], "i8", "?", "?", "i8", "u4", "u4")
-        self.words, self.blob = back.astype(np.int32)[rank], blob
-        self.count, mark, self.numbers, self.part = self._answers(NUMBERS)
+        self.words, self.blob, self.parts = back.astype(np.int32)[rank], blob, parts
+        part, *answers = zip(*self._answers(NUMBERS), strict=True)
+        self.count, mark, self.numbers = map(np.concatenate, answers)
+        self.part = np.repeat(np.array(part, np.int32), list(map(len, answers[0])))
         # the key of a word is the same in every batch; one without training texts is in no key that is asked for
         self.word_keys = mix(self.numbers.astype(np.uint64) * np.uint64(parts) + self.part.astype(np.uint64))
         self.at, self.keys, self.times, self.alone = self.words, self.word_keys, self.count, mark & ALONE > 0
@@ -375,36 +376,43 @@ class Texts:
     def training(self) -> np.ndarray:
         return np.repeat(~self.held, self.lengths)
 
-    def _answers(self, kind: int) -> list[np.ndarray]:
-        """(count, mark, number, part) of all that was asked, in the order of the requests."""
-        got = []
+    def _answers(self, kind: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The part, and (count, mark, number) of all that it was asked, in the order of the requests."""
         for part, blob in self.blob.get(kind, []):
             count, mark, steps = unpack(blob, "u8", "u1", "u4")
-            got.append((count, mark, _numbers(steps), np.full(len(count), part, np.int32)))
-        return [np.concatenate(x) for x in zip(*got, strict=True)]
+            yield part, count, mark, _numbers(steps)
 
     def answered(self, order: int, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(count, mark, number) of the distinct n-grams: the batch's own for those it did not ask about."""
         out = grams.counts.astype(np.uint64), grams.mark.copy(), np.zeros(len(grams.keys), np.uint32)
-        if len(grams.asked):
-            for values, got in zip(out, self._answers(of_order(COUNTS, order)), strict=False):
-                values[grams.asked] = got
+        start = 0
+        for _, *answer in self._answers(of_order(COUNTS, order)):
+            asked = grams.asked[start : start + len(answer[0])]
+            for values, got in zip(out, answer, strict=True):
+                values[asked] = got
+            start += len(asked)
         return out
 
     def climb(self, order: int, grams: Grams, discounts: np.ndarray) -> None:
         """From p of the order below to p of this order."""
+        self.keys = self.times = self.alone = self.numbers = self.part = None  # `grams` has what is needed of the order below
         count, mark, numbers = self.answered(order, grams)
         few, mass_after = grams.sums(self, count, mark)
-        totals = [unpack(b, "u8", *["u4"] * LARGEST) for _, b in self.blob.get(of_order(TOTALS, order), [])]
-        if totals:
-            mass_after[grams.contexts] = np.concatenate([t[0] for t in totals]) * UNIT
-            few[:, grams.contexts] = np.concatenate([t[1:] for t in totals], axis=1)
-        lost_after = ((1 - discounts[1:]) * np.arange(1, LARGEST + 1)) @ few
+        start = 0
+        for _, blob in self.blob.get(of_order(TOTALS, order), []):
+            mass, *some = unpack(blob, "u8", *["u4"] * LARGEST)
+            contexts = grams.contexts[start : start + len(mass)]
+            mass_after[contexts], few[:, contexts] = mass * UNIT, some
+            start += len(mass)
+        lost_after, lost_by_count = np.empty(few.shape[1]), (1 - discounts[1:]) * np.arange(1, LARGEST + 1)
+        for start in range(0, len(lost_after), SLICE):  # a slice, as `few` becomes doubles
+            lost_after[start : start + SLICE] = lost_by_count @ few[:, start : start + SLICE]
+        del few
         times = np.append(count, np.uint64(0))
         self.at = np.full(len(self.words), len(count), np.int32)
         self.at[grams.both] = grams.place
         for start in range(0, len(grams.known), SLICE):
-            known = grams.known[start : start + SLICE]
+            known = start + np.flatnonzero(grams.known[start : start + SLICE])
             of = grams.context[known]
             lost, mass, h, c = lost_after[of], mass_after[of], grams.times[of], times[self.at[known]]
             seen = h - lost
@@ -412,7 +420,7 @@ class Texts:
             whole = np.where(all_seen, np.maximum(seen, 1e-300), np.where(lost > 0, h, h + 1))
             weight = np.where(all_seen, 0.0, (1 - seen / whole) / np.where(all_seen, 1.0, 1 - mass))
             self.p[known] = np.where(c > 0, np.maximum(discounted(c, discounts), 1e-300) / whole, weight * self.p[known])
-        self.keys, self.times, self.alone, self.numbers, self.part = grams.keys, count, mark & ALONE > 0, numbers, grams.parts
+        self.keys, self.times, self.alone, self.numbers, self.part = grams.keys, count, mark & ALONE > 0, numbers, part_of(grams.keys, self.parts)
 
 
 class Model:
@@ -452,7 +460,8 @@ def _gram_requests(model: Model, order: int):
     def requests(batch: int, rows: list[tuple]) -> list[tuple]:
         grams = model.grams(model.texts(rows, order - 1), order)
         told = _statistics(grams.counts[grams.mark > 0]).tobytes()
-        asked = _ask(batch, of_order(GRAMS, order), grams.part, grams.keys[grams.asked], grams.counts[grams.asked])
+        keys = grams.keys[grams.asked]
+        asked = _ask(batch, of_order(GRAMS, order), part_of(keys, model.parts), keys, grams.counts[grams.asked])
         return [(batch, TOLD, batch % model.parts, told), *asked]
 
     return _each("batch", requests)
@@ -503,7 +512,7 @@ def _scores(model: Model, order: int):
             return np.bincount(owner, weights=values, minlength=len(texts.lengths))
 
         with np.errstate(divide="ignore"):
-            logs = np.log10(texts.p)
+            score = by_text(np.log10(texts.p))
         counts = texts.count
         base = model.unigrams.base(counts)
         return pa.RecordBatch.from_arrays(
@@ -513,7 +522,7 @@ def _scores(model: Model, order: int):
                 pa.array(texts.lengths),
                 pa.array(by_text((counts > 0)[texts.words]).astype(np.int64)),
                 pa.array(by_text(base[texts.words])),
-                pa.array(by_text(logs)),
+                pa.array(score),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
